@@ -42,18 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(df: DataFrame, id_col: str, tie: str) -> DataFrame:
-    """Adds ``row_id``, a unique long in the order of id_col (nulls last), then of the column tie's hash.
+def with_row_id(df: DataFrame, id_col: str, tie: str) -> tuple[DataFrame, bool]:
+    """Adds ``row_id``, a unique long in the order of id_col (nulls last), then of the column tie's hash; also whether it equals id_col.
 
     Where id_col is unique and has no null, it is the row id itself. Otherwise the rows are range-sorted and
     numbered, and the numbers are kept in a written table so that every later read sees the same ones.
     """
     n, known, distinct = df.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
     if n == known == distinct:
-        return df.withColumn("row_id", F.col(id_col).cast("long"))
+        return df.withColumn("row_id", F.col(id_col).cast("long")), True
     order = [F.col(id_col).asc_nulls_last(), F.xxhash64(tie), F.col(tie)]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ranged.withColumn("row_id", F.monotonically_increasing_id()))
+    return materialize(ranged.withColumn("row_id", F.monotonically_increasing_id())), False
 
 
 def added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:

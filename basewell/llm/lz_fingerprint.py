@@ -130,7 +130,7 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     so texts are shuffled once and no task needs more than its range. The first ids of the ranges, one for each, are
     all that the driver sees.
     """
-    rows = with_row_id(docs.select(id_col, text_col), id_col, text_col)
+    rows, _ = with_row_id(docs.select(id_col, text_col), id_col, text_col)
     spark = docs.sparkSession
     schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n_ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewell.llm import lz_fingerprint, mixing, pieces, quality, secret_scan, topk, url_trust
+from basewell.llm import lz_fingerprint, mixing, ngram_join, pieces, quality, secret_scan, sentence_dedup, suffix_dedup, topk, url_trust
 from basewell.llm.common import table
 
 #: A document is predicted good from this score on.
@@ -20,6 +20,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_secrets, op5_topk, op7_pieces, op8_fingerprints, op9_url_trust, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_ngram_join, op4_secrets, op5_topk, op6_sentence_dedup, op7_pieces, op8_fingerprints, op9_url_trust, op10_quality)}
 
 
 MIXING_SQL = """
