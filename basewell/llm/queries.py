@@ -137,5 +137,36 @@ def _url_sql(rounds: int = url_trust.ROUNDS) -> str:
     )
 
 
+SIMILAR_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+shingled AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingled a JOIN shingled b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d
+JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+SUFFIX_SQL = """
+WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM bytes WHERE n >= 100),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM places),
+turns AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS turn FROM windows),
+steps AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh FROM turns WHERE turn > 1),
+islands AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM steps),
+spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY doc_id, island),
+kept AS (
+  SELECT doc_id, 0 AS a, min(a) AS b FROM spans GROUP BY doc_id
+  UNION ALL SELECT doc_id, s.b AS a, coalesce(lead(s.a) OVER (PARTITION BY doc_id ORDER BY s.a), n) AS b FROM spans s JOIN bytes USING (doc_id)),
+texts AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS left_over FROM kept JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(many, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM bytes LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS many FROM spans GROUP BY doc_id) USING (doc_id) LEFT JOIN texts USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op5_topk": TOPK_SQL, "op9_url_trust": _url_sql()}
+    return {"op1_mixing": MIXING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op3_ngram_join": SIMILAR_SQL, "op5_topk": TOPK_SQL, "op9_url_trust": _url_sql()}
