@@ -44,7 +44,7 @@ ALIGNMENTS_SQL = (
     + ",\nscripts AS ("
     + " UNION ALL ".join(f"SELECT ch || '/' || turn || '/{n}' AS qname, 'ref' || ch || '.' || turn AS refname, ch, turn, seq AS rseq, {_edited(e)} AS script FROM subreads WHERE seq <> ''" for n, e in enumerate(EDITS))
     + """),
-alignments AS (SELECT qname, refname, ch, turn, rseq, translate(script, 'ACGTacgtwxyz12', '====XXXXDDDDII') AS ops, translate(script, 'ACGTacgt12wxyz', 'ACGTCGTAAC') AS seq, script FROM scripts)"""
+alignments AS (SELECT qname, refname, ch, turn, rseq, translate(script, 'ACGTacgtwxyz12', '====XXXXDDDDII') AS ops, translate(script, 'ACGTacgt12wxyz', 'ACGTCGTAAC') AS seq, translate(translate(script, 'ACGTacgt12wxyz', 'ACGTCGTAAC'), 'ACGT', '+5?I') AS qual, script FROM scripts)"""
 )
 #: One row for each column of each alignment, found on the script itself and so apart from the alignment string.
 ALN_SQL = ALIGNMENTS_SQL.replace(",\nscripts AS", ",\nscripts AS MATERIALIZED") + """,
@@ -90,9 +90,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = base.select("*", F.inline(scripts))
     ops = F.translate("script", "ACGTacgtwxyz12", "====XXXXDDDDII")
     cigar = F.array_join(F.transform(F.regexp_extract_all(ops, F.lit("=+|X+|I+|D+"), F.lit(0)), lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1))), "")
+    query = F.translate("script", "ACGTacgt12wxyz", "ACGTCGTAAC")
     return both.select(
         F.concat_ws("/", "ch", "turn", "n").alias("qname"), F.concat(F.lit("ref"), "ch", F.lit("."), "turn").alias("refname"), "ch", "turn", F.lit(0).alias("rstart"), cigar.alias("cigar"),
-        F.translate("script", "ACGTacgt12wxyz", "ACGTCGTAAC").alias("seq"), F.col("seq").alias("rseq"),
+        query.alias("seq"), F.translate(query, "ACGT", "+5?I").alias("qual"), F.col("seq").alias("rseq"),
     )
 
 
