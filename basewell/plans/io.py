@@ -1 +1,86 @@
+"""Sources and sinks: what is written is read again (O series)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basewell.plans import views
+from basewell.plans.catalog import query
+from basewell.plans.views import COLUMNS_SQL, ERRORS_SQL, FACTS_SQL, READS_SQL
+from basewell.sources import fastx
+from basewell.sources.scratch import new_path
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.reads(spark, sf_dir).where("seq <> ''")
+
+
+@query(READS_SQL + " SELECT qname, md5(seq) AS seq, md5(qual) AS qual FROM reads WHERE seq <> ''")
+def o01_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.write_fastq(_full(spark, sf_dir), path)
+    back = fastx.read_fastq(spark, path)
+    return back.select("qname", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("seq", "qual")])
+
+
+@query(READS_SQL + " SELECT qname, md5(seq) AS seq FROM reads WHERE seq <> ''")
+def o02_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.fasta_text(_full(spark, sf_dir)).write.text(path)
+    return fastx.read_fasta(spark, path).select("qname", F.md5(F.col("seq").cast("binary")).alias("seq"))
+
+
+@query(READS_SQL + " SELECT qname, ch, least(np, 25)::INT AS np, round(rq, 9) AS rq FROM reads WHERE seq <> ''")
+def o04_sam_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    plain = ("qname", F.lit("4"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), "seq", "qual")
+    tags = (F.when(F.col("fwd"), F.concat(F.lit("ch:i:"), "ch")).otherwise(F.concat(F.lit("xx:Z:"), "ch")), F.concat(F.lit("np:i:"), "np"), F.concat(F.lit("rq:f:"), "rq"))
+    _full(spark, sf_dir).select(F.concat_ws("\t", *plain, *tags).alias("value")).write.text(path)
+    return fastx.with_tags(fastx.read_sam(spark, path)).select("qname", "ch", "np", F.round("rq", 9).alias("rq"))
+
+
+@query(FACTS_SQL + " SELECT tag, sum(eq)::BIGINT AS eq, count(*) AS n FROM facts GROUP BY tag")
+def o06_o13_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.write_metrics(views.facts(spark, sf_dir).select("qname", "tag", "eq"), path)
+    return fastx.read_table(spark, path, "qname long, tag string, eq long").groupBy("tag").agg(F.sum("eq").alias("eq"), F.count(F.lit(1)).alias("n"))
+
+
+@query(COLUMNS_SQL + ", i AS (SELECT rec, avg((smc = ref)::INT) AS identity, count(*) AS n FROM cols GROUP BY rec) SELECT round(identity, 9) AS identity, n FROM i WHERE identity >= 0.9 AND identity < 0.99")
+def o09_column_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    cols = views.columns(spark, sf_dir)
+    same = F.size(F.filter(F.arrays_zip(F.split("smc", "").alias("a"), F.split("ref", "").alias("b")), lambda x: (x["a"] == x["b"]) & (x["a"] != ""))) / F.length("ref")
+    cols.select(F.concat(F.array("smc", "smc", "ref"), F.col("subs")).alias("msa_seqs"), same.alias("identity"), F.length("ref").alias("query_aln_len")).write.json(path)
+    return fastx.read_columns(spark, path, 0.9, 0.99).select(F.round("identity", 9).alias("identity"), F.col("query_aln_len").cast("long").alias("n"))
+
+
+@query(READS_SQL + " SELECT t.thr, count(*) AS n, sum(length(seq))::BIGINT AS bases FROM reads JOIN (SELECT unnest([0.99, 0.999])::DOUBLE AS thr) t ON rq >= thr WHERE seq <> '' GROUP BY t.thr")
+def o14_fastq_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.write_fastq(_full(spark, sf_dir), path, (0.99, 0.999))
+    back = [fastx.read_fastq(spark, f"{path}/thr={t}").select(F.lit(t).alias("thr"), F.length("seq").alias("n")) for t in (0.99, 0.999)]
+    return back[0].unionByName(back[1]).groupBy("thr").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n")).alias("bases"))
+
+
+@query(READS_SQL + f" SELECT qname, ch, round(1 - ({ERRORS_SQL}) / length(qual), 9) AS rq FROM reads WHERE seq <> ''")
+def o15_reads_of_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.write_fastq(_full(spark, sf_dir), path)
+    return fastx.reads_of_fastq(spark, path).select("qname", "ch", F.round("rq", 9).alias("rq"))
+
+
+@query(READS_SQL + " SELECT barcode, count(*) AS n FROM reads GROUP BY barcode HAVING count(*) >= 30")
+def o18_merged_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = views.reads(spark, sf_dir)
+    merged = reads.where("fwd").unionByName(reads.where("not fwd"))
+    return fastx.by_barcode(merged, least=30).groupBy("barcode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(READS_SQL + " SELECT count(*) AS n, sum(length(seq))::BIGINT AS bases, 7::BIGINT AS files FROM reads")
+def o20_round_robin_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fastx.write_parts(views.reads(spark, sf_dir).select("seq"), path, 7)
+    back = spark.read.parquet(path).select(F.length("seq").alias("n"), F.col("_metadata.file_path").alias("file"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("bases"), F.count_distinct("file").alias("files"))

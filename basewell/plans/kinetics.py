@@ -1 +1,99 @@
+"""Kinetics of per-base arrays (B-10 to B-16 and A-14 to A-16). A base's values are rules on its letter and place."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basewell.functions import seq as S
+from basewell.operators import alignment, kinetics, runs, summary
+from basewell.plans import views
+from basewell.plans.catalog import query
+from basewell.plans.views import ALN_SQL, SUBREADS_SQL, table
+
+_K = SUBREADS_SQL + """, k AS (SELECT ch || '/' || turn AS qname, ch, seq, list_transform(range(length(seq)), lambda i: 1 + (i * 7 + ch) % 40) AS dw, list_transform(range(length(seq)), lambda i: 2 + (i * 3 + ch) % 25) AS ar FROM subreads),
+  pos AS (SELECT qname, ch, seq, dw, ar, unnest(range(length(seq))) AS i FROM k), per AS (SELECT qname, ch, substr(seq, i + 1, 1) AS base, dw[i + 1] AS dw, ar[i + 1] AS ar FROM pos),
+  bases AS (SELECT k.qname, b.base, coalesce(c.n, 0) AS base_cnt, coalesce(c.dw, 0)::BIGINT AS dw_sum, coalesce(c.ar, 0)::BIGINT AS ar_sum FROM k CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b
+    LEFT JOIN (SELECT qname, base, count(*) AS n, sum(dw) AS dw, sum(ar) AS ar FROM per GROUP BY ALL) c ON c.qname = k.qname AND c.base = b.base)"""
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.length("seq") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    subs = views.subreads(spark, sf_dir).select(F.concat_ws("/", "ch", "turn").alias("qname"), "ch", "seq")
+    return subs.withColumns({"dw": F.transform(places, lambda i: 1 + (i * 7 + F.col("ch")) % 40), "ar": F.transform(places, lambda i: 2 + (i * 3 + F.col("ch")) % 25)})
+
+
+@query(_K + " SELECT * FROM bases")
+def b10_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinetics.base_table(_reads(spark, sf_dir))
+
+
+@query(_K + " SELECT base, round(avg(dw), 9) AS dw_mean, round(avg(ar), 9) AS ar_mean, median(dw)::DOUBLE AS dw_median, round(count(*) / (sum(dw + ar) * 0.002), 9) AS speed FROM per GROUP BY base")
+def b11_b12_kinetics_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    each = _reads(spark, sf_dir).select(F.inline(F.arrays_zip(letters.alias("base"), F.col("dw"), F.col("ar"))))
+    return each.groupBy("base").agg(F.round(F.avg("dw"), 9).alias("dw_mean"), F.round(F.avg("ar"), 9).alias("ar_mean"), F.median("dw").alias("dw_median"), F.round(kinetics.speed(F.count(F.lit(1)), F.sum(F.col("dw") + F.col("ar"))), 9).alias("speed"))
+
+
+def _ends(c: str, part: str, what: str) -> str:
+    source = f"{c}[2:50]" if part == "first" else f"{c}[greatest(len({c}) - 50, 1) + 1:]"
+    return f"round(list_{'median' if what == 'median' else 'avg'}({source}), 9) AS {c}_{part}_{what}"
+
+
+@query(_K + " SELECT qname, " + ", ".join(_ends(c, p, w) for c in ("dw", "ar") for p in ("first", "last") for w in ("median", "mean")) + " FROM k WHERE length(seq) >= 20")
+def b13_head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kinetics.ends_table(_reads(spark, sf_dir).where(F.length("seq") >= 20), ["dw", "ar"], 50, ["qname"])
+    return out.select("qname", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@query(_K + ", o AS (SELECT qname, dw, row_number() OVER (ORDER BY len(dw), qname) AS place, count(*) OVER () AS n FROM k) SELECT qname, dw[1:5] AS head FROM o WHERE len(dw) >= (SELECT quantile_disc(len(dw), 0.9) FROM k)")
+def b14_longest_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _reads(spark, sf_dir).select("qname", "dw", F.size("dw").alias("n"))
+    limit = reads.select(F.expr("percentile_disc(0.9) within group (order by n)").cast("int").alias("least"))
+    return reads.join(F.broadcast(limit), F.col("n") >= F.col("least")).select("qname", F.slice("dw", 1, 5).alias("head"))
+
+
+@query(SUBREADS_SQL + ", c AS (SELECT ch, count(*) AS passes, sum(length(seq)) AS bases, sum(cx) AS cx FROM subreads GROUP BY ch) SELECT ch, least(passes, 4) AS np, bases::BIGINT AS bases, round(cx / (passes * 3), 9) AS concordance, round(-10 * log10(1 - least(cx / (passes * 3), 1 - 1e-6)), 6) AS qv FROM c WHERE passes >= 2")
+def b15_channel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = views.subreads(spark, sf_dir).groupBy("ch").agg(F.count(F.lit(1)).alias("passes"), F.sum(F.length("seq")).alias("bases"), S.rate(F.sum("cx"), F.count(F.lit(1)) * 3).alias("c")).where("passes >= 2")
+    return channels.select("ch", F.least("passes", F.lit(4)).cast("long").alias("np"), "bases", F.round("c", 9).alias("concordance"), F.round(S.phred("c", cap=1 - 1e-6), 6).alias("qv"))
+
+
+@query(ALN_SQL + """, refs AS (SELECT qname, regexp_extract_all(rseq, 'A+|C+|G+|T+') AS parts FROM alignments), each AS (SELECT qname, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM refs),
+  qs AS (SELECT qname, regexp_extract_all(seq, 'A+|C+|G+|T+') AS parts FROM alignments), qeach AS (SELECT qname, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM qs),
+  rp AS (SELECT qname, left(part, 1) AS base, length(part) AS n, sum(length(part)) OVER (PARTITION BY qname ORDER BY k) - length(part) AS a FROM each), qp AS (SELECT qname, length(part) AS n, sum(length(part)) OVER (PARTITION BY qname ORDER BY k) - length(part) AS a FROM qeach),
+  j AS (SELECT r.base || r.n AS key, q.n AS query_run FROM rp r JOIN aln x ON x.qname = r.qname AND x.rpos = r.a AND x.op = '=' JOIN qp q ON q.qname = r.qname AND x.qpos >= q.a AND x.qpos < q.a + q.n WHERE r.n > 1 AND abs(q.n - r.n) <= 1)
+  SELECT key, query_run, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY key), 9) AS ratio FROM j GROUP BY key, query_run""")
+def b16_run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alns = views.alignments(spark, sf_dir).drop("qual")
+    ref_runs = runs.base_runs(alns, "rseq", ["qname"], 2)
+    query_runs = runs.base_runs(alns, "seq", ["qname"], 1).select("qname", F.col("start").alias("q0"), F.col("end").alias("q1"))
+    equal = alignment.aln_columns(alns, ("qname",)).where("op = '='").select("qname", F.col("rpos").alias("start"), "qpos")
+    joined = ref_runs.join(equal, ["qname", "start"]).join(query_runs, "qname").where("qpos >= q0 and qpos < q1")
+    pairs = joined.select(F.concat("base", F.col("end") - F.col("start")).alias("key"), (F.col("q1") - F.col("q0")).cast("long").alias("query_run"), (F.col("end") - F.col("start")).alias("n_ref")).where("abs(query_run - n_ref) <= 1")
+    return summary.share_of(pairs, ["key", "query_run"], within=["key"]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(_K + " SELECT base, round(2 * sum(dw_sum) / sum(base_cnt), 9) AS dw_ms, round(2 * sum(ar_sum) / sum(base_cnt), 9) AS ar_ms, round(sum(base_cnt) / (2 * sum(dw_sum + ar_sum) * 0.001), 9) AS speed FROM bases GROUP BY base")
+def a14_kinetic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, dw, ar = F.sum("base_cnt"), F.sum("dw_sum"), F.sum("ar_sum")
+    return kinetics.base_table(_reads(spark, sf_dir)).groupBy("base").agg(F.round(2 * S.rate(dw, n), 9).alias("dw_ms"), F.round(2 * S.rate(ar, n), 9).alias("ar_ms"), F.round(S.rate(n, 2 * (dw + ar) * 0.001), 9).alias("speed"))
+
+
+@query(_K + ", r AS (SELECT qname, sum(base_cnt) AS n, sum(dw_sum) AS dw, sum(ar_sum) AS ar FROM bases GROUP BY qname) SELECT qname, n::BIGINT AS n, round(dw / n, 9) AS dw, round(ar / n, 9) AS ar FROM r WHERE n > 0 ORDER BY md5('0:' || qname) LIMIT 10000")
+def a15_sampled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = kinetics.base_table(_reads(spark, sf_dir)).groupBy("qname").agg(F.sum("base_cnt").alias("n"), F.sum("dw_sum").alias("dw"), F.sum("ar_sum").alias("ar")).where("n > 0")
+    return summary.seeded_sample(reads, "qname", 10_000).select("qname", "n", F.round(F.col("dw") / F.col("n"), 9).alias("dw"), F.round(F.col("ar") / F.col("n"), 9).alias("ar"))
+
+
+@query(_K + ", e AS (SELECT list_avg(dw[2:50]) AS a, list_median(dw[greatest(len(dw) - 50, 1) + 1:]) AS b FROM k WHERE length(seq) >= 20) SELECT round(avg(a), 9) AS head_mean, round(median(a), 9) AS head_median, round(stddev_samp(a), 9) AS head_sd, round(avg(b), 9) AS tail_mean, round(median(b), 9) AS tail_median, round(stddev_samp(b), 9) AS tail_sd FROM e")
+def a16_end_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = kinetics.ends_table(_reads(spark, sf_dir).where(F.length("seq") >= 20), ["dw"], 50, ["qname"])
+    stats = [(n, f) for n, f in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp))]
+    return ends.agg(*[F.round(f(c), 9).alias(f"{w}_{n}") for w, c in (("head", "dw_first_mean"), ("tail", "dw_last_median")) for n, f in stats])
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY user_id QUALIFY row_number() OVER (ORDER BY n DESC, user_id) <= 50")
+def b12_run_level_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("median"))
+    return summary.top_k(by_user, [], [F.desc("n"), F.col("user_id")], 50)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from basewell.functions import seq as S
 from basewell.plans import views
 from basewell.plans.catalog import query
-from basewell.plans.views import ALIGNMENTS_SQL, QUALITIES, READS_SQL
+from basewell.plans.views import ALIGNMENTS_SQL, ERRORS_SQL, READS_SQL
 
-_ERRORS = " + ".join(f"(length(qual) - length(replace(qual, '{c}', ''))) * pow(10.0, -{ord(c) - 33} / 10.0)" for c in sorted(set(QUALITIES)))
 _PHRED = {
     "cap_1e10": ("-10 * log10(1 - least(rq, 1 - 1e-10))", {"cap": 1 - 1e-10}), "cap_1e6": ("-10 * log10(1 - least(rq, 1 - 1e-6))", {"cap": 1 - 1e-6}), "plus_1e6": ("-10 * log10(1 - rq + 1e-6)", {"eps": 1e-6}),
     "floor_1e6": ("-10 * log10(greatest(1 - rq, 1e-6))", {"floor": 1e-6}), "plus_1e8": ("-10 * log10(1 - rq + 1e-8)", {"eps": 1e-8}), "cap_5n": ("-10 * log10(1 - least(rq, 0.99999))", {"cap": 0.99999}),
@@ -23,7 +22,7 @@ def s01_phred_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.reads(spark, sf_dir).select("qname", *[F.round(S.phred("rq", **o), 6).alias(n) for n, (_, o) in _PHRED.items()], own)
 
 
-@query(READS_SQL + f" SELECT qname, length(qual)::BIGINT AS n, round(1 - ({_ERRORS}) / nullif(length(qual), 0), 9) AS accuracy FROM reads")
+@query(READS_SQL + f" SELECT qname, length(qual)::BIGINT AS n, round(1 - ({ERRORS_SQL}) / nullif(length(qual), 0), 9) AS accuracy FROM reads")
 def s02_mean_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.reads(spark, sf_dir).select("qname", F.length("qual").cast("long").alias("n"), F.round(S.mean_accuracy("qual"), 9).alias("accuracy"))
 

@@ -27,6 +27,8 @@ _READS = f"""letters AS (SELECT doc_id, source, lang, {_LETTERS.format("text")}
 reads AS (SELECT 'run/' || doc_id || '/ccs' AS qname, doc_id AS ch, source AS run, lang AS barcode, translate(s, '{ALPHABET}', '{BASES}') AS seq,
   translate(s, '{ALPHABET}', '{QUALITIES}') AS qual, (1 + doc_id % 30)::INT AS np, 1 - 1.0 / (2 + doc_id * 37 % 5000) AS rq, doc_id % 2 = 0 AS fwd, (doc_id * 7 % 64)::INT AS flag FROM letters)"""
 READS_SQL = "WITH " + _READS
+#: Sum of the error probabilities of a quality string.
+ERRORS_SQL = " + ".join(f"(length(qual) - length(replace(qual, '{c}', ''))) * pow(10.0, -{ord(c) - 33} / 10.0)" for c in sorted(set(QUALITIES)))
 _SUBREADS = f"""subreads AS (SELECT conv_id AS ch, turn::INT AS turn, role, CASE WHEN turn % 3 = 1 THEN 1 ELSE 3 END AS cx,
   translate({_LETTERS.format("text")}, '{ALPHABET}', '{BASES}') AS seq FROM conversations)"""
 SUBREADS_SQL = "WITH " + _SUBREADS
