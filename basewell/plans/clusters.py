@@ -1 +1,57 @@
+"""Dereplication, clusters and pairs (A-31 to A-33, A-60, S-25)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basewell.functions import seq as S
+from basewell.operators import clusters, runs
+from basewell.plans import views
+from basewell.plans.catalog import query
+from basewell.plans.views import ERRORS_SQL, READS_SQL, SUBREADS_SQL
+
+
+@query(READS_SQL + f", e AS (SELECT md5(seq) AS digest, length(seq) AS length, {ERRORS_SQL} AS errors FROM reads) SELECT digest, length::INT AS length, count(*) AS n, round(sum(errors) / nullif(count(*) * length, 0), 9) AS mean_error FROM e GROUP BY digest, length")
+def a31_dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.dereplicate(views.reads(spark, sf_dir)).withColumn("mean_error", F.round("mean_error", 9)).orderBy(F.desc("n"), "digest")
+
+
+@query(None)
+def a32_near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.near_duplicates(views.reads(spark, sf_dir), least_identity=0.99, least_coverage=0.99)
+
+
+_PAIRS = SUBREADS_SQL + ", p AS (SELECT x.ch, x.turn AS a, y.turn AS b, 1 - levenshtein(x.seq, y.seq) / nullif(greatest(length(x.seq), length(y.seq)), 0) AS identity, least(length(x.seq), length(y.seq)) / nullif(greatest(length(x.seq), length(y.seq)), 0) AS coverage FROM subreads x JOIN subreads y ON x.ch = y.ch AND x.turn < y.turn)"
+
+
+@query(_PAIRS + " SELECT ch, a, b, round(identity, 9) AS identity, round(coverage, 9) AS coverage FROM p")
+def j20_a33_pairwise_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clusters.pairwise(views.subreads(spark, sf_dir), ["ch"], "turn", "seq")
+    return out.withColumns({c: F.round(c, 9) for c in ("identity", "coverage")})
+
+
+@query(_PAIRS + " SELECT ch, a, round(max(identity) FILTER (b = 1), 9) AS t1, round(max(identity) FILTER (b = 2), 9) AS t2, round(max(identity) FILTER (b = 3), 9) AS t3 FROM p GROUP BY ch, a")
+def a33_identity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tall = clusters.pairwise(views.subreads(spark, sf_dir), ["ch"], "turn", "seq")
+    wide = tall.groupBy("ch", "a").pivot("b", [1, 2, 3]).agg(F.max("identity"))
+    return wide.select("ch", "a", *[F.round(str(i), 9).alias(f"t{i}") for i in (1, 2, 3)])
+
+
+@query(SUBREADS_SQL + ", f AS (SELECT ch, turn, left(seq, 60) AS f, right(seq, length(seq) - 30) AS r FROM subreads WHERE length(seq) >= 90), k AS (SELECT ch, turn, f, r, unnest(range(10, least(60, length(f), length(r)) + 1)) AS n FROM f), b AS (SELECT ch, turn, f, r, arg_min(n, (levenshtein(right(f, n), left(r, n)) / n, -n)) AS n FROM k GROUP BY ALL) SELECT ch, turn, n::INT AS overlap, md5(f || substr(r, n + 1)) AS merged FROM b")
+def s25_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = views.subreads(spark, sf_dir).where(F.length("seq") >= 90)
+    pairs = reads.select("ch", "turn", F.left("seq", F.lit(60)).alias("f"), F.right("seq", F.length("seq") - 30).alias("r"))
+    merged = clusters.merge_pair(F.col("f"), F.col("r"))
+    return pairs.select("ch", "turn", (F.length("f") + F.length("r") - F.length(merged)).alias("overlap"), F.md5(merged.cast("binary")).alias("merged"))
+
+
+@query(None)
+def a60_low_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self-complementary and self-joined shares, repeat share and low-accuracy share as (name, value)."""
+    subs = views.subreads(spark, sf_dir).where("seq <> ''")
+    shares = subs.agg(F.avg((runs.folds_back("seq") >= 0.8).cast("double")).alias("fold_back"), F.avg((runs.joined_to_itself("seq") >= 0.85).cast("double")).alias("self_joined"))
+    repeats = runs.repeat_share(subs, "seq", {1: 4, 2: 3, 3: 3}).agg(S.rate(F.sum("repeat_bases"), F.sum(F.length("seq"))).alias("repeats"))
+    low = views.reads(spark, sf_dir).agg(F.avg((F.col("rq") < 0.99).cast("double")).alias("low_accuracy"))
+    tables = [t.unpivot([], t.columns, "name", "value") for t in (shares, repeats, low)]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])

@@ -1 +1,46 @@
+"""Streams over the files of the given tables, run until all is read (X series)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basewell.plans.catalog import query
+from basewell.sources.scratch import new_path
+from basewell.streaming import incremental
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS value_sum, round(avg(value), 6) AS value_mean FROM events GROUP BY event_type")
+def x01_running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = incremental.running_means(incremental.source(spark, sf_dir, "events"), ["event_type"], ["value"])
+    return incremental.all_available(stream, "complete").select("event_type", "n", F.round("value_sum", 6).alias("value_sum"), F.round("value_mean", 6).alias("value_mean"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS digest, length(coalesce(text, ''))::INT AS length, count(*) AS n FROM documents GROUP BY ALL")
+def x02_distinct_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = incremental.source(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return incremental.all_available(incremental.distinct_sequences(docs, "text"), "complete")
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def x03_by_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark is as long as the data, so no row is late; the last windows come out in complete mode."""
+    values = [F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")]
+    events = incremental.source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = incremental.by_event_window(events, "ts", "1 hour", "3650 days", ["event_type"], values)
+    out = incremental.all_available(stream, "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "mean")
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY event_type")
+def x04_merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, last = new_path(spark), {}
+    fold = incremental.merge_into(path, ["event_type"], {"n": lambda a, b: a + b, "most": F.greatest})
+
+    def run(batch: DataFrame, number: int) -> None:
+        fold(batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most")), number)
+        last["at"] = number
+
+    stream = incremental.source(spark, sf_dir, "events")
+    stream.writeStream.option("checkpointLocation", new_path(spark)).trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    return spark.read.parquet(f"{path}/{last['at']}")
