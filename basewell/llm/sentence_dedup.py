@@ -118,11 +118,13 @@ def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with what repeats cut out of their texts; other columns, null texts and all rows stay."""
-    keyed, places, _ = _joined(docs, id_col, text_col, **options)
+    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed, places, _ = _joined(whole, "id", "text", **options)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         return texts.combine(spans, lambda t, s: t if t is None or s is None else without(t.encode("utf-8", "surrogatepass"), merged(list(s))).decode("utf-8", "surrogatepass"))
 
     joined = keyed.join(places, keyed["row_id"] == places["doc"], "left")
-    return joined.withColumn(text_col, F.when(F.col("places").isNull(), F.col(text_col)).otherwise(cut(text_col, "places"))).select(*docs.columns)
+    left_over = F.when(F.col("places").isNull(), F.col("text")).otherwise(cut("text", "places"))
+    return joined.select(*[left_over.alias(c) if c == text_col else F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -1,0 +1,56 @@
+"""The registered queries with SQL against DuckDB, and the pipeline against what its stages do one by one."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+from basewell.llm import pieces, queries, quality, secret_scan
+from basewell.llm.common import table
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = table(spark, DATA, "documents")
+    model = quality.fit(docs, table(spark, DATA, "labels"))
+    good = {r.doc_id for r in quality.score(docs, model).collect() if r.score >= queries.GOOD_FROM}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    out = corpus_pipeline.run(spark, DATA).collect()
+    found = {r.doc_id for r in out}
+    assert found <= good and len(found) > 0.4 * len(good)
+    kept = {t for t in texts.values()}
+    assert len(found) <= len(kept)
+    vocabulary, keywords = pieces.pieces(), secret_scan.automaton()
+    for r in out[:50]:
+        text = vocabulary.decode(list(r.piece_ids))
+        assert len(r.piece_ids) == r.n_pieces
+        if not secret_scan.find_secrets(texts[r.doc_id], keywords):
+            assert text == texts[r.doc_id]
+        else:
+            assert "[secret]" in text
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        table(spark, DATA, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
