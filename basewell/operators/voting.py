@@ -16,12 +16,14 @@ TRANSITIONS = ("AG", "GA", "CT", "TC")
 
 
 def columns(msa: DataFrame) -> DataFrame:
-    """(rec, pos, smc, ref, subs): characters at each column. Strings are split once, so no column looks for its place from the start."""
+    """(rec, pos, smc, ref, subs): characters at each column.
+
+    Strings are split once and turned into columns before anything is exploded, so no row carries a whole record.
+    """
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    zipped = F.arrays_zip(chars(F.col("smc")).alias("smc"), chars(F.col("ref")).alias("ref"))
-    subs = F.transform("subs", lambda s: chars(s))
-    each = msa.select("rec", F.posexplode(zipped).alias("pos", "pair"), subs.alias("subs"))
-    return each.select("rec", F.col("pos").cast("long").alias("pos"), F.col("pair.smc").alias("smc"), F.col("pair.ref").alias("ref"), F.transform("subs", lambda s: F.get(s, F.col("pos"))).alias("subs"))
+    split = msa.select("rec", chars(F.col("smc")).alias("s"), chars(F.col("ref")).alias("r"), F.transform("subs", lambda s: chars(s)).alias("t"))
+    turned = F.zip_with(F.zip_with("s", F.sequence(F.lit(0), F.size("s") - 1), lambda x, i: F.struct(x.alias("smc"), i.alias("i"))), "r", lambda x, y: F.struct(x["smc"].alias("smc"), y.alias("ref"), F.transform("t", lambda t: F.get(t, x["i"])).alias("subs")))
+    return split.where(F.size("s") > 0).select("rec", F.posexplode(turned).alias("pos", "x")).select("rec", F.col("pos").cast("long").alias("pos"), "x.smc", "x.ref", "x.subs")
 
 
 def share(wanted: Column | str, among: Column | str = "subs", gaps: bool = False) -> Column:
