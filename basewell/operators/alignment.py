@@ -111,17 +111,20 @@ def locus_table(df: DataFrame, refs: DataFrame) -> DataFrame:
     text = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
     detail = detail.groupBy("refname", "pos").agg(F.sum(F.when(F.col("kind") == "ins_detail", F.col("n")).otherwise(0)).alias("ins"), text("diff_detail").alias("diff_detail"), text("ins_detail").alias("ins_detail"))
 
-    bases = refs.select("refname", "rseq", F.explode(F.sequence(F.lit(0), F.length("rseq") - 1)).alias("i"))
-    base = lambda at: F.substring(F.col("rseq"), at + 1, F.lit(1))
-    i, size = F.col("i"), F.length("rseq")
-    before, here, after, second = F.when(i > 0, base(i - 1)), base(i), F.when(i + 1 < size, base(i + 1)), F.when(i + 2 < size, base(i + 2))
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    low = F.greatest(i - 10, F.lit(0))
-    around = F.concat(F.substring(F.col("rseq"), low + 1, i - low), F.lit("["), here, F.lit("]"), F.substring(F.col("rseq"), i + 2, F.lit(10)))
-    places = bases.select(
-        "refname", i.cast("long").alias("pos"), here.alias("cur_base"), after.alias("next_base"), (same(here, before) | same(here, after)).alias("cur_is_homo"),
-        (same(after, here) | same(after, second)).alias("next_is_homo"), around.alias("around"),
-    )
+    # Neighbours are looked up in the reference's array of bases before it is exploded, so no row carries a reference.
+    bases = refs.select("refname", F.filter(F.split("rseq", ""), lambda c: c != "").alias("b"))
+    at = lambda i: F.get("b", i)
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+
+    def place(here: Column, i: Column) -> Column:
+        before, after, second, low = at(i - 1), at(i + 1), at(i + 2), F.greatest(i - 10, F.lit(0))
+        around = F.concat(F.array_join(F.slice("b", low + 1, i - low), ""), F.lit("["), here, F.lit("]"), F.array_join(F.slice("b", i + 2, F.lit(10)), ""))
+        return F.struct(
+            i.cast("long").alias("pos"), here.alias("cur_base"), after.alias("next_base"), (same(here, before) | same(here, after)).alias("cur_is_homo"),
+            (same(after, here) | same(after, second)).alias("next_is_homo"), around.alias("around"),
+        )
+
+    places = bases.select("refname", F.inline(F.transform("b", place)))
     out = places.join(counts, ["refname", "pos"], "left").join(detail, ["refname", "pos"], "left")
     return out.fillna(0, ["eq", "diff", "ins", "del", "depth"]).fillna("", ["diff_detail", "ins_detail"])
 

@@ -33,8 +33,7 @@ def run_histogram(df: DataFrame, seq: str, by: list[str] | None = None) -> DataF
 def motif_contexts(df: DataFrame, seq: str, motif: str, before: int = 6) -> DataFrame:
     """(context, n): the bases before each occurrence, overlapping ones included, padded with N at a read's start."""
     text = F.concat(F.lit("N" * before), F.col(seq))
-    places = F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(F.col(seq), i, F.lit(len(motif))) == motif)
-    contexts = F.transform(places, lambda i: F.substring(text, i, F.lit(before)))
+    contexts = F.regexp_extract_all(text, F.lit(f"(?=(.{{{before}}}){motif})"), F.lit(1))
     found = df.where(F.col(seq).contains(motif)).select(F.explode(contexts).alias("context"))
     return found.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
@@ -92,8 +91,7 @@ def depth_profile(df: DataFrame, by: list[str], start: str, end: str) -> DataFra
 
 def kmers(seq: Column, k: int) -> Column:
     """Distinct k-mers of a sequence; none where it is shorter."""
-    n = F.length(seq) - k
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(seq, i + 1, F.lit(k))))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.array_distinct(F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def folds_back(seq: Column | str, k: int = 11) -> Column:
