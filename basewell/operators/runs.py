@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from basewell.functions.seq import col, rate, reverse_complement
 
+BLOCK = 64
+
 
 def base_runs(df: DataFrame, seq: str, keep: list[str], least: int = 2) -> DataFrame:
     """One row for each run of at least ``least`` equal bases: start (0-based), end (exclusive), base.
 
     All runs of a read are cut out by one expression; their lengths, added up, say where each begins. Nothing is
-    exploded to bases and nothing is shuffled.
+    exploded to bases and nothing is shuffled. Sums are carried block by block, since an array that grows by one is
+    copied each time.
     """
-    parts = F.regexp_extract_all(F.col(seq), F.lit("A+|C+|G+|T+|[^ACGT]+"), F.lit(0))
-    done = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,base:string>>)").alias("out")),
-        lambda s, r: F.struct((s["at"] + F.length(r)).alias("at"), F.when(F.length(r) >= least, F.array_append(s["out"], F.struct(s["at"].alias("start"), (s["at"] + F.length(r)).alias("end"), F.substring(r, 1, 1).alias("base")))).otherwise(s["out"]).alias("out")),
-    )["out"]
-    return df.select(*keep, F.inline(done)).where(F.col("base").isin(*"ACGT"))
+    cut = df.select(*keep, F.regexp_extract_all(F.col(seq), F.lit("A+|C+|G+|T+|[^ACGT]+"), F.lit(0)).alias("parts")).where(F.size("parts") > 0)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda b: F.slice("parts", b * BLOCK + 1, F.lit(BLOCK)))
+    cut = cut.select(*keep, blocks.alias("blocks"))
+    sizes = F.transform("blocks", lambda b: F.length(F.array_join(b, "")))
+    begins = F.aggregate(
+        sizes, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    )["out"]
+    cut = cut.select(*keep, "blocks", begins.alias("begins"))
+
+    def placed(block: Column, begin: Column) -> Column:
+        one = lambda s, r: F.struct(s["at"].alias("start"), (s["at"] + F.length(r)).alias("end"), F.substring(r, 1, 1).alias("base"))
+        return F.aggregate(
+            block, F.struct(begin.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,base:string>>)").alias("out")),
+            lambda s, r: F.struct((s["at"] + F.length(r)).alias("at"), F.when(F.length(r) >= least, F.array_append(s["out"], one(s, r))).otherwise(s["out"]).alias("out")),
+        )["out"]
+
+    return cut.select(*keep, F.inline(F.flatten(F.zip_with("blocks", "begins", placed)))).where(F.col("base").isin(*"ACGT"))
 
 
 def run_histogram(df: DataFrame, seq: str, by: list[str] | None = None) -> DataFrame:

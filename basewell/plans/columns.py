@@ -40,7 +40,7 @@ def m03_error_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.error_matrix(voting.mismatches(_cols(spark, sf_dir))).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(_WRONG + ", i AS (SELECT rec, avg((smc = ref)::INT) AS identity FROM cols GROUP BY rec), s AS (SELECT rec, identity, CASE WHEN identity < 0.94 THEN 'low' WHEN identity < 0.98 THEN 'middle' ELSE 'high' END AS stratum FROM i) SELECT stratum, count(DISTINCT s.rec) AS records, round(min(identity), 9) AS least, round(max(identity), 9) AS most, count(w.rec) AS errors, count_if(w.verdict = 'ref_support') AS ref_support FROM s LEFT JOIN wrong w USING (rec) GROUP BY stratum")
+@query(_WRONG + ", i AS (SELECT rec, avg((smc = ref)::INT) AS identity FROM cols GROUP BY rec), s AS (SELECT rec, identity, CASE WHEN identity < 0.94 THEN 'low' WHEN identity < 0.98 THEN 'middle' ELSE 'high' END AS stratum FROM i) SELECT stratum, count(DISTINCT s.rec) AS records, round(min(identity), 9) AS least, round(max(identity), 9) AS most, count(w.rec) AS errors, coalesce(count_if(w.verdict = 'ref_support'), 0) AS ref_support FROM s LEFT JOIN wrong w USING (rec) GROUP BY stratum")
 def m04_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = _cols(spark, sf_dir)
     identity = cols.groupBy("rec").agg(F.avg((F.col("smc") == F.col("ref")).cast("double")).alias("identity"))
