@@ -11,8 +11,9 @@ their first few, so nodes are joined on these:
 
 What passes is verified once for each pair, on the texts. Links are wanted for components only, and a group of copies
 must not cost the square of its size, so candidates come in two steps. First every node is paired with the leader of
-each shingle's group (groups of frequent shingles are dealt into parts, and their leaders paired in turn). Pairs that
-hold give components. Then, for shingles whose nodes still lie in different components, the nodes outside the
+each shingle's group: the node whose shingles are most common, since the original of many edited copies shares all its
+shingles with most of them and an edited copy doesn't. (Groups of frequent shingles are dealt into parts, and their
+nodes are paired with the leader of all parts, too.) Pairs that hold give components. Then, for shingles whose nodes still lie in different components, the nodes outside the
 commonest component are paired with all nodes of other components. A link between different components is found in
 the second step; one within a component changes nothing.
 """
@@ -37,6 +38,11 @@ SKETCH = 1 << 16
 BINS = 16
 #: Groups of shingles that more nodes than this may share are dealt into parts.
 PART_NODES = 4096
+#: In groups of shingles up to this size every two nodes are looked at before anything is written.
+PAIRED = 512
+#: In groups from this size on, nodes outside the main component are first paired with so many of its nodes.
+LARGE_GROUP = 64
+DELEGATES = 8
 U64 = np.uint64
 
 
@@ -93,9 +99,9 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(words: int, percent: int, counts: np.ndarray):
-    """(token, part, parts, node, n, spot): the first shingles of each node in rare-first order."""
+    """(token, part, parts, node, sized, common): the first shingles of each node in rare-first order. sized holds set size and place, common how common the node's shingles are."""
     usual = np.median(counts)
-    names = ["token", "part", "parts", "node", "n", "spot"]
+    names = ["token", "part", "parts", "node", "sized", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -114,6 +120,7 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
                 use = fresh[row]
                 row, keys = row[use], keys[use]
                 often = counts[(keys >> U64(48)).astype(np.int64) % SKETCH]
+                common = np.bincount(row, weights=often, minlength=n_rows) / np.maximum(size, 1)
                 order = np.lexsort((keys, often, row))
                 row, keys, often = row[order], keys[order], often[order]
                 first = np.searchsorted(row, np.arange(n_rows))
@@ -122,45 +129,67 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
                 row, keys, often, spot = row[use], keys[use], often[use], spot[use]
                 parts = np.maximum(1, np.ceil((often - usual) / PART_NODES)).astype(np.int64)
                 part = (tb.mix(node[row].view(U64)) % parts.astype(U64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), part, parts, node[row], size[row].astype(np.int64), spot)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), part, parts, node[row], (size[row].astype(np.int64) << 32) | spot, common[row].astype(np.int64))], names)
 
     return run
 
 
-_LED = "token long, parts long, node long, n long, spot long, lead long, lead_n long, lead_spot long"
-
-
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, part and node: each node once for its token, with the part's first node as leader. A node alone with its token is left out."""
-    names = [x.split()[0] for x in _LED.split(", ")]
-    held: list[pa.RecordBatch] = []
-
-    def groups(table: pa.Table) -> pa.RecordBatch:
-        token, part, parts, node, n, spot = (table.column(i).to_numpy() for i in range(6))
-        new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
-        keep = new | np.r_[True, node[1:] != node[:-1]]
-        token, parts, node, n, spot, new = (x[keep] for x in (token, parts, node, n, spot, new))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.r_[begin, len(token)])
-        lead = np.repeat(begin, size)
-        use = (np.repeat(size, size) > 1) | (parts > 1)
-        lead = lead[use]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token[use], parts[use], node[use], n[use], spot[use], node[lead], n[lead], spot[lead])], names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 200_000:
-            continue
-        table = pa.Table.from_batches(held)
-        token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
-        cut = int(np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])[-1])
-        if cut:
-            yield groups(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-    if held:
-        yield groups(pa.Table.from_batches(held))
+_LED = "token long, parts long, node long, n long, spot long, lead long, lead_n long, lead_spot long, lead_common long"
+
+
+def _hopeful(begin: np.ndarray, size: np.ndarray, n: np.ndarray, spot: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that pass the length and positional filter with another row of their group. Groups of more than PAIRED rows are taken to."""
+    hopeful = size > PAIRED
+    place = np.arange(len(n)) - np.repeat(begin, np.diff(np.r_[begin, len(n)]))
+    left = np.flatnonzero((size > 1) & ~hopeful)
+    for step in range(1, PAIRED):
+        left = left[place[left] + step < size[left]]
+        if not len(left):
+            break
+        right = left + step
+        n1, n2 = n[left], n[right]
+        good = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+        good &= np.minimum(n1 - spot[left], n2 - spot[right]) >= -(-percent * (n1 + n2) // (100 + percent))
+        hopeful[left[good]] = True
+        hopeful[right[good]] = True
+    return hopeful
+
+
+def _led(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by token, part, commonness (falling) and node: each node once for its token, with the part's first as leader. A node that passes the filters with no other of its group is left out."""
+        names = [x.split()[0] for x in _LED.split(", ")]
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table) -> pa.RecordBatch:
+            token, part, parts, node, sized, common = (table.column(i).to_numpy() for i in range(6))
+            new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
+            keep = new | np.r_[True, node[1:] != node[:-1]]
+            token, parts, node, sized, common, new = (x[keep] for x in (token, parts, node, sized, common, new))
+            n, spot = sized >> 32, sized & 0xFFFFFFFF
+            begin = np.flatnonzero(new)
+            size = np.diff(np.r_[begin, len(token)])
+            lead = np.repeat(begin, size)
+            use = _hopeful(begin, np.repeat(size, size), n, spot, percent) | (parts > 1)
+            lead = lead[use]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token[use], parts[use], node[use], n[use], spot[use], node[lead], n[lead], spot[lead], common[lead])], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 200_000:
+                continue
+            table = pa.Table.from_batches(held)
+            token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])[-1])
+            if cut:
+                yield groups(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    return run
 
 
 def _passes(n: Column, spot: Column, other_n: Column, other_spot: Column, percent: int) -> Column:
@@ -233,17 +262,18 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         counts[spot] = count
 
     texts = docs.select(text_col)
-    prefixes = texts.mapInArrow(_prefixes(words, percent, counts), "token long, part long, parts long, node long, n long, spot long")
-    posts = materialize(prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(_led, _LED))
+    prefixes = texts.mapInArrow(_prefixes(words, percent, counts), "token long, part long, parts long, node long, sized long, common long")
+    dealt = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("common"), "node")
+    posts = materialize(dealt.mapInArrow(_led(percent), _LED))
 
     sizes = summaries.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.first("bins").alias("bins"))
     hopeful = posts.where("node <> lead").where(_passes(*(F.col(c) for c in ("n", "spot", "lead_n", "lead_spot")), percent))
     star = hopeful.select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    leaders = posts.where("parts > 1 and node = lead").select("token", "lead", "lead_n", "lead_spot")
-    chief = leaders.groupBy("token").agg(F.min(F.struct("lead", "lead_n", "lead_spot")).alias("chief"))
-    led = leaders.join(chief, "token").where(F.col("lead") != F.col("chief.lead"))
-    led = led.where(_passes(F.col("lead_n"), F.col("lead_spot"), F.col("chief.lead_n"), F.col("chief.lead_spot"), percent))
-    star = _pairs(star.unionByName(led.select(F.col("lead").alias("a"), F.col("chief.lead").alias("b"))))
+    leaders = posts.where("parts > 1 and node = lead").select("token", F.struct(-F.col("lead_common"), "lead", "lead_n", "lead_spot").alias("chief"))
+    chief = leaders.groupBy("token").agg(F.min("chief").alias("chief"))
+    led = posts.where("parts > 1").join(chief, "token").where(F.col("node") != F.col("chief.lead"))
+    led = led.where(_passes(F.col("n"), F.col("spot"), F.col("chief.lead_n"), F.col("chief.lead_spot"), percent))
+    star = _pairs(star.unionByName(led.select(F.col("node").alias("a"), F.col("chief.lead").alias("b"))))
     star = materialize(_suffix_filter(star, sizes, percent))
 
     nodes = posts.select("node").distinct()
@@ -256,17 +286,27 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     links = verified(star)
     labels = materialize(connected_components(links))
-    placed = posts.select("token", "node", "n", "spot").dropDuplicates(["token", "node"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
-    mixed = per_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("many", "label")).alias("most")).where("labels > 1")
-    open_ = materialize(placed.join(mixed.select("token", F.col("most.label").alias("main")), "token"))
-    rest = open_.where("label <> main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "spot", "label", "main")])
-    across = open_.join(rest, "token").where("label <> other_label and (label = main or node < other_node)")
-    across = across.where(_passes(*(F.col(c) for c in ("n", "spot", "other_n", "other_spot")), percent))
-    across = _pairs(across.select(F.col("node").alias("a"), F.col("other_node").alias("b"))).join(star, ["a", "b"], "left_anti")
-    more = verified(_suffix_filter(across, sizes, percent))
-    every = links.unionByName(more)
-    labels = connected_components(every) if not more.isEmpty() else labels
+    places = posts.select("token", "node", "n", "spot").dropDuplicates(["token", "node"])
+
+    def across(open_: DataFrame, others: DataFrame, known: DataFrame) -> DataFrame:
+        """New pairs of nodes outside their group's main component with the given nodes of other components."""
+        rest = open_.where("label <> main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "spot", "label")])
+        apart = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node")))
+        found = others.join(rest, "token").where(apart & _passes(*(F.col(c) for c in ("n", "spot", "other_n", "other_spot")), percent))
+        found = _pairs(found.select(F.col("node").alias("a"), F.col("other_node").alias("b"))).join(known, ["a", "b"], "left_anti")
+        return materialize(_suffix_filter(found, sizes, percent))
+
+    # Most nodes of a large group that the leader doesn't link with link with some other: a few are tried before all.
+    open_ = _open_groups(places, labels)
+    turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("token", "node")))
+    tried = across(open_, open_.where((F.col("members") >= LARGE_GROUP) & (F.col("label") == F.col("main"))).withColumn("turn", turn).where(F.col("turn") <= DELEGATES), star)
+    if not tried.isEmpty():
+        links = links.unionByName(verified(tried))
+        labels = materialize(connected_components(links))
+        open_ = _open_groups(places, labels)
+    last = across(open_, open_, star.unionByName(tried))
+    if not last.isEmpty():
+        labels = connected_components(links.unionByName(verified(last)))
 
     whole = summaries.select("row_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     whole = whole.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
@@ -276,6 +316,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("own_id").alias(id_col), "n_shingles", F.coalesce("least", "own_id").alias("component_id"))
 
 
+def _open_groups(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes of the shingles whose nodes lie in different components, with the commonest of these as ``main``."""
+    placed = places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
+    mixed = per_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("many").alias("members"), F.max(F.struct("many", "label")).alias("most")).where("labels > 1")
+    return materialize(placed.join(mixed.select("token", "members", F.col("most.label").alias("main")), "token"))
+
+
 def _pairs(pairs: DataFrame) -> DataFrame:
     """Each pair once, the smaller node first."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
