@@ -1,6 +1,6 @@
 """Texts of a record batch as byte arrays, and hashes of words and windows over them, all in numpy.
 
-Everything works on a block of whole texts laid end to end; a block is a few megabytes, or one text where that is
+Everything works on a block of whole texts laid end to end; a block is half a megabyte, or one text where that is
 longer, so that a task's memory doesn't depend on the batch.
 """
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 class Block(NamedTuple):
