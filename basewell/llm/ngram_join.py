@@ -36,6 +36,8 @@ WORDS = 5
 PERCENT = 75
 SKETCH = 1 << 16
 BINS = 16
+#: A task remembers so many nodes at a time to leave out repeats among its own rows.
+KNOWN_NODES = 100_000
 #: Groups of shingles that more nodes than this may share are dealt into parts.
 PART_NODES = 4096
 #: In groups of shingles up to this size every two nodes are looked at before anything is written.
@@ -111,7 +113,7 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
                 row, keys = shingle_sets(block, words)
                 size, node = _nodes(row, keys, n_rows)
                 fresh = np.zeros(n_rows, bool)
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_NODES:
                     known.clear()
                 for i, name in enumerate(node.tolist()):
                     if name not in known:
@@ -178,7 +180,7 @@ def _led(percent: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < 200_000:
+            if sum(b.num_rows for b in held) < 100_000:
                 continue
             table = pa.Table.from_batches(held)
             token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -210,7 +212,7 @@ def _texts(words: int):
                 n_rows = len(block.offsets) - 1
                 row, keys = shingle_sets(block, words)
                 size, node = _nodes(row, keys, n_rows)
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_NODES:
                     known.clear()
                 out = []
                 for i, name in enumerate(node.tolist()):

@@ -33,7 +33,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 LONGEST_CACHED = 40
 
 
@@ -190,6 +190,10 @@ class Pieces:
                 new.update(find(MARK + text.replace(" ", MARK)))
         self._solve([w for w in new if w not in known and len(w) <= LONGEST_CACHED])
 
+    def forget(self) -> None:
+        """Drops the solved words: a worker that Spark uses again for other tasks shouldn't hold them."""
+        self._solved = {}
+
     def _solve(self, words: list[str]) -> None:
         """Viterbi over all words side by side: one step for each start and length of a piece."""
         words.sort(key=len, reverse=True)
@@ -283,6 +287,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
                 vocabulary.prepare(texts)
                 found = [np.array(vocabulary.encode(t), np.int32) for t in texts]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.list_(pa.int32()))], names)
+        vocabulary.forget()
 
     return kept.mapInArrow(run, schema)
 
@@ -318,6 +323,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             arrays = [batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+        vocabulary.forget()
 
     schema = f"{id_col} long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, schema)
