@@ -38,7 +38,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+    return sentence_dedup.strip_repeats(table(spark, sf_dir, "documents"), passage=sentence_dedup.PASSAGE)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ start. From each sentence the shortest run of at least RUN sentences and WORDS w
 many texts share by chance don't make a run. Runs are compared by their words, lower-cased (A-Z). The first
 occurrence in the corpus stays; sentences that a later occurrence covers go.
 
+Runs begin at sentences, so with the option ``passage`` every stretch of that many words is looked up besides,
+wherever it begins. Of the word grams in a stretch the one of least hash is its anchor: equal stretches have equal
+anchors, so the stretches of one anchor travel as one row of hashes, keyed by the anchor's gram. Stretches of grams
+that very many texts share (hashed counters over the whole corpus tell) are keyed by their own hashes instead.
+
 Each task settles the repeats among its own rows first, so a passage that a third of all documents share reaches the
 shuffle once for each task.
 """
@@ -16,17 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.llm import textbytes as tb
 from basewell.llm.common import with_row_id
-from basewell.llm.spans import FOUND, STRIPPED, found_rows, merged, removed_rows, settle, strip, without
+from basewell.llm.spans import FOUND, SHIFT, STRIPPED, found_rows, merged, removed_rows, settle, strip, without
 
 RUN = 3
 WORDS = 20
 LONG = 10
 SETTLE_ROWS = 1_000_000
+#: Words of an anchor's gram, and of the stretches that the query looks up besides runs.
+GRAM = 16
+PASSAGE = 51
+SKETCH = 1 << 16
+#: A gram counts as very common from so many anchors over the median counter on.
+COMMON = 4096
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -87,6 +99,158 @@ def _run_rows(run: int, words: int, long: int):
     return rows
 
 
+def passage_windows(block: tb.Block, size: int) -> tuple[np.ndarray, ...]:
+    """(gram, two hashes, anchor, row, first word) of each stretch of size words; anchor is the gram's place in the block."""
+    starts, ends, bounds = tb.words(block)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    begin = np.flatnonzero(np.arange(len(starts)) + size <= bounds[row + 1])
+    if not len(begin):
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    gram = min(GRAM, size)
+    codes = tb.Hasher(block.data, lower=True)(starts, ends)
+    at = np.arange(len(starts) - gram + 1)
+    grams = tb.Hasher(codes, codes=tb.mix(codes + np.uint64(3)))(at, at + gram)
+    anchor = begin + np.lib.stride_tricks.sliding_window_view(grams, size - gram + 1)[begin].argmin(axis=1)
+    one, two = (tb.Hasher(codes, codes=tb.mix(codes + np.uint64(seed)))(begin, begin + size) for seed in (4, 5))
+    return grams[anchor], one, two, anchor, row[begin], begin - bounds[row[begin]]
+
+
+def _counter(gram: np.ndarray) -> np.ndarray:
+    return (tb.mix(gram) % np.uint64(SKETCH)).astype(np.int64)
+
+
+def _anchor_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for block in tb.blocks(batch.column(0)):
+                gram, _, _, anchor, _, _ = passage_windows(block, size)
+                if len(anchor):
+                    counts += np.bincount(_counter(gram[np.r_[True, anchor[1:] != anchor[:-1]]]), minlength=SKETCH)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "many"])
+
+    return run
+
+
+_PACKED = FOUND + ", hashes binary"
+
+
+def _packed(found: pa.RecordBatch, hashes: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.binary()) if hashes is None else hashes], [*found.schema.names, "hashes"])
+
+
+def _passage_rows(size: int, common: np.ndarray):
+    """Stretches that repeat earlier ones of their task as removed words; the others by gram, or by hash where the gram is common."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            gram, one, two, anchor, doc, word = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order, again = settle((one, two), doc, word)
+            later = order[again]
+            if len(later):
+                yield _packed(removed_rows(doc[later], 2 * word[later], np.full(len(later), 2 * size - 1)))
+            first = np.sort(order[~again])
+            gram, one, two, anchor, doc, word = (x[first] for x in (gram, one, two, anchor, doc, word))
+            hot = common[_counter(gram)]
+            new = hot | np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1] + 1)]
+            begin = np.flatnonzero(new)
+            key = np.where(hot, two, gram)[begin]
+            edge = (np.r_[begin, len(one)] * 8).astype(np.int32)
+            hashes = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(one))])
+            yield _packed(found_rows(key, key, doc[begin], word[begin], np.full(len(begin), size), False), hashes)
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in tb.blocks(batch.column(1)):
+                gram, one, two, anchor, row, word = passage_windows(block, size)
+                held.append((gram, one, two, anchor, ids[block.first + row], word))
+                if sum(len(h[0]) for h in held) >= SETTLE_ROWS:
+                    yield from settled()
+        if held:
+            yield from settled()
+
+    return rows
+
+
+def _later_passages(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by key: (doc, place) of the words that stretches cover which aren't the first of their kind."""
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table) -> pa.RecordBatch:
+            keys, doc, place = (table.column(i).to_numpy() for i in (0, 2, 3))
+            hashes = table.column(5).to_pylist()
+            many = np.array([len(h) // 8 for h in hashes], np.int64)
+            one = np.frombuffer(b"".join(hashes), np.uint64)
+            step = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+            keys, doc, word = np.repeat(keys, many), np.repeat(doc, many), np.repeat(place >> SHIFT, many) + step
+            order, again = settle((keys, one), doc, word)
+            later = order[again]
+            return spans(removed_rows(doc[later], 2 * word[later], np.full(len(later), 2 * size - 1)))
+
+        def spans(found: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([found.column(i).combine_chunks() if isinstance(found, pa.Table) else found.column(i) for i in (2, 3)], ["doc", "place"])
+
+        for batch in batches:
+            known = batch.column(4)
+            gone = batch.filter(known)
+            if gone.num_rows:
+                yield spans(gone)
+            rest = batch.filter(pc.invert(known))
+            if not rest.num_rows:
+                continue
+            held.append(rest)
+            if sum(b.num_rows for b in held) < 20_000:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+            if cut:
+                yield groups(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    return run
+
+
+def repeated_passages(rows: DataFrame, size: int) -> DataFrame:
+    """rows (row_id, text) to (doc, passages): stretches of size words that have occurred before, as places in words."""
+    counts = np.zeros(SKETCH, np.int64)
+    for counter, many in rows.select("text").mapInArrow(_anchor_counts(size), "counter long, many long").groupBy("counter").agg(F.sum("many")).collect():  # at most SKETCH rows
+        counts[counter] = many
+    common = counts - np.median(counts) >= COMMON
+    dealt = rows.mapInArrow(_passage_rows(size, common), _PACKED).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_later_passages(size), "doc long, place long").groupBy("doc").agg(F.collect_list("place").alias("passages"))
+
+
+def in_bytes(data: bytes, passages: list[int]) -> list[int]:
+    """Places in words as places in bytes. Word k is 2k and what follows it 2k + 1, so places that only touch stay two."""
+    most, out = (1 << SHIFT) - 1, []
+    starts, ends, _ = tb.words(tb.Block(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+    for first, last in merged(passages):
+        start, end = int(starts[first // 2]), int(ends[(last - 1) // 2])
+        out += [(a << SHIFT) | (min(a + most, end) - a) for a in range(start, end, most)]
+    return out
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """strip, with passages as a fourth column."""
+
+    def placed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for text, own, words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                places.append((own or []) + (in_bytes(text.as_py().encode("utf-8", "surrogatepass"), words) if words else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64()))], ["row_id", "text", "places"])
+
+    yield from strip(placed())
+
+
 def repeated_places(rows: DataFrame, run: int = RUN, words: int = WORDS, long: int = LONG) -> DataFrame:
     """rows (row_id, text) to (doc, places): stretches covered by a run that isn't the first of its kind."""
     found = rows.mapInArrow(_run_rows(run, words, long), FOUND)
@@ -95,21 +259,25 @@ def repeated_places(rows: DataFrame, run: int = RUN, words: int = WORDS, long: i
     return later.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame, bool]:
+def _joined(docs: DataFrame, id_col: str, text_col: str, passage: int = 0, **options) -> tuple[DataFrame, DataFrame, bool]:
     keyed, same = with_row_id(docs, id_col, text_col)
     rows = keyed.select("row_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return keyed, repeated_places(rows, **options), same
+    places = repeated_places(rows, **options)
+    if passage:
+        return keyed, places.join(repeated_passages(rows, passage), "doc", "full_outer"), same
+    return keyed, places.withColumn("passages", F.lit(None).cast("array<long>")), same
 
 
 def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each document: n_bytes, n_removed, n_spans and the digest of what is left, in UTF-8 bytes.
 
     Null and empty texts have nothing to remove. Earlier means a smaller id, then further left; rows without an id
-    come last, and rows that share an id are documents of their own, in the order of their texts.
+    come last, and rows that share an id are documents of their own, in the order of their texts. With ``passage``
+    every stretch of so many words that has occurred before goes, too, wherever it begins.
     """
     keyed, places, same = _joined(docs.select(id_col, text_col), id_col, text_col, **options)
     rows = keyed.select("row_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = rows.join(places, rows["row_id"] == places["doc"], "left").select("row_id", "text", "places").mapInArrow(strip, STRIPPED)
+    out = rows.join(places, rows["row_id"] == places["doc"], "left").select("row_id", "text", "places", "passages").mapInArrow(_strip, STRIPPED)
     if same:
         return out.withColumnRenamed("row_id", id_col)
     ids = keyed.select("row_id", F.col(id_col).cast("long").alias("own_id"))
@@ -122,9 +290,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed, places, _ = _joined(whole, "id", "text", **options)
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if t is None or s is None else without(t.encode("utf-8", "surrogatepass"), merged(list(s))).decode("utf-8", "surrogatepass"))
+    def cut(texts, spans, passages):
+        def left(text, own, words):
+            if text is None:
+                return None
+            data = text.encode("utf-8", "surrogatepass")
+            found = [*([] if own is None else own), *([] if words is None else in_bytes(data, list(words)))]
+            return without(data, merged(found)).decode("utf-8", "surrogatepass")
+
+        return texts.__class__([left(*row) for row in zip(texts, spans, passages, strict=True)], dtype=object)
 
     joined = keyed.join(places, keyed["row_id"] == places["doc"], "left")
-    left_over = F.when(F.col("places").isNull(), F.col("text")).otherwise(cut("text", "places"))
+    left_over = F.when(F.col("places").isNull() & F.col("passages").isNull(), F.col("text")).otherwise(cut("text", "places", "passages"))
     return joined.select(*[left_over.alias(c) if c == text_col else F.col("whole").getField(c).alias(c) for c in docs.columns])

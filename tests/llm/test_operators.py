@@ -280,6 +280,48 @@ def test_sentence_dedup(spark):
     assert sentence_dedup.strip_repeats(df.limit(0)).count() == 0
 
 
+def brute_passages(docs, size):
+    """Bytes of each text that sentence runs or stretches of size words cover which have occurred before."""
+    seen, kept = set(), {}
+    for i, text in sorted(docs):
+        data = (text or "").encode()
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        gone = bytearray(len(data))
+        for k in range(len(words) - size + 1):
+            key = tuple(re.sub(rb"[A-Z]", lambda m: m[0].lower(), data[a:b]) for a, b in words[k : k + size])
+            if key in seen:
+                a, b = words[k][0], words[k + size - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+            seen.add(key)
+        kept[i] = gone
+    return kept
+
+
+def passage_docs():
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs = []
+    for n in (51, 52, 60, 90, 200):
+        passage = fill(n)
+        docs += [(len(docs) + k, " ".join(filter(None, (fill(before), passage.upper() if k == 2 else passage, fill(after))))) for k, (before, after) in enumerate(((1, 3), (3, 0), (7, 20), (0, 1)))]
+    return docs
+
+
+@pytest.mark.parametrize(("common", "settle_rows"), [(4096, 1_000_000), (1, 100)])
+def test_no_passage_of_over_50_words_stays(spark, monkeypatch, common, settle_rows):
+    monkeypatch.setattr(sentence_dedup, "COMMON", common)
+    monkeypatch.setattr(sentence_dedup, "SETTLE_ROWS", settle_rows)
+    for docs in (passage_docs(), corpus(6)):
+        size, run = 51, 3 if docs[0][1].count(".") else 10**6
+        gone = brute_passages(docs, size)
+        alone = {r.doc_id: r.text for r in sentence_dedup.remove_repeats(frame(spark, docs), run=10**6, passage=size).collect()}
+        for i, text in docs:
+            assert alone[i] == (text if text is None else bytes(c for c, g in zip(text.encode(), gone[i], strict=True) if not g).decode())
+        both = {r.doc_id: r for r in sentence_dedup.strip_repeats(frame(spark, docs), run=run, passage=size).collect()}
+        assert all(both[i].n_removed >= sum(g) for i, g in gone.items()) and sum(map(sum, gone.values()))
+
+
 # 7
 
 
