@@ -5,8 +5,9 @@ at hosts with pages that a rule blocks and flows against the links: whoever link
 host is blocked where its distrust is greater than its trust, and allowed otherwise, so a host that neither reaches
 is allowed.
 
-Mass is counted in integers (MASS to a seed set) and divided with rounding down, so sums don't depend on their order
-and reruns agree to the last digit.
+Mass is counted in integers (MASS * FINE to a seed set) and divided with rounding down, but never to nothing, so
+whoever a seed reaches has some; sums don't depend on their order and reruns agree to the last digit. Rounds end when
+no host is new and no host's mass changes by more than its TOLERANCE-th part. Pages show mass in units of 1 / MASS.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ RULES = (
     ("com", "/de/", "block"),
 )
 MASS = 10**15
+FINE = 10**15
+TOLERANCE = 10**6
 #: In hundredths: what a host passes on in each round; the rest returns to the seeds.
 PASSED = 85
+#: Rounds of the query's SQL, which the given tables don't need: their pages link only within their host.
 ROUNDS = 8
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -54,39 +58,55 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Links between different hosts, once for each pair: (src, dst). Relative links stay on their host and add none."""
+    """Links between different hosts, once for each pair: (src, dst). ``//host/path`` has the page's scheme; other relative links stay on their host and add none."""
     host, _ = host_and_path(F.col(url_col))
-    links = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: F.instr(x, "://") > 0))
+    links = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: (F.instr(x, "://") > 0) | x.startswith("//")))
     far = pages.select(host.alias("src"), F.explode(links).alias("link"))
-    target, _ = host_and_path(F.col("link"))
+    target, _ = host_and_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
     return far.select("src", target.alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: seeds (host, weight) and edges (src, dst) to (host, mass).
+def _floored(total: str, by: str) -> str:
+    """Whole quotient of decimals; what divides evenly isn't rounded."""
+    return f"cast(({total} - ({total}) % ({by})) / ({by}) as decimal(38,0))"
+
+
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Personalised PageRank: seeds (host, weight) and edges (src, dst) to (host, mass), MASS * FINE to all seeds.
 
     Each round a host keeps what it draws as a seed and receives its share from the hosts that point at it; what a
     host without edges would pass on is lost. Edges are held once for each pair of hosts, and each round adds up
-    partial sums before its shuffle, so a host with very many links is no single task's work. Every second round is
-    written out, which ends the lineage.
+    partial sums before its shuffle, so a host with very many links is no single task's work. Every round is written
+    out, which ends the lineage. Without a number of rounds they go on until masses stay.
     """
-    total = seeds.agg(F.sum("weight").alias("all_weight"))
-    drawn = seeds.crossJoin(F.broadcast(total)).select("host", F.expr(f"cast(cast({MASS} as decimal(38,0)) * weight / all_weight as long)").alias("drawn"))
+    total = seeds.agg(F.sum("weight").cast("decimal(20,0)").alias("all_weight"))
+    # Of mass * weight only the part below 10^38 fits: whole shares of all_weight first, then those of the remainder.
+    each = F.expr(_floored(f"cast({MASS} as decimal(38,0)) * weight", "all_weight"))
+    rest = F.expr(f"(cast({MASS} as decimal(38,0)) * weight) % all_weight")
+    drawn = seeds.crossJoin(F.broadcast(total)).select("host", each.alias("each"), rest.cast("decimal(20,0)").alias("rest"), "all_weight")
+    fine = F.expr(_floored(f"cast({FINE} as decimal(38,0)) * rest", "all_weight"))
+    drawn = drawn.select("host", F.greatest((F.col("each").cast("decimal(20,0)") * F.lit(FINE) + fine).cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")).alias("drawn"))
     out = edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), "src")
     drawn, out = materialize(drawn), materialize(out)
     rank = drawn.select("host", F.col("drawn").alias("mass"))
     if out.isEmpty():
         return rank
-    for n in range(1, rounds + 1):
-        flow = out.join(rank, out["src"] == rank["host"]).select(F.col("dst").alias("host"), F.expr(f"(mass div 100) * {PASSED} div n_out").alias("mass"))
-        own = drawn.select("host", F.expr(f"(drawn div 100) * {100 - PASSED}").alias("mass"))
-        rank = flow.unionByName(own).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if n % 2 == 0:
-            rank = materialize(rank)
+    one = F.lit(1).cast("decimal(38,0)")
+    own = drawn.select("host", F.greatest(F.expr(_floored(f"drawn * cast({100 - PASSED} as decimal(3,0))", "100")), one).alias("mass"))
+    n = 0
+    while rounds is None or n < rounds:
+        n += 1
+        passed = F.greatest(F.expr(_floored(f"cast(mass * cast({PASSED} as decimal(3,0)) as decimal(38,0))", "cast(100 * n_out as decimal(20,0))")), one)
+        flow = out.join(rank, out["src"] == rank["host"]).select(F.col("dst").alias("host"), passed.alias("mass"))
+        now = materialize(flow.unionByName(own).groupBy("host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
+        before, rank = rank.withColumnRenamed("mass", "was"), now
+        off = F.abs(F.col("mass") - F.coalesce("was", F.lit(0).cast("decimal(38,0)")))
+        if now.join(before, "host", "left").where(F.col("was").isNull() | (off > F.expr(_floored("mass", str(TOLERANCE))))).isEmpty():
+            break
     return rank
 
 
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int | None = None) -> DataFrame:
     """One row for each page: host, path, rule, verdict, and its host's trust and distrust.
 
     Pages without a url have an empty host, which is never a seed and is allowed. Repeated rows are judged alike and
@@ -102,7 +122,10 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     distrust = spread(votes.where("n_block > 0").select("host", F.col("n_block").alias("weight")), against, rounds)
     marks = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full_outer")
-    marks = marks.select("host", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust")])
+    marks = marks.select("host", *[F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)")).alias(c) for c in ("trust", "distrust")])
+    # What is less than a unit shows as one.
+    shown = {c: F.when(F.col(c) > 0, F.greatest(F.expr(_floored(c, f"cast({FINE} as decimal(20,0))")).cast("long"), F.lit(1))).otherwise(0) for c in ("trust", "distrust")}
+    marks = marks.select("host", (F.col("distrust") > F.col("trust")).alias("suspect"), *[v.cast("long").alias(c) for c, v in shown.items()])
     judged = placed.join(marks, "host", "left").fillna(0, ["trust", "distrust"])
-    by_graph = F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
+    by_graph = F.when(F.col("suspect"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", by_graph).alias("verdict"), "trust", "distrust")

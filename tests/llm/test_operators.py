@@ -431,6 +431,37 @@ def test_url_trust(spark):
     assert url_trust.judge(df.limit(0)).count() == 0
 
 
+def brute_mass(seeds, edges, rounds=2000):
+    total, n_out, mass = sum(seeds.values()), defaultdict(int), dict(seeds)
+    for src, _ in edges:
+        n_out[src] += 1
+    for _ in range(rounds):
+        now = {h: 0.15 * w for h, w in seeds.items()}
+        for src, dst in edges:
+            if src in mass:
+                now[dst] = now.get(dst, 0) + 0.85 * mass[src] / n_out[src]
+        mass = now
+    return {h: m / total for h, m in mass.items()}
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_mass_reaches_far_hosts_and_those_behind_hubs(spark, cycle):
+    seeds = {"big": 10**12, "hub": 1, "c0": 3}
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(13)] + [("hub", f"h{i}") for i in range(1000)] + [("h0", f"g{i}") for i in range(700)] + [("c4", "c2")] * cycle
+    found = url_trust.spread(spark.createDataFrame(list(seeds.items()), "host string, weight long"), spark.createDataFrame(edges, "src string, dst string")).collect()
+    expected = brute_mass(seeds, edges)
+    got = {r.host: int(r.mass) / (url_trust.MASS * url_trust.FINE) for r in found}
+    assert got.keys() == expected.keys()
+    assert all(got[h] == pytest.approx(m, rel=1e-4, abs=1e-29) for h, m in expected.items())
+
+
+def test_far_linkers_and_links_without_scheme(spark):
+    hosts = ["bad.example.com", *[f"n{i}.net" for i in range(12)]]
+    pages = [(0, "https://bad.example.com/de/1", "")] + [(i, f"https://{h}/", f'<a href="//{hosts[i - 1]}/x?u=http://other.org/">x</a>') for i, h in enumerate(hosts) if i]
+    rows = url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r.verdict == "block" and r.distrust > 0 for r in rows) and len(rows) == 13
+
+
 # 10
 
 
