@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import rate
 from basewell.operators.graph import connected_components
-from basewell.operators.runs import kmers
+from basewell.sources.scratch import materialize
 
 
 def dereplicate(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -23,26 +29,112 @@ def identity(a: Column, b: Column) -> Column:
     return 1 - rate(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
 
 
-def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", k: int = 15, least_identity: float = 0.999, least_coverage: float = 0.99, bands: int = 8, rows: int = 2) -> DataFrame:
+#: Windows of anchors have so many letters at most, as a power of two.
+TOP_LEVEL = 6
+
+
+@lru_cache(maxsize=100_000)
+def _levels(n: int, least_identity: float, least_coverage: float) -> tuple[int, ...]:
+    """Window sizes, as powers of two, at which a sequence of n letters shares an anchor with any that it may link with.
+
+    A sequence of m letters that is edited at most d times keeps one of d + 1 equal pieces whole. Both lengths of a
+    pair give the window for the shorter one's pieces, as each takes all lengths that its partner may have. -1: no
+    piece is sure to have a letter.
+    """
+    cover = max(least_coverage, 1e-9)
+    most = max(n, min(int(n / cover) + 1, 2 * n + 1_000_000))
+    size = np.arange(max(0, int(cover * n) - 1), most + 1)
+    edits = np.floor((1 - least_identity) * (size / cover + 1)) + 1
+    piece = np.floor(size / (edits + 1)).astype(np.int64)
+    return tuple(sorted({min(TOP_LEVEL, int(x).bit_length() - 1) for x in np.unique(piece)}))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def anchors(text: str, least_identity: float, least_coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place): of each window the gram of least hash. Equal windows have equal anchors."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, found = len(letters), []
+    for level in _levels(n, least_identity, least_coverage):
+        salt = np.uint64(level + 2) * np.uint64(0xD6E8FEB86659FD93)
+        if level < 0:
+            found.append((_mix(np.array([salt])), np.zeros(1, np.int64)))
+            continue
+        window = 1 << level
+        if n < window:
+            continue
+        k = min(24, (window + 1) // 2)
+        grams = np.zeros(n - k + 1, np.uint64)
+        for i in range(k):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + letters[i : n - k + 1 + i] + np.uint64(1)
+        grams = _mix(grams)
+        w = window - k + 1
+        place = np.unique(np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, w).argmin(axis=1))
+        found.append((_mix(grams[place] + salt), place))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _posts(least_identity: float, least_coverage: float):
+    """(key, node, n, place) of each anchor, for both length bands that a partner can share."""
+    names = ["key", "node", "n", "place"]
+    wide = -math.log(least_coverage) * 1.0001 if 0 < least_coverage < 1 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (batch.slice(i, 200) for batch in batches for i in range(0, batch.num_rows, 200)):
+            nodes, columns = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                key, place = anchors(text, least_identity, least_coverage)
+                band = int(math.log(max(1, len(text))) / wide) if wide else 0
+                for b in (band, band + 1) if wide else (band,):
+                    nodes += [node] * len(key)
+                    columns.append((_mix(key + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15)), np.full(len(key), len(text)), place))
+            if columns:
+                key, n, place = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes), pa.array(n), pa.array(place)], names)
+
+    return run
+
+
+def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", least_identity: float = 0.999, least_coverage: float = 0.99) -> DataFrame:
     """(name, cluster): the smallest name of a read's cluster; reads link where both bounds hold.
 
-    Minimum hashes of k-mers in bands propose pairs, each read with the first read of its band, and the edit
-    distance decides; the distance stops counting at the bound. Equal sequences are one node, so a group of copies
-    costs one row a copy. Two reads that no band brings together are missed; with identity near 1 that is rare.
+    Reads within the bounds share a piece, and so an anchor of it, at places that edits move by less than their
+    number: no link is missed. First each read is paired with the first read of each anchor; the edit distance, which
+    stops counting at the bound, decides, and links give components. Then reads of an anchor that still lie in
+    different components are paired. Equal sequences are one node, so a group of copies costs one row a copy.
     """
     named = df.select(F.col(name).alias("name"), F.col(seq).alias("s")).withColumn("node", F.sha2(F.col("s").cast("binary"), 256))
-    nodes = named.groupBy("node").agg(F.first("s").alias("s"), F.min("name").alias("first_name"))
-    grams = nodes.where(F.length("s") >= k).withColumn("grams", kmers(F.col("s"), k))
-    minimum = lambda i: F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(i))))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[minimum(b * rows + r) for r in range(rows)]).alias("key")) for b in range(bands)])
-    dealt = grams.select("node", F.inline(keys))
-    leader = dealt.groupBy("band", "key").agg(F.min("node").alias("leader"))
-    pairs = dealt.join(leader, ["band", "key"]).where("node <> leader").select("node", "leader").distinct()
+    nodes = materialize(named.groupBy("node").agg(F.first("s").alias("s"), F.min("name").alias("first_name")))
     texts = nodes.select("node", "s")
-    wide = pairs.join(texts, "node").join(texts.withColumnsRenamed({"node": "leader", "s": "t"}), "leader")
-    long_, short = F.greatest(F.length("s"), F.length("t")), F.least(F.length("s"), F.length("t"))
-    near = wide.where(short >= least_coverage * long_).where(F.levenshtein("s", "t") <= F.floor((1 - least_identity) * long_) + 1)
-    labels = connected_components(near.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("label", "root")
+    posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node string, n long, place long"))
+    bound = f"cast(floor((1 - {least_identity!r}D) * greatest({{0}}, {{1}})) + 1 as int)"
+    covers = F.least("n", "other_n") >= least_coverage * F.greatest("n", "other_n")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wide = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.withColumnsRenamed({"node": "b", "s": "t"}), "b")
+        return materialize(wide.where(F.expr(f"levenshtein(s, t, {bound.format('length(s)', 'length(t)')}) >= 0")).select("a", "b"))
+
+    ordered = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    leader = posts.groupBy("key").agg(F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("other_n"))).alias("lead")).select("key", "lead.*")
+    star = materialize(posts.select("key", "node", "n").distinct().join(leader, "key").where((F.col("node") != F.col("other")) & covers).select(*ordered).distinct())
+    links = linked(star)
+    labels = materialize(connected_components(links)) if not links.isEmpty() else None
+    placed = posts.withColumn("label", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_ = materialize(placed.join(mixed, "key", "left_semi"))
+    others = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "label")], F.col("node").alias("other"))
+    near = F.expr(f"abs(place - other_place) <= {bound.format('n', 'other_n')}")
+    across = open_.join(others, "key").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & covers & near)
+    more = linked(across.select(*ordered).distinct().join(star, ["a", "b"], "left_anti"))
+    labels = connected_components(links.unionByName(more)).withColumnRenamed("label", "root")
     rooted = nodes.select("node", "first_name").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first_name").alias("cluster"))
     return named.select("name", "node").join(rooted.select("node", "root"), "node").join(smallest, "root").select(F.col("name").alias(name), "cluster")

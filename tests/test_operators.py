@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -149,6 +150,45 @@ def test_near_duplicates(spark):
     assert got == {f"r{i:02}": f"r{i % 6:02}" for i in range(24)}
 
 
+def brute_clusters(rows, identity, coverage):
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    cluster = {n: n for n, _ in rows}
+    for k, (a, s) in enumerate(rows):
+        for b, t in rows[k + 1 :]:
+            long_, short = max(len(s), len(t)), min(len(s), len(t))
+            if short >= coverage * long_ and distance(s, t) <= math.floor((1 - identity) * long_) + 1:
+                low, high = sorted((cluster[a], cluster[b]))
+                cluster = {n: low if c == high else c for n, c in cluster.items()}
+    return cluster
+
+
+@pytest.mark.parametrize(("identity", "coverage"), [(0.99, 0.99), (0.97, 0.95)])
+def test_near_duplicates_are_all_found(spark, identity, coverage):
+    rnd = random.Random(32)
+    rows = []
+    for length in (0, 1, 2, 5, 9, 14, 40, 99, 130, 210):
+        base = "".join(rnd.choice("ACGT") for _ in range(length))
+        chain = base
+        for k in range(5):  # a chain: each is near the one before, not the first
+            letters = list(chain)
+            for _ in range(1 + length // 110):
+                if letters:
+                    at = rnd.randrange(len(letters))
+                    letters[at : at + 1] = rnd.choice((["A"], ["C"], ["G"], [letters[at], "T"] if length > 99 else ["T"], [] if length > 99 else ["A"]))
+            chain = "".join(letters)
+            rows.append((f"r{len(rows):03}", chain))
+    got = {r.qname: r.cluster for r in clusters.near_duplicates(spark.createDataFrame(rows, "qname string, seq string"), least_identity=identity, least_coverage=coverage).collect()}
+    assert got == brute_clusters(rows, identity, coverage)
+
+
 def test_fastq_round_trip_with_at_signs(spark, tmp_path):
     rows = [(f"run/{i}/ccs", "ACGT" * (i % 5 + 1), "@+I5" * (i % 5 + 1)) for i in range(200)]
     df = spark.createDataFrame(rows, "qname string, seq string, qual string")
