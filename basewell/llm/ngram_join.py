@@ -255,7 +255,28 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     documents of their own.
     """
     keyed, _ = with_row_id(docs.select(id_col, text_col), id_col, text_col)
-    ids = keyed.select("row_id", F.col(id_col).cast("long").alias("own_id"))
+    whole = _grouped(keyed, text_col, words, percent)
+    whole = whole.join(keyed.select("row_id", F.col(id_col).cast("long").alias("own_id")), "row_id")
+    least = whole.where("group is not null").groupBy("group").agg(F.min("own_id").alias("least"))
+    out = whole.join(least, "group", "left")
+    return out.select(F.col("own_id").alias(id_col), "n_shingles", F.coalesce("least", "own_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs of which each is the first of its component: exactly one row a component, by id, then by text.
+
+    Rows without words are a component each. Rows that share an id, or have none, are told apart as in similar_documents.
+    """
+    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed, _ = with_row_id(whole, "id", "text")
+    groups = materialize(_grouped(keyed, "text", words, percent).select("row_id", "group"))
+    heads = groups.where("group is not null").groupBy("group").agg(F.min("row_id").alias("row_id")).select("row_id")
+    heads = heads.unionByName(groups.where("group is null").select("row_id"))
+    return keyed.join(heads, "row_id", "left_semi").select("whole.*")
+
+
+def _grouped(keyed: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """(row_id, n_shingles, node, label, group): the component of each row, null where it has no words."""
     plain = keyed.select("row_id", text_col)
     found = materialize(plain.mapInArrow(_summaries(words), "row_id long, n long, node long, bins array<int>"))
     summaries = found.where("row_id is not null")
@@ -263,7 +284,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for spot, count in found.where("row_id is null").groupBy("n").agg(F.sum("node")).collect():  # at most SKETCH rows
         counts[spot] = count
 
-    texts = docs.select(text_col)
+    texts = keyed.select(text_col)
     prefixes = texts.mapInArrow(_prefixes(words, percent, counts), "token long, part long, parts long, node long, sized long, common long")
     dealt = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("common"), "node")
     posts = materialize(dealt.mapInArrow(_led(percent), _LED))
@@ -311,11 +332,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         labels = connected_components(links.unionByName(verified(last)))
 
     whole = summaries.select("row_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
-    whole = whole.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
-    whole = whole.join(ids, "row_id")
-    least = whole.where("group is not null").groupBy("group").agg(F.min("own_id").alias("least"))
-    out = whole.join(least, "group", "left")
-    return out.select(F.col("own_id").alias(id_col), "n_shingles", F.coalesce("least", "own_id").alias("component_id"))
+    return whole.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
 
 
 def _open_groups(places: DataFrame, labels: DataFrame) -> DataFrame:

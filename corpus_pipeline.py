@@ -23,10 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates. Documents without words are a group each."""
-    groups = ngram_join.similar_documents(docs)
-    heads = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of near duplicates, of the smallest id. Documents without words are a group each."""
+    return ngram_join.first_of_each(docs).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,18 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(map(tuple, rows)) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    one, other, third = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    docs = [(1, one), (1, one), (1, other), (2, one), (2, third), (3, other), (None, one), (None, third), (None, "only here"), (None, "only here"), (7, None), (7, ""), (None, None)]
+    rows = [(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, df, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(1, one), (1, other), (2, third), (None, "only here"), (7, None), (7, ""), (None, None)])
+    assert corpus_pipeline.one_of_each(spark, df.limit(0), "").count() == 0
+
+
 # 4
 
 
