@@ -155,3 +155,9 @@ def pairwise(df: DataFrame, by: list[str], name: str, seq: str) -> DataFrame:
     cover = rate(F.least(F.length("s_a"), F.length("s_b")), F.greatest(F.length("s_a"), F.length("s_b")))
     return joined.select(*by, "a", "b", identity(F.col("s_a"), F.col("s_b")).alias("identity"), cover.alias("coverage"))
 
+
+def identity_matrix(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, identity): of the pairs of ``pairwise`` a row for each a, with all its partners b in order and as many identities."""
+    cells = pairs.groupBy(*by, "a", "b").agg(F.max("identity").alias("identity"))
+    rows = cells.groupBy(*by, "a").agg(F.array_sort(F.collect_list(F.struct("b", "identity"))).alias("cells"))
+    return rows.select(*by, "a", F.col("cells.b").alias("b"), F.col("cells.identity").alias("identity"))

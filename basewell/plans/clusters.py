@@ -38,6 +38,13 @@ def a33_identity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("ch", "a", *[F.round(str(i), 9).alias(f"t{i}") for i in (1, 2, 3)])
 
 
+@query(_PAIRS + ", m AS (SELECT ch, a, b, max(identity) AS identity FROM p GROUP BY ALL) SELECT ch, a, list(b ORDER BY b) AS b, list(round(identity, 9) ORDER BY b) AS identity FROM m GROUP BY ch, a")
+def a33_identity_matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix over any number of turns; a33_identity_matrix has the columns of its SQL, turns 1 to 3."""
+    whole = clusters.identity_matrix(clusters.pairwise(views.subreads(spark, sf_dir), ["ch"], "turn", "seq"), ["ch"])
+    return whole.withColumn("identity", F.transform("identity", lambda x: F.round(x, 9)))
+
+
 @query(SUBREADS_SQL + ", f AS (SELECT ch, turn, left(seq, 60) AS f, right(seq, length(seq) - 30) AS r FROM subreads WHERE length(seq) >= 90), k AS (SELECT ch, turn, f, r, unnest(range(10, least(60, length(f), length(r)) + 1)) AS n FROM f), b AS (SELECT ch, turn, f, r, arg_min(n, (levenshtein(right(f, n), left(r, n)) / n, -n)) AS n FROM k GROUP BY ALL) SELECT ch, turn, n::INT AS overlap, md5(f || substr(r, n + 1)) AS merged FROM b")
 def s25_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = views.subreads(spark, sf_dir).where(F.length("seq") >= 90)

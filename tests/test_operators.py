@@ -189,6 +189,14 @@ def test_near_duplicates_are_all_found(spark, identity, coverage):
     assert got == brute_clusters(rows, identity, coverage)
 
 
+def test_identity_matrix_has_every_partner(spark):
+    rows = [("c", t, "ACGT" * t) for t in range(1, 8)] + [("d", 5, "A"), ("d", 6, "C")]
+    pairs = clusters.pairwise(spark.createDataFrame(rows, "ch string, turn int, seq string"), ["ch"], "turn", "seq")
+    got = {(r.ch, r.a): (r.b, r.identity) for r in clusters.identity_matrix(pairs, ["ch"]).collect()}
+    expected = {("c", a): (list(range(a + 1, 8)), [pytest.approx(a / b) for b in range(a + 1, 8)]) for a in range(1, 7)}
+    assert got == expected | {("d", 5): ([6], [0.0])}
+
+
 def test_fastq_round_trip_with_at_signs(spark, tmp_path):
     rows = [(f"run/{i}/ccs", "ACGT" * (i % 5 + 1), "@+I5" * (i % 5 + 1)) for i in range(200)]
     df = spark.createDataFrame(rows, "qname string, seq string, qual string")
