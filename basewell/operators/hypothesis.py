@@ -81,13 +81,26 @@ def permutation_test(df: DataFrame, group: str, hit: str, replicates: int = 10_0
     the first group's places. Each replicate draws from the counts; no row of the data is copied.
     """
     counts = df.agg(F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n0"), F.count_if(F.col(group) & F.col(hit)).alias("k1"), F.count_if(~F.col(group) & F.col(hit)).alias("k0"))
-    draws = df.sparkSession.range(replicates).crossJoin(F.broadcast(counts))
-    hits = F.col("k1") + F.col("k0")
-    # The number of hits in the first group is hypergeometric: its normal score from a digest of seed and replicate.
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    score = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * F.pi() * unit(2))
-    n, mean = F.col("n1") + F.col("n0"), F.col("n1") * hits / (F.col("n1") + F.col("n0"))
-    spread = F.sqrt(F.col("n1") * hits / n * (n - hits) / n * F.col("n0") / F.greatest(n - 1, F.lit(1)))
-    drawn = F.round(mean + spread * score)
-    gap = lambda k1: F.abs(k1 / F.col("n1") - (hits - k1) / F.col("n0"))
-    return draws.agg(F.first(F.col("k1") / F.col("n1") - F.col("k0") / F.col("n0")).alias("diff"), ((F.count_if(gap(drawn) >= gap(F.col("k1")) - 1e-12) + 1) / F.lit(replicates + 1)).alias("p"))
+    n1, n0, k1 = F.col("n1"), F.col("n0"), F.col("k1")
+    hits, n = k1 + F.col("k0"), n1 + n0
+    gap = lambda x: x / n1 - (hits - x) / n0
+    # The hits in the first group are hypergeometric. A draw by the inverse of its sums is as far out as what was seen
+    # where its uniform number lies in one of the tails. Values 40 deviations off have no weight in a double.
+    spread = F.sqrt(n1 * hits / n * (n - hits) / n * n0 / F.greatest(n - 1, F.lit(1)))
+    low = F.greatest(F.lit(0), hits - n0, F.floor(n1 * hits / n - 40 * (spread + 1))).cast("int")
+    high = F.least(n1, hits, F.ceil(n1 * hits / n + 40 * (spread + 1))).cast("int")
+    weight = log_choose(n1, low) + log_choose(n0, hits - low) - log_choose(n, hits)
+    ratio = lambda x: F.when(x < high, F.ln((n1 - x) / (x + 1) * (hits - x) / (n0 - hits + x + 1))).otherwise(0.0)
+    far = lambda x, t: F.when(F.abs(gap(x)) >= F.abs(gap(k1)) - 1e-12, F.exp(t["weight"])).otherwise(0.0)
+
+    def step(t: Column, x: Column) -> Column:
+        lower = t["lower"] + F.when(gap(x) < 0, far(x, t)).otherwise(0.0)
+        upper = t["upper"] + F.when(gap(x) >= 0, far(x, t)).otherwise(0.0)
+        return F.struct((t["weight"] + ratio(x)).alias("weight"), lower.alias("lower"), upper.alias("upper"))
+
+    start = F.struct(weight.alias("weight"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"))
+    tails = counts.select("*", F.aggregate(F.sequence(low, high), start, step).alias("tails")).select("*", "tails.lower", "tails.upper")
+    draws = df.sparkSession.range(replicates).crossJoin(F.broadcast(tails))
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    out = (unit < F.col("lower")) | (unit >= 1 - F.col("upper"))
+    return draws.agg(F.first(gap(k1)).alias("diff"), ((F.count_if(out) + 1) / F.lit(replicates + 1)).alias("p"))

@@ -189,6 +189,17 @@ def test_near_duplicates_are_all_found(spark, identity, coverage):
     assert got == brute_clusters(rows, identity, coverage)
 
 
+@pytest.mark.parametrize(("n1", "n0", "k1", "k0"), [(5, 200, 1, 1), (3, 9, 2, 0), (40, 60, 20, 22)])
+def test_permutations_follow_the_exact_tail(spark, n1, n0, k1, k0):
+    rows = [(True, i < k1) for i in range(n1)] + [(False, i < k0) for i in range(n0)]
+    row = hypothesis.permutation_test(spark.createDataFrame(rows, "first boolean, hit boolean"), "first", "hit").first()
+    hits, gap = k1 + k0, lambda x: abs(x / n1 - (k1 + k0 - x) / n0)
+    far = [x for x in range(max(0, hits - n0), min(n1, hits) + 1) if gap(x) >= gap(k1) - 1e-12]
+    p = sum(math.comb(n1, x) * math.comb(n0, hits - x) for x in far) / math.comb(n1 + n0, hits)
+    assert row.diff == pytest.approx(k1 / n1 - k0 / n0)
+    assert abs(row.p - p) < 4 * math.sqrt(p * (1 - p) / 10_000) + 2e-4
+
+
 def test_identity_matrix_has_every_partner(spark):
     rows = [("c", t, "ACGT" * t) for t in range(1, 8)] + [("d", 5, "A"), ("d", 6, "C")]
     pairs = clusters.pairwise(spark.createDataFrame(rows, "ch string, turn int, seq string"), ["ch"], "turn", "seq")
