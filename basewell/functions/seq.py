@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Operations of an alignment string that consume the query, the reference, or either.
 QUERY_OPS, REF_OPS = "=XIS", "=XDN"
 CIGAR = r"(\d+)([MIDNSHP=X])"
+BLOCK = 64
 
 
 def col(x: Column | str) -> Column:
@@ -93,18 +94,49 @@ def cigar_identity(ops: Column | str) -> Column:
     return rate(cigar_total(ops, "="), cigar_total(ops, "=XID"))
 
 
-def placed_ops(ops: Column | str, rstart: Column | str) -> Column:
-    """Operations with where each begins in the query (q) and the reference (r)."""
-    ops = col(ops)
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: an expression inside a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows with these columns evaluated once for each, whatever lambdas use them further on."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
 
-    def step(done: Column, o: Column) -> Column:
-        q = done["q"] + F.when(F.instr(F.lit(QUERY_OPS), o["op"]) > 0, o["n"]).otherwise(0)
-        r = done["r"] + F.when(F.instr(F.lit(REF_OPS), o["op"]) > 0, o["n"]).otherwise(0)
-        return F.struct(F.array_append(done["out"], F.struct(o["op"].alias("op"), o["n"].alias("n"), done["q"].alias("q"), done["r"].alias("r"))).alias("out"), q.alias("q"), r.alias("r"))
+def in_blocks(items: Column | str) -> Column:
+    """An array cut into arrays of BLOCK. An array that grows by one is copied each time, so sums are carried block by block."""
 
-    empty = F.expr("cast(array() as array<struct<op:string,n:int,q:int,r:int>>)")
-    start = F.struct(empty.alias("out"), F.lit(0).alias("q"), col(rstart).cast("int").alias("r"))
-    return F.aggregate(ops, start, step, lambda done: done["out"])
+    def blocks(x: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(x) > 0, some).otherwise(F.array(x))
+
+    return let(col(items), blocks)
+
+
+def placed_ops(ops: Column | str, rstart: Column | str) -> Column:
+    """Operations with where each begins in the query (q), the reference (r) and among the columns (c)."""
+    used = lambda kinds, o: F.when(F.instr(F.lit(kinds), o["op"]) > 0, o["n"]).otherwise(0)
+    at = lambda q, r, c: F.struct(q.alias("q"), r.alias("r"), c.alias("c"))
+    moved = lambda s, o: at(s["q"] + used(QUERY_OPS, o), s["r"] + used(REF_OPS, o), s["c"] + o["n"])
+    empty = lambda kind: F.expr(f"cast(array() as array<struct<{kind}>>)")
+    zero = at(F.lit(0), F.lit(0), F.lit(0))
+    begins = lambda blocks: F.aggregate(
+        F.transform(blocks, lambda b: F.aggregate(b, zero, moved)), F.struct(at(F.lit(0), col(rstart).cast("int"), F.lit(0)).alias("at"), empty("q:int,r:int,c:int").alias("out")),
+        lambda s, n: F.struct(at(*(s["at"][k] + n[k] for k in "qrc")).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"],
+    )
+
+    def place(block: Column, begin: Column) -> Column:
+        one = lambda s, o: F.struct(o["op"].alias("op"), o["n"].alias("n"), *[s["at"][k].alias(k) for k in "qrc"])
+        start = F.struct(begin.alias("at"), empty("op:string,n:int,q:int,r:int,c:int").alias("out"))
+        return F.aggregate(block, start, lambda s, o: F.struct(moved(s["at"], o).alias("at"), F.array_append(s["out"], one(s, o)).alias("out")), lambda s: s["out"])
+
+    return let(in_blocks(ops), lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), place)))
+
+
+def cut(text: Column | str, begin: Column, n: Column) -> Column:
+    """n letters from the 0-based place on. Sequences are one byte a letter, so bytes are cut and no letter before is walked."""
+    return F.substring(col(text).cast("binary"), begin + 1, n).cast("string")
 
 
 def trim_ends(seq: Column | str, least: int = 5, ends: str = "both") -> Column:

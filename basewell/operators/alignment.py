@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, phred, placed_ops, rate
-from basewell.operators.runs import base_runs
+from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, once, phred, placed_ops, rate
+from basewell.operators.runs import run_array
 
 
 def _in(kinds: str, op: Column) -> Column:
@@ -15,19 +15,11 @@ def _in(kinds: str, op: Column) -> Column:
 
 def with_ops(df: DataFrame) -> DataFrame:
     """Adds ``ops``: each operation with its place in query (q) and reference (r), its first column (c), and the bases of both that it spans."""
-    plain = placed_ops(cigar_ops("cigar"), "rstart")
-    with_column = F.aggregate(
-        plain, F.struct(F.lit(0).alias("c"), F.expr("cast(array() as array<struct<op:string,n:int,q:int,r:int,c:int>>)").alias("out")),
-        lambda s, o: F.struct((s["c"] + o["n"]).alias("c"), F.array_append(s["out"], F.struct(o["op"].alias("op"), o["n"].alias("n"), o["q"].alias("q"), o["r"].alias("r"), s["c"].alias("c"))).alias("out")),
-    )["out"]
     bases = F.transform(
-        with_column,
-        lambda o: F.struct(
-            o["op"].alias("op"), o["n"].alias("n"), o["q"].alias("q"), o["r"].alias("r"), o["c"].alias("c"),
-            F.when(_in(QUERY_OPS, o["op"]), F.substring(F.col("seq"), o["q"] + 1, o["n"])).alias("qs"), F.when(_in(REF_OPS, o["op"]), F.substring(F.col("rseq"), o["r"] + 1, o["n"])).alias("rs"),
-        ),
+        "ops", lambda o: o.withField("qs", F.when(_in(QUERY_OPS, o["op"]), cut("seq", o["q"], o["n"]))).withField("rs", F.when(_in(REF_OPS, o["op"]), cut("rseq", o["r"], o["n"]))),
     )
-    return df.withColumn("ops", bases)
+    placed = once(df.withColumn("ops", placed_ops(cigar_ops("cigar"), "rstart")), "ops", "seq", "rseq")
+    return once(placed.withColumn("ops", bases), "ops")
 
 
 def aln_columns(df: DataFrame, keep: tuple[str, ...] = ("qname", "refname")) -> DataFrame:
@@ -37,7 +29,7 @@ def aln_columns(df: DataFrame, keep: tuple[str, ...] = ("qname", "refname")) ->
     """
     parts = with_ops(df)
     if "qual" in df.columns:
-        parts = parts.withColumn("ops", F.transform("ops", lambda o: o.withField("quals", F.when(_in(QUERY_OPS, o["op"]), F.substring(F.col("qual"), o["q"] + 1, o["n"])))))
+        parts = once(parts, "qual").withColumn("ops", F.transform("ops", lambda o: o.withField("quals", F.when(_in(QUERY_OPS, o["op"]), cut("qual", o["q"], o["n"])))))
     each = parts.select(*keep, F.inline("ops")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     k, op = F.col("k"), F.col("op")
     one = lambda c: F.substring(F.col(c), k + 1, F.lit(1))
@@ -98,18 +90,25 @@ def insertions(df: DataFrame) -> DataFrame:
 def locus_table(df: DataFrame, refs: DataFrame) -> DataFrame:
     """One row for each reference position, without depth too: counts, detail maps as text, and the bases around.
 
-    refs: refname, rseq. Counts and details are aggregated by position before they meet the positions, so the hot
-    positions of a deep reference are summed where they are read.
+    refs: refname, rseq. What the operations of an alignment say of each position is exploded once and counted before
+    it meets the positions, so the hot positions of a deep reference are summed where they are read.
     """
-    on_ref = aln_columns(df, ("refname",)).where("rpos is not null")
-    counts = on_ref.groupBy("refname", F.col("rpos").alias("pos")).agg(
-        F.count_if(F.col("op") == "=").alias("eq"), F.count_if(F.col("op") == "X").alias("diff"), F.count_if(F.col("op") == "D").alias("del"), F.count(F.lit(1)).alias("depth")
+    def marks(o: Column) -> Column:
+        """(pos, op, what): each position that the operation covers, with the base of a mismatch, or the inserted string at the next one."""
+        mark = lambda at, what: F.struct(at.cast("long").alias("pos"), o["op"].alias("op"), what.alias("what"))
+        places, none = F.sequence(o["r"], o["r"] + o["n"] - 1), F.lit(None).cast("string")
+        inserted = F.when((o["op"] == "I") & (o["r"] < F.length("rseq")), F.array(mark(o["r"], o["qs"])))
+        return inserted.when(o["op"] == "X", F.transform(places, lambda at, i: mark(at, F.substring(o["qs"], i + 1, F.lit(1))))).when(_in(REF_OPS, o["op"]), F.transform(places, lambda at: mark(at, none)))
+
+    every = F.filter(F.transform("ops", marks), lambda m: m.isNotNull())
+    marked = with_ops(df).select("refname", F.inline(F.flatten(every)))
+    marked = marked.groupBy("refname", "pos", "op", "what").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    text = lambda op: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
+    op = F.col("op")
+    counts = marked.groupBy("refname", "pos").agg(
+        total(op == "=").alias("eq"), total(op == "X").alias("diff"), total(op == "I").alias("ins"), total(op == "D").alias("del"), total(op != "I").alias("depth"), text("X").alias("diff_detail"), text("I").alias("ins_detail")
     )
-    detail = on_ref.where("op = 'X'").select("refname", F.col("rpos").alias("pos"), F.lit("diff_detail").alias("kind"), F.col("qbase").alias("what"))
-    detail = detail.unionByName(insertions(df).select("refname", "pos", F.lit("ins_detail").alias("kind"), F.col("inserted").alias("what")))
-    detail = detail.groupBy("refname", "pos", "kind", "what").agg(F.count(F.lit(1)).alias("n"))
-    text = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
-    detail = detail.groupBy("refname", "pos").agg(F.sum(F.when(F.col("kind") == "ins_detail", F.col("n")).otherwise(0)).alias("ins"), text("diff_detail").alias("diff_detail"), text("ins_detail").alias("ins_detail"))
 
     # Neighbours are looked up in the reference's array of bases before it is exploded, so no row carries a reference.
     bases = refs.select("refname", F.filter(F.split("rseq", ""), lambda c: c != "").alias("b"))
@@ -125,7 +124,7 @@ def locus_table(df: DataFrame, refs: DataFrame) -> DataFrame:
         )
 
     places = bases.select("refname", F.inline(F.transform("b", place)))
-    out = places.join(counts, ["refname", "pos"], "left").join(detail, ["refname", "pos"], "left")
+    out = places.join(counts, ["refname", "pos"], "left")
     return out.fillna(0, ["eq", "diff", "ins", "del", "depth"]).fillna("", ["diff_detail", "ins_detail"])
 
 
@@ -158,25 +157,47 @@ def _span(o: Column, same: Column, last: Column | None, gap) -> Column:
 
 
 def base_quality_table(df: DataFrame) -> DataFrame:
-    """Query bases by reference and quality: matches, mismatches, insertions, and bases right behind a deletion."""
-    columns = aln_columns(df, ("qname", "refname")).withColumn("behind", F.lag("op").over(Window.partitionBy("qname").orderBy("col_idx")) == "D").where("qpos is not null")
-    op = F.col("op")
-    return columns.groupBy("refname", "baseq").agg(*[F.count_if(op == o).alias(n) for n, o in (("eq", "="), ("diff", "X"), ("ins", "I"))], F.count_if(F.coalesce("behind", F.lit(False))).alias("del"), F.count(F.lit(1)).alias("depth"))
+    """Query bases by reference and quality: matches, mismatches, insertions, and bases right behind a deletion.
+
+    What stands behind a deletion is told by the operations, so bases are only counted where they are read.
+    """
+
+    def part(o: Column, i: Column) -> Column:
+        behind = F.coalesce(F.get("ops", i - 1)["op"] == "D", F.lit(False))
+        letters = F.filter(F.split(cut("qual", o["q"], o["n"]), ""), lambda c: c != "")
+        return F.when(_in(QUERY_OPS, o["op"]), F.struct(o["op"].alias("op"), behind.alias("behind"), letters.alias("letters")))
+
+    placed = once(df.select("refname", "qual", placed_ops(cigar_ops("cigar"), "rstart").alias("ops")), "qual", "ops")
+    parts = placed.select("refname", F.inline(F.filter(F.transform("ops", part), lambda p: p.isNotNull())))
+    each = parts.select("refname", "op", "behind", F.posexplode("letters").alias("k", "letter"))
+    counts = each.groupBy("refname", (F.ascii("letter") - 33).alias("baseq"))
+    return counts.agg(*[F.count_if(F.col("op") == o).alias(n) for n, o in (("eq", "="), ("diff", "X"), ("ins", "I"))], F.count_if(F.col("behind") & (F.col("k") == 0)).alias("del"), F.count(F.lit(1)).alias("depth"))
 
 
 def poly_table(df: DataFrame, least: int = 2) -> DataFrame:
-    """What each read has over each reference run of equal bases that it spans whole, insertions at its edges included."""
-    regions = base_runs(df.withColumn("rend", F.col("rstart") + cigar_total(cigar_ops("cigar"), REF_OPS)), "rseq", ["qname", "rstart", "rend"], least).where("start >= rstart and end <= rend")
-    columns = aln_columns(df, ("qname",))
-    order = Window.partitionBy("qname").orderBy("col_idx")
-    near = columns.withColumns({"last_r": F.coalesce(F.last("rpos", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)), "next_q": F.first("qpos", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
-    # An inserted base lies between last_r and last_r + 1, and belongs to the runs that end before or begin there.
-    at_run = ((F.col("rpos") >= F.col("start")) & (F.col("rpos") < F.col("end"))) | (F.col("rpos").isNull() & (F.col("last_r") >= F.col("start") - 1) & (F.col("last_r") < F.col("end")))
-    joined = regions.join(near, "qname").where(at_run)
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("qbase", F.lit("")).alias("b")))), lambda x: x["b"]), "")
-    out = joined.groupBy("qname", "start", "end", "base").agg(seq.alias("qseq"), F.min("qpos").alias("first_q"), F.min("next_q").alias("next_q"))
-    repeats = F.length("qseq") - F.length(F.replace("qseq", F.col("base"), F.lit("")))
-    return out.select("qname", F.col("start").alias("rstart"), F.col("end").alias("rend"), F.col("base").alias("rbase"), (F.col("end") - F.col("start")).alias("rrepeats"), F.coalesce("first_q", "next_q").alias("qstart"), (F.coalesce("first_q", "next_q") + F.length("qseq")).alias("qend"), "qseq", repeats.alias("qrepeats"), (repeats == F.length("qseq")).alias("qclean"))
+    """What each read has over each reference run of equal bases that it spans whole, insertions at its edges included.
+
+    For each reference position two arrays hold where the query stands before it (insertions done) and behind it. A
+    run from a to b is then the query from behind a - 1 to before b: no base is exploded and no row is shuffled.
+    """
+    placed = once(df.select("qname", "rstart", "seq", placed_ops(cigar_ops("cigar"), "rstart").alias("ops"), run_array("rseq", least).alias("runs")), "seq", "ops", "runs")
+    on_ref = F.filter("ops", lambda o: _in(REF_OPS, o["op"]))
+    moves = lambda extra: F.flatten(F.transform(on_ref, lambda o: F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: o["q"] + F.when(_in("=X", o["op"]), k + extra).otherwise(0))))
+    clip = lambda o: F.when(o["op"] == "S", o["n"]).otherwise(0)
+    clipped = lambda at: F.coalesce(clip(F.try_element_at("ops", F.lit(at))), F.lit(0))
+    placed = placed.select("qname", "rstart", "seq", "runs", moves(0).alias("before"), moves(1).alias("behind"), clipped(1).alias("first"), (F.length("seq") - clipped(-1)).alias("last"))
+    placed = once(placed, "before", "behind", "first", "last")
+
+    def found(r: Column) -> Column:
+        begin = F.coalesce(F.get("behind", (r["start"] - F.col("rstart") - 1).cast("int")), F.col("first"))
+        end = F.coalesce(F.get("before", (r["end"] - F.col("rstart")).cast("int")), F.col("last"))
+        return F.struct(r["start"].alias("rstart"), r["end"].alias("rend"), r["base"].alias("rbase"), (r["end"] - r["start"]).alias("rrepeats"), begin.cast("long").alias("begin"), cut("seq", begin, end - begin).alias("qseq"))
+
+    spanned = F.filter("runs", lambda r: (r["start"] >= F.col("rstart")) & (r["end"] <= F.col("rstart") + F.size("before")))
+    out = placed.select("qname", F.length("seq").alias("size"), F.transform(spanned, found).alias("found")).select("qname", "size", F.inline("found"))
+    repeats = F.length("qseq") - F.length(F.replace("qseq", F.col("rbase"), F.lit("")))
+    qstart = F.when(F.col("begin") < F.col("size"), F.col("begin"))
+    return out.select("qname", "rstart", "rend", "rbase", "rrepeats", qstart.alias("qstart"), (qstart + F.length("qseq")).alias("qend"), "qseq", repeats.alias("qrepeats"), (repeats == F.length("qseq")).alias("qclean"))
 
 
 def pileup(df: DataFrame, loci: DataFrame | None = None) -> DataFrame:

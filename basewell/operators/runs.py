@@ -5,35 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import col, rate, reverse_complement
+from basewell.functions.seq import col, in_blocks, let, rate, reverse_complement
 
-BLOCK = 64
+def run_array(seq: Column | str, least: int = 2) -> Column:
+    """Runs of at least ``least`` equal bases as array<struct<start, end, base>>: start 0-based, end exclusive.
 
+    The runs are cut out by one expression and what lies between them by its complement; their lengths, added up, say
+    where each begins, so shorter runs cost nothing.
+    """
+    pattern = "|".join(f"{c}{{{least},}}" for c in "ACGT")
 
-def base_runs(df: DataFrame, seq: str, keep: list[str], least: int = 2) -> DataFrame:
-    """One row for each run of at least ``least`` equal bases: start (0-based), end (exclusive), base.
+    def sized(text: Column) -> Column:
+        one = lambda r, gap: F.struct(F.length(gap).alias("gap"), F.length(r).alias("n"), F.substring(r, 1, 1).alias("base"))
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(found, F.slice(F.split(text, pattern), F.lit(1), F.size(found)), one))
 
-    All runs of a read are cut out by one expression; their lengths, added up, say where each begins. Nothing is
-    exploded to bases and nothing is shuffled. Sums are carried block by block, since an array that grows by one is
-    copied each time.
-    """
-    cut = df.select(*keep, F.regexp_extract_all(F.col(seq), F.lit("A+|C+|G+|T+|[^ACGT]+"), F.lit(0)).alias("parts")).where(F.size("parts") > 0)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda b: F.slice("parts", b * BLOCK + 1, F.lit(BLOCK)))
-    cut = cut.select(*keep, blocks.alias("blocks"))
-    sizes = F.transform("blocks", lambda b: F.length(F.array_join(b, "")))
-    begins = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
-    )["out"]
-    cut = cut.select(*keep, "blocks", begins.alias("begins"))
-
-    def placed(block: Column, begin: Column) -> Column:
-        one = lambda s, r: F.struct(s["at"].alias("start"), (s["at"] + F.length(r)).alias("end"), F.substring(r, 1, 1).alias("base"))
-        return F.aggregate(
-            block, F.struct(begin.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,base:string>>)").alias("out")),
-            lambda s, r: F.struct((s["at"] + F.length(r)).alias("at"), F.when(F.length(r) >= least, F.array_append(s["out"], one(s, r))).otherwise(s["out"]).alias("out")),
-        )["out"]
-
-    return cut.select(*keep, F.inline(F.flatten(F.zip_with("blocks", "begins", placed)))).where(F.col("base").isin(*"ACGT"))
+    begins = lambda blocks: F.aggregate(
+        F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda t, x: t + x["gap"] + x["n"])), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"],
+    )
+
+    def place(block: Column, begin: Column) -> Column:
+        one = lambda s, x: F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["base"].alias("base"))
+        start = F.struct(begin.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,base:string>>)").alias("out"))
+        return F.aggregate(block, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(s["out"], one(s, x)).alias("out")), lambda s: s["out"])
+
+    return let(in_blocks(let(col(seq), sized)), lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), place)))
+
+
+def base_runs(df: DataFrame, seq: str, keep: list[str], least: int = 2) -> DataFrame:
+    """One row for each run of at least ``least`` equal bases: start, end, base. Nothing is exploded to bases and nothing is shuffled."""
+    return df.select(*keep, F.inline(run_array(seq, least)))
 
 
 def run_histogram(df: DataFrame, seq: str, by: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import rate
+from basewell.functions.seq import let, qualities, rate
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -103,3 +103,21 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all), in the order of a digest of the key: the same rows at every run and partitioning."""
     return df.withColumn("turn", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))).orderBy("turn").limit(n).drop("turn")
+
+
+def quality_heat_map(df: DataFrame, qual: str, bins: int) -> DataFrame:
+    """(bin, q, n): bases by their place in the read, scaled to bins, and quality.
+
+    The bin is put to each quality inside the array, so what is exploded is one number for each base.
+    """
+    codes = let(qualities(qual), lambda values: let(F.size(values), lambda n: F.transform(values, lambda q, i: F.floor(i * bins / n) * 256 + q)))
+    each = df.select(F.explode(codes).alias("code"))
+    counted = each.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.floor(F.col("code") / 256).alias("bin"), (F.col("code") % 256).alias("q"), "n")
+
+
+def quality_by_position(df: DataFrame, qual: str) -> DataFrame:
+    """(pos, q, n): bases by their 0-based place in the read and quality."""
+    codes = F.transform(qualities(qual), lambda q, i: i.cast("long") * 256 + q)
+    counted = df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.floor(F.col("code") / 256).alias("pos"), (F.col("code") % 256).alias("q"), "n")

@@ -128,8 +128,7 @@ def a44_channel_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(READS_SQL + ", spots AS (SELECT qual, length(qual) AS n, unnest(range(length(qual))) AS i FROM reads) SELECT (i * 200 // n)::BIGINT AS bin, (ascii(substr(qual, i + 1, 1)) - 33)::BIGINT AS q, count(*) AS n, round(ln(1 + count(*)), 9) AS log_n FROM spots GROUP BY 1, 2")
 def a45_quality_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spots = views.reads(spark, sf_dir).select(F.length("qual").alias("size"), F.posexplode(S.qualities("qual")).alias("i", "q"))
-    counted = spots.groupBy(F.floor(F.col("i") * 200 / F.col("size")).alias("bin"), F.col("q").cast("long").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    counted = summary.quality_heat_map(views.reads(spark, sf_dir), "qual", 200)
     return counted.withColumn("log_n", F.round(F.log1p("n"), 9))
 
 
