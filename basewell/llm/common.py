@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +36,38 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
     The lineage ends there: a lost executor costs a re-read, not a recomputation. The table stays for as long as
-    its readers may need it; whoever owns the folder clears it.
+    its readers may need it: discard() deletes it after the last, and what a result still reads stays in the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/basewell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of at most so many rows for the Python workers of the jobs run inside, for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def with_row_id(df: DataFrame, id_col: str, tie: str) -> tuple[DataFrame, bool]:
-    """Adds ``row_id``, a unique long in the order of id_col (nulls last), then of the column tie's hash; also whether it equals id_col.
+    """Adds ``row_id``, a unique long in the order of id_col (nulls last), then of the hash of column tie, then of tie; also whether it equals id_col.
 
     Where id_col is unique and has no null, it is the row id itself. Otherwise the rows are range-sorted and
     numbered, and the numbers are kept in a written table so that every later read sees the same ones.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewell.llm.common import materialize
+from basewell.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,9 +23,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large)
+        discard(stars)
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(nearest, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         stars = materialize(moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -7,9 +7,10 @@ their first few, so nodes are joined on these:
 
 - length filter: the smaller set has at least the threshold's share of the larger one;
 - positional filter: what follows the shared shingle in both orders still suffices for the overlap needed;
-- suffix filter: counts of both sets' shingles in BINS classes bound how far they must differ.
+- suffix filter: a bitmap holds the parity of a set's shingles in each of BITS classes; two sets differ in at least as
+  many shingles as their bitmaps in bits.
 
-What passes is verified once for each pair, on the texts. Links are wanted for components only, and a group of copies
+What passes is verified once for each pair, on the texts, with hashes that are independent of those that found it. Links are wanted for components only, and a group of copies
 must not cost the square of its size, so candidates come in two steps. First every node is paired with the leader of
 each shingle's group: the node whose shingles are most common, since the original of many edited copies shares all its
 shingles with most of them and an edited copy doesn't. (Groups of frequent shingles are dealt into parts, and their
@@ -25,17 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewell.llm import textbytes as tb
-from basewell.llm.common import materialize, with_row_id
+from basewell.llm.common import arrow_rows, discard, materialize, with_row_id
 from basewell.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 75
 SKETCH = 1 << 16
-BINS = 16
+BITS = 512
+MAPS = [f"bits{i}" for i in range(BITS // 64)]
+#: Rows with texts in a batch of a Python worker, and pairs of texts that are compared at once.
+BATCH_ROWS = 1000
+PAIR_ROWS = 200
 #: A task remembers so many nodes at a time to leave out repeats among its own rows.
 KNOWN_NODES = 100_000
 #: Groups of shingles that more nodes than this may share are dealt into parts.
@@ -48,12 +53,12 @@ DELEGATES = 8
 U64 = np.uint64
 
 
-def shingle_sets(block: tb.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: tb.Block, words: int = WORDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle) sorted and distinct. Fewer words than a shingle has are one shingle; a row without words has none."""
     starts, ends, bounds = tb.words(block)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    codes = tb.Hasher(block.data, lower=True)(starts, ends)
+    codes = tb.word_codes(block, starts, ends, lower=True, seed=seed)
     hasher = tb.Hasher(codes, codes=codes)
     n = np.diff(bounds)
     many = np.where(n >= words, n - words + 1, np.minimum(n, 1))
@@ -75,9 +80,19 @@ def _nodes(row: np.ndarray, keys: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return size, tb.mix(sums[edge[1:]] - sums[edge[:-1]] + size.astype(U64)).view(np.int64)
 
 
+def _bitmaps(row: np.ndarray, keys: np.ndarray, n_rows: int) -> np.ndarray:
+    """Parities of each row's shingles in BITS classes, as n_rows x MAPS."""
+    maps = np.zeros(n_rows * len(MAPS), U64)
+    np.bitwise_xor.at(maps, row * len(MAPS) + (keys % U64(len(MAPS))).astype(np.int64), U64(1) << ((keys >> U64(8)) & U64(63)))
+    return maps.reshape(n_rows, len(MAPS))
+
+
+_SUMMARY = "row_id long, n long, node long, " + ", ".join(f"{m} long" for m in MAPS)
+
+
 def _summaries(words: int):
-    """Rows of documents (row_id, n, node, bins), and at the end of the task its counters (row_id null, n = counter, node = count)."""
-    names = ["row_id", "n", "node", "bins"]
+    """Rows of documents (row_id, n, node, bitmap), and at the end of the task its counters (row_id null, n = counter, node = count)."""
+    names = ["row_id", "n", "node", *MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -87,10 +102,10 @@ def _summaries(words: int):
                 row, keys = shingle_sets(block, words)
                 size, node = _nodes(row, keys, n_rows)
                 counts += np.bincount((keys >> U64(48)).astype(np.int64) % SKETCH, minlength=SKETCH)
-                bins = np.bincount(row * BINS + (keys % U64(BINS)).astype(np.int64), minlength=n_rows * BINS).reshape(n_rows, BINS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n_rows), pa.array(size), pa.array(node), pa.array(list(bins.astype(np.int32)), pa.list_(pa.int32()))], names)
+                maps = _bitmaps(row, keys, n_rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n_rows), pa.array(size), pa.array(node), *(pa.array(maps[:, i]) for i in range(len(MAPS)))], names)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.list_(pa.int32()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counts[used]), *[pa.nulls(len(used), pa.int64())] * len(MAPS)], names)
 
     return run
 
@@ -226,19 +241,25 @@ def _texts(words: int):
 
 
 def _verify(words: int, percent: int):
-    """Of (a, b, text_a, text_b) the pairs whose sets are similar enough."""
+    """Of (a, b, text_a, text_b) the pairs whose sets are similar enough. A text that many pairs hold is cut into shingles once for each slice of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in (batch.slice(i, 200) for batch in batches for i in range(0, batch.num_rows, 200)):
-            n = batch.num_rows
-            texts = [unpack.decompress(t) for side in (2, 3) for t in batch.column(side).to_pylist()]
-            keep = np.zeros(n, bool)
+        for batch in (batch.slice(i, PAIR_ROWS) for batch in batches for i in range(0, batch.num_rows, PAIR_ROWS)):
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            place: dict[int, int] = {}
+            texts: list[bytes] = []
+            for i, pair in enumerate(pairs):
+                for side, node in enumerate(pair):
+                    if node not in place:
+                        place[node] = len(texts)
+                        texts.append(unpack.decompress(batch.column(2 + side)[i].as_py()))
             offsets = np.cumsum([0, *map(len, texts)])
-            row, keys = shingle_sets(tb.Block(0, np.frombuffer(b"".join(texts), np.uint8), offsets), words)
-            edge = np.searchsorted(row, np.arange(2 * n + 1))
-            for i in range(n):
-                x, y = keys[edge[i] : edge[i + 1]], keys[edge[n + i] : edge[n + i + 1]]
+            row, keys = shingle_sets(tb.Block(0, np.frombuffer(b"".join(texts), np.uint8), offsets), words, seed=2)
+            edge = np.searchsorted(row, np.arange(len(texts) + 1))
+            keep = np.zeros(len(pairs), bool)
+            for i, (a, b) in enumerate(pairs):
+                x, y = (keys[edge[place[n]] : edge[place[n] + 1]] for n in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
@@ -258,7 +279,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     whole = _grouped(keyed, text_col, words, percent)
     whole = whole.join(keyed.select("row_id", F.col(id_col).cast("long").alias("own_id")), "row_id")
     least = whole.where("group is not null").groupBy("group").agg(F.min("own_id").alias("least"))
-    out = whole.join(least, "group", "left")
+    out = whole.join(materialize(least), "group", "left")
     return out.select(F.col("own_id").alias(id_col), "n_shingles", F.coalesce("least", "own_id").alias("component_id"))
 
 
@@ -277,8 +298,13 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _grouped(keyed: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """(row_id, n_shingles, node, label, group): the component of each row, null where it has no words."""
+    with arrow_rows(keyed.sparkSession, BATCH_ROWS):
+        return _in_groups(keyed, text_col, words, percent)
+
+
+def _in_groups(keyed: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     plain = keyed.select("row_id", text_col)
-    found = materialize(plain.mapInArrow(_summaries(words), "row_id long, n long, node long, bins array<int>"))
+    found = materialize(plain.mapInArrow(_summaries(words), _SUMMARY))
     summaries = found.where("row_id is not null")
     counts = np.zeros(SKETCH, np.int64)
     for spot, count in found.where("row_id is null").groupBy("n").agg(F.sum("node")).collect():  # at most SKETCH rows
@@ -289,15 +315,17 @@ def _grouped(keyed: DataFrame, text_col: str, words: int, percent: int) -> DataF
     dealt = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("common"), "node")
     posts = materialize(dealt.mapInArrow(_led(percent), _LED))
 
-    sizes = summaries.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.first("bins").alias("bins"))
-    hopeful = posts.where("node <> lead").where(_passes(*(F.col(c) for c in ("n", "spot", "lead_n", "lead_spot")), percent))
-    star = hopeful.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    sizes = summaries.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), *[F.min(m).alias(m) for m in MAPS])
+    near = posts.where("node <> lead").where(_passes(*(F.col(c) for c in ("n", "spot", "lead_n", "lead_spot")), percent))
+    star = near.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     leaders = posts.where("parts > 1 and node = lead").select("token", F.struct(-F.col("lead_common"), "lead", "lead_n", "lead_spot").alias("chief"))
     chief = leaders.groupBy("token").agg(F.min("chief").alias("chief"))
     led = posts.where("parts > 1").join(chief, "token").where(F.col("node") != F.col("chief.lead"))
     led = led.where(_passes(F.col("n"), F.col("spot"), F.col("chief.lead_n"), F.col("chief.lead_spot"), percent))
     star = _pairs(star.unionByName(led.select(F.col("node").alias("a"), F.col("chief.lead").alias("b"))))
-    star = materialize(_suffix_filter(star, sizes, percent))
+    one, two = (sizes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(m).alias(f"{m}_{s}") for m in MAPS]) for s in ("a", "b"))
+    star = star.join(one, "a").join(two, "b").where(_may_link(F.col("n_a"), F.col("n_b"), "{}_a", "{}_b", percent)).select("a", "b")
+    star = materialize(star)
 
     nodes = posts.select("node").distinct()
     kept = materialize(texts.mapInArrow(_texts(words), "node long, text binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
@@ -305,42 +333,49 @@ def _grouped(keyed: DataFrame, text_col: str, words: int, percent: int) -> DataF
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(kept.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(kept.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+        with arrow_rows(keyed.sparkSession, PAIR_ROWS):
+            return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
 
     links = verified(star)
     labels = materialize(connected_components(links))
-    places = posts.select("token", "node", "n", "spot").dropDuplicates(["token", "node"])
+    places = materialize(_open_places(posts.select("token", "node", "n", "spot"), labels).join(sizes.drop("n"), "node"))
+    discard(posts)
 
-    def across(open_: DataFrame, others: DataFrame, known: DataFrame) -> DataFrame:
-        """New pairs of nodes outside their group's main component with the given nodes of other components."""
-        rest = open_.where("label <> main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "spot", "label")])
+    def across(some: str, known: DataFrame) -> DataFrame:
+        """New pairs of nodes outside their group's main component with nodes of other components, of those where ``some`` holds."""
+        placed = _main(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        rest = placed.where("label <> main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "spot", "label", *MAPS)])
         apart = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node")))
-        found = others.join(rest, "token").where(apart & _passes(*(F.col(c) for c in ("n", "spot", "other_n", "other_spot")), percent))
-        found = _pairs(found.select(F.col("node").alias("a"), F.col("other_node").alias("b"))).join(known, ["a", "b"], "left_anti")
-        return materialize(_suffix_filter(found, sizes, percent))
+        fits = _passes(*(F.col(c) for c in ("n", "spot", "other_n", "other_spot")), percent) & _may_link(F.col("n"), F.col("other_n"), "{}", "other_{}", percent)
+        pairs = placed.where(some).join(rest, "token").where(apart & fits)
+        return materialize(_pairs(pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))).join(known, ["a", "b"], "left_anti"))
 
     # Most nodes of a large group that the leader doesn't link with link with some other: a few are tried before all.
-    open_ = _open_groups(places, labels)
-    turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("token", "node")))
-    tried = across(open_, open_.where((F.col("members") >= LARGE_GROUP) & (F.col("label") == F.col("main"))).withColumn("turn", turn).where(F.col("turn") <= DELEGATES), star)
+    tried = across(f"members >= {LARGE_GROUP} and label = main and pmod(xxhash64(token, node), members) < {DELEGATES}", star)
     if not tried.isEmpty():
         links = links.unionByName(verified(tried))
         labels = materialize(connected_components(links))
-        open_ = _open_groups(places, labels)
-    last = across(open_, open_, star.unionByName(tried))
+    last = across("true", star.unionByName(tried))
     if not last.isEmpty():
-        labels = connected_components(links.unionByName(verified(last)))
+        labels = materialize(connected_components(links.unionByName(verified(last))))
+    discard(star, kept, places, tried, last)
 
     whole = summaries.select("row_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     return whole.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
 
 
-def _open_groups(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of the shingles whose nodes lie in different components, with the commonest of these as ``main``."""
+def _open_places(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of shingles whose nodes lie in different components."""
     placed = places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return placed.select(*places.columns).join(mixed.select("token"), "token", "left_semi")
+
+
+def _main(placed: DataFrame) -> DataFrame:
+    """Adds how many members a shingle's group has, and its commonest component as ``main``."""
     per_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
-    mixed = per_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("many").alias("members"), F.max(F.struct("many", "label")).alias("most")).where("labels > 1")
-    return materialize(placed.join(mixed.select("token", "members", F.col("most.label").alias("main")), "token"))
+    most = per_label.groupBy("token").agg(F.sum("many").alias("members"), F.max(F.struct("many", "label")).alias("most"))
+    return placed.join(most.select("token", "members", F.col("most.label").alias("main")), "token")
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -348,10 +383,7 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose counts by class differ by more than the overlap needed allows."""
-    one, two = (sizes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in ("a", "b"))
-    wide = pairs.join(one, "a").join(two, "b")
-    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    return wide.where(apart <= F.col("n_a") + F.col("n_b") - 2 * overlap).select("a", "b")
+def _may_link(n: Column, other_n: Column, name: str, other_name: str, percent: int) -> Column:
+    """Suffix filter: whether the bitmaps differ in no more bits than sets of these sizes may in shingles."""
+    apart = sum((F.bit_count(F.col(name.format(m)).bitwiseXOR(F.col(other_name.format(m)))) for m in MAPS[1:]), F.bit_count(F.col(name.format(MAPS[0])).bitwiseXOR(F.col(other_name.format(MAPS[0])))))
+    return apart <= n + other_n - 2 * F.ceil(percent * (n + other_n) / (100 + percent))

@@ -6,6 +6,7 @@ longer, so that a task's memory doesn't depend on the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -102,3 +103,21 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[cut] = solid[cut]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, block.offsets, "left")
+
+
+LONG_WORD = 32
+
+
+def word_codes(block: Block, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
+    """A 64-bit code of each word; other seeds give independent ones.
+
+    Sums modulo 2^64 fall together for some long patterned strings whatever the base, so words of over LONG_WORD
+    bytes have a cryptographic digest instead.
+    """
+    codes = Hasher(block.data, seed, lower)(starts, ends)
+    long_ = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long_):
+        salt = seed.to_bytes(8, "little")
+        parts = (block.data[starts[i] : ends[i]].tobytes() for i in long_)
+        codes[long_] = np.frombuffer(b"".join(hashlib.blake2b(p.lower() if lower else p, digest_size=8, salt=salt).digest() for p in parts), U64)
+    return codes
