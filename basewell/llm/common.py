@@ -35,12 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
-    The lineage ends there: a lost executor costs a re-read, not a recomputation. The table stays for as long as
+    The lineage ends there: a lost executor costs a re-read, not a recomputation, and the shuffle files of the write go at once. The table stays for as long as
     its readers may need it: discard() deletes it after the last, and what a result still reads stays in the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/basewell-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
@@ -55,15 +56,19 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Batches of at most so many rows for the Python workers of the jobs run inside, for rows that hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, most)
+def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
+    """A session setting for the jobs run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def arrow_rows(spark: SparkSession, most: int) -> contextlib.AbstractContextManager[None]:
+    """Batches of at most so many rows for the Python workers, for rows that hold whole texts."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", most)
 
 
 def with_row_id(df: DataFrame, id_col: str, tie: str) -> tuple[DataFrame, bool]:

@@ -38,7 +38,7 @@ PERCENT = 75
 SKETCH = 1 << 16
 BITS = 512
 MAPS = [f"bits{i}" for i in range(BITS // 64)]
-#: Rows with texts in a batch of a Python worker, and pairs of texts that are compared at once.
+#: Rows with texts in a batch of a Python worker, and pairs of texts.
 BATCH_ROWS = 1000
 PAIR_ROWS = 200
 #: A task remembers so many nodes at a time to leave out repeats among its own rows.
@@ -241,28 +241,38 @@ def _texts(words: int):
 
 
 def _verify(words: int, percent: int):
-    """Of (a, b, text_a, text_b) the pairs whose sets are similar enough. A text that many pairs hold is cut into shingles once for each slice of them."""
+    """Of (a, b, text_a, text_b) the pairs whose sets are similar enough. Pairs are taken together up to a block of texts; a text that many of them hold is cut into shingles once for these."""
+
+    def kept(pairs: list[tuple[int, int]], texts: dict[int, bytes]) -> pa.RecordBatch:
+        place = {node: i for i, node in enumerate(texts)}
+        offsets = np.cumsum([0, *map(len, texts.values())])
+        row, keys = shingle_sets(tb.Block(0, np.frombuffer(b"".join(texts.values()), np.uint8), offsets), words, seed=2)
+        edge = np.searchsorted(row, np.arange(len(texts) + 1))
+        found = []
+        for a, b in pairs:
+            x, y = (keys[edge[place[n]] : edge[place[n] + 1]] for n in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                found.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([p[side] for p in found], pa.int64()) for side in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in (batch.slice(i, PAIR_ROWS) for batch in batches for i in range(0, batch.num_rows, PAIR_ROWS)):
-            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            place: dict[int, int] = {}
-            texts: list[bytes] = []
-            for i, pair in enumerate(pairs):
+        pairs: list[tuple[int, int]] = []
+        texts: dict[int, bytes] = {}
+        held = 0
+        for batch in batches:
+            for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                pairs.append(pair)
                 for side, node in enumerate(pair):
-                    if node not in place:
-                        place[node] = len(texts)
-                        texts.append(unpack.decompress(batch.column(2 + side)[i].as_py()))
-            offsets = np.cumsum([0, *map(len, texts)])
-            row, keys = shingle_sets(tb.Block(0, np.frombuffer(b"".join(texts), np.uint8), offsets), words, seed=2)
-            edge = np.searchsorted(row, np.arange(len(texts) + 1))
-            keep = np.zeros(len(pairs), bool)
-            for i, (a, b) in enumerate(pairs):
-                x, y = (keys[edge[place[n]] : edge[place[n] + 1]] for n in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+                    if node not in texts:
+                        texts[node] = unpack.decompress(batch.column(2 + side)[i].as_py())
+                        held += len(texts[node])
+                if held > tb.BLOCK_BYTES:
+                    yield kept(pairs, texts)
+                    pairs, texts, held = [], {}, 0
+        if pairs:
+            yield kept(pairs, texts)
 
     return run
 

@@ -184,25 +184,26 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **options) -> Model:
     """Learns from at most max_rows labelled rows that aren't held out; several labels of an id count by their majority.
 
-    Null ids and labels are left out. Without any labelled row the model scores 0.5, with labels of one kind only
+    Null ids and labels are left out. Of rows that share an id the one of least text hash is the sample, so max_rows
+    bounds what is gathered whatever ids repeat. Without any labelled row the model scores 0.5, with labels of one kind only
     their rate.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("sample_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("sample_label"))
     sample = known.orderBy(F.xxhash64("sample_id"), "sample_id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text")).join(F.broadcast(sample), "sample_id")
+    rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text"), F.xxhash64(text_col).alias("tie")).join(F.broadcast(sample), "sample_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch.column(2)):
+            for block in tb.blocks(batch.column(3)):
                 n = len(block.offsets) - 1
                 x = statistics(block)
                 part = batch.slice(block.first, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["sample_id", "sample_label", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], ["sample_id", "sample_label", "tie", "x"])
 
     kind = dict(rows.dtypes)["sample_id"]
-    found = rows.select("sample_id", "sample_label", "sample_text").mapInArrow(gather, f"sample_id {kind}, sample_label int, x array<double>")
-    table = found.toArrow()
+    found = rows.select("sample_id", "sample_label", "tie", "sample_text").mapInArrow(gather, f"sample_id {kind}, sample_label int, tie long, x array<double>")
+    table = found.groupBy("sample_id").agg(F.min(F.struct("tie", "sample_label", "x")).alias("one")).select("sample_id", "one.sample_label", "one.x").toArrow()
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     y, ids = np.array(table.column("sample_label").to_pylist(), float), table.column("sample_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), x[i].tolist()))

@@ -116,7 +116,7 @@ def _url_sql(rounds: int = url_trust.ROUNDS) -> str:
         f"hosts AS MATERIALIZED (SELECT page_id, html, {host.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests)",
         f"placed AS MATERIALIZED (SELECT page_id, host, path, {rule} AS rule, {said} AS said FROM hosts)",
         "links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1))) AS link FROM hosts)",
-        f"ends AS (SELECT src, {host.format('rest')} AS dst FROM (SELECT src, {rest.format('link')} AS rest FROM links WHERE instr(link, '://') > 0))",
+        f"ends AS (SELECT src, {host.format('rest')} AS dst FROM (SELECT src, {rest.format('link')} AS rest FROM links WHERE regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://')))",
         "edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM ends WHERE src <> '' AND dst <> '' AND src <> dst)",
     ]
     for name, vote, src, dst in (("trust", "allow", "src", "dst"), ("distrust", "block", "dst", "src")):

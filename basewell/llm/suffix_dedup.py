@@ -6,15 +6,18 @@ Suffixes are not taken at every byte but at anchors that the text itself selects
 bytes) inside a window, the one of smallest hash, the leftmost of equals. Equal windows select the same anchor, so a
 window that repeats does so together with its anchor, and the order of all other suffixes follows from those.
 
-1. First digit: the anchor's gram. An anchor stands for all windows that select it, and ``block`` digests the bytes
-   that they span. Anchors whose gram is alone drop out; of anchors with equal blocks all but the first are removed
-   with all their windows. What is left are first blocks beside different blocks of the same gram.
-2. Second digit: those blocks meet, with their bytes, in groups of their gram (large groups in parts), and their
-   windows are compared at full depth.
-3. Windows that are first in their part of a large group are compared among the parts.
+A window with its anchor at offset j starts j bytes before it. The passes, each a shuffle by the digits so far:
+
+1. The anchor's gram (32 bytes). An anchor stands for its block, the bytes of all windows that select it. Anchors
+   whose gram is alone drop out; of equal blocks (64-bit digests within a gram) all but the first are removed with all
+   their windows. From here on rows carry their bytes, and equal means equal bytes.
+2. What is left is cut into cells of neighbouring offsets, first CELLS[0] wide, then narrower, at last one window
+   each. The windows of a cell share all but size - 1 of their bytes, and these are the digits of the pass. Again rows
+   that are alone drop out, and of equal ones all but the first are removed. So a gram that very many documents hold
+   in different surroundings is split by what surrounds it, and at full depth equal groups are the repeated windows.
 
 Each task settles what repeats within its own rows before it shuffles, so a string that a third of all documents
-share arrives once for each task, not once for each document. Digests are 64 bits within a group of equal grams.
+share arrives once for each task, not once for each document.
 """
 
 from __future__ import annotations
@@ -34,11 +37,15 @@ LENGTH = 100
 GRAM = 32
 #: A task settles repeats among so many anchors or windows at a time.
 SETTLE_ROWS = 1_000_000
-#: Groups of more blocks than this are compared in parts.
-PART_BLOCKS = 256
+#: Widths of the cells of offsets in the passes after the first; the last is a single window.
+CELLS = (35, 8, 1)
+#: A task settles repeats among about so many bytes of cells at a time.
+SETTLE_BYTES = 16 << 20
 #: Chunk of a longer text; an anchor's windows may be cut here, which only leaves more to compare.
 CHUNK = 2 << 20
 U64 = np.uint64
+#: Low bits of a gram's hash that give way to its place; a chunk has fewer places than they hold.
+PLACE = U64((1 << 22) - 1)
 
 
 def _chunks(block: tb.Block, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -53,25 +60,25 @@ def _chunks(block: tb.Block, length: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def select_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, block hash, row, start, windows) of each anchor: the windows that start at start, start+1, ... select it."""
+    """(gram hash, block hash, row, start, windows, place) of each anchor: the windows that start at start, start+1, ... select the gram at place."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
     hasher, places = tb.Hasher(data), np.arange(len(data) - gram + 1)
     grams = hasher(places, places + gram)
-    low = U64((1 << int(len(data)).bit_length()) - 1)
-    least, width, wanted = (grams & ~low) | places.astype(U64), 1, length - gram + 1
+    least, width, wanted = (grams & ~PLACE) | places.astype(U64), 1, length - gram + 1
     while 2 * width <= wanted:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < wanted:
         least = np.minimum(least[: width - wanted], least[wanted - width :])
-    anchor = (least & low).astype(np.int64)
+    anchor = (least & PLACE).astype(np.int64)
     row = np.searchsorted(offsets, places[: len(anchor)], "right") - 1
     whole = places[: len(anchor)] + length <= offsets[row + 1]
     change = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
     begin = np.flatnonzero(change & whole)
     # Windows that reach over the end of their text follow all whole ones of that text.
     stop = np.flatnonzero(np.r_[(change[1:] | ~whole[1:]), True] & whole) + 1
-    return grams[anchor[begin]], hasher(begin, stop - 1 + length), row[begin], begin - offsets[row[begin]], stop - begin
+    first = offsets[row[begin]]
+    return grams[anchor[begin]], hasher(begin, stop - 1 + length), row[begin], begin - first, stop - begin, anchor[begin] - first
 
 
 def _anchor_rows(length: int, gram: int):
@@ -92,7 +99,7 @@ def _anchor_rows(length: int, gram: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column(1)):
                 for data, offsets, first, before in _chunks(block, length):
-                    grams, blocks, row, start, windows = select_anchors(data, offsets, length, gram)
+                    grams, blocks, row, start, windows, _ = select_anchors(data, offsets, length, gram)
                     held.append((grams, blocks, ids[first + row], start + before, windows))
                 if sum(len(h[0]) for h in held) >= SETTLE_ROWS:
                     yield from settled()
@@ -102,80 +109,104 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each block that is still open."""
-    names = ["gram", "part", "parts", "doc", "place", "context"]
-    for batch in batches:
-        for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
-            rows = []
-            for doc, cell, open_ in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
-                text = cell.as_py().encode("utf-8", "surrogatepass")
-                for o in open_:
-                    start, size = o["place"] >> SHIFT, o["place"] & ((1 << SHIFT) - 1)
-                    rows.append((o["gram"], hash((doc, start)) % o["parts"], o["parts"], doc, o["place"], text[start : start + size]))
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "context" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
-
-
-def _compare(length: int):
-    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Whole groups of (gram, part): their windows at full depth."""
-        grams, parts, n_parts, doc, place = (table.column(i).to_numpy() for i in range(5))
-        block = next(tb.blocks(table.column(5).combine_chunks().view(pa.string()), 1 << 62))
-        windows = np.diff(block.offsets) - length + 1
-        row = np.repeat(np.arange(len(doc)), windows)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = block.offsets[row] + inside
-        digest = tb.Hasher(block.data)(begin, begin + length)
-        start = (place >> SHIFT)[row] + inside
-        group = (grams.view(U64) + tb.mix(parts.astype(U64)))[row]
-        order, again = settle((group, digest), doc[row], start)
-        later = order[again]
-        if len(later):
-            yield removed_rows(doc[row[later]], start[later], np.full(len(later), length))
-        first = order[~again]
-        first = first[n_parts[row[first]] > 1]
-        if len(first):
-            yield found_rows(grams.view(U64)[row[first]], digest[first], doc[row[first]], start[first], np.full(len(first), length), False)
+_CONTEXT = "own binary, doc long, start long, high long"
+
+
+def _context_rows(length: int, gram: int):
+    """The bytes of each block that is still open, with the offset of its first window."""
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            grams, parts = table.column(0).to_numpy(), table.column(1).to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (parts[1:] != parts[:-1])])[-1])
-            if cut:
-                yield from compared(table.slice(0, cut))
-                held, n = table.slice(cut).to_batches(), len(table) - cut
-        if held:
-            yield from compared(pa.Table.from_batches(held))
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                own, docs, starts = [], [], []
+                for doc, cell, places in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                    text = cell.as_py().encode("utf-8", "surrogatepass")
+                    for place in places:
+                        start, size = place >> SHIFT, place & ((1 << SHIFT) - 1)
+                        own.append(text[start : start + size])
+                        docs.append(doc)
+                        starts.append(start)
+                offsets = np.cumsum([0, *map(len, own)])
+                high = np.zeros(len(own), np.int64)
+                _, _, row, start, _, place = select_anchors(np.frombuffer(b"".join(own), np.uint8), offsets, length, gram)
+                high[row] = place - start
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(high)], names)
 
     return run
 
 
+_CELL = "cell int, high int, own binary, doc long, place long, removed boolean"
+
+
+def _cell_rows(length: int, size: int):
+    """Rows of own (the bytes of neighbouring windows, the first at offset high) cut into cells of offsets; what repeats within the task is removed."""
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+    names = [x.split()[0] for x in _CELL.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+        gone: list[tuple] = []
+        held = 0
+
+        def settled() -> pa.RecordBatch:
+            rows = [(cell, top, own, doc, start << SHIFT | len(own), False) for (cell, top, own), (doc, start) in first.items()] + gone
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for own, doc, start, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                low = high - len(own) + length
+                for cell in range(low // size, high // size + 1):
+                    top = min(high, cell * size + size - 1)
+                    part = own[high - top : high - max(low, cell * size) + length]
+                    here = (doc, start + high - top)
+                    there = first.setdefault((cell, top, part), here)
+                    if there is here:
+                        held += len(part)
+                        continue
+                    if here < there:
+                        first[(cell, top, part)], here = here, there
+                    gone.append((cell, top, None, here[0], here[1] << SHIFT | len(part), True))
+                if held + 32 * len(gone) > SETTLE_BYTES:
+                    yield settled()
+                    first.clear()
+                    gone.clear()
+                    held = 0
+        if first:
+            yield settled()
+
+    return run
+
+
+def _one_pass(contexts: DataFrame, length: int, size: int) -> DataFrame:
+    """Cells of one width: those to remove, and those that share their digits with different ones."""
+    cells = contexts.mapInArrow(_cell_rows(length, size), _CELL)
+    digits = F.substring("own", F.col("high") - F.col("cell") * size + 1, F.lit(length + 1 - size))
+    spread = F.concat_ws("/", "doc", "place").cast("binary")  # what is removed already goes anywhere
+    dealt = cells.withColumn("digits", F.coalesce(digits, spread)).repartition("digits")
+    turn = F.row_number().over(Window.partitionBy("digits", "cell", "high", "own").orderBy("doc", "place"))
+    ranked = dealt.withColumn("turn", turn).withColumn("kinds", F.sum((F.col("turn") == 1).cast("int")).over(Window.partitionBy("digits", "cell")))
+    gone = F.col("removed") | (F.col("turn") > 1)
+    left = gone | (F.col("kinds") > 1) if size > 1 else gone
+    return materialize(ranked.where(left).select(F.when(~gone, F.col("own")).alias("own"), "doc", "place", "high", gone.alias("removed")))
+
+
 def removed_places(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rows (row_id, text) to (row_id, places): the stretches to remove, not yet joined; texts without any are left out."""
     found = rows.mapInArrow(_anchor_rows(length, gram), FOUND).repartition("key")
     by_block = Window.partitionBy("key", "digest").orderBy("doc", "place")
     first = F.col("turn") == 1
     ranked = found.withColumn("turn", F.row_number().over(by_block)).withColumn("blocks", F.sum(first.cast("int")).over(Window.partitionBy("key")))
-    open_ = ranked.where("removed or turn > 1 or blocks > 1").select(F.col("key").alias("gram"), "doc", "place", (F.col("removed") | ~first).alias("removed"), F.ceil(F.col("blocks") / PART_BLOCKS).alias("parts"))
-    open_ = materialize(open_)
-
-    lists = open_.where("not removed").groupBy("doc").agg(F.collect_list(F.struct("gram", "place", "parts")).alias("open"))
-    contexts = rows.join(lists, rows["row_id"] == lists["doc"]).select("row_id", "text", "open")
-    contexts = contexts.mapInArrow(_context_rows, "gram long, part long, parts long, doc long, place long, context binary")
-    contexts = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    windows = contexts.mapInArrow(_compare(length), FOUND).withColumn("turn", F.row_number().over(by_block))
-    windows = windows.where("removed or turn > 1").select("doc", "place")
-    every = open_.where("removed").select("doc", "place").unionByName(windows)
+    open_ = materialize(ranked.where("removed or turn > 1 or blocks > 1").select("doc", "place", (F.col("removed") | ~first).alias("removed")))
+
+    lists = open_.where("not removed").groupBy("doc").agg(F.collect_list("place").alias("open"))
+    contexts = rows.join(lists, rows["row_id"] == lists["doc"]).select("row_id", "text", "open").mapInArrow(_context_rows(length, gram), _CONTEXT)
+    every = open_.where("removed").select("doc", "place")
+    widths = [w for w in CELLS if w < length - gram]
+    for width in widths:
+        cells = _one_pass(contexts, length, width)
+        every = every.unionByName(cells.where("removed").select("doc", "place"))
+        contexts = cells.where("not removed").select("own", "doc", F.shiftright("place", SHIFT).alias("start"), F.col("high").cast("long").alias("high"))
     return every.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 

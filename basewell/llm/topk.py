@@ -116,7 +116,7 @@ def _pack(rows: DataFrame, most: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """For each query the k vectors of highest score among all rows but its own: query_id, rank (from 1), vec_id, score.
 
-    Vectors that are null or hold a null or a component that isn't finite take no part, on either side. Shorter
+    A score beyond the range of a long counts as the nearest long. Vectors that are null or hold a null or a component that isn't finite take no part, on either side. Shorter
     vectors count as ended by zeros. Rows that share an id are candidates of their own, except for queries of that id.
 
     Each pair of a block of queries and a block of vectors is one row of a join on the two block numbers, so work is
@@ -147,6 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "
                 width = max(a.shape[1], b.shape[1])
                 a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
                 found = search_block(ids, a, asked_ids, b, k)
+                found = [(q, v, max(-(1 << 63), min((1 << 63) - 1, score))) for q, v, score in found]
                 columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 

@@ -32,6 +32,8 @@ TOLERANCE = 10**6
 PASSED = 85
 #: Rounds of the query's SQL, which the given tables don't need: their pages link only within their host.
 ROUNDS = 8
+#: A link that names its host: with a scheme, or with the page's.
+ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -60,7 +62,7 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Links between different hosts, once for each pair: (src, dst). ``//host/path`` has the page's scheme; other relative links stay on their host and add none."""
     host, _ = host_and_path(F.col(url_col))
-    links = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: (F.instr(x, "://") > 0) | x.startswith("//")))
+    links = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: x.rlike(ABSOLUTE)))
     far = pages.select(host.alias("src"), F.explode(links).alias("link"))
     target, _ = host_and_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
     return far.select("src", target.alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
@@ -74,8 +76,8 @@ def _floored(total: str, by: str) -> str:
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: seeds (host, weight) and edges (src, dst) to (host, mass), MASS * FINE to all seeds.
 
-    Each round a host keeps what it draws as a seed and receives its share from the hosts that point at it; what a
-    host without edges would pass on is lost. Edges are held once for each pair of hosts, and each round adds up
+    Each round a host keeps what it draws as a seed and receives its share from the hosts that point at it; what hosts
+    without edges would pass on goes back to the seeds, each its share. Edges are held once for each pair of hosts, and each round adds up
     partial sums before its shuffle, so a host with very many links is no single task's work. Every round is written
     out, which ends the lineage. Without a number of rounds they go on until masses stay.
     """
@@ -93,12 +95,20 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> Dat
         return rank
     one = F.lit(1).cast("decimal(38,0)")
     own = drawn.select("host", F.greatest(F.expr(_floored(f"drawn * cast({100 - PASSED} as decimal(3,0))", "100")), one).alias("mass"))
+    every = edges.select(F.col("dst").alias("host")).unionByName(drawn.select("host")).distinct()
+    ends = materialize(every.join(out.select(F.col("src").alias("host")).distinct(), "host", "left_anti"))
     n = 0
     while rounds is None or n < rounds:
         n += 1
         passed = F.greatest(F.expr(_floored(f"cast(mass * cast({PASSED} as decimal(3,0)) as decimal(38,0))", "cast(100 * n_out as decimal(20,0))")), one)
         flow = out.join(rank, out["src"] == rank["host"]).select(F.col("dst").alias("host"), passed.alias("mass"))
-        now = materialize(flow.unionByName(own).groupBy("host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
+        held = rank.join(ends, "host", "left_semi").agg(F.sum("mass").cast("decimal(38,0)").alias("held"))
+        # passed * drawn / (MASS * FINE), by the halves of drawn, since the product has too many digits.
+        passed_on = _floored(f"{_floored('coalesce(held, 0)', str(FINE))} * cast({PASSED} as decimal(3,0))", "100")
+        high, low = (f"cast({x} as decimal(18,0))" for x in (_floored("drawn", str(FINE)), f"drawn % {FINE}"))
+        back = F.expr(f"cast(cast({passed_on} as decimal(18,0)) * {high} as decimal(38,0)) + " + _floored(f"cast(cast({passed_on} as decimal(18,0)) * {low} as decimal(38,0))", str(FINE)))
+        again = drawn.crossJoin(F.broadcast(held)).select("host", back.cast("decimal(38,0)").alias("mass"))  # one row
+        now = materialize(flow.unionByName(own).unionByName(again).groupBy("host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
         before, rank = rank.withColumnRenamed("mass", "was"), now
         off = F.abs(F.col("mass") - F.coalesce("was", F.lit(0).cast("decimal(38,0)")))
         if now.join(before, "host", "left").where(F.col("was").isNull() | (off > F.expr(_floored("mass", str(TOLERANCE))))).isEmpty():

@@ -74,6 +74,29 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_ids_is_the_same_however_rows_lie(spark):
+    rnd = random.Random(11)
+    docs = [(rnd.choice([1, 2, None]), " ".join("w" * rnd.randrange(1, 90)), rnd.choice(["a", None])) for _ in range(300)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = [sorted(map(str, mixing.mix(rows.repartition(n)).select("doc_id", "size", "taken").collect())) for n in (3, 5, 7)]
+    assert taken[0] == taken[1] == taken[2]
+
+
+def test_targets_follow_the_integral_of_the_shapes(spark):
+    rows = spark.createDataFrame([(i, "w " * 100, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    shapes = {5: (0.2, 0.2, 0.2), 2: (1.0, 1.0, 1.0)}
+    targets = {r.source: r.target for r in rows.join(mixing.mix(rows, shapes=shapes, budget_share=0.9), "doc_id").collect()}
+    assert targets["a"] == pytest.approx(0.9 * 4000 / 3) and targets["b"] == pytest.approx(0.9 * 4000 * 2 / 3)
+
+
+@pytest.mark.parametrize("text", ["one two  three", "  one\ttwo\nthree ", "one", "é x\u00a0y z"])
+def test_first_words(spark, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    for n in range(1, len(words) + 1):
+        cut = spark.createDataFrame([(text, n)], "t string, n int").select(mixing.first_words(F.col("t"), F.col("n"))).first()[0]
+        assert text.startswith(cut) and re.findall(r"[^\x20\x09-\x0D]+", cut) == words[:n]
+
+
 def test_demand_and_its_inverse(spark):
     shape = F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5))
     got = [r[0] for r in spark.range(11).select(mixing.inverse_demand(F.col("id") / 10, shape)).collect()]
@@ -100,9 +123,10 @@ def brute_suffixes(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("part_blocks", [256, 2])
-def test_suffix_dedup(spark, monkeypatch, part_blocks):
-    monkeypatch.setattr(suffix_dedup, "PART_BLOCKS", part_blocks)
+@pytest.mark.parametrize(("cells", "settle"), [((35, 8, 1), 16 << 20), ((60, 13, 2, 1), 500)])
+def test_suffix_dedup(spark, monkeypatch, cells, settle):
+    monkeypatch.setattr(suffix_dedup, "CELLS", cells)
+    monkeypatch.setattr(suffix_dedup, "SETTLE_BYTES", settle)
     docs = corpus(2)
     rows = suffix_dedup.strip_repeats(frame(spark, docs).withColumn("row_id", F.lit("clash"))).collect()
     assert {r.doc_id: tuple(r[1:]) for r in rows} == brute_suffixes(docs)
@@ -115,11 +139,30 @@ def test_suffix_dedup_in_chunks(monkeypatch):
     block = textbytes.Block(0, data, np.array([0, len(data)]))
     covered = []
     for part, offsets, _, before in suffix_dedup._chunks(block, 100):
-        _, _, _, start, windows = suffix_dedup.select_anchors(part, offsets)
+        _, _, _, start, windows, _ = suffix_dedup.select_anchors(part, offsets)
         covered += [s + before + k for s, n in zip(start, windows, strict=True) for k in range(n)]
     assert sorted(covered) == list(range(901))
 
 
+@pytest.mark.parametrize("shared", [40, 80, 99, 100, 130])
+def test_suffix_dedup_of_a_phrase_in_many_surroundings(spark, shared):
+    rnd = random.Random(shared)
+    letters = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    phrase = letters(shared)
+    docs = [(i, letters(rnd.randrange(120)) + phrase + letters(rnd.randrange(120))) for i in range(150)]
+    rows = suffix_dedup.strip_repeats(frame(spark, docs)).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in rows} == brute_suffixes(docs)
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    rnd = random.Random(5)
+    passage = "".join(rnd.choices("abcd é", k=900))
+    docs = [(i, "".join(rnd.choices("abcd é", k=1500)) + passage[i * 100 :] + "".join(rnd.choices("xyz", k=300))) for i in range(4)]
+    rows = suffix_dedup.strip_repeats(frame(spark, docs)).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in rows} == brute_suffixes(docs)
+
+
 def test_suffix_dedup_of_repeated_ids_and_nothing(spark):
     text = "abcdefghij" * 30
     rows = suffix_dedup.strip_repeats(spark.createDataFrame([(5, text), (5, text), (None, text)], DOCS)).collect()
@@ -167,6 +210,23 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(map(tuple, rows)) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_ngram_join_tells_patterned_words_apart(spark):
+    pattern = lambda a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(1024))
+    docs = [(1, pattern("a", "b")), (2, pattern("b", "a")), (3, pattern("A", "b"))]
+    rows = ngram_join.similar_documents(frame(spark, docs)).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_ngram_join_of_repeated_and_null_ids_and_a_long_text(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    long_ = " ".join(f"w{i}" for i in range(60_000))
+    docs = [(5, one), (5, two), (5, one), (None, two), (None, one + " more"), (3, one), (None, "alone"), (8, long_), (9, long_ + " end")]
+    rows = ngram_join.similar_documents(spark.createDataFrame(docs, DOCS).repartition(3)).collect()
+    key = lambda r: (str(r[0]), str(r[1]), str(r[2]))
+    expected = [(5, 26, 3), (5, 26, 5), (5, 26, 3), (None, 26, 5), (None, 27, 3), (3, 26, 3), (None, 1, None), (8, 59_996, 8), (9, 59_997, 8)]
+    assert sorted(map(tuple, rows), key=key) == sorted(expected, key=key)
+
+
 def test_one_row_of_each_group_stays(spark):
     import corpus_pipeline
 
@@ -237,6 +297,13 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df, k=5).count() == 0
 
 
+def test_top_k_beyond_a_long(spark):
+    rows = [(1, [2.0**40, 1.0]), (2, [2.0**40, -1.0]), (3, [-(2.0**40), 0.0])]
+    found = topk.top_k(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2, k=2).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in found}[1, 1] == (2, 2**63 - 1)
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in found}[3, 1] == (1, -(2**63))
+
+
 def test_top_k_of_huge_components():
     ids, v = np.arange(4), np.array([[2.0**40, 1], [2.0**40, 2], [-(2.0**41), 3], [0, 0]])
     assert topk.search_block(ids, v, np.array([0]), v[:1], 2) == [(0, 1, 2**80 + 2), (0, 3, 0)]
@@ -448,7 +515,8 @@ def brute_mass(seeds, edges, rounds=2000):
     for src, _ in edges:
         n_out[src] += 1
     for _ in range(rounds):
-        now = {h: 0.15 * w for h, w in seeds.items()}
+        held = sum(m for h, m in mass.items() if not n_out[h])
+        now = {h: (0.15 + 0.85 * held / total) * w for h, w in seeds.items()}
         for src, dst in edges:
             if src in mass:
                 now[dst] = now.get(dst, 0) + 0.85 * mass[src] / n_out[src]
@@ -477,6 +545,42 @@ def test_far_linkers_and_links_without_scheme(spark):
 # 10
 
 
+def test_relative_links_with_an_address_inside_add_no_edge(spark):
+    html = '<a href="/out?u=https://evil.org/y">x</a><a href="HTTPS://far.net/a?u=http://no.org">y</a><a href="//near.net/z">z</a>'
+    pages = spark.createDataFrame([(1, "http://a.net/", html), (2, "http://b.net/", None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, url_trust.host_edges(pages).collect())) == [("a.net", "far.net"), ("a.net", "near.net")]
+
+
+def test_mass_as_by_brute_force(spark):
+    rnd = random.Random(9)
+    hosts = [f"h{i}" for i in range(25)]
+    edges = sorted({(a, b) for a, b in ((rnd.choice(hosts[:18]), rnd.choice(hosts)) for _ in range(60)) if a != b})
+    seeds = {h: rnd.randrange(1, 9) for h in rnd.sample(hosts, 6)}
+    out = {h: [b for a, b in edges if a == h] for h in hosts}
+    drawn = {h: seeds.get(h, 0) / sum(seeds.values()) for h in hosts}
+    mass = dict(drawn)
+    for _ in range(300):
+        lost = sum(m for h, m in mass.items() if not out[h])
+        now = {h: drawn[h] * (0.15 + 0.85 * lost) for h in hosts}
+        for h in hosts:
+            for b in out[h]:
+                now[b] += 0.85 * mass[h] / len(out[h])
+        mass = now
+    found = url_trust.spread(spark.createDataFrame(list(seeds.items()), "host string, weight long"), spark.createDataFrame(edges, "src string, dst string"))
+    found = {r.host: float(r.mass) / (url_trust.MASS * url_trust.FINE) for r in found.collect()}
+    for h in hosts:
+        assert found.get(h, 0.0) == pytest.approx(mass[h], rel=1e-4, abs=1e-12)
+
+
+def test_quality_bound_holds_for_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1 + i % 3, f"text {i} " * (1 + i % 7)) for i in range(600)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "boost", lambda x, y, **_: seen.append((len(x), len(y))))
+    quality.fit(docs, labels, max_rows=2)
+    assert seen[0][0] <= 2
+
+
 def test_quality_learns_and_ignores_the_rest(spark):
     rnd = random.Random(12)
     rows = []
