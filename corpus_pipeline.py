@@ -17,7 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, fitted on the labelled ones among them, scores below GOOD_FROM."""
+    """Drops documents that the classifier, fitted on the labelled ones among them, scores below GOOD_FROM.
+
+    Nulls and empty texts are scored as empty ones; repeated rows are judged alike. Without labels nothing goes.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model, out_col="quality_score").where(F.col("quality_score") >= GOOD_FROM).select(*COLUMNS)
 
@@ -28,25 +31,29 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of every secret; all documents stay."""
+    """Puts a mark in the place of every secret; all rows stay, a null text stays null and an empty one empty."""
     clean = secret_scan.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix, in training order: a document once for each copy of which the mix takes at least half; documents without words don't enter."""
-    plan = mixing.mix(docs).where("taken > 0")
-    copies = plan.select(F.col("doc_id").alias("mix_id"), "size", "taken", "positions")
-    ordered = mixing.training_order(copies.withColumnRenamed("mix_id", "doc_id"))
+    """The training mix, in training order: a document once for each copy that the mix takes words of.
+
+    The copy at which a source reaches its target is cut after the last word taken, so the mix holds the words planned
+    and no more. Documents without words (null or empty texts) don't enter; rows that share an id, or have none, are
+    documents of their own.
+    """
+    ordered = mixing.training_order(mixing.mix(docs.select(*COLUMNS), keep=True).where("taken > 0"))
     took = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    ordered = ordered.where((2 * took >= F.col("size")) | (F.col("copy") == 0) & (F.col("taken") > 0)).select(F.col("doc_id").alias("mix_id"), "position", "copy")
-    ordered = ordered.dropDuplicates(["mix_id", "copy"])  # rows that share an id enter as often as one of them
-    placed = docs.join(ordered, docs["doc_id"].eqNullSafe(ordered["mix_id"]))
-    return placed.repartitionByRange("position", "mix_id", "copy").sortWithinPartitions("position", "mix_id", "copy").select(*COLUMNS)
+    cut = took < F.col("size")
+    text = F.when(cut, mixing.first_words(F.col("whole.text"), took)).otherwise(F.col("whole.text"))
+    rows = ordered.withColumn("cut_text", text)
+    made = {"text": F.col("cut_text"), "n_chars": F.when(cut, F.length("cut_text")).otherwise(F.col("whole.n_chars"))}
+    return rows.select(*[made.get(c, F.col(f"whole.{c}")).alias(c) for c in COLUMNS])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
+    """The piece ids of each document, row by row; a null or empty text has none."""
     return pieces.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 
