@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, once, phred, placed_ops, rate
+from basewell.operators.joins import points_in_regions
 from basewell.operators.runs import run_array
 
 
@@ -81,10 +82,52 @@ def record_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def insertions(df: DataFrame) -> DataFrame:
-    """(refname, pos, inserted): each inserted string at the next reference position; one behind the last is dropped."""
-    found = with_ops(df).select("refname", F.inline("ops"), F.length("rseq").alias("size")).where("op = 'I' and r < size")
-    return found.select("refname", F.col("r").cast("long").alias("pos"), F.col("qs").alias("inserted"))
+def masked_record_stats(df: DataFrame, regions: DataFrame, variants: DataFrame) -> DataFrame:
+    """record_stats over trusted places only; what lies elsewhere is counted in ``ignored_bp``.
+
+    A place is trusted inside one of the regions (refname, start, end) and on none of the variants (refname, pos). An
+    insertion is, if the places on both of its sides are. Different places are looked up once, by equi-joins.
+    """
+    ref_base = lambda at: F.substring(F.col("rseq"), at + 1, F.lit(1))
+
+    def marks(o: Column) -> Column:
+        mark = lambda at, kind, n, hp: F.struct(at.cast("long").alias("pos"), kind.alias("kind"), n.alias("n"), hp.alias("hp"))
+        copies = ((o["r"] > 0) & (o["qs"] == F.repeat(ref_base(o["r"] - 1), o["n"]))) | ((o["r"] < F.length("rseq")) & (o["qs"] == F.repeat(ref_base(o["r"]), o["n"])))
+        places = F.sequence(o["r"], o["r"] + o["n"] - 1)
+        near = lambda at: ((at > 0) & (ref_base(at) == ref_base(at - 1))) | ((at + 1 < F.length("rseq")) & (ref_base(at) == ref_base(at + 1)))
+        inserted = F.when(o["op"] == "I", F.array(mark(o["r"], o["op"], o["n"], copies)))
+        deleted = inserted.when(o["op"] == "D", F.transform(places, lambda at: mark(at, o["op"], F.lit(1), near(at))))
+        return deleted.when(_in("=X", o["op"]), F.transform(places, lambda at: mark(at, o["op"], F.lit(1), F.lit(False))))
+
+    every = F.filter(F.transform("ops", marks), lambda m: m.isNotNull())
+    marked = with_ops(df).select("qname", "refname", F.length("seq").alias("qlen"), F.inline(F.flatten(every)))
+    places = marked.select("refname", "pos").unionByName(marked.where("kind = 'I' and pos > 0").select("refname", (F.col("pos") - 1).alias("pos"))).distinct()
+    inside = points_in_regions(places, regions, name="refname", pos="pos", start="start", end="end", region_name="refname")
+    trusted = inside.join(variants.select("refname", "pos").distinct(), ["refname", "pos"], "left_anti").withColumn("ok", F.lit(True))
+    looked = marked.join(trusted, ["refname", "pos"], "left")
+    before = trusted.select("refname", (F.col("pos") + 1).alias("pos"), F.col("ok").alias("ok_before"))
+    looked = looked.join(before, ["refname", "pos"], "left")
+    ok = F.coalesce("ok", F.lit(False)) & ((F.col("kind") != "I") | (F.col("pos") == 0) | F.coalesce("ok_before", F.lit(False)))
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    kind = F.col("kind")
+    counted = looked.withColumn("good", ok).groupBy("qname", "qlen").agg(
+        total(F.col("good") & (kind == "=")).alias("match_bp"), total(F.col("good") & (kind == "X")).alias("mismatch_bp"), *[total(F.col("good") & (kind == k) & (F.col("hp") == h)).alias(f"{w}_{n}_bp") for k, n in (("I", "ins"), ("D", "del")) for h, w in ((False, "nh"), (True, "hp"))],
+        total(~F.col("good")).alias("ignored_bp"),
+    )
+    span = sum((F.col(f"{c}_bp") for c in ("mismatch", "nh_ins", "hp_ins", "nh_del", "hp_del")), F.col("match_bp"))
+    concordance = rate("match_bp", span)
+    covered = F.col("match_bp") + F.col("mismatch_bp") + F.col("nh_ins_bp") + F.col("hp_ins_bp")
+    return counted.select("qname", rate(covered, "qlen").alias("coverage"), concordance.alias("concordance"), phred(concordance, floor=1e-6).alias("concordance_qv"), "match_bp", "mismatch_bp", "nh_ins_bp", "nh_del_bp", "hp_ins_bp", "hp_del_bp", "ignored_bp")
+
+
+def query_to_ref(df: DataFrame) -> DataFrame:
+    """Adds ``ref_of``: for each base of the query its reference position, null for inserted and clipped ones."""
+
+    def places(o: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: F.when(_in("=X", o["op"]), o["r"] + k))
+
+    placed = once(df.withColumn("ops", placed_ops(cigar_ops("cigar"), "rstart")), "ops")
+    return placed.withColumn("ref_of", F.flatten(F.transform(F.filter("ops", lambda o: _in(QUERY_OPS, o["op"])), places))).drop("ops")
 
 
 def locus_table(df: DataFrame, refs: DataFrame) -> DataFrame:

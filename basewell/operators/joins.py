@@ -62,7 +62,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "new_id", start: int =
     placed = placed.withColumn("serial", F.col("serial") - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(before, "part").select(*order, (F.col("serial") + F.col("offset") + start).alias(name))
+    return placed.join(before.select("part", "offset"), "part").select(*order, (F.col("serial") + F.col("offset") + start).alias(name))
 
 
 def newest_below(values: DataFrame, steps: DataFrame, *, value: str, step: str, result: str, default: float) -> DataFrame:

@@ -72,3 +72,57 @@ def likeliest(observed: DataFrame, model: DataFrame, *, item: str, key: str, can
     weight = F.exp(F.col("score") - F.max("score").over(whole))
     out = scored.withColumn("weight", weight)
     return out.withColumn("posterior", F.col("weight") / F.sum("weight").over(whole)).drop("weight")
+
+
+def empirical_quality(table: DataFrame) -> DataFrame:
+    """Base-quality table (baseq, eq, depth) of all references to (baseq, depth, emp_rq, emp_phred)."""
+    summed = table.groupBy("baseq").agg(F.sum("depth").alias("depth"), F.sum("eq").alias("eq"))
+    return summed.select("baseq", "depth", rate("eq", "depth").alias("emp_rq"), phred(rate("eq", "depth"), cap=1 - 1e-6).alias("emp_phred"))
+
+
+def base_quality_errors(found: DataFrame, levels: tuple[int, ...] = (20, 30, 35), least_depth: int = 10_000) -> DataFrame:
+    """One row: share of bases from each level on, and errors of stated against empirical quality, each quality over least_depth counting once."""
+    q, emp = F.col("baseq"), F.col("emp_phred")
+    off = F.when(F.col("depth") > least_depth, F.abs(q - emp))
+    shares = [rate(F.sum(F.when(q >= k, F.col("depth"))), F.sum("depth")).alias(f"share_{k}") for k in levels]
+    return found.agg(*shares, F.avg(off * off).alias("mse"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off).alias("mae"), F.median(off).alias("med_ae"), F.avg(rate(off, emp)).alias("mape"), F.avg(rate(2 * off, q + emp)).alias("smape"))
+
+
+def two_segment_class(q_overlap: Column, r_overlap: Column, gap: Column, identity: Column, low: float = 0.02, high: float = 0.9, near: int = 20) -> Column:
+    """Class of a read of two segments, by how far they overlap on the read and on the reference and by the gap between them."""
+    apart = q_overlap < low
+    sv, cut = apart & (r_overlap > high), apart & (r_overlap < low)
+    kind = F.when(sv & (gap < near), "sv").when(cut & (gap < near), "noCut").when(sv, "svCandidate").when(cut, "noCutCandidate")
+    return kind.when(identity < 0.85, "badCase-lowIdentity").otherwise("badCase")
+
+
+def coverage_rates(df: DataFrame, *, covered: Column, primary: Column, misc: Column, size: Column, identity: Column) -> DataFrame:
+    """One row: aligned bases, coverage of the reads by primary, primary and secondary, and all segments, and quartiles of coverage and identity."""
+    own = df.select(covered.alias("c"), primary.alias("p"), misc.alias("m"), size.alias("s"), rate(primary, size).alias("coverage"), identity.alias("identity"))
+    quartiles = [F.percentile(c, F.lit(p)).alias(f"{c}_p{int(100 * p)}") for c in ("coverage", "identity") for p in (0.25, 0.5, 0.75)]
+    return own.agg(F.sum("c").cast("double").alias("aligned_bases"), *[rate(F.sum(c), F.sum("s")).alias(n) for c, n in (("p", "query_coverage"), ("m", "query_coverage_2"), ("c", "query_coverage_3"))], *quartiles)
+
+
+def calibration_by_level(df: DataFrame, predicted: str, measured: str) -> DataFrame:
+    """One row for each whole predicted quality: reads, mean and quartiles of the measured one."""
+    points = [F.percentile(measured, F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    return df.groupBy(F.floor(predicted).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(measured).alias("mean"), *points)
+
+
+def barcode_errors(df: DataFrame, expected: DataFrame, *, name: str, barcode: str, rname: str, samples: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Barcodes against alignments, each taken for true in turn. expected: (barcode, expected reference).
+
+    Three tables: by barcode (all, on the expected reference, on a wrong one, not aligned), by reference (aligned, of
+    another barcode), and names of the first reads of each barcode on each wrong reference. A null or empty reference
+    is not aligned; a barcode without an expected reference has only wrong ones.
+    """
+    known = expected.select(F.col(barcode).alias("code"), F.col("expected"))
+    rows = df.select(F.col(name).alias("name"), F.col(barcode).alias("code"), F.nullif(F.col(rname), F.lit("")).alias("rname")).join(known, "code", "left")
+    right = F.coalesce(F.col("rname") == F.col("expected"), F.lit(False))
+    aligned = F.col("rname").isNotNull()
+    rows = rows.withColumns({"right": right & aligned, "wrong": ~right & aligned})
+    by_code = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("n_expected"), F.count_if("wrong").alias("n_wrong"), F.count_if(~aligned).alias("n_unaligned"))
+    by_ref = rows.where(aligned).groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.count_if("wrong").alias("n_wrong"))
+    place = F.row_number().over(Window.partitionBy("code", "rname").orderBy("name"))
+    picked = rows.where("wrong").select("code", "rname", "name").withColumn("place", place).where(F.col("place") <= samples)
+    return by_code.withColumn("wrong_share", rate("n_wrong", "n")), by_ref.withColumn("wrong_share", rate("n_wrong", "n")), picked

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
-from basewell.operators import alignment, summary
+from basewell.functions.seq import once
+from basewell.operators import alignment, metrics, summary
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, ALN_SQL, table
+from basewell.sources import fastx
+from basewell.sources.scratch import new_path
 
 
 @query(ALN_SQL + " SELECT qname, refname, col_idx, op, qpos, rpos, qbase, rbase FROM aln")
@@ -95,16 +98,9 @@ def b09_poly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.poly_table(views.alignments(spark, sf_dir).drop("qual"))
 
 
-@query(ALN_SQL + ", p AS (SELECT refname, rpos AS pos, coalesce(qbase, '-') AS base, count(*) AS n FROM aln WHERE rpos IS NOT NULL AND rpos % 10 = 0 GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY refname, pos), 9) AS ratio FROM p")
+@query(ALN_SQL + ", p AS (SELECT refname, rpos AS pos, coalesce(qbase, '-') AS base, count(*) AS n FROM aln WHERE rpos IS NOT NULL GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY refname, pos), 9) AS ratio FROM p")
 def b17_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alns = views.alignments(spark, sf_dir)
-    loci = _every_tenth(alns)
-    return alignment.pileup(alns.drop("qual"), loci).withColumn("ratio", F.round("ratio", 9))
-
-
-def _every_tenth(alns: DataFrame) -> DataFrame:
-    places = alns.select("refname", F.length("rseq").alias("n")).distinct()
-    return places.select("refname", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(10))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    return alignment.pileup(views.alignments(spark, sf_dir).drop("qual")).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(ALN_SQL + f" SELECT rpos AS pos, op = '=' AS is_match, {_QUALITY} AS baseq, count(*) AS n FROM aln WHERE rpos IN (10, 50, 100) AND qpos IS NOT NULL GROUP BY ALL")
@@ -198,3 +194,45 @@ def a42_error_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b24_insertion_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     inserted = alignment.with_ops(views.alignments(spark, sf_dir)).select("refname", F.inline("ops")).where("op = 'I'")
     return inserted.groupBy("refname", (F.col("r") - 1).cast("long").alias("pos")).agg(F.max("n").cast("long").alias("width"))
+
+
+_TRUSTED = _NEXT.rsplit(", c AS", 1)[0].replace("kinds AS (SELECT qname, op,", "kinds AS (SELECT qname, refname, op, qpos, CASE WHEN op = 'I' THEN coalesce(last_r, -1) + 1 ELSE rpos END AS p,").replace("near AS (SELECT *,", "near AS (SELECT *, last_value(rpos IGNORE NULLS) OVER (PARTITION BY qname ORDER BY col_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_r,") + """,
+  refs AS (SELECT DISTINCT refname, length(rseq) AS size FROM alignments),
+  judged AS (SELECT k.*, ((p < size // 2) OR (p >= size // 2 + 10 AND p < size)) AND p % 37 <> 5 AS here, p = 0 OR (((p - 1 < size // 2) OR (p - 1 >= size // 2 + 10 AND p - 1 < size)) AND (p - 1) % 37 <> 5) AS before FROM kinds k JOIN refs USING (refname)),
+  g AS (SELECT *, here AND (op <> 'I' OR before) AS good FROM judged),
+  t AS (SELECT qname, count_if(qpos IS NOT NULL) AS qlen, count_if(good AND op = '=') AS m, count_if(good AND op = 'X') AS x, count_if(good AND op = 'I' AND NOT hp) AS ni, count_if(good AND op = 'I' AND hp) AS hi, count_if(good AND op = 'D' AND NOT hp) AS nd, count_if(good AND op = 'D' AND hp) AS hd, count_if(NOT good) AS ignored FROM g GROUP BY qname)"""
+
+
+@query(_TRUSTED + " SELECT qname, round((m + x + ni + hi) / nullif(qlen, 0), 9) AS coverage, round(m / nullif(m + x + ni + hi + nd + hd, 0), 9) AS concordance, round(-10 * log10(greatest(1 - m / nullif(m + x + ni + hi + nd + hd, 0), 1e-6)), 6) AS concordance_qv, m AS match_bp, x AS mismatch_bp, ni AS nh_ins_bp, nd AS nh_del_bp, hi AS hp_ins_bp, hd AS hp_del_bp, ignored AS ignored_bp FROM t")
+def f02_f03_trusted_record_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alns = views.alignments(spark, sf_dir)
+    sizes = alns.select("refname", F.length("rseq").alias("size")).distinct()
+    half = F.floor(F.col("size") / 2)
+    path = new_path(spark)
+    bounds = F.array(F.struct(F.lit(0).cast("long").alias("a"), half.alias("b")), F.struct((half + 10).alias("a"), F.col("size").cast("long").alias("b")))
+    sizes.select("refname", F.inline(bounds)).select(F.concat_ws("\t", "refname", "a", "b").alias("value")).write.text(f"{path}/bed")
+    places = sizes.select("refname", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("pos")).where("pos % 37 = 5")
+    places.select(F.concat_ws("\t", "refname", "pos", F.lit("."), F.lit("N"), F.lit("N")).alias("value")).write.text(f"{path}/vcf")
+    out = alignment.masked_record_stats(alns, fastx.read_bed(spark, f"{path}/bed"), fastx.read_vcf(spark, f"{path}/vcf"))
+    return out.withColumns({"coverage": F.round("coverage", 9), "concordance": F.round("concordance", 9), "concordance_qv": F.round("concordance_qv", 6)})
+
+
+@query(ALN_SQL + " SELECT qname, count(*) AS n, count(rpos) AS mapped, sum(rpos)::BIGINT AS total, max(rpos) FILTER (qpos = 10)::INT AS tenth FROM aln WHERE qpos IS NOT NULL GROUP BY qname")
+def s23_query_to_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = once(alignment.query_to_ref(views.alignments(spark, sf_dir)).select("qname", "ref_of"), "ref_of")
+    mapped = F.filter("ref_of", lambda r: r.isNotNull())
+    total = F.aggregate(mapped, F.lit(0).cast("long"), lambda t, r: t + r)
+    return placed.select("qname", F.size("ref_of").cast("long").alias("n"), F.size(mapped).cast("long").alias("mapped"), F.when(F.size(mapped) > 0, total).alias("total"), F.get("ref_of", F.lit(10)).alias("tenth"))
+
+
+@query(ALN_SQL + f", q AS (SELECT {_QUALITY} AS baseq, count(*) AS depth, count_if(op = '=') AS eq FROM aln WHERE qpos IS NOT NULL GROUP BY 1), e AS (SELECT *, eq / depth AS emp_rq, -10 * log10(1 - least(eq / depth, 1 - 1e-6)) AS emp_phred FROM q) SELECT baseq, depth::BIGINT AS depth, round(emp_rq, 9) AS emp_rq, round(emp_phred, 6) AS emp_phred FROM e")
+def a25_empirical_base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.empirical_quality(alignment.base_quality_table(views.alignments(spark, sf_dir)))
+    return found.select("baseq", "depth", F.round("emp_rq", 9).alias("emp_rq"), F.round("emp_phred", 6).alias("emp_phred"))
+
+
+@query(ALN_SQL + f", q AS (SELECT {_QUALITY} AS baseq, count(*) AS depth, count_if(op = '=') AS eq FROM aln WHERE qpos IS NOT NULL GROUP BY 1), e AS (SELECT *, -10 * log10(1 - least(eq / depth, 1 - 1e-6)) AS emp FROM q) SELECT "
+       + ", ".join(f"round(sum(depth) FILTER (baseq >= {k}) / sum(depth), 9) AS share_{k}" for k in (20, 30, 35)) + ", " + ", ".join(f"round({x}, 6) AS {n}" for n, x in {"mse": "avg((baseq - emp) * (baseq - emp)) FILTER (depth > 1000)", "rmse": "sqrt(avg((baseq - emp) * (baseq - emp)) FILTER (depth > 1000))", "mae": "avg(abs(baseq - emp)) FILTER (depth > 1000)", "med_ae": "median(abs(baseq - emp)) FILTER (depth > 1000)", "mape": "avg(abs(emp - baseq) / emp) FILTER (depth > 1000)", "smape": "avg(2 * abs(baseq - emp) / (baseq + emp)) FILTER (depth > 1000)"}.items()) + " FROM e")
+def a25_base_quality_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.base_quality_errors(metrics.empirical_quality(alignment.base_quality_table(views.alignments(spark, sf_dir))), least_depth=1000)
+    return out.select([F.round(c, 9 if c.startswith("share") else 6).alias(c) for c in out.columns])

@@ -33,14 +33,44 @@ def a07_segment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.share_table(_facts(spark, sf_dir), F.least(F.col("seg") * 4, F.lit(20)))
 
 
-_CLASSES = "CASE WHEN seg <> 2 THEN 'other' WHEN diff <= 1 AND ins > 3 THEN 'sv' WHEN diff <= 1 THEN 'noCut' WHEN diff <= 3 AND ins > 3 THEN 'svCandidate' WHEN diff <= 3 THEN 'noCutCandidate' WHEN eq * 20 < qlen * 17 THEN 'badCase-lowIdentity' ELSE 'badCase' END"
+_CLASSES = """CASE WHEN q >= 0.02 THEN CASE WHEN identity < 0.85 THEN 'badCase-lowIdentity' ELSE 'badCase' END WHEN r > 0.9 AND gap < 20 THEN 'sv' WHEN r < 0.02 AND gap < 20 THEN 'noCut' WHEN r > 0.9 THEN 'svCandidate'
+  WHEN r < 0.02 THEN 'noCutCandidate' WHEN identity < 0.85 THEN 'badCase-lowIdentity' ELSE 'badCase' END"""
 
 
-@query(FACTS_SQL + f" SELECT {_CLASSES} AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS ratio FROM facts GROUP BY 1")
+@query(FACTS_SQL + f", segs AS (SELECT diff * 0.008 AS q, ins * 0.24 AS r, del * 10 AS gap, {_ID} AS identity FROM facts WHERE seg = 2) SELECT {_CLASSES} AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS ratio FROM segs GROUP BY 1")
 def a08_two_segment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few, some, long_ = F.col("diff") <= 1, F.col("diff") <= 3, F.col("ins") > 3
-    kind = F.when(F.col("seg") != 2, "other").when(few & long_, "sv").when(few, "noCut").when(some & long_, "svCandidate").when(some, "noCutCandidate").when(F.col("eq") * 20 < F.col("qlen") * 17, "badCase-lowIdentity").otherwise("badCase")
-    return metrics.share_table(_facts(spark, sf_dir), kind)
+    kind = metrics.two_segment_class(F.col("diff") * 0.008, F.col("ins") * 0.24, F.col("del") * 10, F.col("identity"))
+    return metrics.share_table(_facts(spark, sf_dir).where("seg = 2"), kind)
+
+
+@query(FACTS_SQL + ", c AS (SELECT eq + diff + ins + homo_ins AS c, eq + diff AS p, eq + diff + ins AS m, qlen AS s, " + _ID + " AS identity FROM facts) SELECT sum(c)::DOUBLE AS aligned_bases, round(sum(p) / sum(s), 9) AS query_coverage, round(sum(m) / sum(s), 9) AS query_coverage_2, round(sum(c) / sum(s), 9) AS query_coverage_3, "
+       + ", ".join(f"round(quantile_cont({x}, {q}), 9) AS {n}_p{int(100 * q)}" for n, x in (("coverage", "p::DOUBLE / s"), ("identity", "identity")) for q in (0.25, 0.5, 0.75)) + " FROM c")
+def a11_coverage_and_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.coverage_rates(_facts(spark, sf_dir), covered=metrics.total("eq", "diff", "ins", "homo_ins"), primary=metrics.total("eq", "diff"), misc=metrics.total("eq", "diff", "ins"), size=F.col("qlen"), identity=F.col("identity"))
+    return out.select([F.round(c, 9).alias(c) if c != "aligned_bases" else F.col(c) for c in out.columns])
+
+
+_BARCODES = FACTS_SQL + ", b AS (SELECT qname || '.' || seg AS name, tag, nullif(rname, '') AS rname, CASE tag WHEN 'A' THEN 'chr2' WHEN 'N' THEN 'chr3' WHEN 'R' THEN 'chr4' END AS expected FROM facts)"
+
+
+def _barcodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    expected = spark.createDataFrame([("A", "chr2"), ("N", "chr3"), ("R", "chr4")], "tag string, expected string")
+    return metrics.barcode_errors(_facts(spark, sf_dir).withColumn("name", F.concat_ws(".", "qname", "seg")), expected, name="name", barcode="tag", rname="rname")
+
+
+@query(_BARCODES + " SELECT tag AS code, count(*) AS n, count_if(rname = expected) AS n_expected, count_if(rname <> expected) AS n_wrong, count_if(rname IS NULL) AS n_unaligned, round(count_if(rname <> expected) / count(*), 9) AS wrong_share FROM b GROUP BY tag")
+def a59_errors_by_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _barcodes(spark, sf_dir)[0].withColumn("wrong_share", F.round("wrong_share", 9))
+
+
+@query(_BARCODES + " SELECT rname, count(*) AS n, count_if(rname <> expected) AS n_wrong, round(count_if(rname <> expected) / count(*), 9) AS wrong_share FROM b WHERE rname IS NOT NULL GROUP BY rname")
+def a59_errors_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _barcodes(spark, sf_dir)[1].withColumn("wrong_share", F.round("wrong_share", 9))
+
+
+@query(_BARCODES + ", o AS (SELECT tag AS code, rname, name, row_number() OVER (PARTITION BY tag, rname ORDER BY name, expected)::INT AS place FROM b WHERE rname <> expected) SELECT * FROM o WHERE place <= 3")
+def a59_samples_of_each_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _barcodes(spark, sf_dir)[2]
 
 
 @query("WITH lists AS (SELECT l_orderkey, string_agg(l_quantity::BIGINT::VARCHAR, ',' ORDER BY l_linenumber, l_quantity::BIGINT::VARCHAR) AS gaps FROM lineitem GROUP BY l_orderkey), each AS (SELECT unnest(string_split(gaps, ',')[2:]) AS gap FROM lists), c AS (SELECT gap::BIGINT AS gap, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS ratio FROM each GROUP BY gap) SELECT * FROM c ORDER BY ratio DESC, gap LIMIT 20")
@@ -134,14 +164,23 @@ def a23_global_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALIBRATED = READS_SQL + ", m AS (SELECT -10 * log10(1 - least(rq, 0.99999)) AS p, least(40.0, length(seq) / 50.0 + 1)::DOUBLE AS m FROM reads)"
 
 
+def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.reads(spark, sf_dir).select(S.phred("rq", cap=0.99999).alias("p"), F.least(F.lit(40.0), F.length("seq") / 50.0 + 1).alias("m"))
+
+
 @query(_CALIBRATED + " SELECT round(avg(p - m), 9) AS me, round(median(p - m), 9) AS med_e, round(avg(abs(p - m)), 9) AS mae, round(avg(abs(p - m) / m), 9) AS mape, round(sqrt(avg((p - m) * (p - m))), 9) AS rmse, "
        + ", ".join(f"round(count_if(p >= {k} AND m >= {k}) / nullif(count_if(p >= {k}), 0), 9) AS precision_{k}, round(count_if(p >= {k} AND m >= {k}) / nullif(count_if(m >= {k}), 0), 9) AS recall_{k}" for k in (13, 20, 25, 30)) + " FROM m")
 def a24_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.reads(spark, sf_dir).select(S.phred("rq", cap=0.99999).alias("p"), F.least(F.lit(40.0), F.length("seq") / 50.0 + 1).alias("m"))
-    out = metrics.calibration(pairs, "p", "m")
+    out = metrics.calibration(_calibrated(spark, sf_dir), "p", "m")
     return out.select([F.round(c, 9).alias(c) for c in out.columns])
 
 
+@query(_CALIBRATED + " SELECT floor(p)::BIGINT AS level, count(*) AS n, round(avg(m), 9) AS mean, " + ", ".join(f"round(quantile_cont(m, {q}), 9) AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75)) + " FROM m GROUP BY 1")
+def a24_calibration_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.calibration_by_level(_calibrated(spark, sf_dir), "p", "m")
+    return out.select("level", "n", *[F.round(c, 9).alias(c) for c in ("mean", "p25", "p50", "p75")])
+
+
 @query(FACTS_SQL + ", q AS (SELECT ch, sum(eq) AS e, sum(qlen) AS d, avg(np) + 5 AS p FROM facts GROUP BY ch HAVING sum(qlen) > 10000), x AS (SELECT p, -10 * log10(1 - e / d) AS m FROM q) SELECT round(avg((p - m) * (p - m)), 6) AS mse, round(avg(abs(p - m)), 6) AS mae, round(median(abs(p - m)), 6) AS med_ae, round(avg(2 * abs(p - m) / (abs(p) + abs(m))), 9) AS smape FROM x")
 def a25_base_quality_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _facts(spark, sf_dir).groupBy("ch").agg(F.sum("eq").alias("e"), F.sum("qlen").alias("d"), (F.avg("np") + 5).alias("p")).where("d > 10000")
@@ -203,10 +242,10 @@ def a52_ratio_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_channel.groupBy("base", "true_cnt", "called").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 9).alias("median"), F.transform(ends, lambda v: F.round(v, 9)).alias("ends"))
 
 
-@query(FACTS_SQL + ", c AS (SELECT ch, base, count(*) FILTER (called = true_cnt - 1) AS less, count(*) FILTER (called = true_cnt) AS same, count(*) AS n FROM facts GROUP BY ch, base), d AS (SELECT base, (less - same) / n AS delta FROM c WHERE less > 0 AND same > 0) SELECT base, least(20, greatest(0, floor((delta + 1) * 10)))::BIGINT AS bin, count(*) AS k FROM d GROUP BY 1, 2")
+@query(FACTS_SQL + ", c AS (SELECT qname, base, count(*) FILTER (called = true_cnt - 1) AS less, count(*) FILTER (called = true_cnt) AS same, count(*) AS n FROM facts GROUP BY qname, base), d AS (SELECT base, (less - same) / n AS delta FROM c WHERE less > 0 AND same > 0) SELECT base, least(20, greatest(0, floor((delta + 1) * 10)))::BIGINT AS bin, count(*) AS k FROM d GROUP BY 1, 2")
 def a53_delta_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("called") == F.col("true_cnt") - 1, "less").when(F.col("called") == F.col("true_cnt"), "same").otherwise("rest")
-    wide = _facts(spark, sf_dir).withColumn("kind", kind).groupBy("ch", "base").pivot("kind", ["less", "same", "rest"]).agg(F.count(F.lit(1))).where("less > 0 and same > 0")
+    wide = _facts(spark, sf_dir).withColumn("kind", kind).groupBy("qname", "base").pivot("kind", ["less", "same", "rest"]).agg(F.count(F.lit(1))).where("less > 0 and same > 0")
     delta = wide.withColumn("delta", (F.col("less") - F.col("same")) / (F.col("less") + F.col("same") + F.coalesce("rest", F.lit(0))))
     return delta.groupBy("base", filters.clamp(F.floor((F.col("delta") + 1) * 10), 0, 20).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("k"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
-from basewell.operators import filters, summary
+from basewell.operators import filters, joins, summary
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, READS_SQL, SUBREADS_SQL
@@ -132,6 +132,17 @@ def a45_quality_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("log_n", F.round(F.log1p("n"), 9))
 
 
+@query(READS_SQL + ", spots AS (SELECT qual, unnest(range(length(qual))) AS i FROM reads) SELECT i::BIGINT AS pos, (ascii(substr(qual, i + 1, 1)) - 33)::BIGINT AS q, count(*) AS n FROM spots GROUP BY 1, 2")
+def a45_quality_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.quality_by_position(views.reads(spark, sf_dir), "qual")
+
+
+@query(READS_SQL + " SELECT np, round(count_if(-10 * log10(1 - rq + 1e-6) >= 20) / count(*), 9) AS share FROM reads WHERE np = 4 GROUP BY np")
+def a01_q20_of_four_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four = views.reads(spark, sf_dir).where("np = 4").select("np", S.phred("rq", eps=1e-6).alias("q"))
+    return four.groupBy("np").agg(F.round(F.avg((F.col("q") >= 20).cast("double")), 9).alias("share"))
+
+
 @query(SUBREADS_SQL + " SELECT ch, turn, length(seq)::BIGINT AS n FROM subreads WHERE ch IN (SELECT ch FROM subreads GROUP BY ch ORDER BY ch LIMIT 10)")
 def a58_first_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = views.subreads(spark, sf_dir)
@@ -251,11 +262,11 @@ def w05_running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("np", "n", F.round(F.sum("n").over(order) / F.sum("n").over(Window.partitionBy()), 9).alias("running"), F.round(F.cume_dist().over(order), 9).alias("dist"))
 
 
-@query("SELECT p_brand, p_type, p_size::BIGINT AS p_size, row_number() OVER (ORDER BY length(p_type), p_type, p_size, p_partkey)::BIGINT AS place FROM part QUALIFY place <= 100")
+@query("SELECT p_brand, p_type, p_size::BIGINT AS p_size, row_number() OVER (ORDER BY length(p_type), p_type, p_size, p_partkey)::BIGINT AS place FROM part")
 def w06_sort_by_computed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = views.table(spark, sf_dir, "part").orderBy(F.length("p_type"), "p_type", "p_size", "p_partkey").limit(100)
-    place = F.row_number().over(Window.orderBy(F.length("p_type"), "p_type", "p_size", "p_partkey")).cast("long")
-    return ordered.select("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"), place.alias("place"))
+    parts = views.table(spark, sf_dir, "part").withColumn("n", F.length("p_type"))
+    places = joins.numbered(parts, ["n", "p_type", "p_size", "p_partkey"], "place", 1)
+    return parts.join(places.select("p_partkey", "place"), "p_partkey").select("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"), "place").orderBy("place")
 
 
 @query(READS_SQL + " SELECT run, qname, length(seq)::BIGINT AS n FROM reads QUALIFY row_number() OVER (PARTITION BY run ORDER BY length(seq) DESC, qname) <= 3")
@@ -269,11 +280,11 @@ def w08_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.seeded_sample(views.reads(spark, sf_dir).select("qname"), "qname", 100, 7)
 
 
-@query("SELECT c_name, row_number() OVER (ORDER BY try_cast(split_part(c_name, '#', -1) AS BIGINT), c_name)::BIGINT AS place FROM customer QUALIFY place <= 50")
+@query("SELECT c_name, row_number() OVER (ORDER BY try_cast(split_part(c_name, '#', -1) AS BIGINT), c_name)::BIGINT AS place FROM customer")
 def w09_numeric_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.element_at(F.split("c_name", "#"), -1).try_cast("long")
-    first = views.table(spark, sf_dir, "customer").orderBy(key.asc_nulls_last(), "c_name").limit(50)
-    return first.select("c_name", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "c_name")).cast("long").alias("place"))
+    key = F.coalesce(F.element_at(F.split("c_name", "#"), -1).try_cast("long"), F.lit((1 << 63) - 1))
+    names = views.table(spark, sf_dir, "customer").select(key.alias("key"), "c_name")
+    return joins.numbered(names, ["key", "c_name"], "place", 1).select("c_name", "place").orderBy("place")
 
 
 @query(READS_SQL + " SELECT qname AS name, length(seq)::BIGINT AS n, NULL::INT AS cx FROM reads UNION ALL SELECT ch::VARCHAR, length(translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '', ''))::BIGINT, 1 FROM (SELECT conv_id AS ch, text FROM conversations)")

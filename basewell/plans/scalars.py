@@ -9,6 +9,7 @@ from basewell.functions import seq as S
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, ERRORS_SQL, READS_SQL
+from basewell.sources import fastx
 
 _PHRED = {
     "cap_1e10": ("-10 * log10(1 - least(rq, 1 - 1e-10))", {"cap": 1 - 1e-10}), "cap_1e6": ("-10 * log10(1 - least(rq, 1 - 1e-6))", {"cap": 1 - 1e-6}), "plus_1e6": ("-10 * log10(1 - rq + 1e-6)", {"eps": 1e-6}),
@@ -139,3 +140,13 @@ def s22_run_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s24_date_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_x.csv"))
     return views.table(spark, sf_dir, "orders").select("o_orderkey", S.run_date(name).alias("run_date"))
+
+
+@query(READS_SQL + " SELECT qname, 'dw:' || array_to_string(list_transform(range(length(seq)), lambda i: '9'), ',') || ';np:' || np AS tags, '@RG' || chr(9) || 'RUN:' || run || chr(9) || 'SM:x:y' AS header FROM reads WHERE length(seq) > 0")
+def s10_tags_and_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = views.reads(spark, sf_dir).where(F.length("seq") > 0)
+    tags = F.create_map(F.lit("np"), F.col("np").cast("string"), F.lit("dw"), F.lit("1,2"), F.lit("ar"), F.lit("3"))
+    made = fastx.with_constant_tag(fastx.without_tags(tags, ("ar",)), "dw", "9", F.col("seq"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(made)), lambda e: F.concat_ws(":", e["key"], e["value"])), ";")
+    header = fastx.renamed_fields(F.concat(F.lit("@RG\tID:"), "run", F.lit("\tSM:x:y")), {"ID": "RUN"})
+    return reads.select("qname", text.alias("tags"), header.alias("header"))

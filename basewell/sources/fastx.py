@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import mean_accuracy
+from basewell.functions.seq import mean_accuracy, phred
 
 BED = "refname string, start long, end long"
 VCF = "refname string, pos long, id string, ref string, alt string"
@@ -130,3 +130,64 @@ def by_barcode(df: DataFrame, barcode: str = "barcode", least: int = 1000) -> Da
     """Rows of barcodes with at least so many reads."""
     enough = df.groupBy(F.col(barcode).alias("code")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return df.join(enough, df[barcode].eqNullSafe(enough["code"]), "left_semi")
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """(qname, seq) of a reference file, by the path's extension."""
+    kind = path.rstrip("/").removesuffix(".gz").rsplit(".", 1)[-1].lower()
+    if kind in ("fa", "fasta", "fna"):
+        return read_fasta(spark, path)
+    if kind in ("fq", "fastq"):
+        return read_fastq(spark, path).select("qname", "seq")
+    if kind == "sam":
+        return read_sam(spark, path).select("qname", "seq")
+    raise ValueError(f"no reader for a reference that ends in .{kind}")
+
+
+def basic_table(sam: DataFrame) -> DataFrame:
+    """(qname, np, rq, read_len): no passes count as 0, and quality is ``cq`` or from ``rq``. Records that have neither, or no bases, are skipped."""
+    tag = lambda t, kind: F.get(F.array(F.col("tags")[t]), F.lit(0)).try_cast(kind)
+    quality = F.coalesce(tag("cq", "double"), phred(tag("rq", "double"), eps=1e-6))
+    rows = sam.where("seq is not null and seq <> '*'").select("qname", F.coalesce(tag("np", "int"), F.lit(0)).alias("np"), quality.alias("rq"), F.length("seq").cast("long").alias("read_len"))
+    return rows.where("rq is not null")
+
+
+def dump_basic(sam: DataFrame, path: str) -> str | None:
+    """Writes the basic table; None, and no file, where no record is left."""
+    basic = basic_table(sam)
+    if basic.isEmpty():
+        return None
+    write_metrics(basic, path)
+    return path
+
+
+def read_tables_under(spark: SparkSession, folder: str, schema: str, *, pattern: str = "*.csv", sample: str = r"([^/]+?)(\.[^/.]+)*$") -> DataFrame:
+    """All tab-separated tables below a folder, with ``sample`` cut out of each file's path."""
+    options = {"recursiveFileLookup": True, "pathGlobFilter": pattern, "sep": "\t", "header": True}
+    return spark.read.schema(schema).options(**options).csv(folder).select("*", F.regexp_extract("_metadata.file_path", sample, 1).alias("sample"))
+
+
+def merged_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of many SAM texts as one: the header of the first, then the records of all."""
+    lines = [spark.read.text(p) for p in paths]
+    header = F.startswith("value", F.lit("@"))
+    out = lines[0].where(header)
+    for each in lines:
+        out = out.unionByName(each.where(~header))
+    return out
+
+
+def without_tags(tags: Column, names: tuple[str, ...]) -> Column:
+    return F.map_filter(tags, lambda k, _: ~k.isin(*names))
+
+
+def with_constant_tag(tags: Column, name: str, value: str, seq: Column) -> Column:
+    """Tags with a per-base one set to the same value for every base."""
+    return F.map_concat(without_tags(tags, (name,)), F.create_map(F.lit(name), F.array_join(F.array_repeat(F.lit(value), F.length(seq)), ",")))
+
+
+def renamed_fields(header: Column, names: dict[str, str]) -> Column:
+    """A tab-separated header line with its fields renamed; values stay."""
+    field = lambda f: F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.substring_index(f, ":", 1)], F.substring_index(f, ":", 1))
+    one = lambda f: F.when(F.instr(f, ":") > 0, F.concat(field(f), F.substring(f, F.instr(f, ":"), F.length(f)))).otherwise(f)
+    return F.array_join(F.transform(F.split(header, "\t"), one), "\t")
