@@ -1,15 +1,16 @@
 """Substring dedup on sentences: every run of several consecutive sentences is hashed and looked up in the whole corpus.
 
 A text is cut into sentences: a sentence ends with a word that ends in ``.``, ``!`` or ``?`` (quotes and brackets may
-follow), at a line end, and with the text; one of more than LONG words counts as several of LONG words each, from its
-start. From each sentence the shortest run of at least RUN sentences and WORDS words is taken; short sentences that
-many texts share by chance don't make a run. Runs are compared by their words, lower-cased (A-Z). The first
-occurrence in the corpus stays; sentences that a later occurrence covers go.
+follow), at a line end, and with the text. From each sentence the run of RUN sentences is taken. Runs are compared by
+their words, lower-cased (A-Z). The first occurrence in the corpus stays; sentences that a later occurrence covers go.
+Options, off unless given: ``words``, the least words of a run (it then grows until it has them), and ``long``, from
+which on a sentence counts as several of that many words.
 
 Runs begin at sentences, so with the option ``passage`` every stretch of that many words is looked up besides,
-wherever it begins. Of the word grams in a stretch the one of least hash is its anchor: equal stretches have equal
-anchors, so the stretches of one anchor travel as one row of hashes, keyed by the anchor's gram. Stretches of grams
-that very many texts share (hashed counters over the whole corpus tell) are keyed by their own hashes instead.
+wherever it begins, in two steps. Of the word grams in a stretch the one of least hash is its anchor, and equal
+stretches have equal anchors. An anchor stands for all stretches that select it: anchors whose gram is alone drop out,
+and of equal ones all but the first go. Only the stretches of what is left are looked up one by one, by their own
+hashes, so a gram that very many texts hold is spread over what surrounds it.
 
 Each task settles the repeats among its own rows first, so a passage that a third of all documents share reaches the
 shuffle once for each task.
@@ -21,24 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.llm import textbytes as tb
 from basewell.llm.common import with_row_id
-from basewell.llm.spans import FOUND, SHIFT, STRIPPED, found_rows, merged, removed_rows, settle, strip, without
+from basewell.llm.spans import FOUND, SHIFT, STRIPPED, found_rows, merged, removed_rows, settle, still_open, strip, without
 
 RUN = 3
-WORDS = 20
-LONG = 10
-SETTLE_ROWS = 1_000_000
+SETTLE_ROWS = 500_000
 #: Words of an anchor's gram, and of the stretches that the query looks up besides runs.
 GRAM = 16
 PASSAGE = 51
-SKETCH = 1 << 16
-#: A gram counts as very common from so many anchors over the median counter on.
-COMMON = 4096
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -46,7 +41,7 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[list(b"\"')]}")] = True
 
 
-def sentence_runs(block: tb.Block, run: int = RUN, words: int = WORDS, long: int = LONG) -> tuple[np.ndarray, ...]:
+def sentence_runs(block: tb.Block, run: int = RUN, words: int = 0, long: int = 0) -> tuple[np.ndarray, ...]:
     """(two hashes, row, start, length) of each run, in bytes of its text."""
     starts, ends, bounds = tb.words(block)
     n = len(starts)
@@ -61,14 +56,14 @@ def sentence_runs(block: tb.Block, run: int = RUN, words: int = WORDS, long: int
     last[bounds[1:][bounds[1:] > 0] - 1] = True
     first = np.r_[True, last[:-1]]
     begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    unit = np.flatnonzero(first | ((np.arange(n) - begin) % long == 0))
+    unit = np.flatnonzero(first | ((np.arange(n) - begin) % long == 0 if long else False))
     row = np.searchsorted(bounds, unit, "right") - 1
     edge = np.r_[unit, n]
     close = np.maximum(np.searchsorted(edge, unit + words), np.arange(len(unit)) + run)
     fits = close < len(edge)
     fits &= edge[np.minimum(close, len(edge) - 1)] <= bounds[row + 1]
     a, b, row = unit[fits], edge[close[fits]], row[fits]
-    codes = tb.Hasher(block.data, lower=True)(starts, ends)
+    codes = tb.word_codes(block, starts, ends, lower=True)
     keys = [tb.Hasher(codes, codes=tb.mix(codes + np.uint64(seed)))(a, b) for seed in (1, 2)]
     return *keys, row, starts[a] - block.offsets[row], ends[b - 1] - starts[a]
 
@@ -99,75 +94,45 @@ def _run_rows(run: int, words: int, long: int):
     return rows
 
 
-def passage_windows(block: tb.Block, size: int) -> tuple[np.ndarray, ...]:
-    """(gram, two hashes, anchor, row, first word) of each stretch of size words; anchor is the gram's place in the block."""
+def passage_anchors(block: tb.Block, size: int) -> tuple[np.ndarray, ...]:
+    """(gram hash, hash of all its words, row, first word, words) of each anchor with the stretches of size words that select it."""
     starts, ends, bounds = tb.words(block)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     begin = np.flatnonzero(np.arange(len(starts)) + size <= bounds[row + 1])
     if not len(begin):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     gram = min(GRAM, size)
-    codes = tb.Hasher(block.data, lower=True)(starts, ends)
+    codes = tb.word_codes(block, starts, ends, lower=True)
     at = np.arange(len(starts) - gram + 1)
     grams = tb.Hasher(codes, codes=tb.mix(codes + np.uint64(3)))(at, at + gram)
     anchor = begin + np.lib.stride_tricks.sliding_window_view(grams, size - gram + 1)[begin].argmin(axis=1)
-    one, two = (tb.Hasher(codes, codes=tb.mix(codes + np.uint64(seed)))(begin, begin + size) for seed in (4, 5))
-    return grams[anchor], one, two, anchor, row[begin], begin - bounds[row[begin]]
-
-
-def _counter(gram: np.ndarray) -> np.ndarray:
-    return (tb.mix(gram) % np.uint64(SKETCH)).astype(np.int64)
-
-
-def _anchor_counts(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for block in tb.blocks(batch.column(0)):
-                gram, _, _, anchor, _, _ = passage_windows(block, size)
-                if len(anchor):
-                    counts += np.bincount(_counter(gram[np.r_[True, anchor[1:] != anchor[:-1]]]), minlength=SKETCH)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "many"])
-
-    return run
+    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (begin[1:] != begin[:-1] + 1)])
+    last = begin[np.r_[new[1:], len(begin)] - 1]
+    first = begin[new]
+    whole = tb.Hasher(codes, codes=tb.mix(codes + np.uint64(4)))(first, last + size)
+    return grams[anchor[new]], whole, row[first], first - bounds[row[first]], last + size - first
 
 
-_PACKED = FOUND + ", hashes binary"
-
-
-def _packed(found: pa.RecordBatch, hashes: pa.Array | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.binary()) if hashes is None else hashes], [*found.schema.names, "hashes"])
-
-
-def _passage_rows(size: int, common: np.ndarray):
-    """Stretches that repeat earlier ones of their task as removed words; the others by gram, or by hash where the gram is common."""
+def _anchor_rows(size: int):
+    """Places are counted in words here. Word k is 2k and what follows it 2k + 1, so that removed stretches that only touch stay two."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def settled() -> Iterator[pa.RecordBatch]:
-            gram, one, two, anchor, doc, word = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, whole, doc, word, many = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, again = settle((one, two), doc, word)
-            later = order[again]
+            order, again = settle((gram, whole), doc, word)
+            later, first = order[again], order[~again]
             if len(later):
-                yield _packed(removed_rows(doc[later], 2 * word[later], np.full(len(later), 2 * size - 1)))
-            first = np.sort(order[~again])
-            gram, one, two, anchor, doc, word = (x[first] for x in (gram, one, two, anchor, doc, word))
-            hot = common[_counter(gram)]
-            new = hot | np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1] + 1)]
-            begin = np.flatnonzero(new)
-            key = np.where(hot, two, gram)[begin]
-            edge = (np.r_[begin, len(one)] * 8).astype(np.int32)
-            hashes = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(one))])
-            yield _packed(found_rows(key, key, doc[begin], word[begin], np.full(len(begin), size), False), hashes)
+                yield removed_rows(doc[later], 2 * word[later], 2 * many[later] - 1)
+            yield found_rows(gram[first], whole[first], doc[first], 2 * word[first], 2 * many[first] - 1, False)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column(1)):
-                gram, one, two, anchor, row, word = passage_windows(block, size)
-                held.append((gram, one, two, anchor, ids[block.first + row], word))
+                gram, whole, row, word, many = passage_anchors(block, size)
+                held.append((gram, whole, ids[block.first + row], word, many))
                 if sum(len(h[0]) for h in held) >= SETTLE_ROWS:
                     yield from settled()
         if held:
@@ -176,60 +141,59 @@ def _passage_rows(size: int, common: np.ndarray):
     return rows
 
 
-def _later_passages(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by key: (doc, place) of the words that stretches cover which aren't the first of their kind."""
-        held: list[pa.RecordBatch] = []
+def _stretch_rows(size: int):
+    """From (row_id, text, open places) each stretch of size words there, by its hashes."""
 
-        def groups(table: pa.Table) -> pa.RecordBatch:
-            keys, doc, place = (table.column(i).to_numpy() for i in (0, 2, 3))
-            hashes = table.column(5).to_pylist()
-            many = np.array([len(h) // 8 for h in hashes], np.int64)
-            one = np.frombuffer(b"".join(hashes), np.uint64)
-            step = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
-            keys, doc, word = np.repeat(keys, many), np.repeat(doc, many), np.repeat(place >> SHIFT, many) + step
-            order, again = settle((keys, one), doc, word)
-            later = order[again]
-            return spans(removed_rows(doc[later], 2 * word[later], np.full(len(later), 2 * size - 1)))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def spans(found: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([found.column(i).combine_chunks() if isinstance(found, pa.Table) else found.column(i) for i in (2, 3)], ["doc", "place"])
+        def settled() -> Iterator[pa.RecordBatch]:
+            one, two, doc, word = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order, again = settle((one, two), doc, word)
+            later, first = order[again], order[~again]
+            if len(later):
+                yield removed_rows(doc[later], 2 * word[later], np.full(len(later), 2 * size - 1))
+            yield found_rows(one[first], two[first], doc[first], 2 * word[first], np.full(len(first), 2 * size - 1), False)
 
         for batch in batches:
-            known = batch.column(4)
-            gone = batch.filter(known)
-            if gone.num_rows:
-                yield spans(gone)
-            rest = batch.filter(pc.invert(known))
-            if not rest.num_rows:
-                continue
-            held.append(rest)
-            if sum(b.num_rows for b in held) < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-            if cut:
-                yield groups(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
+            ids, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for block in tb.blocks(batch.column(1)):
+                starts, ends, bounds = tb.words(block)
+                codes = tb.word_codes(block, starts, ends, lower=True)
+                hashers = [tb.Hasher(codes, codes=tb.mix(codes + np.uint64(seed))) for seed in (5, 6)]
+                begin, doc, word = [], [], []
+                for row in range(len(bounds) - 1):
+                    for place in places[block.first + row]:
+                        first, many = (place >> SHIFT) // 2, ((place & ((1 << SHIFT) - 1)) + 1) // 2
+                        own = np.arange(first, first + many - size + 1)
+                        begin.append(bounds[row] + own)
+                        doc.append(np.full(len(own), ids[block.first + row]))
+                        word.append(own)
+                if not begin:
+                    continue
+                begin, doc, word = (np.concatenate(x) for x in (begin, doc, word))
+                held.append((*(h(begin, begin + size) for h in hashers), doc, word))
+                if sum(len(h[0]) for h in held) >= SETTLE_ROWS:
+                    yield from settled()
         if held:
-            yield groups(pa.Table.from_batches(held))
+            yield from settled()
 
-    return run
+    return rows
 
 
 def repeated_passages(rows: DataFrame, size: int) -> DataFrame:
     """rows (row_id, text) to (doc, passages): stretches of size words that have occurred before, as places in words."""
-    counts = np.zeros(SKETCH, np.int64)
-    for counter, many in rows.select("text").mapInArrow(_anchor_counts(size), "counter long, many long").groupBy("counter").agg(F.sum("many")).collect():  # at most SKETCH rows
-        counts[counter] = many
-    common = counts - np.median(counts) >= COMMON
-    dealt = rows.mapInArrow(_passage_rows(size, common), _PACKED).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_later_passages(size), "doc long, place long").groupBy("doc").agg(F.collect_list("place").alias("passages"))
+    open_ = still_open(rows.mapInArrow(_anchor_rows(size), FOUND))
+    lists = open_.where("not removed").groupBy("doc").agg(F.collect_list("place").alias("open"))
+    stretches = rows.join(lists, rows["row_id"] == lists["doc"]).select("row_id", "text", "open").mapInArrow(_stretch_rows(size), FOUND)
+    turn = F.row_number().over(Window.partitionBy("key", "digest").orderBy("doc", "place"))
+    later = stretches.withColumn("turn", turn).where("removed or turn > 1").select("doc", "place")
+    return open_.where("removed").select("doc", "place").unionByName(later).groupBy("doc").agg(F.collect_list("place").alias("passages"))
 
 
 def in_bytes(data: bytes, passages: list[int]) -> list[int]:
-    """Places in words as places in bytes. Word k is 2k and what follows it 2k + 1, so places that only touch stay two."""
+    """Places in words as places in bytes."""
     most, out = (1 << SHIFT) - 1, []
     starts, ends, _ = tb.words(tb.Block(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])))
     for first, last in merged(passages):
@@ -251,7 +215,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from strip(placed())
 
 
-def repeated_places(rows: DataFrame, run: int = RUN, words: int = WORDS, long: int = LONG) -> DataFrame:
+def repeated_places(rows: DataFrame, run: int = RUN, words: int = 0, long: int = 0) -> DataFrame:
     """rows (row_id, text) to (doc, places): stretches covered by a run that isn't the first of its kind."""
     found = rows.mapInArrow(_run_rows(run, words, long), FOUND)
     turn = F.row_number().over(Window.partitionBy("key", "digest").orderBy("doc", "place"))

@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from basewell.llm import textbytes as tb
+from basewell.llm.common import materialize
 
 SHIFT = 24
 U64 = np.uint64
@@ -58,6 +61,14 @@ def removed_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.R
     return found_rows(spread, spread, doc, start, length, True)
 
 
+def still_open(found: DataFrame) -> DataFrame:
+    """Of stretches by key and digest a table (doc, place, removed) of those to remove (all but the first of equal ones) and of first ones beside different ones of their key."""
+    by_digest = Window.partitionBy("key", "digest").orderBy("doc", "place")
+    first = F.col("turn") == 1
+    ranked = found.repartition("key").withColumn("turn", F.row_number().over(by_digest)).withColumn("kinds", F.sum(first.cast("int")).over(Window.partitionBy("key")))
+    return materialize(ranked.where("removed or turn > 1 or kinds > 1").select("doc", "place", (F.col("removed") | ~first).alias("removed")))
+
+
 STRIPPED = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from basewell.llm import textbytes as tb
 from basewell.llm.common import materialize, with_row_id
-from basewell.llm.spans import FOUND, SHIFT, STRIPPED, found_rows, removed_rows, settle, strip
+from basewell.llm.spans import FOUND, SHIFT, STRIPPED, found_rows, removed_rows, settle, still_open, strip
 
 LENGTH = 100
 GRAM = 32
 #: A task settles repeats among so many anchors or windows at a time.
-SETTLE_ROWS = 1_000_000
+SETTLE_ROWS = 500_000
 #: Widths of the cells of offsets in the passes after the first; the last is a single window.
 CELLS = (35, 8, 1)
 #: A task settles repeats among about so many bytes of cells at a time.
@@ -193,12 +193,7 @@ def _one_pass(contexts: DataFrame, length: int, size: int) -> DataFrame:
 
 def removed_places(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rows (row_id, text) to (row_id, places): the stretches to remove, not yet joined; texts without any are left out."""
-    found = rows.mapInArrow(_anchor_rows(length, gram), FOUND).repartition("key")
-    by_block = Window.partitionBy("key", "digest").orderBy("doc", "place")
-    first = F.col("turn") == 1
-    ranked = found.withColumn("turn", F.row_number().over(by_block)).withColumn("blocks", F.sum(first.cast("int")).over(Window.partitionBy("key")))
-    open_ = materialize(ranked.where("removed or turn > 1 or blocks > 1").select("doc", "place", (F.col("removed") | ~first).alias("removed")))
-
+    open_ = still_open(rows.mapInArrow(_anchor_rows(length, gram), FOUND))
     lists = open_.where("not removed").groupBy("doc").agg(F.collect_list("place").alias("open"))
     contexts = rows.join(lists, rows["row_id"] == lists["doc"]).select("row_id", "text", "open").mapInArrow(_context_rows(length, gram), _CONTEXT)
     every = open_.where("removed").select("doc", "place")

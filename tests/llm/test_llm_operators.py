@@ -312,7 +312,7 @@ def test_top_k_of_huge_components():
 # 6
 
 
-def brute_sentences(docs, run=3, least=20, long=10):
+def brute_sentences(docs, run=3, least=0, long=0):
     seen, out = set(), {}
     for i, text in sorted(docs):
         data = (text or "").encode()
@@ -325,7 +325,7 @@ def brute_sentences(docs, run=3, least=20, long=10):
                     core = core[:-1] if len(core) > 1 and core[-1:] in b"\"')]}" else core
                 if core[-1:] in (b".", b"!", b"?") or b"\n" in data[words[k - 1][1] : a]:
                     at = 0
-            if at % long == 0:
+            if at == 0 or (long and at % long == 0):
                 units.append(k)
             at += 1
         edge, spans = [*units, len(words)], []
@@ -345,12 +345,13 @@ def brute_sentences(docs, run=3, least=20, long=10):
     return out
 
 
-def test_sentence_dedup(spark):
+@pytest.mark.parametrize("options", [{}, {"words": 20, "long": 10}])
+def test_sentence_dedup(spark, options):
     docs = corpus(6)
     df = frame(spark, docs).withColumns({"row_id": F.lit(7), "places": F.lit("p"), "whole": F.lit(1)})
-    expected = brute_sentences(docs)
-    assert {r.doc_id: tuple(r[1:]) for r in sentence_dedup.strip_repeats(df).collect()} == expected
-    cut = sentence_dedup.remove_repeats(df)
+    expected = brute_sentences(docs, 3, options.get("words", 0), options.get("long", 0))
+    assert {r.doc_id: tuple(r[1:]) for r in sentence_dedup.strip_repeats(df, **options).collect()} == expected
+    cut = sentence_dedup.remove_repeats(df, **options)
     assert cut.columns == df.columns
     for r in cut.collect():
         assert r.row_id == 7 and r.places == "p"
@@ -387,9 +388,8 @@ def passage_docs():
     return docs
 
 
-@pytest.mark.parametrize(("common", "settle_rows"), [(4096, 1_000_000), (1, 100)])
-def test_no_passage_of_over_50_words_stays(spark, monkeypatch, common, settle_rows):
-    monkeypatch.setattr(sentence_dedup, "COMMON", common)
+@pytest.mark.parametrize("settle_rows", [500_000, 100])
+def test_no_passage_of_over_50_words_stays(spark, monkeypatch, settle_rows):
     monkeypatch.setattr(sentence_dedup, "SETTLE_ROWS", settle_rows)
     for docs in (passage_docs(), corpus(6)):
         size, run = 51, 3 if docs[0][1].count(".") else 10**6
@@ -401,6 +401,12 @@ def test_no_passage_of_over_50_words_stays(spark, monkeypatch, common, settle_ro
         assert all(both[i].n_removed >= sum(g) for i, g in gone.items()) and sum(map(sum, gone.values()))
 
 
+def test_sentence_dedup_of_repeated_and_null_ids(spark):
+    text = "One two three. Four five six. Seven eight nine. " * 2
+    rows = sentence_dedup.strip_repeats(spark.createDataFrame([(5, text), (5, text), (None, text), (7, None)], DOCS), passage=51).collect()
+    assert sorted(r.n_removed for r in rows) == [0, 47, len(text) - 1, len(text) - 1]
+
+
 # 7
 
 
