@@ -65,7 +65,7 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: The trained classifier and the pieces' Viterbi paths have no SQL; a brute-force version tests them.
+#: The trained classifier and the pieces' Viterbi paths have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
