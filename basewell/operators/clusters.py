@@ -115,7 +115,7 @@ def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", lea
     nodes = materialize(named.groupBy("node").agg(F.first("s").alias("s"), F.min("name").alias("first_name")))
     texts = nodes.select("node", "s")
     posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node string, n long, place long"))
-    bound = f"cast(floor((1 - {least_identity!r}D) * greatest({{0}}, {{1}})) + 1 as int)"
+    bound = f"cast(floor((1 - {least_identity!r}D) * greatest({{0}}, {{1}}) + 1e-9D) as int)"
     covers = F.least("n", "other_n") >= least_coverage * F.greatest("n", "other_n")
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -150,6 +150,13 @@ def test_near_duplicates(spark):
     assert got == {f"r{i:02}": f"r{i % 6:02}" for i in range(24)}
 
 
+def test_near_duplicates_keep_to_the_bound(spark):
+    rows = [("a", "ACGT" * 50), ("b", "ACGT" * 25 + "T" + ("ACGT" * 25)[1:])]
+    df = spark.createDataFrame(rows, "qname string, seq string")
+    apart, together = (len({r.cluster for r in clusters.near_duplicates(df, least_identity=i).collect()}) for i in (0.999, 0.995))
+    assert (apart, together) == (2, 1)
+
+
 def brute_clusters(rows, identity, coverage):
     def distance(a, b):
         last = list(range(len(b) + 1))
@@ -164,7 +171,7 @@ def brute_clusters(rows, identity, coverage):
     for k, (a, s) in enumerate(rows):
         for b, t in rows[k + 1 :]:
             long_, short = max(len(s), len(t)), min(len(s), len(t))
-            if short >= coverage * long_ and distance(s, t) <= math.floor((1 - identity) * long_) + 1:
+            if short >= coverage * long_ and distance(s, t) <= (1 - identity) * long_ + 1e-9:
                 low, high = sorted((cluster[a], cluster[b]))
                 cluster = {n: low if c == high else c for n, c in cluster.items()}
     return cluster
