@@ -63,15 +63,20 @@ def pooled_quality(eq: Column, span: Column, eps: float = 1e-8) -> Column:
 
 
 def likeliest(observed: DataFrame, model: DataFrame, *, item: str, key: str, candidate: str, ratio: str, missing: float = -100.0) -> DataFrame:
-    """Naive Bayes: for each item the posterior of every candidate, from log ratios of its observed keys."""
-    candidates = model.select(candidate).distinct()
+    """Naive Bayes: for each item the posterior of the candidates that know one of its keys, from log ratios.
+
+    A key that a candidate doesn't know counts ``missing``. The other candidates, which know none, share what is left
+    evenly; they are counted and not listed, so no item meets every candidate.
+    """
     logs = model.select(F.col(key), F.col(candidate), F.ln(ratio).alias("log_ratio"))
-    every = observed.crossJoin(F.broadcast(candidates)).join(logs, [key, candidate], "left")
-    scored = every.groupBy(item, candidate).agg(F.sum(F.coalesce("log_ratio", F.lit(missing))).alias("score"))
+    base = observed.groupBy(F.col(item).alias("base_item")).agg((F.count(F.lit(1)) * missing).alias("base"))
+    gains = observed.join(logs, key).groupBy(item, candidate).agg(F.sum(F.col("log_ratio") - missing).alias("gain"))
+    every = model.agg(F.count_distinct(candidate).alias("candidates"))  # one row
+    scored = gains.join(base, F.col(item) == F.col("base_item")).drop("base_item").crossJoin(F.broadcast(every)).withColumn("score", F.col("base") + F.col("gain"))
     whole = Window.partitionBy(item)
-    weight = F.exp(F.col("score") - F.max("score").over(whole))
-    out = scored.withColumn("weight", weight)
-    return out.withColumn("posterior", F.col("weight") / F.sum("weight").over(whole)).drop("weight")
+    top = F.greatest(F.max("score").over(whole), F.col("base"))
+    weighed = scored.withColumns({"weight": F.exp(F.col("score") - top), "rest": (F.col("candidates") - F.count(F.lit(1)).over(whole)) * F.exp(F.col("base") - top)})
+    return weighed.withColumn("posterior", F.col("weight") / (F.sum("weight").over(whole) + F.col("rest"))).select(item, candidate, "score", "posterior")
 
 
 def empirical_quality(table: DataFrame) -> DataFrame:
