@@ -540,7 +540,8 @@ def test_likeness_follows_the_phrase_sets():
 # 9
 
 
-def test_url_trust(spark):
+def test_url_trust(spark, monkeypatch):
+    monkeypatch.setattr(url_trust, "TOLERANCE", 100)
     link = lambda *hosts: "".join(f'<A class="x" HREF="https://{h}/en/2">t</a>' for h in hosts) + '<a href="/local">x</a>'
     pages = [
         (1, "https://Good.example.com/fr/1", link("friend.net", "friend.net")), (2, "http://bad.example.com/de/2?x=1", link("other.net")), (3, "https://friend.net/a#b", link("second.net")), (4, "https://second.net", None),
@@ -570,17 +571,19 @@ def brute_mass(seeds, edges, rounds=2000):
 
 
 @pytest.mark.parametrize("cycle", [False, True])
-def test_mass_reaches_far_hosts_and_those_behind_hubs(spark, cycle):
+def test_mass_reaches_far_hosts_and_those_behind_hubs(spark, monkeypatch, cycle):
+    monkeypatch.setattr(url_trust, "TOLERANCE", 10_000)
     seeds = {"big": 10**12, "hub": 1, "c0": 3}
     edges = [(f"c{i}", f"c{i + 1}") for i in range(13)] + [("hub", f"h{i}") for i in range(1000)] + [("h0", f"g{i}") for i in range(700)] + [("c4", "c2")] * cycle
     found = url_trust.spread(spark.createDataFrame(list(seeds.items()), "host string, weight long"), spark.createDataFrame(edges, "src string, dst string")).collect()
     expected = brute_mass(seeds, edges)
     got = {r.host: int(r.mass) / (url_trust.MASS * url_trust.FINE) for r in found}
     assert got.keys() == expected.keys()
-    assert all(got[h] == pytest.approx(m, rel=1e-4, abs=1e-29) for h, m in expected.items())
+    assert all(got[h] == pytest.approx(m, rel=1e-3, abs=1e-29) for h, m in expected.items())
 
 
-def test_far_linkers_and_links_without_scheme(spark):
+def test_far_linkers_and_links_without_scheme(spark, monkeypatch):
+    monkeypatch.setattr(url_trust, "TOLERANCE", 100)
     hosts = ["bad.example.com", *[f"n{i}.net" for i in range(12)]]
     pages = [(0, "https://bad.example.com/de/1", "")] + [(i, f"https://{h}/", f'<a href="//{hosts[i - 1]}/x?u=http://other.org/">x</a>') for i, h in enumerate(hosts) if i]
     rows = url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -709,3 +712,33 @@ def test_quality_of_held_out_rows(spark):
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels)).where(quality.held_out("doc_id"))
     rows = scored.join(labels, "doc_id").select("score", "quality").where("quality is not null").toPandas()
     assert area(rows.score.to_numpy(), rows.quality.to_numpy()) > 0.9
+
+
+# All of them
+
+
+def test_repeated_and_null_ids_and_a_long_text_in_row_wise_operators(spark):
+    long_ = "lorem ipsum " * 20_000
+    docs = [(5, "api_key=abcdefgh1"), (5, "api_key=abcdefgh1"), (None, "plain"), (None, None), (6, long_ + "token: abcdefgh2"), (7, "")]
+    df = spark.createDataFrame(docs, DOCS).repartition(2)
+    found = sorted((str(r.doc_id), r.n_assign) for r in secret_scan.report(df).collect())
+    assert found == [("5", 1), ("5", 1), ("6", 1), ("7", 0), ("None", 0), ("None", 0)]
+    vocabulary = pieces.pieces()
+    encoded = pieces.encode(df.withColumn("id", F.lit("clash"))).collect()
+    assert sorted((str(r.doc_id), list(r.piece_ids)) for r in encoded) == sorted((str(i), vocabulary.encode(t or "")) for i, t in docs)
+    assert pieces.digest(df).count() == len(docs)
+    labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, quality int")
+    scores = quality.score(df.withColumn("x", F.lit(1)), quality.fit(df, labels)).collect()
+    assert len(scores) == len(docs) and all(0 <= r.score <= 1 and r.x == 1 for r in scores)
+    mixed = mixing.mix(df.withColumn("source", F.lit("a"))).collect()
+    assert sorted(r["size"] for r in mixed) == [0, 0, 1, 1, 1, 40_002]
+
+
+def test_judge_of_repeated_rows_null_html_and_a_tie(spark, monkeypatch):
+    monkeypatch.setattr(url_trust, "TOLERANCE", 100)
+    link = '<a href="http://mid.net/x">x</a>'
+    pages = [(1, "http://a.com/fr/1", link), (1, "http://a.com/fr/1", link), (2, "http://b.com/de/1", None), (3, "http://mid.net/y", '<a href="http://b.com/z">z</a>'), (4, None, None), (5, "http://alone.net", None)]
+    rows = url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.verdict) for r in rows) == [(1, "allow"), (1, "allow"), (2, "block"), (3, "allow"), (4, "allow"), (5, "allow")]
+    at = {r.page_id: r for r in rows}
+    assert at[3].trust == at[3].distrust > 0 and at[5].trust == at[5].distrust == 0
