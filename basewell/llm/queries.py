@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewell.llm import lz_fingerprint, mixing, ngram_join, pieces, quality, secret_scan, sentence_dedup, suffix_dedup, topk, url_trust
+from basewell.llm import conversation_trie, language_id, lz_fingerprint, mixing, ngram_join, pieces, quality, secret_scan, sentence_dedup, suffix_dedup, topk, url_trust, whitening
 from basewell.llm.common import table
 
 #: A document is predicted good from this score on.
@@ -60,8 +60,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out("doc_id")
+    model = language_id.fit(docs.where(F.col("doc_id").isNotNull() & ~held))
+    return language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_ngram_join, op4_secrets, op5_topk, op6_sentence_dedup, op7_pieces, op8_fingerprints, op9_url_trust, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_ngram_join, op4_secrets, op5_topk, op6_sentence_dedup, op7_pieces, op8_fingerprints, op9_url_trust, op10_quality, op11_whitening, op12_language, op13_conversation_trie)}
 
 
 MIXING_SQL = """
@@ -167,6 +182,31 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce
 FROM bytes LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS many FROM spans GROUP BY doc_id) USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
 
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""
+
+TRIE_SQL = f"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, md5(coalesce(length(role), 0) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, coalesce(length(text), 0) AS n_chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base_id, xor({_CRC32}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+lent AS (SELECT c.conv_id, t.pos + 1 AS depth, t.said, t.n_chars FROM convs c JOIN turns t ON t.conv_id = c.base_id AND t.pos < c.h),
+shares AS (SELECT conv_id, count(*) AS n FROM lent GROUP BY conv_id),
+own AS (SELECT t.conv_id, coalesce(s.n, 0) + t.pos - c.h + 1 AS depth, t.said, t.n_chars FROM turns t JOIN convs c USING (conv_id) LEFT JOIN shares s USING (conv_id) WHERE t.pos >= c.h),
+rebuilt AS (SELECT * FROM lent UNION ALL SELECT * FROM own UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+chained AS MATERIALIZED (SELECT conv_id, depth, n_chars, md5(string_agg(said, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rebuilt),
+placed AS MATERIALIZED (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS is_end FROM chained),
+nodes AS MATERIALIZED (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_chars) AS spared,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '')) AS ends_sha256 FROM placed GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT p.node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum(n.spared) AS saved_tokens FROM nodes n JOIN placed p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+  LEFT JOIN kids k ON k.node = n.node GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes u ON u.node = n.parent
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op3_ngram_join": SIMILAR_SQL, "op5_topk": TOPK_SQL, "op9_url_trust": _url_sql()}
+    return {"op1_mixing": MIXING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op3_ngram_join": SIMILAR_SQL, "op5_topk": TOPK_SQL, "op9_url_trust": _url_sql(), "op13_conversation_trie": TRIE_SQL}
