@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import phred, rate
+from basewell.operators.ordered import with_quantiles
 
 
 def total(*columns: str) -> Column:
@@ -51,11 +52,11 @@ def confusion(df: DataFrame, by: list[str], called: str, n: str, tag: str | None
 def calibration(df: DataFrame, predicted: str, measured: str, levels: tuple[int, ...] = (13, 20, 25, 30)) -> DataFrame:
     """One row: errors of predicted against measured quality, and precision and recall of each level."""
     p, m = F.col(predicted), F.col(measured)
-    errors = [F.avg(p - m).alias("me"), F.median(p - m).alias("med_e"), F.avg(F.abs(p - m)).alias("mae"), F.avg(rate(F.abs(p - m), m)).alias("mape"), F.sqrt(F.avg((p - m) ** 2)).alias("rmse")]
+    errors = [F.avg(p - m).alias("me"), F.avg(F.abs(p - m)).alias("mae"), F.avg(rate(F.abs(p - m), m)).alias("mape"), F.sqrt(F.avg((p - m) ** 2)).alias("rmse")]
     for k in levels:
         both = F.count_if((p >= k) & (m >= k))
         errors += [rate(both, F.count_if(p >= k)).alias(f"precision_{k}"), rate(both, F.count_if(m >= k)).alias(f"recall_{k}")]
-    return df.agg(*errors)
+    return with_quantiles(df.agg(*errors), df.select((p - m).alias("off")), [], {"med_e": ("off", 0.5)})
 
 
 def pooled_quality(eq: Column, span: Column, eps: float = 1e-8) -> Column:
@@ -104,14 +105,16 @@ def two_segment_class(q_overlap: Column, r_overlap: Column, gap: Column, identit
 def coverage_rates(df: DataFrame, *, covered: Column, primary: Column, misc: Column, size: Column, identity: Column) -> DataFrame:
     """One row: aligned bases, coverage of the reads by primary, primary and secondary, and all segments, and quartiles of coverage and identity."""
     own = df.select(covered.alias("c"), primary.alias("p"), misc.alias("m"), size.alias("s"), rate(primary, size).alias("coverage"), identity.alias("identity"))
-    quartiles = [F.percentile(c, F.lit(p)).alias(f"{c}_p{int(100 * p)}") for c in ("coverage", "identity") for p in (0.25, 0.5, 0.75)]
-    return own.agg(F.sum("c").cast("double").alias("aligned_bases"), *[rate(F.sum(c), F.sum("s")).alias(n) for c, n in (("p", "query_coverage"), ("m", "query_coverage_2"), ("c", "query_coverage_3"))], *quartiles)
+    quartiles = {f"{c}_p{int(100 * p)}": (c, p) for c in ("coverage", "identity") for p in (0.25, 0.5, 0.75)}
+    out = own.agg(F.sum("c").cast("double").alias("aligned_bases"), *[rate(F.sum(c), F.sum("s")).alias(n) for c, n in (("p", "query_coverage"), ("m", "query_coverage_2"), ("c", "query_coverage_3"))])
+    return with_quantiles(out, own, [], quartiles)
 
 
 def calibration_by_level(df: DataFrame, predicted: str, measured: str) -> DataFrame:
     """One row for each whole predicted quality: reads, mean and quartiles of the measured one."""
-    points = [F.percentile(measured, F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
-    return df.groupBy(F.floor(predicted).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(measured).alias("mean"), *points)
+    levels = df.select(F.floor(predicted).alias("level"), F.col(measured).alias("measured"))
+    out = levels.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("measured").alias("mean"))
+    return with_quantiles(out, levels, ["level"], {f"p{int(100 * p)}": ("measured", p) for p in (0.25, 0.5, 0.75)})
 
 
 def barcode_errors(df: DataFrame, expected: DataFrame, *, name: str, barcode: str, rname: str, samples: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import col, in_blocks, let, rate, reverse_complement
+from basewell.operators.ordered import running
 
 def run_array(seq: Column | str, least: int = 2) -> Column:
     """Runs of at least ``least`` equal bases as array<struct<start, end, base>>: start 0-based, end exclusive.
@@ -80,28 +81,41 @@ def repeat_share(df: DataFrame, seq: str, units: dict[int, int]) -> DataFrame:
     return df.withColumn("repeat_bases", union)
 
 
+#: Places of a tile of a coordinate.
+TILE = 1 << 16
+
+
+def _tile(at: str) -> Column:
+    return F.floor(F.col(at) / TILE)
+
+
+def _reached(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """The farthest end for each start of a group, with ``reach``: the farthest end of all smaller starts.
+
+    Starts are unique then, so a tile holds at most TILE rows; what earlier tiles reach is carried from tile to tile.
+    """
+    ends = df.groupBy(*by, start).agg(F.max(end).alias(end)).withColumn("tile", _tile(start))
+    return running(ends, by, [start], "tile", reach={"reach": F.col(end)})
+
+
 def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Unions of overlapping or touching half-open intervals of a group."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("island", F.coalesce(F.col(start) > reach, F.lit(True)).cast("int"))
-    marked = marked.withColumn("island", F.sum("island").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fresh = _reached(df, by, start, end).withColumn("fresh", F.coalesce(F.col(start) > F.col("reach"), F.lit(True)).cast("int"))
+    marked = running(fresh, by, [start], "tile", sums={"island": F.col("fresh")})
     return marked.groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def gaps(merged: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """What lies between the merged intervals of a group."""
-    after = F.lead(start).over(Window.partitionBy(*by).orderBy(start))
-    return merged.select(*by, F.col(end).alias("gap_start"), after.alias("gap_end")).where("gap_end is not null")
+def gaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """What lies between the intervals of a group, merged or not: from the farthest end so far to a start beyond it."""
+    return _reached(df, by, start, end).where(F.col(start) > F.col("reach")).select(*by, F.col("reach").alias("gap_start"), F.col(start).alias("gap_end"))
 
 
 def depth_profile(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Stretches of equal depth > 0 by a sweep over starts and ends."""
+    """Stretches of equal depth > 0 by a sweep over starts and ends, tile by tile; depths are carried from tile to tile."""
     events = df.select(*by, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))))
-    summed = events.groupBy(*by, "at").agg(F.sum("step").alias("step"))
-    order = Window.partitionBy(*by).orderBy("at")
-    swept = summed.select(*by, F.col("at").alias("a"), F.lead("at").over(order).alias("b"), F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("depth"))
-    return swept.where("depth > 0")
+    summed = events.groupBy(*by, "at").agg(F.sum("step").alias("step")).withColumn("tile", _tile("at"))
+    swept = running(summed, by, ["at"], "tile", sums={"depth": F.col("step")}, after={"b": F.col("at")})
+    return swept.where("depth > 0").select(*by, F.col("at").alias("a"), "b", "depth")
 
 
 def kmers(seq: Column, k: int) -> Column:

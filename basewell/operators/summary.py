@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, qualities, rate
+from basewell.operators.ordered import with_quantiles
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -38,15 +39,17 @@ def read_summary(df: DataFrame, *, length: str = "n", quality: str = "q", thresh
     q = F.col(quality)
     wide = df.agg(
         F.count(F.lit(1)).alias("reads"), F.sum(length).alias("bases"), F.avg(length).alias("mean_length"), F.min(length).alias("min_length"),
-        *[F.percentile(length, F.lit(p)).alias(f"p{int(100 * p)}_length") for p in (0.25, 0.5, 0.75)], F.max(length).alias("max_length"), *[F.count_if(q >= t).alias(f"reads_q{t}") for t in thresholds],
+        F.max(length).alias("max_length"), *[F.count_if(q >= t).alias(f"reads_q{t}") for t in thresholds],
     )
+    wide = with_quantiles(wide, df, [], {f"p{int(100 * p)}_length": (length, p) for p in (0.25, 0.5, 0.75)})
     return metric_table(wide).unionByName(metric_table(n50(df, length)))
 
 
-def percentile_text(values: Column | str, points: tuple[float, ...] = PERCENTILES) -> Column:
-    """Percentiles as whole numbers, comma-joined (aggregate)."""
-    found = F.percentile(values, F.array(*map(F.lit, points)))
-    return F.array_join(F.transform(found, lambda x: F.round(x).cast("long").cast("string")), ", ")
+def with_percentile_text(out: DataFrame, df: DataFrame, by: list[str], value: str, name: str, points: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """out, one row for each group of df, with the group's percentiles as whole numbers, comma-joined."""
+    found = with_quantiles(out, df, by, {f"__q{i}": (value, p) for i, p in enumerate(points)})
+    text = F.concat_ws(", ", *[F.round(f"__q{i}").cast("long").cast("string") for i in range(len(points))])
+    return found.select(*out.columns, text.alias(name))
 
 
 def share_of(df: DataFrame, by: list[str], count: str = "n", within: list[str] | None = None) -> DataFrame:
@@ -59,19 +62,22 @@ def by_passes(df: DataFrame, *, passes: str = "np", quality: str = "q", length:
     """One row for each number of passes: count and its share, quality and length quantiles, shares at or above each quality."""
     q = F.col(quality)
     out = df.groupBy(passes).agg(
-        F.count(F.lit(1)).alias("reads"), *[F.round(F.percentile(quality, F.lit(p)), 6).alias(f"q_p{int(100 * p)}") for p in (0.0, 0.05, 0.25, 0.5, 1.0)], *[F.round(F.avg((q >= t).cast("double")), 9).alias(f"share_q{t}") for t in thresholds],
-        F.round(F.avg(length), 6).alias("mean_length"), F.median(length).alias("median_length"), F.max(length).cast("long").alias("max_length"),
+        F.count(F.lit(1)).alias("reads"), *[F.round(F.avg((q >= t).cast("double")), 9).alias(f"share_q{t}") for t in thresholds],
+        F.round(F.avg(length), 6).alias("mean_length"), F.max(length).cast("long").alias("max_length"),
     )
+    points = {f"q_p{int(100 * p)}": (quality, p) for p in (0.0, 0.05, 0.25, 0.5, 1.0)}
+    out = with_quantiles(out, df, [passes], points | {"median_length": (length, 0.5)}).withColumns({n: F.round(n, 6) for n in points})
     return out.withColumn("ratio", F.round(F.col("reads") / F.sum("reads").over(Window.partitionBy()), 9))
 
 
 def channel_subreads(df: DataFrame, *, channel: str = "ch", kind: str = "cx", length: str = "n", full: int = 3) -> DataFrame:
     """One row for each channel: passes (full-length subreads), bases, median and mean full length."""
     is_full = F.col(kind) == full
-    return df.groupBy(channel).agg(
+    out = df.groupBy(channel).agg(
         F.count_if(is_full).alias("passes"), F.sum(length).alias("bases"), F.coalesce(F.sum(F.when(is_full, F.col(length))), F.lit(0)).alias("full_bases"),
-        F.median(F.when(is_full, F.col(length))).alias("median_full"), F.round(F.avg(F.when(is_full, F.col(length))), 6).alias("mean_full"),
+        F.round(F.avg(F.when(is_full, F.col(length))), 6).alias("mean_full"),
     )
+    return with_quantiles(out, df.where(is_full), [channel], {"median_full": (length, 0.5)})
 
 
 def at_least(df: DataFrame, value: str, thresholds: list[float], name: str = "threshold") -> DataFrame:

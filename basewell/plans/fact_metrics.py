@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.operators import filters, metrics, summary
+from basewell.operators.ordered import quantiles, with_quantiles
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import FACTS_SQL, READS_SQL, table
@@ -139,7 +140,8 @@ def a20_errors_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FACTS_SQL + f" SELECT np, " + ", ".join(f"round(quantile_cont({_ID}, {p}), 9) AS p{int(100 * p)}" for p in (0.0, 0.25, 0.5, 0.75, 1.0)) + " FROM facts GROUP BY np")
 def a21_quantiles_by_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).groupBy("np").agg(*[F.round(F.percentile("identity", F.lit(p)), 9).alias(f"p{int(100 * p)}") for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    points = {f"p{int(100 * p)}": ("identity", p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
+    return quantiles(_facts(spark, sf_dir), ["np"], points).withColumns({n: F.round(n, 9) for n in points})
 
 
 _TWO = FACTS_SQL + ", a AS (SELECT ch, avg(np) AS np, sum(eq) AS eq, sum(qlen) AS span FROM facts WHERE status = 'F' GROUP BY ch), b AS (SELECT ch, sum(eq) AS eq, sum(qlen) AS span FROM facts WHERE status = 'O' GROUP BY ch), j AS (SELECT ch, least(np, 25)::BIGINT AS np, a.eq AS eq_0, a.span AS span_0, b.eq AS eq_1, b.span AS span_1 FROM a JOIN b USING (ch))"
@@ -151,8 +153,9 @@ def a22_joined_by_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = facts.where("status = 'F'").groupBy("ch").agg(F.least(F.avg("np"), F.lit(25)).cast("long").alias("np"), F.sum("eq").alias("eq_0"), F.sum("qlen").alias("span_0"))
     b = facts.where("status = 'O'").groupBy("ch").agg(F.sum("eq").alias("eq_1"), F.sum("qlen").alias("span_1"))
     pooled = [F.round(metrics.pooled_quality(F.sum(f"eq_{i}"), F.sum(f"span_{i}")), 6).alias(f"qv_{i}") for i in (0, 1)]
-    middle = [F.round(F.median(S.rate(f"eq_{i}", f"span_{i}")), 9).alias(f"median_{i}") for i in (0, 1)]
-    return a.join(b, "ch").groupBy("np").agg(F.count(F.lit(1)).alias("channels"), *pooled, *middle)
+    both = a.join(b, "ch").withColumns({f"identity_{i}": S.rate(f"eq_{i}", f"span_{i}") for i in (0, 1)})
+    out = both.groupBy("np").agg(F.count(F.lit(1)).alias("channels"), *pooled)
+    return with_quantiles(out, both, ["np"], {f"median_{i}": (f"identity_{i}", 0.5) for i in (0, 1)}).withColumns({f"median_{i}": F.round(f"median_{i}", 9) for i in (0, 1)})
 
 
 @query(FACTS_SQL + " SELECT sum(qlen)::BIGINT AS tp, sum(eq)::BIGINT AS etp, round(sum(eq) / sum(qlen), 9) AS valid_r, round(-10 * log10(1 - least(sum(eq) / sum(qlen), 0.99999)), 6) AS phreq FROM facts")
@@ -186,13 +189,14 @@ def a25_base_quality_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _facts(spark, sf_dir).groupBy("ch").agg(F.sum("eq").alias("e"), F.sum("qlen").alias("d"), (F.avg("np") + 5).alias("p")).where("d > 10000")
     off = F.col("p") - F.col("m")
     pairs = grouped.select("p", S.phred(S.rate("e", "d")).alias("m"))
-    return pairs.agg(F.round(F.avg(off * off), 6).alias("mse"), F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.median(F.abs(off)), 6).alias("med_ae"), F.round(F.avg(2 * F.abs(off) / (F.abs("p") + F.abs("m"))), 9).alias("smape"))
+    out = pairs.agg(F.round(F.avg(off * off), 6).alias("mse"), F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.avg(2 * F.abs(off) / (F.abs("p") + F.abs("m"))), 9).alias("smape"))
+    return with_quantiles(out, pairs.select(F.abs(off).alias("off")), [], {"med_ae": ("off", 0.5)}).withColumn("med_ae", F.round("med_ae", 6))
 
 
 @query(FACTS_SQL + f" SELECT tag, list_transform(quantile_cont({_ID}, [0.05, 0.5, 0.95]), lambda x: round(x, 9)) AS points FROM facts GROUP BY tag")
 def a26_identity_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = F.percentile("identity", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return _facts(spark, sf_dir).groupBy("tag").agg(F.transform(points, lambda x: F.round(x, 9)).alias("points"))
+    found = quantiles(_facts(spark, sf_dir), ["tag"], {"p5": ("identity", 0.05), "p50": ("identity", 0.5), "p95": ("identity", 0.95)})
+    return found.select("tag", F.array(*[F.round(c, 9) for c in ("p5", "p50", "p95")]).alias("points"))
 
 
 @query(FACTS_SQL + ", k AS (SELECT base, true_cnt, called, count(*) AS n FROM facts WHERE called > 0 GROUP BY ALL) SELECT base || true_cnt AS key, called, n, round(n / sum(n) OVER (PARTITION BY base, true_cnt), 9) AS ratio FROM k")
@@ -238,8 +242,9 @@ def a51_ratio_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FACTS_SQL + ", c AS (SELECT ch, base, true_cnt, called, count(*) AS n FROM facts GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY ch, base, true_cnt) AS x FROM c) SELECT base, true_cnt, called, count(*) AS n, round(median(x), 9) AS median, list_transform(quantile_cont(x, [0.05, 0.95]), lambda v: round(v, 9)) AS ends FROM r WHERE abs(called - true_cnt) <= 2 GROUP BY ALL")
 def a52_ratio_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_channel = summary.share_of(_facts(spark, sf_dir), ["ch", "base", "true_cnt", "called"], within=["ch", "base", "true_cnt"]).where("abs(called - true_cnt) <= 2")
-    ends = F.percentile("ratio", F.array(F.lit(0.05), F.lit(0.95)))
-    return per_channel.groupBy("base", "true_cnt", "called").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 9).alias("median"), F.transform(ends, lambda v: F.round(v, 9)).alias("ends"))
+    by = ["base", "true_cnt", "called"]
+    out = with_quantiles(per_channel.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), per_channel, by, {"low": ("ratio", 0.05), "median": ("ratio", 0.5), "high": ("ratio", 0.95)})
+    return out.select(*by, "n", F.round("median", 9).alias("median"), F.array(F.round("low", 9), F.round("high", 9)).alias("ends"))
 
 
 @query(FACTS_SQL + ", c AS (SELECT qname, base, count(*) FILTER (called = true_cnt - 1) AS less, count(*) FILTER (called = true_cnt) AS same, count(*) AS n FROM facts GROUP BY qname, base), d AS (SELECT base, (less - same) / n AS delta FROM c WHERE less > 0 AND same > 0) SELECT base, least(20, greatest(0, floor((delta + 1) * 10)))::BIGINT AS bin, count(*) AS k FROM d GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.operators import alignment, kinetics, runs, summary
+from basewell.operators.ordered import with_quantiles
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALN_SQL, SUBREADS_SQL, table
@@ -89,8 +90,10 @@ def a15_sampled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_K + ", e AS (SELECT list_avg(dw[2:50]) AS a, list_median(dw[greatest(len(dw) - 50, 1) + 1:]) AS b FROM k WHERE length(seq) >= 20) SELECT round(avg(a), 9) AS head_mean, round(median(a), 9) AS head_median, round(stddev_samp(a), 9) AS head_sd, round(avg(b), 9) AS tail_mean, round(median(b), 9) AS tail_median, round(stddev_samp(b), 9) AS tail_sd FROM e")
 def a16_end_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = kinetics.ends_table(_reads(spark, sf_dir).where(F.length("seq") >= 20), ["dw"], 50, ["qname"])
-    stats = [(n, f) for n, f in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp))]
-    return ends.agg(*[F.round(f(c), 9).alias(f"{w}_{n}") for w, c in (("head", "dw_first_mean"), ("tail", "dw_last_median")) for n, f in stats])
+    sides = {"head": "dw_first_mean", "tail": "dw_last_median"}
+    out = ends.agg(*[f(c).alias(f"{w}_{n}") for w, c in sides.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    out = with_quantiles(out, ends, [], {f"{w}_median": (c, 0.5) for w, c in sides.items()})
+    return out.select([F.round(c, 9).alias(c) for c in out.columns])
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY user_id QUALIFY row_number() OVER (ORDER BY n DESC, user_id) <= 50")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.operators import filters, joins, summary
+from basewell.operators.ordered import with_quantiles
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, READS_SQL, SUBREADS_SQL
@@ -48,7 +49,9 @@ _POINTS = ", ".join(f"quantile_cont(n, {p})" for p in summary.PERCENTILES)
 
 @query(_BASE + f" SELECT barcode, format('{{:,}}', count(*)) AS reads, format('{{:,}}', sum(n)::BIGINT) AS bases, array_to_string(list_transform([{_POINTS}], lambda x: round(x)::BIGINT), ', ') AS lengths, printf('%.2f%%', 100.0 * count_if(q >= 20) / count(*)) AS q20 FROM sized GROUP BY barcode")
 def a03_formatted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _sized(spark, sf_dir).groupBy("barcode").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("b"), summary.percentile_text("n").alias("lengths"), F.count_if(F.col("q") >= 20).alias("good"))
+    sized = _sized(spark, sf_dir)
+    counted = sized.groupBy("barcode").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("b"), F.count_if(F.col("q") >= 20).alias("good"))
+    counted = summary.with_percentile_text(counted, sized, ["barcode"], "n", "lengths")
     return counted.select("barcode", F.format_number("k", 0).alias("reads"), F.format_number("b", 0).alias("bases"), "lengths", F.format_string("%.2f%%", 100.0 * F.col("good") / F.col("k")).alias("q20"))
 
 
@@ -156,7 +159,7 @@ _ORDER = ", ".join(f"quantile_cont(length(seq), {p})::DOUBLE AS p{str(p).replace
 @query(SUBREADS_SQL + f" SELECT min(length(seq))::BIGINT AS least, max(length(seq))::BIGINT AS most, {_ORDER} FROM subreads WHERE cx = 1 AND length(seq) > 100")
 def a63_length_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.subreads(spark, sf_dir).where("cx = 1").select(F.length("seq").cast("long").alias("n")).where("n > 100")
-    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), *[F.percentile("n", F.lit(p)).alias(f"p{str(p).replace('.', '_')}") for p in (0.25, 0.5, 0.75, 0.9, 0.99, 0.999)])
+    return with_quantiles(n.agg(F.min("n").alias("least"), F.max("n").alias("most")), n, [], {f"p{str(p).replace('.', '_')}": ("n", p) for p in (0.25, 0.5, 0.75, 0.9, 0.99, 0.999)})
 
 
 @query(_BASE + " SELECT t.name, coalesce(w.value, 0.0)::DOUBLE AS value FROM (SELECT unnest(['reads', 'bases', 'q40']) AS name) t LEFT JOIN (SELECT 'reads' AS name, count(*)::DOUBLE AS value FROM sized UNION ALL SELECT 'bases', sum(n)::DOUBLE FROM sized) w USING (name)")

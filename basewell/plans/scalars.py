@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
+from basewell.operators.ordered import quantiles
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, ERRORS_SQL, READS_SQL
@@ -128,7 +129,7 @@ def s20_map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(READS_SQL + " SELECT run, median(length(seq))::DOUBLE AS median, quantile_cont(length(seq), 0.9)::DOUBLE AS p90 FROM reads GROUP BY run")
 def s21_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.reads(spark, sf_dir).select("run", F.length("seq").alias("n"))
-    return n.groupBy("run").agg(F.median("n").alias("median"), F.percentile("n", F.lit(0.9)).alias("p90"))
+    return quantiles(n, ["run"], {"median": ("n", 0.5), "p90": ("n", 0.9)})
 
 
 @query(READS_SQL + ", rest AS (SELECT qname, substr(seq, np + 1) AS s FROM reads) SELECT qname, (length(s) - length(ltrim(s, left(s, 1))))::BIGINT AS run FROM rest WHERE s <> ''")

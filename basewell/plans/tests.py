@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewell.operators import hypothesis
+from basewell.operators.ordered import with_quantiles
 from basewell.plans.catalog import query
 from basewell.plans.views import READS_SQL, table
 from basewell.plans import views
@@ -39,7 +40,8 @@ def h02_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PAIRS + ", both_ AS (SELECT run, a FROM pairs UNION ALL SELECT 'total', a FROM pairs) SELECT run, count(*) AS n, " + ", ".join(f"quantile_cont(a, {p / 100})::DOUBLE AS p{p}" for p in (10, 25, 50, 75, 90, 95)) + ", round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS sd FROM both_ GROUP BY run")
 def h03_percentiles_and_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _pairs(spark, sf_dir).withColumn("run", F.explode(F.array("run", F.lit("total"))))
-    return both.groupBy("run").agg(F.count(F.lit(1)).alias("n"), *[F.percentile("a", F.lit(p / 100)).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 95)], F.round(F.avg("a"), 9).alias("mean"), F.round(F.stddev_samp("a"), 9).alias("sd"))
+    out = both.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 9).alias("mean"), F.round(F.stddev_samp("a"), 9).alias("sd"))
+    return with_quantiles(out, both, ["run"], {f"p{p}": ("a", p / 100) for p in (10, 25, 50, 75, 90, 95)})
 
 
 _KN = "WITH kn AS (SELECT p_partkey, p_size::BIGINT AS n, (p_partkey % (p_size + 1))::BIGINT AS k, (1 + p_partkey % 9) / 10.0 AS p0 FROM part), each AS (SELECT *, unnest(range(n + 1)) AS i FROM kn)"
