@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basewell.operators.ordered import last_mark
+
 
 def keep_listed(df: DataFrame, key: Column | str, listed: DataFrame, listed_key: Column | str) -> DataFrame:
     """Rows whose key is in the other table."""
@@ -66,8 +68,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "new_id", start: int =
 
 
 def newest_below(values: DataFrame, steps: DataFrame, *, value: str, step: str, result: str, default: float) -> DataFrame:
-    """For each value the result of the largest step at or below it, else the default; steps is a short table."""
-    table = steps.agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("at"), F.col(result).alias("result")))).alias("steps"))
-    wide = values.crossJoin(F.broadcast(table))
-    last = F.aggregate("steps", F.lit(default).cast("double"), lambda found, s: F.when(s["at"] <= F.col(value), s["result"].cast("double")).otherwise(found))
-    return wide.withColumn(result, last).drop("steps")
+    """For each value the result of the largest step at or below it, else the default; of equal steps the largest result counts."""
+    marks = steps.groupBy(F.col(step).alias(value)).agg(F.max(result).cast("double").alias(result))
+    return last_mark(values, marks, [], value, result).withColumn(result, F.coalesce(result, F.lit(default)))

@@ -87,3 +87,16 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]
 def with_quantiles(out: DataFrame, df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """out, which has one row for each group of df, with the quantiles as further columns."""
     return same_group(out, quantiles(df, by, wanted), by)
+
+
+def last_mark(points: DataFrame, marks: DataFrame, by: list[str], at: str, what: str, tile: int | None = None) -> DataFrame:
+    """points with ``what`` of the last mark of their group at or before them, null without one.
+
+    Both tables have the columns by and at; marks are unique by them. Different places are looked up once, in a sweep
+    over marks and places; tile gives the width of its pieces for whole-number coordinates, else they are range-sorted.
+    """
+    entry = F.struct(F.col(at).alias("at"), F.col(what).alias("v"))
+    both = marks.select(*by, at, F.lit(0).alias("kind"), entry.alias("mark")).unionByName(points.select(*by, at).where(F.col(at).isNotNull()).distinct().select(*by, at, F.lit(1).alias("kind"), F.lit(None).cast(marks.select(entry).schema[0].dataType).alias("mark")))
+    swept = in_parts(both, by, [at, "kind"], "piece") if tile is None else both.withColumn("piece", F.floor(F.col(at) / tile))
+    found = running(swept, by, [at, "kind"], "piece", reach={"last": F.col("mark")}).where("kind = 1")
+    return same_group(points, found.select(*by, at, F.col("last.v").alias(what)), [*by, at])

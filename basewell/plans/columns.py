@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
-from basewell.operators import joins, summary, voting
+from basewell.operators import joins, reinsert, summary, voting
 from basewell.plans import views
 from basewell.plans.catalog import query
-from basewell.plans.views import COLUMNS_SQL, table
+from basewell.plans.views import COLUMNS_SQL, SAMPLES_SQL, table
+from basewell.sources.scratch import materialize
 
 _N = "len(list_filter(subs, lambda b: b <> '-'))"
 _PCT = "100.0 * len(list_filter(subs, lambda b: b = {0})) / nullif(" + _N + ", 0)"
@@ -137,6 +138,50 @@ def m13_tag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.rate("support", "depth")), 9).alias("share"), F.count_if(F.col("rec") % 5 == 0).alias("validation"))
 
 
+@query(SAMPLES_SQL + " SELECT qname, refname, pos, base, repeat::BIGINT AS repeat, support, depth, refcoord, cons_run, ref_run, label, insert_cnt, round(pos_frac, 9) AS pos_frac FROM samples")
+def m13_labelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).withColumn("pos_frac", F.round("pos_frac", 9))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = views.tagged(spark, sf_dir)
+    return reinsert.labelled_samples(reads, reads.select("refname", "rseq").distinct())
+
+
+_TRAIN = SAMPLES_SQL + """, named AS (SELECT qname, row_number() OVER (ORDER BY qname) AS place, count(*) OVER () AS names FROM (SELECT DISTINCT qname FROM samples)), parted AS (SELECT s.*, place <= floor(names * (1 - 0.2)) AS train FROM samples s JOIN named USING (qname)),
+  t AS (SELECT * FROM parted WHERE train), c AS (SELECT base, repeat, support AS ratio, count_if(label) AS pos, count(*) AS n FROM t GROUP BY ALL),
+  w AS (SELECT *, sum(n) OVER w AS all_n, sum(pos) OVER w AS all_pos, coalesce(sum(pos) OVER a, 0) AS tp, coalesce(sum(n) OVER a, 0) AS called FROM c WINDOW w AS (PARTITION BY base, repeat), a AS (PARTITION BY base, repeat ORDER BY ratio DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f AS (SELECT *, coalesce(2.0 * tp / nullif(called + all_pos, 0), 0) AS f1 FROM w WHERE all_n >= 10 AND all_pos >= 5),
+  b AS (SELECT base, repeat, arg_min(ratio, (-f1, ratio)) AS best, round(max(f1), 4) AS best_f1 FROM f GROUP BY base, repeat),
+  cells AS (SELECT base, repeat, count(*) AS n, count_if(label) AS positives, count_if(NOT label) AS negatives, CASE WHEN count_if(label) > 0 THEN 2 * (count_if(label) / count(*)) / (count_if(label) / count(*) + 1) ELSE 0 END AS all_f1 FROM t GROUP BY base, repeat),
+  reasons AS (SELECT cells.*, best, best_f1, CASE WHEN n < 10 THEN 'few samples' WHEN repeat >= 5 AND positives / n >= 0.5 THEN 'long repeat' WHEN positives < 5 THEN 'few positives' WHEN negatives = 0 THEN 'no negatives'
+    WHEN positives >= 50 AND best_f1 >= 0.4 AND best_f1 - all_f1 >= 0.1 THEN 'separates' ELSE 'overlaps' END AS reason FROM cells LEFT JOIN b USING (base, repeat)),
+  rules AS (SELECT *, CASE reason WHEN 'long repeat' THEN 'long_poly_fixed' WHEN 'separates' THEN 'separable' ELSE 'inseparable' END AS strategy, CASE reason WHEN 'long repeat' THEN 0.2 WHEN 'separates' THEN best END AS threshold,
+    CASE reason WHEN 'long repeat' THEN round(all_f1, 4) WHEN 'separates' THEN best_f1 END AS f1 FROM reasons)"""
+
+
+@query(_TRAIN + " SELECT train, count(*) AS n, count_if(label) AS positives, count(DISTINCT qname) AS reads, min(qname) AS first_read, max(qname) AS last_read FROM parted GROUP BY train")
+def m13_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parted = reinsert.split_by_name(_tagged(spark, sf_dir))
+    # Names of a part are counted once each before the parts are.
+    names = parted.groupBy("train", "qname").agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("positives"))
+    return names.groupBy("train").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.count(F.lit(1)).alias("reads"), F.min("qname").alias("first_read"), F.max("qname").alias("last_read"))
+
+
+@query(_TRAIN + " SELECT base, repeat::BIGINT AS repeat, n, positives, negatives, round(all_f1, 9) AS all_f1, best_f1, strategy, reason, threshold, f1 FROM rules")
+def m13_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = reinsert.split_by_name(_tagged(spark, sf_dir)).where("train")
+    return reinsert.strategies(train).withColumn("all_f1", F.round("all_f1", 9))
+
+
+@query(_TRAIN + ", v AS (SELECT p.label, p.support > r.threshold AS called, r.threshold IS NOT NULL AS covered FROM parted p LEFT JOIN rules r USING (base, repeat) WHERE NOT train), k AS (SELECT count_if(covered) AS covered, count_if(NOT covered) AS uncovered, count_if(covered AND label AND called) AS tp, count_if(covered AND NOT label AND called) AS fp, count_if(covered AND label AND NOT called) AS fn, count_if(covered AND NOT label AND NOT called) AS tn FROM v)"
+       " SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS accuracy FROM k")
+def m13_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parted = materialize(reinsert.split_by_name(_tagged(spark, sf_dir)))
+    out = reinsert.apply_strategies(parted.where("not train"), reinsert.strategies(parted.where("train")))
+    return out.select("covered", "uncovered", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
 @query("WITH steps AS (SELECT n_nationkey * 2 AS rep, n_nationkey / 50.0 AS threshold FROM nation WHERE n_nationkey >= 3) SELECT p_partkey, p_size::BIGINT AS n, round(coalesce((SELECT arg_max(threshold, rep) FROM steps WHERE rep <= p_size), 0.6), 9) AS threshold FROM part")
 def m14_threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "nation").where("n_nationkey >= 3").select((F.col("n_nationkey") * 2).alias("rep"), (F.col("n_nationkey") / 50.0).alias("threshold"))

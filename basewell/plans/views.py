@@ -56,6 +56,18 @@ aln AS MATERIALIZED (SELECT qname, refname, i::BIGINT AS col_idx, translate(c, '
   CASE WHEN c NOT IN ('w', 'x', 'y', 'z') THEN count(*) FILTER (c NOT IN ('w', 'x', 'y', 'z')) OVER (PARTITION BY qname ORDER BY i) - 1 END AS qpos,
   CASE WHEN c NOT IN ('1', '2') THEN count(*) FILTER (c NOT IN ('1', '2')) OVER (PARTITION BY qname ORDER BY i) - 1 END AS rpos,
   nullif(translate(c, 'ACGTacgt12wxyz', 'ACGTCGTAAC'), '') AS qbase, nullif(translate(c, 'ACGTacgtwxyz12', 'ACGTACGTACGT'), '') AS rbase FROM chars)"""
+#: The entries of tagged, each with its place, both runs and its label, from runs cut out of whole sequences.
+SAMPLES_SQL = ALN_SQL + """,
+marks AS (SELECT qname, refname, i, c, split_part(qname, '/', 1)::BIGINT AS ch, count(*) FILTER (c NOT IN ('w', 'x', 'y', 'z')) OVER (PARTITION BY qname ORDER BY i) - 1 AS pos,
+  count(*) FILTER (c NOT IN ('1', '2')) OVER (PARTITION BY qname ORDER BY i) - 1 AS refcoord, coalesce(lag(c) OVER (PARTITION BY qname ORDER BY i) IN ('w', 'x', 'y', 'z'), false) AS behind FROM chars),
+entries AS (SELECT *, CASE WHEN behind THEN 30 + 5 * ((i * 7 + ch) % 11) ELSE 5 * ((i * 3 + ch) % 13) END / 100 AS support FROM marks WHERE c IN ('A', 'C', 'G', 'T') AND (behind OR i % 11 = ch % 11)),
+qparts AS (SELECT qname, length(seq) AS qlen, unnest(regexp_extract_all(seq, 'A+|C+|G+|T+')) AS part, generate_subscripts(regexp_extract_all(seq, 'A+|C+|G+|T+'), 1) AS k FROM alignments),
+qruns AS MATERIALIZED (SELECT qname, qlen, length(part) AS n, (sum(length(part)) OVER (PARTITION BY qname ORDER BY k) - length(part))::BIGINT AS a FROM qparts),
+rparts AS (SELECT qname, unnest(regexp_extract_all(rseq, 'A+|C+|G+|T+')) AS part, generate_subscripts(regexp_extract_all(rseq, 'A+|C+|G+|T+'), 1) AS k FROM alignments),
+rruns AS MATERIALIZED (SELECT qname, left(part, 1) AS base, length(part) AS n, (sum(length(part)) OVER (PARTITION BY qname ORDER BY k) - length(part))::BIGINT AS a FROM rparts),
+samples AS MATERIALIZED (SELECT e.qname, e.refname, e.pos, e.c AS base, q.a + q.n - e.pos AS repeat, e.support, 10 + e.i % 5 AS depth, e.refcoord, q.n AS cons_run, CASE WHEN r.n > 1 AND r.base = e.c THEN r.n ELSE 0 END AS ref_run,
+  r.n > 1 AND r.base = e.c AND r.n > q.n AS label, CASE WHEN r.n > 1 AND r.base = e.c AND r.n > q.n THEN r.n - q.n ELSE 0 END AS insert_cnt, e.pos / q.qlen AS pos_frac
+  FROM entries e JOIN qruns q ON q.qname = e.qname AND e.pos >= q.a AND e.pos < q.a + q.n JOIN rruns r ON r.qname = e.qname AND e.refcoord >= r.a AND e.refcoord < r.a + r.n)"""
 FACTS_SQL = """WITH facts AS (SELECT l_orderkey AS qname, l_linenumber AS seg, l_suppkey AS ch, l_returnflag AS tag, l_linestatus AS status, l_shipdate AS ts,
   CASE WHEN l_partkey % 10 = 0 THEN NULL WHEN l_partkey % 10 = 1 THEN '' ELSE 'chr' || (l_partkey % 10) END AS rname,
   ['A', 'C', 'G', 'T'][(l_partkey % 4 + 1)::INT] AS base, (l_quantity * 20)::BIGINT AS qlen, (l_quantity * 18)::BIGINT AS eq, (l_partkey % 7)::BIGINT AS diff,
@@ -99,6 +111,24 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments' reads with a tag ``di`` of places where bases may be missing: behind each deletion, and at every eleventh column."""
+    base = subreads(spark, sf_dir).where("seq <> ''")
+    scripts = F.array(*[F.struct(F.lit(n).alias("n"), _script(e).alias("script")) for n, e in enumerate(EDITS)])
+    both = base.select("ch", "turn", F.inline(scripts))
+
+    def entry(c: Column, i: Column) -> Column:
+        behind = (i > 0) & F.substring("script", i, F.lit(1)).isin("w", "x", "y", "z")
+        pos = F.length(F.translate(F.substring("script", F.lit(1), i), "wxyz", ""))
+        support = F.when(behind, 30 + 5 * ((i * 7 + F.col("ch")) % 11)).otherwise(5 * ((i * 3 + F.col("ch")) % 13)) / 100
+        return F.when(c.isin("A", "C", "G", "T") & (behind | (i % 11 == F.col("ch") % 11)), F.concat_ws(",", pos, c, support, 10 + i % 5))
+
+    letters = F.filter(F.split("script", ""), lambda c: c != "")
+    tag = F.array_join(F.filter(F.transform(letters, entry), lambda e: e.isNotNull()), ";")
+    tags = both.select(F.concat_ws("/", "ch", "turn", "n").alias("qname"), F.concat(tag, F.lit(";3,N,0.5,2; ;x")).alias("di"))
+    return alignments(spark, sf_dir).join(tags, "qname")
+
+
 def _script(edits: tuple[tuple[str, str], ...]) -> Column:
     out = F.col("seq")
     for motif, edit in edits:
