@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, once, phred, placed_ops, rate
+from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, let, once, phred, placed_ops, rate
 from basewell.operators.joins import points_in_regions
 from basewell.operators.runs import run_array
+from basewell.operators.tiles import reference_tiles
 
 
 def _in(kinds: str, op: Column) -> Column:
@@ -130,45 +131,66 @@ def query_to_ref(df: DataFrame) -> DataFrame:
     return placed.withColumn("ref_of", F.flatten(F.transform(F.filter("ops", lambda o: _in(QUERY_OPS, o["op"])), places))).drop("ops")
 
 
-def locus_table(df: DataFrame, refs: DataFrame) -> DataFrame:
+def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     """One row for each reference position, without depth too: counts, detail maps as text, and the bases around.
 
-    refs: refname, rseq. What the operations of an alignment say of each position is exploded once and counted before
-    it meets the positions, so the hot positions of a deep reference are summed where they are read.
+    refs: refname, rseq; the alignments need no reference sequence. Stretches of an operation become steps up and down,
+    cut at the tiles of the reference, so an aligned base isn't a row: steps are added up by position where they are
+    read, then run along their tile. A tile of ``size`` bases with ten more on both sides meets what is known of its
+    places once and is written out; positions are never shuffled, and no row holds more than a tile.
     """
+    placed = once(df.select("refname", "seq", placed_ops(cigar_ops("cigar"), "rstart").alias("ops")), "seq", "ops")
+    mark = lambda at, op, what, n: F.struct(at.cast("long").alias("pos"), op.alias("op"), what.alias("what"), F.lit(n).alias("n"))
+    none = F.lit(None).cast("string")
+
+    def steps(o: Column) -> Column:
+        """One step up for each tile that the operation touches, and one down where it ends inside of one."""
+        end = o["r"] + o["n"]
+        up = F.transform(F.sequence(F.floor(o["r"] / size), F.floor((end - 1) / size)), lambda t: mark(F.greatest(t * size, o["r"].cast("long")), o["op"], none, 1))
+        return F.concat(up, F.when(end % size != 0, F.array(mark(end, o["op"], none, -1))).otherwise(F.array().cast("array<struct<pos:bigint,op:string,what:string,n:int>>")))
+
     def marks(o: Column) -> Column:
-        """(pos, op, what): each position that the operation covers, with the base of a mismatch, or the inserted string at the next one."""
-        mark = lambda at, what: F.struct(at.cast("long").alias("pos"), o["op"].alias("op"), what.alias("what"))
-        places, none = F.sequence(o["r"], o["r"] + o["n"] - 1), F.lit(None).cast("string")
-        inserted = F.when((o["op"] == "I") & (o["r"] < F.length("rseq")), F.array(mark(o["r"], o["qs"])))
-        return inserted.when(o["op"] == "X", F.transform(places, lambda at, i: mark(at, F.substring(o["qs"], i + 1, F.lit(1))))).when(_in(REF_OPS, o["op"]), F.transform(places, lambda at: mark(at, none)))
+        inserted = F.when(o["op"] == "I", F.array(mark(o["r"], o["op"], cut("seq", o["q"], o["n"]), 1)))
+        changed = inserted.when(o["op"] == "X", F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: mark(o["r"] + k, o["op"], cut("seq", o["q"] + k, F.lit(1)), 1)))
+        return changed.when(_in(REF_OPS, o["op"]) & (o["n"] > 0), steps(o))
 
     every = F.filter(F.transform("ops", marks), lambda m: m.isNotNull())
-    marked = with_ops(df).select("refname", F.inline(F.flatten(every)))
-    marked = marked.groupBy("refname", "pos", "op", "what").agg(F.count(F.lit(1)).alias("n"))
+    marked = placed.select("refname", F.inline(F.flatten(every))).groupBy("refname", "pos", "op", "what").agg(F.sum("n").alias("n"))
+    op = F.col("op")
     total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     text = lambda op: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
-    op = F.col("op")
-    counts = marked.groupBy("refname", "pos").agg(
-        total(op == "=").alias("eq"), total(op == "X").alias("diff"), total(op == "I").alias("ins"), total(op == "D").alias("del"), total(op != "I").alias("depth"), text("X").alias("diff_detail"), text("I").alias("ins_detail")
+    at_pos = marked.groupBy("refname", F.floor(F.col("pos") / size).cast("int").alias("tile"), (F.col("pos") % size).cast("int").alias("off")).agg(
+        total(op == "=").alias("eq"), total(op == "D").alias("del"), total(op == "N").alias("skip"), total(op == "X").alias("diff"), total(op == "I").alias("ins"), text("X").alias("diff_detail"), text("I").alias("ins_detail")
     )
-
-    # Neighbours are looked up in the reference's array of bases before it is exploded, so no row carries a reference.
-    bases = refs.select("refname", F.filter(F.split("rseq", ""), lambda c: c != "").alias("b"))
-    at = lambda i: F.get("b", i)
+    order = Window.partitionBy("refname", "tile").orderBy("off")
+    level = ("eq", "del", "skip")
+    swept = at_pos.withColumns({c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in level} | {"next": F.lead("off", 1, size).over(order)})
+    here = ("diff", "ins", "diff_detail", "ins_detail")
+    found = swept.groupBy("refname", "tile").agg(F.array_sort(F.collect_list(F.struct("off", "next", *level, *here))).alias("found"))
+
+    known = lambda e, own: F.struct(*[e[c].alias(c) for c in level], *[(e[c] if own else F.lit(0).cast("long") if c in ("diff", "ins") else F.lit("")).alias(c) for c in here])
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in level], *[(F.lit(0).cast("long") if c in ("diff", "ins") else F.lit("")).alias(c) for c in here])
+    stretch = lambda e: F.concat(F.array(known(e, True)), F.array_repeat(known(e, False), e["next"] - e["off"] - 1))
+    dense = F.concat(F.array_repeat(zero, F.coalesce(F.get("found", F.lit(0))["off"], F.lit(0))), F.flatten(F.transform("found", stretch)))
+
+    tiles = reference_tiles(refs, size=size).select("refname", "tile", "begin", F.concat("left", "text", "right").cast("binary").alias("b"), F.length("left").alias("first"), F.length("text").alias("n"))
+    joined = tiles.join(found, ["refname", "tile"], "left").select("refname", "begin", "b", "first", "n", dense.alias("dense"))
+    joined = once(joined, "b", "first", "n", "dense")
+    base = lambda i, n: F.substring("b", i + 1, F.lit(n) if isinstance(n, int) else n).cast("string")
+    one = lambda i: F.when((i >= 0) & (i < F.octet_length("b")), base(i, 1))
     same = lambda x, y: F.coalesce(x == y, F.lit(False))
 
-    def place(here: Column, i: Column) -> Column:
-        before, after, second, low = at(i - 1), at(i + 1), at(i + 2), F.greatest(i - 10, F.lit(0))
-        around = F.concat(F.array_join(F.slice("b", low + 1, i - low), ""), F.lit("["), here, F.lit("]"), F.array_join(F.slice("b", i + 2, F.lit(10)), ""))
-        return F.struct(
-            i.cast("long").alias("pos"), here.alias("cur_base"), after.alias("next_base"), (same(here, before) | same(here, after)).alias("cur_is_homo"),
-            (same(after, here) | same(after, second)).alias("next_is_homo"), around.alias("around"),
-        )
-
-    places = bases.select("refname", F.inline(F.transform("b", place)))
-    out = places.join(counts, ["refname", "pos"], "left")
-    return out.fillna(0, ["eq", "diff", "ins", "del", "depth"]).fillna("", ["diff_detail", "ins_detail"])
+    def place(k: Column) -> Column:
+        i = F.col("first") + k
+        low = F.greatest(i - 10, F.lit(0))
+        return let(F.struct(one(i - 1).alias("before"), one(i).alias("here"), one(i + 1).alias("after"), one(i + 2).alias("second"), F.coalesce(F.get("dense", k), zero).alias("x")), lambda s: F.struct(
+            (F.col("begin") + k).alias("pos"), s["here"].alias("cur_base"), s["after"].alias("next_base"), (same(s["here"], s["before"]) | same(s["here"], s["after"])).alias("cur_is_homo"),
+            (same(s["after"], s["here"]) | same(s["after"], s["second"])).alias("next_is_homo"), F.concat(base(low, i - low), F.lit("["), s["here"], F.lit("]"), base(i + 1, 10)).alias("around"),
+            s["x"]["eq"].alias("eq"), s["x"]["diff"].alias("diff"), s["x"]["ins"].alias("ins"), s["x"]["del"].alias("del"), (s["x"]["eq"] + s["x"]["diff"] + s["x"]["del"] + s["x"]["skip"]).alias("depth"),
+            s["x"]["diff_detail"].alias("diff_detail"), s["x"]["ins_detail"].alias("ins_detail"),
+        ))
+
+    return joined.select("refname", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)))
 
 
 def error_spans(df: DataFrame, before: int = 5, after: int = 6) -> DataFrame:

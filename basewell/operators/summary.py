@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, qualities, rate
-from basewell.operators.ordered import with_quantiles
+from basewell.operators.ordered import in_parts, running, with_quantiles
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -80,6 +80,26 @@ def channel_subreads(df: DataFrame, *, channel: str = "ch", kind: str = "cx", le
     return with_quantiles(out, df.where(is_full), [channel], {"median_full": (length, 0.5)})
 
 
+def arrival_groups(df: DataFrame, order: str, channel: str, *, least: int = 3, length: str = "n") -> DataFrame:
+    """Stretches of consecutive rows of one channel, in the order of arrival: their first place, channel, rows and median length, from ``least`` rows on.
+
+    A channel that comes back later is another stretch. Places must be unique. The order is cut into parts; what a
+    part's first row follows is carried over from the part before.
+    """
+    parts = in_parts(df.select(order, channel, length), [], [order])
+    follows = running(parts, [], [order], "part", before={"last": F.col(channel)})
+    fresh = follows.withColumn("fresh", (~F.col("last").eqNullSafe(F.col(channel)) | F.col("last").isNull()).cast("int"))
+    marked = running(fresh, [], [order], "part", sums={"stretch": F.col("fresh")})
+    out = marked.groupBy("stretch").agg(F.min(order).alias(order), F.first(channel).alias(channel), F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
+    return with_quantiles(out, marked, ["stretch"], {f"median_{length}": (length, 0.5)}).drop("stretch")
+
+
+def first_channels(df: DataFrame, order: str, channel: str, n: int) -> DataFrame:
+    """All rows of the n channels that arrive first, whenever the rows come. Rows without a channel are left out."""
+    firsts = df.where(F.col(channel).isNotNull()).groupBy(channel).agg(F.min(order).alias("__first")).orderBy("__first", channel).limit(n)
+    return df.join(firsts.select(channel), channel, "left_semi")
+
+
 def at_least(df: DataFrame, value: str, thresholds: list[float], name: str = "threshold") -> DataFrame:
     """Each row once for every threshold that its value reaches; all thresholds in one pass."""
     reached = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col(value) >= t)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import rate
+from basewell.functions.seq import once, rate
 
 WIN = 75
 TRANSITIONS = ("AG", "GA", "CT", "TC")
@@ -98,15 +98,34 @@ def gap_classes(cols: DataFrame, true_share: float = 0.7, previous: int = 10, le
     return placed.where(gap).withColumn("kind", kind)
 
 
-def gap_features(cols: DataFrame) -> DataFrame:
-    """Consensus gaps with the share of subreads that have a base, the next consensus run beside them, and the label whether the reference has a base."""
-    order = Window.partitionBy("rec").orderBy("pos")
-    runs = run_length(cols.where("smc <> '-'").select("rec", "pos", "smc"), "smc").select("rec", "pos", F.col("run").alias("own_run"))
-    joined = cols.join(runs, ["rec", "pos"], "left")
-    last = lambda c: F.last(c, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = joined.withColumns({"hp": last("own_run"), "base": last(F.when(F.col("smc") != "-", F.col("smc")))})
-    ratio = rate(F.size(F.filter("subs", lambda b: b != "-")), F.size("subs"))
-    return placed.where("smc = '-'").select("rec", "pos", "base", "hp", ratio.alias("ratio"), (F.col("ref") != "-").alias("label"))
+def gap_features(msa: DataFrame, least_ratio: float = 0.1) -> DataFrame:
+    """Consensus gaps with their depth, the share of it that has a base, the homopolymer beside them, and the label whether the reference has a base.
+
+    The depth of a gap is the number of subreads that reach over it, from their first to their last base. The
+    homopolymer is the run next to the gap, without gaps: both sides together where they are of one base, else the right
+    one, else the left one. Gaps without evidence, with less than least_ratio of it, or without a base beside them are left out, and
+    so are records whose strings differ in length. Only the gaps of a record are exploded.
+    """
+    trimmed = lambda s, f: F.length(f(s, F.lit("-")))
+    spans = F.transform("subs", lambda s: F.struct(s.alias("s"), (F.length(s) - trimmed(s, F.ltrim)).alias("first"), (trimmed(s, F.rtrim) - 1).alias("last")))
+    whole = once(msa.where(F.length("smc") == F.length("ref")).select("rec", "smc", "ref", spans.alias("subs")), "smc", "ref", "subs")
+    at = lambda c, i: F.substring(c, i + 1, F.lit(1))
+
+    def gap(pos: Column) -> Column:
+        reach = F.filter("subs", lambda x: (x["first"] <= pos) & (pos <= x["last"]))
+        evidence = F.size(F.filter("subs", lambda x: at(x["s"], pos).isin("A", "C", "G", "T")))
+        left = F.replace(F.substring("smc", F.lit(1), pos), F.lit("-"), F.lit(""))
+        right = F.replace(F.substring(F.col("smc"), pos + 2, F.length("smc")), F.lit("-"), F.lit(""))
+        return F.struct(pos.cast("long").alias("pos"), F.size(reach).alias("depth"), evidence.alias("evidence"), left.alias("left"), right.alias("right"), (at(F.col("ref"), pos) != "-").alias("label"))
+
+    places = F.filter(F.sequence(F.lit(0), F.length("smc") - 1), lambda i: at(F.col("smc"), i) == "-")
+    gaps = whole.where(F.length("smc") > 0).select("rec", F.inline(F.transform(places, gap)))
+    valid = lambda c: F.when(c.isin("A", "C", "G", "T"), c)
+    gaps = gaps.withColumns({"l": valid(F.right("left", F.lit(1))), "r": valid(F.left("right", F.lit(1)))})
+    gaps = gaps.withColumns({"l_run": F.length("left") - F.length(F.rtrim("left", F.col("l"))), "r_run": F.length("right") - F.length(F.ltrim("right", F.col("r")))})
+    hp = F.when(F.col("l") == F.col("r"), F.col("l_run") + F.col("r_run")).otherwise(F.coalesce("r_run", "l_run"))
+    out = gaps.select("rec", "pos", F.coalesce("r", "l").alias("base"), hp.cast("long").alias("hp"), "depth", "evidence", rate("evidence", "depth").alias("ratio"), "label")
+    return out.where((F.col("evidence") > 0) & F.col("base").isNotNull() & (F.col("ratio") >= least_ratio))
 
 
 def find_thresholds(samples: DataFrame, cell: list[str], ratio: str = "ratio", label: str = "label", least: int = 10, positives: int = 5) -> DataFrame:

@@ -90,15 +90,30 @@ def m09_gap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.gap_classes(_cols(spark, sf_dir)).groupBy("kind", F.round("gap_ratio", 6).alias("gap_ratio")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FEATURES = COLUMNS_SQL + f""", solid AS (SELECT rec, pos, smc, coalesce(lag(smc) OVER (PARTITION BY rec ORDER BY pos) <> smc, true)::INT AS fresh FROM cols WHERE smc <> '-'),
-  isl AS (SELECT *, sum(fresh) OVER (PARTITION BY rec ORDER BY pos) AS island FROM solid), rl AS (SELECT rec, pos, count(*) OVER (PARTITION BY rec, island) AS own FROM isl),
-  pl AS (SELECT c.*, last_value(rl.own IGNORE NULLS) OVER w AS hp, last_value(nullif(c.smc, '-') IGNORE NULLS) OVER w AS base FROM cols c LEFT JOIN rl USING (rec, pos) WINDOW w AS (PARTITION BY rec ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  feats AS (SELECT rec, pos, base, hp, {_N} / len(subs) AS ratio, ref <> '-' AS label FROM pl WHERE smc = '-')"""
+_FEATURES = COLUMNS_SQL + """, cutoff AS (SELECT rec, smc, ref, [s1, s2, repeat('-', length(s3) // 3) || substr(s3, length(s3) // 3 + 1), left(s4, length(s4) - length(s4) // 4) || repeat('-', length(s4) // 4), repeat('-', length(s1))] AS subs FROM msa),
+  spots2 AS (SELECT *, unnest(range(length(smc))) AS pos FROM cutoff), g AS (SELECT *, replace(substr(smc, 1, pos), '-', '') AS l, replace(substr(smc, pos + 2), '-', '') AS r FROM spots2 WHERE substr(smc, pos + 1, 1) = '-'),
+  c AS (SELECT rec, pos, nullif(right(l, 1), '') AS lb, nullif(left(r, 1), '') AS rb, length(l) - length(rtrim(l, right(l, 1))) AS lr, length(r) - length(ltrim(r, left(r, 1))) AS rr, substr(ref, pos + 1, 1) <> '-' AS label,
+    len(list_filter(subs, lambda s: length(s) - length(ltrim(s, '-')) <= pos AND pos < length(rtrim(s, '-')))) AS depth, len(list_filter(subs, lambda s: substr(s, pos + 1, 1) <> '-')) AS evidence FROM g),
+  feats AS (SELECT rec, pos, coalesce(rb, lb) AS base, CASE WHEN lb = rb THEN lr + rr WHEN rb IS NOT NULL THEN rr ELSE lr END AS hp, depth, evidence, evidence / depth AS ratio, label FROM c WHERE evidence > 0 AND coalesce(rb, lb) IS NOT NULL AND evidence / depth >= 0.1)"""
+
+
+@query(_FEATURES + " SELECT rec, pos::BIGINT AS pos, base, hp, depth::INT AS depth, evidence::INT AS evidence, round(ratio, 9) AS ratio, label FROM feats")
+def m10_gap_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voting.gap_features(_cut_off(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
+
+
+def _cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns view with a subread that begins late, one that ends early, and one of gaps only."""
+    third, quarter = (F.floor(F.length("ref") / n).cast("int") for n in (3, 4))
+    s = lambda i: F.get("subs", F.lit(i))
+    late = F.concat(F.repeat(F.lit("-"), third), F.substring(s(2), third + 1, F.length("ref")))
+    early = F.concat(F.left(s(3), F.length("ref") - quarter), F.repeat(F.lit("-"), quarter))
+    return views.columns(spark, sf_dir).withColumn("subs", F.array(s(0), s(1), late, early, F.repeat(F.lit("-"), F.length("ref"))))
 
 
 @query(_FEATURES + " SELECT base, hp, label, count(*) AS n, round(avg(ratio), 9) AS ratio FROM feats GROUP BY ALL")
 def m10_gap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voting.gap_features(_cols(spark, sf_dir)).groupBy("base", "hp", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 9).alias("ratio"))
+    return voting.gap_features(_cut_off(spark, sf_dir)).groupBy("base", "hp", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 9).alias("ratio"))
 
 
 _SAMPLES = """WITH samples AS (SELECT l_partkey % 4 AS base, l_suppkey % 5 AS hp, round(l_discount + l_partkey % 7 / 20, 2) AS ratio, (l_orderkey * 13 + l_partkey * 7) % 10 < 2 + l_partkey % 7 AS label, l_orderkey AS rec FROM lineitem),

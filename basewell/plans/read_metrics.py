@@ -126,7 +126,9 @@ def a43_adjacent_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SUBREADS_SQL + " SELECT ch, count(*) AS n, median(length(seq))::DOUBLE AS median_length FROM subreads WHERE cx = 3 GROUP BY ch HAVING count(*) >= 3")
 def a44_channel_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.subreads(spark, sf_dir).where("cx = 3").groupBy("ch").agg(F.count(F.lit(1)).alias("n"), F.median(F.length("seq")).alias("median_length")).where("n >= 3")
+    full = views.subreads(spark, sf_dir).where("cx = 3").select("ch", F.length("seq").alias("length"))
+    out = full.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return with_quantiles(out, full, ["ch"], {"median_length": ("length", 0.5)})
 
 
 @query(READS_SQL + ", spots AS (SELECT qual, length(qual) AS n, unnest(range(length(qual))) AS i FROM reads) SELECT (i * 200 // n)::BIGINT AS bin, (ascii(substr(qual, i + 1, 1)) - 33)::BIGINT AS q, count(*) AS n, round(ln(1 + count(*)), 9) AS log_n FROM spots GROUP BY 1, 2")
@@ -146,11 +148,25 @@ def a01_q20_of_four_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four.groupBy("np").agg(F.round(F.avg((F.col("q") >= 20).cast("double")), 9).alias("share"))
 
 
-@query(SUBREADS_SQL + " SELECT ch, turn, length(seq)::BIGINT AS n FROM subreads WHERE ch IN (SELECT ch FROM subreads GROUP BY ch ORDER BY ch LIMIT 10)")
+#: Subreads in an order of arrival in which a channel comes back: three turns of each channel, then the next three.
+_ARRIVED = SUBREADS_SQL + ", arrived AS (SELECT *, length(seq)::BIGINT AS n, (turn // 3 * 1000000000 + ch * 1000 + turn)::BIGINT AS place FROM subreads)"
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.floor(F.col("turn") / 3) * 1_000_000_000 + F.col("ch") * 1000 + F.col("turn")
+    return views.subreads(spark, sf_dir).withColumns({"n": F.length("seq").cast("long"), "place": place.cast("long")})
+
+
+@query(_ARRIVED + ", full_ AS (SELECT *, coalesce(lag(ch) OVER (ORDER BY place) <> ch, true)::INT AS fresh FROM arrived WHERE cx >= 3), s AS (SELECT *, sum(fresh) OVER (ORDER BY place) AS stretch FROM full_) SELECT min(place) AS place, min(ch) AS ch, count(*) AS n_rows, median(n)::DOUBLE AS median_n FROM s GROUP BY stretch HAVING count(*) >= 2")
+def a44_arrival_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.arrival_groups(_arrived(spark, sf_dir).where("cx >= 3"), "place", "ch", least=2)
+
+
+@query(_ARRIVED + ", firsts AS (SELECT ch FROM arrived WHERE cx = 3 GROUP BY ch ORDER BY min(place + CASE WHEN ch % 3 = 0 THEN 500000 ELSE 0 END), ch LIMIT 10) SELECT ch, turn, n FROM arrived WHERE cx = 3 AND ch IN (SELECT ch FROM firsts)")
 def a58_first_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = views.subreads(spark, sf_dir)
-    first = subs.select("ch").distinct().orderBy("ch").limit(10)
-    return subs.join(first, "ch", "left_semi").select("ch", "turn", F.length("seq").cast("long").alias("n"))
+    """Channels whose number divides by three arrive later than their number says."""
+    later = F.col("place") + F.when(F.col("ch") % 3 == 0, 500_000).otherwise(0)
+    return summary.first_channels(_arrived(spark, sf_dir).where("cx = 3").withColumn("arrival", later), "arrival", "ch", 10).select("ch", "turn", "n")
 
 
 _ORDER = ", ".join(f"quantile_cont(length(seq), {p})::DOUBLE AS p{str(p).replace('.', '_')}" for p in (0.25, 0.5, 0.75, 0.9, 0.99, 0.999))
