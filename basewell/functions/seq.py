@@ -40,8 +40,9 @@ def qualities(text: Column | str, offset: int = 33) -> Column:
 def mean_accuracy(text: Column | str) -> Column:
     """1 - mean error over the bases; null for an empty string. Counts each quality letter once instead of walking the bases."""
     text = col(text)
-    errors = sum((F.length(text) - F.length(F.replace(text, F.lit(chr(q + 33)), F.lit("")))) * 10 ** (-q / 10) for q in range(94))
-    return 1 - rate(errors, F.length(text))
+    size = F.octet_length(text)  # known without a walk over the letters
+    errors = sum((size - F.octet_length(F.replace(text, F.lit(chr(q + 33)), F.lit("")))) * 10 ** (-q / 10) for q in range(94))
+    return 1 - rate(errors, size)
 
 
 def mean_accuracy_by_base(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, let, once, phred, placed_ops, rate
+from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, once, phred, placed_ops, rate
 from basewell.operators.joins import points_in_regions
 from basewell.operators.runs import run_array
 from basewell.operators.tiles import reference_tiles
@@ -140,22 +140,17 @@ def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     places once and is written out; positions are never shuffled, and no row holds more than a tile.
     """
     placed = once(df.select("refname", "seq", placed_ops(cigar_ops("cigar"), "rstart").alias("ops")), "seq", "ops")
-    mark = lambda at, op, what, n: F.struct(at.cast("long").alias("pos"), op.alias("op"), what.alias("what"), F.lit(n).alias("n"))
+    # From here on an operation is a row; bases come along only where they are told.
+    told = F.transform("ops", lambda o: F.struct(o["op"].alias("op"), o["r"].cast("long").alias("r"), o["n"].alias("n"), F.when(_in("IX", o["op"]), cut("seq", o["q"], o["n"])).alias("qs")))
+    rows = placed.select("refname", F.inline(told)).where(_in(REF_OPS + "I", F.col("op")) & (F.col("n") > 0))
+    r, n, end = F.col("r"), F.col("n"), F.col("r") + F.col("n")
+    mark = lambda at, what, k: F.struct(at.alias("pos"), what.alias("what"), F.lit(k).alias("k"))
     none = F.lit(None).cast("string")
-
-    def steps(o: Column) -> Column:
-        """One step up for each tile that the operation touches, and one down where it ends inside of one."""
-        end = o["r"] + o["n"]
-        up = F.transform(F.sequence(F.floor(o["r"] / size), F.floor((end - 1) / size)), lambda t: mark(F.greatest(t * size, o["r"].cast("long")), o["op"], none, 1))
-        return F.concat(up, F.when(end % size != 0, F.array(mark(end, o["op"], none, -1))).otherwise(F.array().cast("array<struct<pos:bigint,op:string,what:string,n:int>>")))
-
-    def marks(o: Column) -> Column:
-        inserted = F.when(o["op"] == "I", F.array(mark(o["r"], o["op"], cut("seq", o["q"], o["n"]), 1)))
-        changed = inserted.when(o["op"] == "X", F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: mark(o["r"] + k, o["op"], cut("seq", o["q"] + k, F.lit(1)), 1)))
-        return changed.when(_in(REF_OPS, o["op"]) & (o["n"] > 0), steps(o))
-
-    every = F.filter(F.transform("ops", marks), lambda m: m.isNotNull())
-    marked = placed.select("refname", F.inline(F.flatten(every))).groupBy("refname", "pos", "op", "what").agg(F.sum("n").alias("n"))
+    down = F.when(end % size != 0, F.array(mark(end, none, -1))).otherwise(F.array().cast("array<struct<pos:bigint,what:string,k:int>>"))
+    up = F.when(F.floor(r / size) == F.floor((end - 1) / size), F.array(mark(r, none, 1))).otherwise(F.transform(F.sequence(F.floor(r / size), F.floor((end - 1) / size)), lambda t: mark(F.greatest(t * size, r), none, 1)))
+    changed = F.when(n == 1, F.array(mark(r, F.col("qs"), 1))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: mark(r + k, F.substring(F.col("qs"), k + 1, F.lit(1)), 1)))
+    marks = F.when(F.col("op") == "I", F.array(mark(r, F.col("qs"), 1))).when(F.col("op") == "X", changed).otherwise(F.concat(up, down))
+    marked = rows.select("refname", "op", F.inline(marks)).groupBy("refname", "pos", "op", "what").agg(F.sum("k").alias("n"))
     op = F.col("op")
     total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     text = lambda op: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
@@ -176,21 +171,22 @@ def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     tiles = reference_tiles(refs, size=size).select("refname", "tile", "begin", F.concat("left", "text", "right").cast("binary").alias("b"), F.length("left").alias("first"), F.length("text").alias("n"))
     joined = tiles.join(found, ["refname", "tile"], "left").select("refname", "begin", "b", "first", "n", dense.alias("dense"))
     joined = once(joined, "b", "first", "n", "dense")
-    base = lambda i, n: F.substring("b", i + 1, F.lit(n) if isinstance(n, int) else n).cast("string")
-    one = lambda i: F.when((i >= 0) & (i < F.octet_length("b")), base(i, 1))
-    same = lambda x, y: F.coalesce(x == y, F.lit(False))
 
     def place(k: Column) -> Column:
-        i = F.col("first") + k
-        low = F.greatest(i - 10, F.lit(0))
-        return let(F.struct(one(i - 1).alias("before"), one(i).alias("here"), one(i + 1).alias("after"), one(i + 2).alias("second"), F.coalesce(F.get("dense", k), zero).alias("x")), lambda s: F.struct(
-            (F.col("begin") + k).alias("pos"), s["here"].alias("cur_base"), s["after"].alias("next_base"), (same(s["here"], s["before"]) | same(s["here"], s["after"])).alias("cur_is_homo"),
-            (same(s["after"], s["here"]) | same(s["after"], s["second"])).alias("next_is_homo"), F.concat(base(low, i - low), F.lit("["), s["here"], F.lit("]"), base(i + 1, 10)).alias("around"),
-            s["x"]["eq"].alias("eq"), s["x"]["diff"].alias("diff"), s["x"]["ins"].alias("ins"), s["x"]["del"].alias("del"), (s["x"]["eq"] + s["x"]["diff"] + s["x"]["del"] + s["x"]["skip"]).alias("depth"),
-            s["x"]["diff_detail"].alias("diff_detail"), s["x"]["ins_detail"].alias("ins_detail"),
-        ))
-
-    return joined.select("refname", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)))
+        """The place with its bases from ten before to ten behind it; ``l`` of them come before."""
+        l = F.least(F.col("first") + k, F.lit(10))  # noqa: E741
+        return F.struct((F.col("begin") + k).alias("pos"), l.alias("l"), F.substring("b", F.col("first") + k - l + 1, l + 11).cast("string").alias("near"), F.coalesce(F.get("dense", k), zero).alias("x"))
+
+    each = joined.select("refname", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)))
+    letter = lambda i: F.nullif(F.substring(F.col("near"), F.col("l") + i, F.lit(1)), F.lit(""))
+    each = each.withColumns({"before": F.when(F.col("l") > 0, letter(0)), "cur_base": letter(1), "next_base": letter(2), "second": letter(3)})
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    around = F.concat(F.left("near", F.col("l")), F.lit("["), "cur_base", F.lit("]"), F.substring(F.col("near"), F.col("l") + 2, F.lit(10)))
+    depth = F.col("x.eq") + F.col("x.diff") + F.col("x.del") + F.col("x.skip")
+    return each.select(
+        "refname", "pos", "cur_base", "next_base", (same("cur_base", "before") | same("cur_base", "next_base")).alias("cur_is_homo"), (same("next_base", "cur_base") | same("next_base", "second")).alias("next_is_homo"),
+        around.alias("around"), "x.eq", "x.diff", "x.ins", "x.del", depth.alias("depth"), "x.diff_detail", "x.ins_detail",
+    )
 
 
 def error_spans(df: DataFrame, before: int = 5, after: int = 6) -> DataFrame:
