@@ -176,7 +176,7 @@ class Lattice:
         (a, up), (b, down) = self.forward(weight), self.backward(weight)
         goal = (self.root + self.lengths)[self.word]
         lift = (up[goal] - up[self.node] - down[self.node + self.width]).astype(float)
-        return a[self.node, 0] * weight[:, 0] * b[self.node + self.width, 0] / a[goal, 0] * _STEP ** -lift
+        return a[self.node, 0] * weight[:, 0] * b[self.node + self.width, 0] / a[goal, 0] * _STEP**lift
 
 
 def _blocks(words: list[str]) -> Iterator[np.ndarray]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basewell.llm.common import materialize
+from basewell.llm.common import discard, materialize
 
 #: Host suffix, path prefix, verdict.
 RULES = (
@@ -27,7 +27,10 @@ RULES = (
 )
 MASS = 10**15
 FINE = 10**15
-TOLERANCE = 10**6
+#: Masses stay when none changes by more than its thousandth part in a round.
+TOLERANCE = 1000
+#: Rounds between two written tables.
+STEPS = 2
 #: In hundredths: what a host passes on in each round; the rest returns to the seeds.
 PASSED = 85
 #: Rounds of the query's SQL, which the given tables don't need: their pages link only within their host.
@@ -74,45 +77,64 @@ def _floored(total: str, by: str) -> str:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Personalised PageRank: seeds (host, weight) and edges (src, dst) to (host, mass), MASS * FINE to all seeds.
+    """Personalised PageRank: seeds (host, weight) and edges (src, dst) to (host, mass), MASS * FINE to all seeds."""
+    return spread_sides(seeds.withColumn("side", F.lit(0)), edges.withColumn("side", F.lit(0)), rounds).select("host", "mass")
+
+
+def spread_sides(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The same for several sides at once, each with seeds (side, host, weight) and edges (side, src, dst) of its own: (side, host, mass).
 
     Each round a host keeps what it draws as a seed and receives its share from the hosts that point at it; what hosts
     without edges would pass on goes back to the seeds, each its share. Edges are held once for each pair of hosts, and each round adds up
-    partial sums before its shuffle, so a host with very many links is no single task's work. Every round is written
-    out, which ends the lineage. Without a number of rounds they go on until masses stay.
+    partial sums before its shuffle, so a host with very many links is no single task's work. Every STEPS rounds the masses
+    are written out, which ends the lineage, and the table before is deleted. Without a number of rounds they go on until masses stay.
     """
-    total = seeds.agg(F.sum("weight").cast("decimal(20,0)").alias("all_weight"))
+    total = seeds.groupBy("side").agg(F.sum("weight").cast("decimal(20,0)").alias("all_weight"))  # a row for each side
     # Of mass * weight only the part below 10^38 fits: whole shares of all_weight first, then those of the remainder.
     each = F.expr(_floored(f"cast({MASS} as decimal(38,0)) * weight", "all_weight"))
     rest = F.expr(f"(cast({MASS} as decimal(38,0)) * weight) % all_weight")
-    drawn = seeds.crossJoin(F.broadcast(total)).select("host", each.alias("each"), rest.cast("decimal(20,0)").alias("rest"), "all_weight")
+    drawn = seeds.join(F.broadcast(total), "side").select("side", "host", each.alias("each"), rest.cast("decimal(20,0)").alias("rest"), "all_weight")
     fine = F.expr(_floored(f"cast({FINE} as decimal(38,0)) * rest", "all_weight"))
-    drawn = drawn.select("host", F.greatest((F.col("each").cast("decimal(20,0)") * F.lit(FINE) + fine).cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")).alias("drawn"))
-    out = edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), "src")
+    drawn = drawn.select("side", "host", F.greatest((F.col("each").cast("decimal(20,0)") * F.lit(FINE) + fine).cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")).alias("drawn"))
+    out = edges.join(edges.groupBy("side", "src").agg(F.count(F.lit(1)).alias("n_out")), ["side", "src"])
     drawn, out = materialize(drawn), materialize(out)
-    rank = drawn.select("host", F.col("drawn").alias("mass"))
+    start = drawn.select("side", "host", F.col("drawn").alias("mass"))
     if out.isEmpty():
-        return rank
+        discard(out)
+        return start
+    every = edges.select("side", F.col("dst").alias("host")).unionByName(drawn.select("side", "host")).distinct()
+    ends = materialize(every.join(out.select("side", F.col("src").alias("host")).distinct(), ["side", "host"], "left_anti"))
     one = F.lit(1).cast("decimal(38,0)")
-    own = drawn.select("host", F.greatest(F.expr(_floored(f"drawn * cast({100 - PASSED} as decimal(3,0))", "100")), one).alias("mass"))
-    every = edges.select(F.col("dst").alias("host")).unionByName(drawn.select("host")).distinct()
-    ends = materialize(every.join(out.select(F.col("src").alias("host")).distinct(), "host", "left_anti"))
-    n = 0
-    while rounds is None or n < rounds:
-        n += 1
+    own = drawn.select("side", "host", F.greatest(F.expr(_floored(f"drawn * cast({100 - PASSED} as decimal(3,0))", "100")), one).alias("mass"))
+
+    def round_of(rank: DataFrame) -> DataFrame:
         passed = F.greatest(F.expr(_floored(f"cast(mass * cast({PASSED} as decimal(3,0)) as decimal(38,0))", "cast(100 * n_out as decimal(20,0))")), one)
-        flow = out.join(rank, out["src"] == rank["host"]).select(F.col("dst").alias("host"), passed.alias("mass"))
-        held = rank.join(ends, "host", "left_semi").agg(F.sum("mass").cast("decimal(38,0)").alias("held"))
+        flow = out.join(rank.select("side", F.col("host").alias("src"), "mass"), ["side", "src"]).select("side", F.col("dst").alias("host"), passed.alias("mass"))
+        held = rank.join(ends, ["side", "host"], "left_semi").groupBy("side").agg(F.sum("mass").cast("decimal(38,0)").alias("held"))  # a row for each side
         # passed * drawn / (MASS * FINE), by the halves of drawn, since the product has too many digits.
-        passed_on = _floored(f"{_floored('coalesce(held, 0)', str(FINE))} * cast({PASSED} as decimal(3,0))", "100")
+        passed_on = _floored(f"{_floored('held', str(FINE))} * cast({PASSED} as decimal(3,0))", "100")
         high, low = (f"cast({x} as decimal(18,0))" for x in (_floored("drawn", str(FINE)), f"drawn % {FINE}"))
         back = F.expr(f"cast(cast({passed_on} as decimal(18,0)) * {high} as decimal(38,0)) + " + _floored(f"cast(cast({passed_on} as decimal(18,0)) * {low} as decimal(38,0))", str(FINE)))
-        again = drawn.crossJoin(F.broadcast(held)).select("host", back.cast("decimal(38,0)").alias("mass"))  # one row
-        now = materialize(flow.unionByName(own).unionByName(again).groupBy("host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
-        before, rank = rank.withColumnRenamed("mass", "was"), now
+        again = drawn.join(F.broadcast(held), "side").select("side", "host", back.cast("decimal(38,0)").alias("mass"))
+        return flow.unionByName(own).unionByName(again).groupBy("side", "host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass"))
+
+    held_table, rank, n = None, start, 0
+    while rounds is None or n < rounds:
+        steps = STEPS if rounds is None else min(STEPS, rounds - n)
+        before = now = rank
+        for _ in range(steps):
+            before, now = now, round_of(now)
+        n += steps
+        now = materialize(now.join(before.withColumnRenamed("mass", "was"), ["side", "host"], "left"))
+        if held_table is not None:
+            discard(held_table)
+        held_table, rank = now, now.select("side", "host", "mass")
         off = F.abs(F.col("mass") - F.coalesce("was", F.lit(0).cast("decimal(38,0)")))
-        if now.join(before, "host", "left").where(F.col("was").isNull() | (off > F.expr(_floored("mass", str(TOLERANCE))))).isEmpty():
+        if rounds is None and now.where(F.col("was").isNull() | (off > F.expr(_floored("mass", str(TOLERANCE))))).isEmpty():
             break
+    if held_table is not None:
+        discard(drawn)
+    discard(out, ends)
     return rank
 
 
@@ -128,10 +150,11 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     placed = placed.withColumns({"rule": rule, "said": said})
     votes = placed.where("said is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("n_allow"), F.count_if(F.col("said") == "block").alias("n_block"))
     votes, edges = materialize(votes), materialize(host_edges(pages, url_col, html_col))
-    trust = spread(votes.where("n_allow > 0").select("host", F.col("n_allow").alias("weight")), edges, rounds)
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = spread(votes.where("n_block > 0").select("host", F.col("n_block").alias("weight")), against, rounds)
-    marks = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full_outer")
+    seeds = [votes.where(f"{n} > 0").select(F.lit(side).alias("side"), "host", F.col(n).alias("weight")) for side, n in enumerate(("n_allow", "n_block"))]
+    links = edges.select(F.lit(0).alias("side"), "src", "dst").unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    mass = spread_sides(seeds[0].unionByName(seeds[1]), links, rounds)
+    discard(votes, edges)
+    marks = mass.groupBy("host").agg(*[F.max(F.when(F.col("side") == side, F.col("mass"))).alias(c) for side, c in enumerate(("trust", "distrust"))])
     marks = marks.select("host", *[F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)")).alias(c) for c in ("trust", "distrust")])
     # What is less than a unit shows as one.
     shown = {c: F.when(F.col(c) > 0, F.greatest(F.expr(_floored(c, f"cast({FINE} as decimal(20,0))")).cast("long"), F.lit(1))).otherwise(0) for c in ("trust", "distrust")}
