@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.functions.seq import once
-from basewell.operators import alignment, metrics, summary
+from basewell.operators import alignment, metrics, msa, summary
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, ALN_SQL, table
@@ -196,6 +196,41 @@ def b24_insertion_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inserted.groupBy("refname", (F.col("r") - 1).cast("long").alias("pos")).agg(F.max("n").cast("long").alias("width"))
 
 
+#: Alignments of which every second one begins later: at its first run of matches from place 20 on.
+_CUT = ALN_SQL + """, runs AS (SELECT *, op = '=' AND coalesce(lag(op) OVER (PARTITION BY qname ORDER BY col_idx) <> '=', true) AND rpos >= 20 AS fresh FROM aln),
+  begins AS (SELECT qname, CASE WHEN ends_with(qname, '/1') THEN min(col_idx) FILTER (fresh) ELSE 0 END AS b FROM runs GROUP BY qname),
+  kept AS MATERIALIZED (SELECT a.* FROM aln a JOIN begins USING (qname) WHERE col_idx >= b),
+  attached AS MATERIALIZED (SELECT *, last_value(rpos IGNORE NULLS) OVER (PARTITION BY qname ORDER BY col_idx) AS at_r FROM kept),
+  strings AS (SELECT refname, qname, at_r AS pos, string_agg(qbase, '' ORDER BY col_idx) AS s FROM attached WHERE op = 'I' AND at_r IS NOT NULL GROUP BY ALL),
+  widths AS (SELECT refname, pos, max(length(s)) AS width FROM strings GROUP BY ALL),
+  bounds AS (SELECT refname, min(rpos) AS s0, max(rpos) AS s1 FROM kept GROUP BY refname),
+  loci2 AS (SELECT refname, unnest(range(s0, s1 + 1)) AS pos, s0 FROM bounds),
+  placed2 AS MATERIALIZED (SELECT l.refname, l.pos, coalesce(width, 0) AS width, l.pos - s0 + coalesce(sum(coalesce(width, 0)) OVER (PARTITION BY l.refname ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM loci2 l LEFT JOIN widths USING (refname, pos))"""
+
+
+def _cut_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alns = views.alignments(spark, sf_dir).drop("qual")
+    placed = once(alns.withColumn("ops", S.placed_ops(S.cigar_ops("cigar"), "rstart")), "ops")
+    first = F.when(F.col("qname").endswith("/1"), F.get(F.filter("ops", lambda o: (o["op"] == "=") & (o["r"] >= 20)), F.lit(0))["c"]).otherwise(0)
+    kept = once(placed.withColumn("begin", first).where("begin is not null"), "ops", "begin")
+    kept = once(kept.withColumn("ops", F.filter("ops", lambda o: o["c"] >= F.col("begin"))), "ops").where(F.size("ops") > 0)
+    at = F.get("ops", F.lit(0))
+    cigar = F.array_join(F.transform("ops", lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
+    return kept.select("qname", "refname", at["r"].alias("rstart"), cigar.alias("cigar"), F.substring(F.col("seq"), at["q"] + 1, F.length("seq")).alias("seq"), "rseq")
+
+
+@query(_CUT + " SELECT a.refname, a.qname, min(p.col)::BIGINT AS col_start, string_agg(coalesce(a.qbase, '.') || coalesce(s.s, '') || repeat('.', (p.width - length(coalesce(s.s, '')))::BIGINT), '' ORDER BY a.rpos) AS text"
+       " FROM kept a JOIN placed2 p ON p.refname = a.refname AND p.pos = a.rpos LEFT JOIN strings s ON s.qname = a.qname AND s.pos = a.rpos WHERE a.rpos IS NOT NULL GROUP BY a.refname, a.qname")
+def b24_padded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msa.padded_reads(_cut_alignments(spark, sf_dir))
+
+
+@query(_CUT + " SELECT p.refname, p.pos // 256 AS tile, min(p.col)::BIGINT AS col_start, string_agg(substr(r.rseq, p.pos + 1, 1) || repeat('.', p.width::BIGINT), '' ORDER BY p.pos) AS text FROM placed2 p JOIN (SELECT DISTINCT refname, rseq FROM alignments) r USING (refname) GROUP BY ALL")
+def b24_padded_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alns = _cut_alignments(spark, sf_dir)
+    return msa.padded_reference(alns, alns.select("refname", "rseq").distinct())
+
+
 _TRUSTED = _NEXT.rsplit(", c AS", 1)[0].replace("kinds AS (SELECT qname, op,", "kinds AS (SELECT qname, refname, op, qpos, CASE WHEN op = 'I' THEN coalesce(last_r, -1) + 1 ELSE rpos END AS p,").replace("near AS (SELECT *,", "near AS (SELECT *, last_value(rpos IGNORE NULLS) OVER (PARTITION BY qname ORDER BY col_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_r,") + """,
   refs AS (SELECT DISTINCT refname, length(rseq) AS size FROM alignments),
   judged AS (SELECT k.*, ((p < size // 2) OR (p >= size // 2 + 10 AND p < size)) AND p % 37 <> 5 AS here, p = 0 OR (((p - 1 < size // 2) OR (p - 1 >= size // 2 + 10 AND p - 1 < size)) AND (p - 1) % 37 <> 5) AS before FROM kinds k JOIN refs USING (refname)),
