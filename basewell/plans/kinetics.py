@@ -96,7 +96,57 @@ def a16_end_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select([F.round(c, 9).alias(c) for c in out.columns])
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY user_id QUALIFY row_number() OVER (ORDER BY n DESC, user_id) <= 50")
+#: Reads of three runs with all kinetics; every seventh turn lacks its arrays and values.
+_RUN = SUBREADS_SQL + """, kin AS (SELECT ch || '/' || turn AS qname, 'run' || ch % 3 AS run, seq, turn % 7 = 5 AS bare, length(seq) AS n, (ch * 7 + turn) % 40 / 4 AS cq, (ch * 3 + turn * 11) % 50 / 4 AS oe, ch FROM subreads),
+  spots AS (SELECT *, unnest(range(n)) AS i FROM kin),
+  each AS (SELECT run, qname, substr(seq, i + 1, 1) AS base, CASE WHEN bare THEN -1 ELSE 2 * (1 + (i * 7 + ch) % 40) END AS dw, CASE WHEN bare THEN -1 ELSE 2 * (2 + (i * 3 + ch) % 25) END AS ar, CASE WHEN bare THEN -1 ELSE (i * 5 + ch) % 9 / 8 END AS cr FROM spots)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch, turn = F.col("ch"), F.col("turn")
+    bare = turn % 7 == 5
+    subs = views.subreads(spark, sf_dir)
+    places = F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.length("seq") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    array = lambda f: F.when(~bare, F.transform(places, f))
+    return subs.select(
+        F.concat_ws("/", "ch", "turn").alias("qname"), F.concat(F.lit("run"), ch % 3).alias("run"), "seq", array(lambda i: 1 + (i * 7 + ch) % 40).alias("dw"), array(lambda i: 2 + (i * 3 + ch) % 25).alias("ar"),
+        array(lambda i: (i * 5 + ch) % 9 / 8).alias("cr"), F.when(~bare, (ch * 7 + turn) % 40 / 4).alias("cq"), F.when(~bare, (ch * 3 + turn * 11) % 50 / 4).alias("oe"),
+    )
+
+
+@query(_RUN + """, b AS (SELECT run, avg(dw) AS "dw-mean", avg(ar) AS "ar-mean", avg(cr) AS "cr-mean", count(*) / (sum(dw + ar) * 0.001) AS "speed", """ + ", ".join(f"""avg({c}) FILTER (base = '{x}') AS "{c}-mean-{x}\"""" for c in ("dw", "ar") for x in "ACGT") + """ FROM each GROUP BY run),
+  r AS (SELECT run, avg(CASE WHEN bare THEN -1 ELSE cq END) AS "cq-mean", median(CASE WHEN bare THEN -1 ELSE oe END) AS "oe-median", median(n) AS "readlen-median" FROM kin GROUP BY run)
+  SELECT run, name, round(value, 9) AS value FROM (UNPIVOT (SELECT run, COLUMNS(* EXCLUDE (run))::DOUBLE FROM b JOIN r USING (run)) ON COLUMNS(* EXCLUDE (run)) INTO NAME name VALUE value)""")
+def b11_run_kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinetics.run_kinetics(_runs(spark, sf_dir), ["run"]).withColumn("value", F.round("value", 9))
+
+
+@query(_RUN + """, m AS (SELECT run, qname, avg(dw) AS dw, avg(ar) AS ar FROM each GROUP BY run, qname), s AS (SELECT k.run, k.qname, coalesce(m.dw, -1) AS dw, coalesce(m.ar, -1) AS ar, n AS length FROM kin k LEFT JOIN m USING (run, qname))
+  SELECT run, qname, round(dw, 9)::DOUBLE AS dw, round(ar, 9)::DOUBLE AS ar, length::INT AS length FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY md5('0:' || qname), qname) <= 5000""")
+def b11_sampled_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinetics.sampled_channels(_runs(spark, sf_dir), ["run"]).withColumns({"dw": F.round("dw", 9), "ar": F.round("ar", 9)})
+
+
+@query(_RUN + """, g AS (SELECT qname, base, count(*) AS n, sum(dw) AS dw, sum(ar) AS ar, sum(cr) AS cr FROM each GROUP BY qname, base), reads AS (SELECT avg(CASE WHEN bare THEN -1 ELSE cq END) AS cq, median(CASE WHEN bare THEN -1 ELSE oe END) AS oe FROM kin),
+  t AS (SELECT base, n, dw, ar, cr FROM g UNION ALL SELECT 'all', n, dw, ar, cr FROM g)
+  SELECT base, sum(n)::BIGINT AS n, round(sum(dw) / sum(n), 9)::DOUBLE AS dw_ms, round(sum(ar) / sum(n), 9)::DOUBLE AS ar_ms, round(sum(cr) / sum(n), 9)::DOUBLE AS cr, round(sum(n) / (sum(dw + ar) * 0.001), 9)::DOUBLE AS speed,
+    CASE WHEN base = 'all' THEN (SELECT round(cq, 9) FROM reads) END::DOUBLE AS cq, CASE WHEN base = 'all' THEN (SELECT oe FROM reads) END::DOUBLE AS oe FROM t GROUP BY base""")
+def a14_kinetic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-14 with capture rate, quality and evidence, from the base table's sums."""
+    reads = _runs(spark, sf_dir)
+    missing = lambda c: F.coalesce(c, F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1))), lambda _: F.lit(-1.0)))
+    ms = reads.withColumns({c: missing(F.transform(c, lambda v: v.cast("double") * k)) for c, k in (("dw", 2), ("ar", 2), ("cr", 1))})  # noqa: B023
+    sums = kinetics.base_table(ms, arrays=("dw", "ar", "cr")).where("base_cnt > 0")
+    both = sums.withColumn("base", F.explode(F.array(F.col("base"), F.lit("all"))))
+    n, dw, ar, cr = (F.sum(c) for c in ("base_cnt", "dw_sum", "ar_sum", "cr_sum"))
+    out = both.groupBy("base").agg(n.alias("n"), *[F.round(v, 9).alias(c) for c, v in (("dw_ms", S.rate(dw, n)), ("ar_ms", S.rate(ar, n)), ("cr", S.rate(cr, n)), ("speed", S.rate(n, (dw + ar) * 0.001)))])
+    values = reads.select(F.lit("all").alias("base"), *[F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in ("cq", "oe")])
+    whole = with_quantiles(values.groupBy("base").agg(F.round(F.avg("cq"), 9).alias("cq")), values, ["base"], {"oe": ("oe", 0.5)})
+    return out.join(whole, "base", "left")
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY user_id")
 def b12_run_level_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("median"))
-    return summary.top_k(by_user, [], [F.desc("n"), F.col("user_id")], 50)
+    events = table(spark, sf_dir, "events")
+    by_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return with_quantiles(by_user, events, ["user_id"], {"median": ("value", 0.5)})

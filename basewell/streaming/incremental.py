@@ -46,6 +46,44 @@ def merge_into(path: str, keys: list[str], fold: dict[str, Callable[[Column, Col
     return run
 
 
+def upsert(path: str, keys: list[str], values: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for update mode: the rows of a batch replace those of the same keys in the metric table.
+
+    A batch writes the table of its number from the one before, so running it again changes nothing.
+    """
+    return merge_into(path, keys, {v: lambda _, new: new for v in values})
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The metric table after the last batch that merge_into or upsert has written whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = [int(s.getPath().getName()) for s in files.listStatus(hadoop) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(done)}")
+
+
+def write_runs(df: DataFrame, path: str, run: Column) -> None:
+    """Adds the rows to a folder of runs, each run in a folder of its own, as an instrument leaves them."""
+    df.withColumn("run", run).repartition("run").write.mode("append").partitionBy("run").parquet(path)
+
+
+def run_source(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The folders of runs as a stream, one file a batch; folders that come later are found by the next trigger."""
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/run=*")
+
+
+def fold_available(stream: DataFrame, mode: str, fold: Callable[[DataFrame, int], None], state: str) -> int:
+    """Folds all micro-batches that are there; with the same state a later call takes up only what is new. Returns how many batches this call ran."""
+    ran = []
+
+    def counted(batch: DataFrame, number: int) -> None:
+        fold(batch, number)
+        ran.append(number)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(counted).start().awaitTermination()
+    return len(ran)
+
+
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
     """The table as a stream of its files."""
     schema: StructType = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
