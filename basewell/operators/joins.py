@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basewell.functions.seq import rate
 from basewell.operators.ordered import last_mark
 
 
@@ -71,3 +72,18 @@ def newest_below(values: DataFrame, steps: DataFrame, *, value: str, step: str,
     """For each value the result of the largest step at or below it, else the default; of equal steps the largest result counts."""
     marks = steps.groupBy(F.col(step).alias(value)).agg(F.max(result).cast("double").alias(result))
     return last_mark(values, marks, [], value, result).withColumn(result, F.coalesce(result, F.lit(default)))
+
+
+def compare_runs(a: DataFrame, b: DataFrame, key: str, *, value: str = "concordance", passes: str | None = None, least_passes: float = 0, span: str | None = None) -> DataFrame:
+    """One row: keys of both runs, how many are better, worse and equal in the first, and shares.
+
+    Only keys of more passes than least_passes in the first run count, and, where span is given, only those of the same span in both.
+    """
+    right = b.select(key, F.col(value).alias("__value"), *([F.col(span).alias("__span")] if span else []))
+    both = a.join(right, key)
+    if passes:
+        both = both.where(F.col(passes) > least_passes)
+    if span:
+        both = both.where(F.col(span) == F.col("__span"))
+    n, better, worse = F.count(F.lit(1)), F.count_if(F.col(value) > F.col("__value")), F.count_if(F.col(value) < F.col("__value"))
+    return both.agg(n.alias("channels"), better.alias("better"), worse.alias("worse"), (n - better - worse).alias("equal"), rate(better, n).alias("better_share"), rate(worse, n).alias("worse_share"))

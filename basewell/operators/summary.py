@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, qualities, rate
-from basewell.operators.ordered import in_parts, running, with_quantiles
+from basewell.operators.ordered import in_parts, running, same_group, with_quantiles
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -80,6 +80,35 @@ def channel_subreads(df: DataFrame, *, channel: str = "ch", kind: str = "cx", le
     return with_quantiles(out, df.where(is_full), [channel], {"median_full": (length, 0.5)})
 
 
+def gap_report(df: DataFrame, segments: str, gaps: str, k: int = 20) -> DataFrame:
+    """(name, value): reads of several segments and their share, the k most common gaps between segments with their shares, and the total of these.
+
+    gaps is a comma-joined list whose first entry lies before the first segment; of equally common gaps the smaller counts.
+    """
+    many = F.col(segments) > 1
+    share = df.agg(F.count_if(many).cast("double").alias("[segs>1]Cnt"), F.avg(many.cast("double")).alias("[segs>1]Ratio"))
+    inner = F.slice(F.split(gaps, ","), F.lit(2), F.col(segments).cast("int") - 1)
+    counted = df.where(many).select(F.explode(inner).alias("gap")).groupBy(F.col("gap").cast("long").alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.agg(F.sum("n").alias("all"))  # one row
+    top = counted.orderBy(F.desc("n"), "gap").limit(k).join(F.broadcast(whole), F.lit(True)).select("gap", rate("n", "all").alias("ratio"))
+    rows = top.select(F.concat(F.lit("[segs>1]gap="), "gap").alias("name"), F.col("ratio").alias("value"))
+    return share.unpivot([], share.columns, "name", "value").unionByName(top.agg(F.sum("ratio").alias("value")).select(F.lit(f"[segs>1]gapTop{k}Ratio").alias("name"), "value")).unionByName(rows)
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """One row for each metric of a log (metric, epoch, step, value): granularity, steps, epochs, extremes, mean and last value.
+
+    A metric is of ``epoch`` granularity if most epochs have one value: one is the most common number of values of an epoch
+    (of equally common ones the smallest), and more than four fifths of the epochs have it. Null values don't count there.
+    """
+    epochs = log.where(F.col("value").isNotNull() & F.col("epoch").isNotNull()).groupBy("metric", "epoch").agg(F.count(F.lit(1)).alias("n"))
+    sizes = epochs.groupBy("metric", "n").agg(F.count(F.lit(1)).alias("k"))
+    single = (F.min_by("n", F.struct(-F.col("k"), "n")) == 1) & (rate(F.sum(F.when(F.col("n") == 1, F.col("k")).otherwise(0)), F.sum("k")) > 0.8)
+    grain = sizes.groupBy("metric").agg(F.when(single, "epoch").otherwise("step").alias("granularity"), F.sum("k").alias("epochs"))
+    out = log.groupBy("metric").agg(F.max("step").alias("steps"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.max_by("value", "step").alias("final"))
+    return same_group(out, grain, ["metric"]).select("metric", F.coalesce("granularity", F.lit("step")).alias("granularity"), "steps", F.coalesce("epochs", F.lit(0)).alias("epochs"), "least", "most", "mean", "final")
+
+
 def arrival_groups(df: DataFrame, order: str, channel: str, *, least: int = 3, length: str = "n") -> DataFrame:
     """Stretches of consecutive rows of one channel, in the order of arrival: their first place, channel, rows and median length, from ``least`` rows on.
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.functions.seq import once
-from basewell.operators import alignment, metrics, msa, summary
+from basewell.operators import alignment, loci, metrics, msa, summary
 from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import ALIGNMENTS_SQL, ALN_SQL, table
 from basewell.sources import fastx
-from basewell.sources.scratch import new_path
+from basewell.sources.scratch import materialize, new_path
 
 
 @query(ALN_SQL + " SELECT qname, refname, col_idx, op, qpos, rpos, qbase, rbase FROM aln")
@@ -164,6 +164,32 @@ def a28_error_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumn("diff_over_share", F.round(S.rate("diff", F.sum("diff").over(whole)) / S.rate("places", F.sum("places").over(whole)), 9))
 
 
+@query(_LOCUS + ", ".join(["", *[f"t_{c} AS (SELECT '{c}' AS type, refname, pos, {c} AS n, depth, round({c} / nullif(depth, 0), 9) AS ratio, around FROM loci WHERE {c} > 0 ORDER BY {c} DESC, refname, pos LIMIT 50)" for c in ("diff", "ins", "del")]]) + " SELECT * FROM t_diff UNION ALL SELECT * FROM t_ins UNION ALL SELECT * FROM t_del")
+def a28_worst_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(_loci(spark, sf_dir).select("refname", "pos", "diff", "ins", "del", "depth", "around").where("diff > 0 or ins > 0 or del > 0"))
+    return loci.worst_places(found).withColumn("ratio", F.round("ratio", 9))
+
+
+_COMPOSED = _LOCUS + """, comp AS MATERIALIZED (SELECT cur_base, cur_is_homo, count(*) AS n_pos, count_if(diff + ins + del > 0) AS n_pos_err, sum(diff)::BIGINT AS diff, sum(ins)::BIGINT AS ins, sum(del)::BIGINT AS del, sum(diff + ins + del)::BIGINT AS total FROM loci GROUP BY ALL),
+  tall AS (SELECT cur_base, cur_is_homo, n_pos, unnest(['total', 'diff', 'ins', 'del']) AS type, unnest([total, diff, ins, del]) AS n FROM comp WHERE n_pos_err > 0),
+  pairs AS (SELECT h.cur_base, h.type, h.n_pos / (h.n_pos + r.n_pos) AS pos_ratio, h.n AS homo, r.n AS rest FROM tall h JOIN tall r ON h.cur_base = r.cur_base AND h.type = r.type AND h.cur_is_homo AND NOT r.cur_is_homo),
+  corrected AS (SELECT *, floor(homo / pos_ratio)::BIGINT AS homo_corrected, floor(rest / (1 - pos_ratio))::BIGINT AS rest_corrected FROM pairs),
+  shares AS (SELECT cur_base, sum(n_pos) / (SELECT sum(n_pos) FROM comp) AS share FROM comp GROUP BY cur_base),
+  across_ AS (SELECT type, cur_base, homo_corrected + rest_corrected AS raw, floor((homo_corrected + rest_corrected) / share)::BIGINT AS corr FROM corrected JOIN shares USING (cur_base))"""
+
+
+@query(_COMPOSED + " SELECT cur_base, type, round(pos_ratio, 9) AS pos_ratio, homo, rest, homo_corrected, rest_corrected, round(homo_corrected / nullif(rest_corrected, 0), 9) AS ratio FROM corrected")
+def a28_homo_against_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = loci.homo_against_rest(loci.composition(_loci(spark, sf_dir)))
+    return out.withColumns({c: F.round(c, 9) for c in ("pos_ratio", "ratio")})
+
+
+@query(_COMPOSED + " SELECT type, " + ", ".join(f'max({c}) FILTER (cur_base = \'{b}\') AS "{b}_{c}"' for b in "ACGT" for c in ("raw", "corr")) + " FROM across_ GROUP BY type")
+def a28_across_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    composed = materialize(loci.composition(_loci(spark, sf_dir)))  # two rows a base
+    return loci.across_bases(composed, loci.homo_against_rest(composed))
+
+
 @query(ALIGNMENTS_SQL + ", i AS (SELECT qname, coalesce(list_sum(list_transform(regexp_extract_all(ops, 'I+'), lambda x: length(x))), 0) AS n, length(seq) AS size FROM alignments) SELECT round(avg((n > 0)::INT), 9) AS read_share, round(sum(n) / sum(size), 9) AS base_share FROM i")
 def a40_long_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_ = F.filter(S.cigar_ops("cigar"), lambda o: (o["op"] == "I") & (o["n"] >= 1))

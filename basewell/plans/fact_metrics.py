@@ -74,6 +74,16 @@ def a59_samples_of_each_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _barcodes(spark, sf_dir)[2]
 
 
+_GAPS = "WITH lists AS (SELECT l_orderkey, count(*) AS segs, string_agg(l_quantity::BIGINT::VARCHAR, ',' ORDER BY l_linenumber, l_quantity::BIGINT::VARCHAR) AS gaps FROM lineitem GROUP BY l_orderkey), each AS (SELECT unnest(string_split(gaps, ',')[2:segs]) AS gap FROM lists WHERE segs > 1), c AS (SELECT gap::BIGINT AS gap, count(*) AS n FROM each GROUP BY gap), top AS (SELECT gap, n / (SELECT sum(n) FROM c) AS ratio FROM c ORDER BY n DESC, gap LIMIT 20)"
+
+
+@query(_GAPS + " SELECT '[segs>1]Cnt' AS name, count_if(segs > 1)::DOUBLE AS value FROM lists UNION ALL SELECT '[segs>1]Ratio', round(count_if(segs > 1) / count(*), 9) FROM lists UNION ALL SELECT '[segs>1]gapTop20Ratio', round(sum(ratio), 9) FROM top UNION ALL SELECT '[segs>1]gap=' || gap, round(ratio, 9) FROM top")
+def a09_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").cast("string").alias("q"))))
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("segs"), F.array_join(F.transform(order, lambda x: x["q"]), ",").alias("gaps"))
+    return summary.gap_report(lists, "segs", "gaps").withColumn("value", F.round("value", 9))
+
+
 @query("WITH lists AS (SELECT l_orderkey, string_agg(l_quantity::BIGINT::VARCHAR, ',' ORDER BY l_linenumber, l_quantity::BIGINT::VARCHAR) AS gaps FROM lineitem GROUP BY l_orderkey), each AS (SELECT unnest(string_split(gaps, ',')[2:]) AS gap FROM lists), c AS (SELECT gap::BIGINT AS gap, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS ratio FROM each GROUP BY gap) SELECT * FROM c ORDER BY ratio DESC, gap LIMIT 20")
 def a09_gap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").cast("string").alias("q"))))
@@ -158,6 +168,64 @@ def a22_joined_by_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quantiles(out, both, ["np"], {f"median_{i}": (f"identity_{i}", 0.5) for i in (0, 1)}).withColumns({f"median_{i}": F.round(f"median_{i}", 9) for i in (0, 1)})
 
 
+#: Channels of two runs, joined: spans, errors and qualities of both, and the passes of the first.
+_BOTH = FACTS_SQL + "".join(
+    f""", c{i} AS (SELECT ch, least(avg(np), 25)::BIGINT AS np, sum(qlen) AS tp, sum(eq) AS eq, {_SPAN} AS span, sum(diff) AS diff, sum(ins) AS ins, sum(homo_ins) AS homo_ins, sum(del) AS del, sum(homo_del) AS homo_del FROM facts WHERE status = '{s}' GROUP BY ch),
+  q{i} AS (SELECT *, -10 * log10(1 - eq / span + 1e-8) AS qv FROM c{i})""" for i, s in enumerate("FO")
+) + ", j AS MATERIALIZED (SELECT a.ch, a.np, " + ", ".join(f"{t}.{c} AS {c}_{i}" for i, t in enumerate("ab") for c in ("tp", "eq", "span", "diff", "ins", "homo_ins", "del", "homo_del", "qv")) + " FROM q0 a JOIN q1 b USING (ch))"
+_LEVELS = {"p0": 0.0, "p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p100": 1.0}
+_PARTS = {"nh_ins": "ins", "homo_ins": "homo_ins", "nh_del": "del", "homo_del": "homo_del", "mismatch": "diff", "identity": "eq"}
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of both runs, each with counts and quality."""
+    facts = _facts(spark, sf_dir)
+    counts = ("eq", "diff", "ins", "homo_ins", "del", "homo_del")
+    made = []
+    for i, status in enumerate("FO"):
+        c = facts.where(F.col("status") == status).groupBy("ch").agg(F.least(F.avg("np"), F.lit(25)).cast("long").alias("np"), F.sum("qlen").alias("tp"), *[F.sum(x).alias(x) for x in counts])
+        c = c.withColumn("span", metrics.total(*counts)).withColumn("qv", metrics.pooled_quality(F.col("eq"), F.col("span")))
+        made.append(c.select("ch", *([F.col("np")] if i == 0 else []), *[F.col(x).alias(f"{x}_{i}") for x in ("tp", *counts, "span", "qv")]))
+    return made[0].join(made[1], "ch")
+
+
+@query(_BOTH + " SELECT np, count(*) AS channels, " + ", ".join("array_to_string([" + ", ".join(f"round(quantile_cont(qv_{i}, {p}), 2)::VARCHAR" for p in _LEVELS.values()) + f"], ', ') AS qv_{i}, round(median(eq_{i} / span_{i}), 9) AS identity_{i}" for i in (0, 1)) + " FROM j GROUP BY np")
+def a22_percentile_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _both(spark, sf_dir).withColumns({f"identity_{i}": S.rate(f"eq_{i}", f"span_{i}") for i in (0, 1)})
+    points = {f"{n}_{i}": (f"qv_{i}", p) for i in (0, 1) for n, p in _LEVELS.items()} | {f"median_{i}": (f"identity_{i}", 0.5) for i in (0, 1)}
+    out = with_quantiles(both.groupBy("np").agg(F.count(F.lit(1)).alias("channels")), both, ["np"], points)
+    text = lambda i: F.concat_ws(", ", *[F.round(f"{n}_{i}", 2).cast("string") for n in _LEVELS])
+    return out.select("np", "channels", *[c for i in (0, 1) for c in (text(i).alias(f"qv_{i}"), F.round(f"median_{i}", 9).alias(f"identity_{i}"))])
+
+
+@query(_BOTH + " SELECT count(*) AS channels, " + ", ".join(f"sum(eq_{i})::BIGINT || ', ' || sum(tp_{i})::BIGINT AS bases_{i}, round(median(qv_{i}), 2) AS qv_median_{i}, round(count_if(qv_{i} >= 30) / count(*), 2) AS q30_{i}, round(-10 * log10(1 - sum(eq_{i}) / sum(span_{i}) + 1e-8), 6) AS qv_{i}" for i in (0, 1)) + " FROM j")
+def a22_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _both(spark, sf_dir)
+    sums = [F.sum(f"{c}_{i}").alias(f"{c}_{i}") for i in (0, 1) for c in ("eq", "tp", "span")]
+    out = both.agg(F.count(F.lit(1)).alias("channels"), *sums, *[F.round(F.avg((F.col(f"qv_{i}") >= 30).cast("double")), 2).alias(f"q30_{i}") for i in (0, 1)])
+    out = with_quantiles(out, both, [], {f"qv_median_{i}": (f"qv_{i}", 0.5) for i in (0, 1)})
+    made = lambda i: [F.concat_ws(", ", F.col(f"eq_{i}").cast("string"), F.col(f"tp_{i}").cast("string")).alias(f"bases_{i}"), F.round(f"qv_median_{i}", 2).alias(f"qv_median_{i}"), F.col(f"q30_{i}"), F.round(metrics.pooled_quality(F.col(f"eq_{i}"), F.col(f"span_{i}")), 6).alias(f"qv_{i}")]
+    return out.select("channels", *made(0), *made(1))
+
+
+@query(_BOTH + " SELECT count(*) AS channels, " + ", ".join(f"round(sum({c}_{i}) / sum(span_{i}), 9) AS {n}_{i}" for i in (0, 1) for n, c in _PARTS.items()) + " FROM j")
+def a22_error_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).agg(F.count(F.lit(1)).alias("channels"), *[F.round(S.rate(F.sum(f"{c}_{i}"), F.sum(f"span_{i}")), 9).alias(f"{n}_{i}") for i in (0, 1) for n, c in _PARTS.items()])
+
+
+@query(_BOTH + " SELECT count(*) AS channels, sum(tp_0)::BIGINT AS tp, sum(eq_0)::BIGINT AS etp, sum(span_0)::BIGINT AS span, count_if(qv_0 >= 30) AS q30, round(count_if(qv_0 >= 30) / count(*), 4) AS q30_r, round(median(eq_0 / span_0), 9) AS m_r_median, "
+       + ", ".join(f"round(sum({c}_0) / sum(span_0), 9) AS {n}_r" for n, c in _PARTS.items()) + ", round(sum(eq_0) / sum(tp_0), 9) AS valid_r, round(sum(eq_0 + diff_0 + ins_0 + homo_ins_0) / sum(tp_0), 9) AS cov_r, round(-10 * log10(1 - sum(eq_0) / sum(span_0)), 6) AS phreq FROM j")
+def a23_funnel_of_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _both(spark, sf_dir).withColumn("m_r", S.rate("eq_0", "span_0"))
+    total = lambda *names: F.sum(metrics.total(*[f"{n}_0" for n in names]))
+    out = both.agg(
+        F.count(F.lit(1)).alias("channels"), total("tp").alias("tp"), total("eq").alias("etp"), total("span").alias("span"), F.count_if(F.col("qv_0") >= 30).alias("q30"), F.round(F.avg((F.col("qv_0") >= 30).cast("double")), 4).alias("q30_r"),
+        *[F.round(S.rate(total(c), total("span")), 9).alias(f"{n}_r") for n, c in _PARTS.items()], F.round(S.rate(total("eq"), total("tp")), 9).alias("valid_r"), F.round(S.rate(total("eq", "diff", "ins", "homo_ins"), total("tp")), 9).alias("cov_r"),
+        F.round(S.phred(S.rate(total("eq"), total("span"))), 6).alias("phreq"),
+    )
+    return with_quantiles(out, both, [], {"m_r_median": ("m_r", 0.5)}).withColumn("m_r_median", F.round("m_r_median", 9))
+
+
 @query(FACTS_SQL + " SELECT sum(qlen)::BIGINT AS tp, sum(eq)::BIGINT AS etp, round(sum(eq) / sum(qlen), 9) AS valid_r, round(-10 * log10(1 - least(sum(eq) / sum(qlen), 0.99999)), 6) AS phreq FROM facts")
 def a23_global_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = S.rate(F.sum("eq"), F.sum("qlen"))
@@ -260,6 +328,14 @@ def a54_facts_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("abs(called - true_cnt) <= 1").groupBy("ch", "base", "true_cnt", "called").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH t AS (SELECT event_type AS metric, ts::DATE AS epoch, event_id AS step, value FROM events WHERE event_id % 7 < 5), e AS (SELECT metric, epoch, count(*) AS n FROM t WHERE value IS NOT NULL GROUP BY ALL), m AS (SELECT metric, n, count(*) AS k FROM e GROUP BY ALL),
+  g AS (SELECT metric, CASE WHEN arg_min(n, (-k, n)) = 1 AND sum(k) FILTER (n = 1) / sum(k) > 0.8 THEN 'epoch' ELSE 'step' END AS granularity FROM m GROUP BY metric)
+  SELECT t.metric, any_value(granularity) AS granularity, max(step) AS steps, count(DISTINCT epoch) AS epochs, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, arg_max(value, step) AS final FROM t JOIN g USING (metric) GROUP BY t.metric""")
+def a55_log_by_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").where("event_id % 7 < 5").select(F.col("event_type").alias("metric"), F.to_date("ts").alias("epoch"), F.col("event_id").alias("step"), "value")
+    return summary.log_summary(log).withColumn("mean", F.round("mean", 6))
+
+
 @query("WITH t AS (SELECT user_id, event_type AS metric, event_id AS step, value FROM events) SELECT metric, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, arg_max(value, step) AS final FROM t GROUP BY metric")
 def a55_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("event_id").alias("step"), "value")

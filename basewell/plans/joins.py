@@ -44,6 +44,20 @@ def j03_compare_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "ch").agg(F.count_if(F.col("a") > F.col("b")).alias("better"), F.count_if(F.col("a") < F.col("b")).alias("worse"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
 
 
+_SPANNED = "SELECT ch, avg(np) AS np, sum(eq) / nullif(sum(eq + diff + ins + del), 0) AS c, sum(eq + diff + del) // 2000 AS span FROM facts WHERE status = '{}' GROUP BY ch"
+
+
+@query(FACTS_SQL + f", a AS ({_SPANNED.format('F')}), b AS ({_SPANNED.format('O')}), m AS (SELECT a.ch, a.c, b.c AS d FROM a JOIN b USING (ch) WHERE a.np > 5 AND a.span = b.span) SELECT count(*) AS channels, count_if(c > d) AS better, count_if(c < d) AS worse, count(*) - count_if(c > d) - count_if(c < d) AS equal, round(count_if(c > d) / count(*), 9) AS better_share, round(count_if(c < d) / count(*), 9) AS worse_share FROM m")
+def j03_compare_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of more than five passes that span as much of the reference, here in steps of 2000 bases, in both runs."""
+    facts = views.facts(spark, sf_dir)
+    whole = F.col("eq") + F.col("diff") + F.col("ins") + F.col("del")
+    span = F.floor(F.sum(F.col("eq") + F.col("diff") + F.col("del")) / 2000)
+    a, b = (facts.where(F.col("status") == s).groupBy("ch").agg(F.avg("np").alias("np"), S.rate(F.sum("eq"), F.sum(whole)).alias("concordance"), span.alias("span")) for s in "FO")
+    out = joins.compare_runs(a, b, "ch", passes="np", span="span", least_passes=5)
+    return out.withColumns({c: F.round(c, 9) for c in ("better_share", "worse_share")})
+
+
 @query(FACTS_SQL + ", k AS (SELECT base, true_cnt, called, count(*) AS n FROM facts GROUP BY ALL) SELECT base, true_cnt, max(n) FILTER (called = true_cnt) AS same, max(n) FILTER (called = true_cnt - 1) AS less, max(n) FILTER (called = true_cnt + 1) AS more FROM k GROUP BY base, true_cnt")
 def j04_neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.col("called") - F.col("true_cnt")
