@@ -15,8 +15,10 @@ _LEAD, _TAIL = "^(A+|C+|G+|T+)", "(A+|C+|G+|T+)$"
 def reference_tiles(refs: DataFrame, name: str = "refname", seq: str = "rseq", size: int = SIZE, halo: int = 10) -> DataFrame:
     """(name, tile, begin, text, left, right): pieces of each sequence with up to halo bases of what lies beside them. An empty or null sequence has none.
 
-    The sequence is cut in one pass; a later step sees a tile and its halo only.
+    The sequence is cut in one pass; a later step sees a tile and its halo only. A tile is no shorter than the halo.
     """
+    if size < halo:
+        raise ValueError("a tile must have at least the bases of the halo")
     parts = refs.select(F.col(name), F.regexp_extract_all(F.coalesce(seq, F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
     near = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
 
