@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import QUERY_OPS, REF_OPS, cigar_ops, cigar_total, cut, once, phred, placed_ops, rate
-from basewell.operators.joins import points_in_regions
-from basewell.operators.runs import run_array
+from basewell.operators.ordered import running
+from basewell.operators.runs import TILE, merged_intervals, run_array
 from basewell.operators.tiles import reference_tiles
 
 
@@ -83,42 +83,73 @@ def record_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def masked_record_stats(df: DataFrame, regions: DataFrame, variants: DataFrame) -> DataFrame:
+def trusted_intervals(regions: DataFrame, variants: DataFrame) -> DataFrame:
+    """(refname, start, end): what lies in one of the regions and on none of the variants, by a sweep over tiles."""
+    merged = merged_intervals(regions.where("end > start").select("refname", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), ["refname"], "start", "end")
+    step = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("step"))
+    pos = F.col("pos").cast("long")
+    events = merged.select("refname", F.inline(F.array(step(F.col("start"), 1), step(F.col("end"), -1))))
+    events = events.unionByName(variants.select("refname", "pos").where("pos is not null").distinct().select("refname", F.inline(F.array(step(pos, -2), step(pos + 1, 2)))))
+    summed = events.groupBy("refname", "at").agg(F.sum("step").alias("step")).withColumn("tile", F.floor(F.col("at") / TILE))
+    swept = running(summed, ["refname"], ["at"], "tile", sums={"depth": F.col("step")}, after={"end": F.col("at")})
+    return swept.where("depth > 0").select("refname", F.col("at").alias("start"), "end")
+
+
+def masked_record_stats(df: DataFrame, regions: DataFrame, variants: DataFrame, size: int = 1024) -> DataFrame:
     """record_stats over trusted places only; what lies elsewhere is counted in ``ignored_bp``.
 
     A place is trusted inside one of the regions (refname, start, end) and on none of the variants (refname, pos). An
-    insertion is, if the places on both of its sides are. Different places are looked up once, by equi-joins.
+    insertion is, if the places on both of its sides are. Each tile of a reference has a string of 0 and 1; a read
+    meets those of the tiles it spans, and counts inside its own row, so no base of a read is a row.
     """
-    ref_base = lambda at: F.substring(F.col("rseq"), at + 1, F.lit(1))
-
-    def marks(o: Column) -> Column:
-        mark = lambda at, kind, n, hp: F.struct(at.cast("long").alias("pos"), kind.alias("kind"), n.alias("n"), hp.alias("hp"))
-        copies = ((o["r"] > 0) & (o["qs"] == F.repeat(ref_base(o["r"] - 1), o["n"]))) | ((o["r"] < F.length("rseq")) & (o["qs"] == F.repeat(ref_base(o["r"]), o["n"])))
-        places = F.sequence(o["r"], o["r"] + o["n"] - 1)
-        near = lambda at: ((at > 0) & (ref_base(at) == ref_base(at - 1))) | ((at + 1 < F.length("rseq")) & (ref_base(at) == ref_base(at + 1)))
-        inserted = F.when(o["op"] == "I", F.array(mark(o["r"], o["op"], o["n"], copies)))
-        deleted = inserted.when(o["op"] == "D", F.transform(places, lambda at: mark(at, o["op"], F.lit(1), near(at))))
-        return deleted.when(_in("=X", o["op"]), F.transform(places, lambda at: mark(at, o["op"], F.lit(1), F.lit(False))))
-
-    every = F.filter(F.transform("ops", marks), lambda m: m.isNotNull())
-    marked = with_ops(df).select("qname", "refname", F.length("seq").alias("qlen"), F.inline(F.flatten(every)))
-    places = marked.select("refname", "pos").unionByName(marked.where("kind = 'I' and pos > 0").select("refname", (F.col("pos") - 1).alias("pos"))).distinct()
-    inside = points_in_regions(places, regions, name="refname", pos="pos", start="start", end="end", region_name="refname")
-    trusted = inside.join(variants.select("refname", "pos").distinct(), ["refname", "pos"], "left_anti").withColumn("ok", F.lit(True))
-    looked = marked.join(trusted, ["refname", "pos"], "left")
-    before = trusted.select("refname", (F.col("pos") + 1).alias("pos"), F.col("ok").alias("ok_before"))
-    looked = looked.join(before, ["refname", "pos"], "left")
-    ok = F.coalesce("ok", F.lit(False)) & ((F.col("kind") != "I") | (F.col("pos") == 0) | F.coalesce("ok_before", F.lit(False)))
-    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    kind = F.col("kind")
-    counted = looked.withColumn("good", ok).groupBy("qname", "qlen").agg(
-        total(F.col("good") & (kind == "=")).alias("match_bp"), total(F.col("good") & (kind == "X")).alias("mismatch_bp"), *[total(F.col("good") & (kind == k) & (F.col("hp") == h)).alias(f"{w}_{n}_bp") for k, n in (("I", "ins"), ("D", "del")) for h, w in ((False, "nh"), (True, "hp"))],
-        total(~F.col("good")).alias("ignored_bp"),
+    inside = trusted_intervals(regions, variants).withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
+    clipped = inside.select("refname", "tile", F.greatest(F.col("start") - F.col("tile") * size, F.lit(0)).cast("int").alias("a"), F.least(F.col("end") - F.col("tile") * size, F.lit(size)).cast("int").alias("b"))
+    found = clipped.groupBy("refname", "tile").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("some"))
+    digits = lambda c, n: F.repeat(F.lit(c), n)
+    stretch = lambda x, i: F.concat(digits("0", x["a"] - F.coalesce(F.get("some", i - 1)["b"], F.lit(0))), digits("1", x["b"] - x["a"]))
+    masks = found.select("refname", "tile", F.rpad(F.array_join(F.transform("some", stretch), ""), size, "0").alias("mask"))
+
+    key = ["qname", "refname", "rstart", "rend"]
+    ends = df.withColumn("rend", (F.col("rstart") + cigar_total(cigar_ops("cigar"), REF_OPS)).cast("long"))
+    first = F.floor(F.greatest(F.col("rstart") - 1, F.lit(0)) / size)
+    spans = ends.select(*key).distinct().withColumn("tile", F.explode(F.sequence(first, F.floor(F.col("rend") / size))))
+    met = spans.join(masks, ["refname", "tile"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tile", F.coalesce("mask", F.lit("0" * size)).alias("mask")))).alias("tiles"))
+    met = met.select(*key, F.array_join(F.transform("tiles", lambda t: t["mask"]), "").alias("mask"), (F.get("tiles", F.lit(0))["tile"] * size).alias("from"))
+    joined = with_ops(ends).join(met, key)
+    # As bytes, of which a slice is cut without a copy of the whole.
+    parts = once(joined.withColumns({c: F.col(c).cast("binary") for c in ("rseq", "mask")}), "ops", "rseq", "mask", "from")
+
+    trusted = lambda at: (at >= 0) & (cut("mask", (at - F.col("from")).cast("int"), F.lit(1)) == "1")
+    stretch_of = lambda o: cut("mask", (o["r"] - F.col("from")).cast("int"), o["n"])
+    ones = lambda o: o["n"] - F.octet_length(F.replace(stretch_of(o), F.lit("1"), F.lit("")))
+    ref_base = lambda at: F.when(at >= 0, cut("rseq", at, F.lit(1)))
+    same = lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False))
+    none = F.lit(0)
+
+    def judged(o: Column) -> Column:
+        is_op = lambda k: o["op"] == k
+        good_ins = is_op("I") & trusted(o["r"]) & ((o["r"] == 0) | trusted(o["r"] - 1))
+        copies = same(o["qs"], F.repeat(ref_base(o["r"] - 1), o["n"])) | same(o["qs"], F.repeat(ref_base(o["r"]), o["n"]))
+        near = lambda at: same(ref_base(at), ref_base(at - 1)) | same(ref_base(at), ref_base(at + 1))
+        places = F.filter(F.sequence(o["r"], o["r"] + o["n"] - 1), trusted)
+        hp_del = F.when(is_op("D"), F.size(F.filter(places, near))).otherwise(none)
+        good = F.when(is_op("I"), F.when(good_ins, o["n"]).otherwise(none)).when(_in("=XD", o["op"]), ones(o)).otherwise(none)
+        hp_ins = F.when(good_ins & copies, o["n"]).otherwise(none)
+        kept = {"match": is_op("="), "mismatch": is_op("X"), "ins": is_op("I"), "del": is_op("D")}
+        return F.struct(*[F.when(t, good).otherwise(none).alias(k) for k, t in kept.items()], hp_ins.alias("hp_ins"), hp_del.alias("hp_del"), F.when(_in("=XID", o["op"]), o["n"] - good).otherwise(none).alias("ignored"))
+
+    names = ("match", "mismatch", "ins", "del", "hp_ins", "hp_del", "ignored")
+    each = parts.select("qname", F.length("seq").alias("qlen"), F.transform("ops", judged).alias("judged"))
+    each = once(each, "judged")
+    summed = lambda n: F.aggregate("judged", F.lit(0).cast("long"), lambda t, j: t + j[n])
+    counted = each.select("qname", "qlen", *[summed(n).alias(n) for n in names])
+    span = F.col("match") + F.col("mismatch") + F.col("ins") + F.col("del")
+    concordance = rate("match", span)
+    covered = F.col("match") + F.col("mismatch") + F.col("ins")
+    return counted.select(
+        "qname", rate(covered, "qlen").alias("coverage"), concordance.alias("concordance"), phred(concordance, floor=1e-6).alias("concordance_qv"), F.col("match").alias("match_bp"), F.col("mismatch").alias("mismatch_bp"),
+        (F.col("ins") - F.col("hp_ins")).alias("nh_ins_bp"), (F.col("del") - F.col("hp_del")).alias("nh_del_bp"), F.col("hp_ins").alias("hp_ins_bp"), F.col("hp_del").alias("hp_del_bp"), F.col("ignored").alias("ignored_bp"),
     )
-    span = sum((F.col(f"{c}_bp") for c in ("mismatch", "nh_ins", "hp_ins", "nh_del", "hp_del")), F.col("match_bp"))
-    concordance = rate("match_bp", span)
-    covered = F.col("match_bp") + F.col("mismatch_bp") + F.col("nh_ins_bp") + F.col("hp_ins_bp")
-    return counted.select("qname", rate(covered, "qlen").alias("coverage"), concordance.alias("concordance"), phred(concordance, floor=1e-6).alias("concordance_qv"), "match_bp", "mismatch_bp", "nh_ins_bp", "nh_del_bp", "hp_ins_bp", "hp_del_bp", "ignored_bp")
 
 
 def query_to_ref(df: DataFrame) -> DataFrame:

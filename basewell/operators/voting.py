@@ -98,6 +98,33 @@ def gap_classes(cols: DataFrame, true_share: float = 0.7, previous: int = 10, le
     return placed.where(gap).withColumn("kind", kind)
 
 
+def gap_ratio_histogram(msa: DataFrame, bins: int = 20, least_run: int = 2) -> DataFrame:
+    """(key, bin, n, n_positions, pct, cum_pct): consensus gaps against a reference base by the share of subreads with a gap, in equal bins, over all and by homopolymer.
+
+    A key is the reference base with the length of its run, gaps left out, or ``no_HP`` below least_run. Percents have one
+    digit, and the cumulative ones add up these. Only the gaps of a record are exploded.
+    """
+    whole = once(msa.where((F.length("smc") > 0) & (F.size("subs") > 0)).select("rec", "smc", "ref", "subs"), "smc", "ref", "subs")
+    at = lambda c, i: F.substring(c, i + 1, F.lit(1))
+
+    def gap(pos: Column) -> Column:
+        base = at(F.col("ref"), pos)
+        left = F.replace(F.substring("ref", F.lit(1), pos), F.lit("-"), F.lit(""))
+        right = F.replace(F.substring(F.col("ref"), pos + 2, F.length("ref")), F.lit("-"), F.lit(""))
+        run = 1 + F.length(left) - F.length(F.rtrim(left, base)) + F.length(right) - F.length(F.ltrim(right, base))
+        share = 100 * F.size(F.filter("subs", lambda s: at(s, pos) == "-")) / F.size("subs")
+        return F.struct(base.alias("base"), run.alias("run"), share.alias("share"))
+
+    places = F.filter(F.sequence(F.lit(0), F.least(F.length("smc"), F.length("ref")) - 1), lambda i: (at(F.col("smc"), i) == "-") & (at(F.col("ref"), i) != "-"))
+    gaps = whole.select(F.inline(F.transform(places, gap)))
+    key = F.concat("base", F.lit("("), F.when(F.col("run") < least_run, "no_HP").otherwise(F.col("run").cast("string")), F.lit(")"))
+    binned = gaps.select(F.explode(F.array(F.lit("all"), key)).alias("key"), F.least(F.floor(F.col("share") / (100 / bins)), F.lit(bins - 1)).alias("bin"))
+    counted = binned.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"))
+    mine = Window.partitionBy("key")
+    shared = counted.withColumn("n_positions", F.sum("n").over(mine)).withColumn("pct", F.round(100 * rate("n", "n_positions"), 1))
+    return shared.withColumn("cum_pct", F.round(F.sum("pct").over(mine.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), 1))
+
+
 def gap_features(msa: DataFrame, least_ratio: float = 0.1) -> DataFrame:
     """Consensus gaps with their depth, the share of it that has a base, the homopolymer beside them, and the label whether the reference has a base.
 

@@ -90,6 +90,16 @@ def m09_gap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.gap_classes(_cols(spark, sf_dir)).groupBy("kind", F.round("gap_ratio", 6).alias("gap_ratio")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(COLUMNS_SQL + """, g AS (SELECT *, unnest(range(length(smc))) AS pos FROM msa), b AS (SELECT *, substr(ref, pos + 1, 1) AS base, replace(substr(ref, 1, pos), '-', '') AS l, replace(substr(ref, pos + 2), '-', '') AS r,
+    100.0 * ((substr(s1, pos + 1, 1) = '-')::INT + (substr(s2, pos + 1, 1) = '-')::INT + (substr(s3, pos + 1, 1) = '-')::INT + (substr(s4, pos + 1, 1) = '-')::INT) / 4 AS share FROM g WHERE substr(smc, pos + 1, 1) = '-' AND substr(ref, pos + 1, 1) <> '-'),
+  k AS (SELECT base, 1 + length(l) - length(rtrim(l, base)) + length(r) - length(ltrim(r, base)) AS run, least(floor(share / 5), 19)::BIGINT AS bin FROM b),
+  t AS (SELECT 'all' AS key, bin FROM k UNION ALL SELECT base || '(' || CASE WHEN run < 2 THEN 'no_HP' ELSE run::VARCHAR END || ')', bin FROM k), c AS (SELECT key, bin, count(*) AS n FROM t GROUP BY ALL),
+  p AS (SELECT *, sum(n) OVER (PARTITION BY key)::BIGINT AS n_positions FROM c), q AS (SELECT *, round(100.0 * n / n_positions, 1) AS pct FROM p)
+  SELECT *, round(sum(pct) OVER (PARTITION BY key ORDER BY bin), 1) AS cum_pct FROM q""")
+def m09_gap_ratio_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voting.gap_ratio_histogram(views.columns(spark, sf_dir))
+
+
 _FEATURES = COLUMNS_SQL + """, cutoff AS (SELECT rec, smc, ref, [s1, s2, repeat('-', length(s3) // 3) || substr(s3, length(s3) // 3 + 1), left(s4, length(s4) - length(s4) // 4) || repeat('-', length(s4) // 4), repeat('-', length(s1))] AS subs FROM msa),
   spots2 AS (SELECT *, unnest(range(length(smc))) AS pos FROM cutoff), g AS (SELECT *, replace(substr(smc, 1, pos), '-', '') AS l, replace(substr(smc, pos + 2), '-', '') AS r FROM spots2 WHERE substr(smc, pos + 1, 1) = '-'),
   c AS (SELECT rec, pos, nullif(right(l, 1), '') AS lb, nullif(left(r, 1), '') AS rb, length(l) - length(rtrim(l, right(l, 1))) AS lr, length(r) - length(ltrim(r, left(r, 1))) AS rr, substr(ref, pos + 1, 1) <> '-' AS label,

@@ -16,13 +16,13 @@ def _choose(n: str, k: str) -> str:
     return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
 
 
-_PAIRS = READS_SQL + ", pairs AS (SELECT run, levenshtein(left(seq, 50), substr(seq, 26, 50)) AS a, levenshtein(right(seq, 50), substr(seq, 26, 50)) AS b FROM reads WHERE length(seq) >= 100), off AS (SELECT run, a, b, a - b AS d FROM pairs)"
+_PAIRS = READS_SQL + ", pairs AS (SELECT run, fwd, levenshtein(left(seq, 50), substr(seq, 26, 50)) AS a, levenshtein(right(seq, 50), substr(seq, 26, 50)) AS b FROM reads WHERE length(seq) >= 100), off AS (SELECT run, a, b, a - b AS d FROM pairs)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = views.reads(spark, sf_dir).where(F.length("seq") >= 100)
     middle = F.substring("seq", 26, 50)
-    return reads.select("run", F.levenshtein(F.left("seq", F.lit(50)), middle).alias("a"), F.levenshtein(F.right("seq", F.lit(50)), middle).alias("b"))
+    return reads.select("run", "fwd", F.levenshtein(F.left("seq", F.lit(50)), middle).alias("a"), F.levenshtein(F.right("seq", F.lit(50)), middle).alias("b"))
 
 
 @query(_PAIRS + " SELECT run, count(*) AS n, round(avg(d), 9) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, round(avg((d > 0)::INT), 9) AS share_greater FROM off GROUP BY run")
@@ -37,10 +37,10 @@ def h02_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypothesis.signed_rank(_pairs(spark, sf_dir), "a", "b", ["run"]).withColumn("z", F.round("z", 6))
 
 
-@query(_PAIRS + ", both_ AS (SELECT run, a FROM pairs UNION ALL SELECT 'total', a FROM pairs) SELECT run, count(*) AS n, " + ", ".join(f"quantile_cont(a, {p / 100})::DOUBLE AS p{p}" for p in (10, 25, 50, 75, 90, 95)) + ", round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS sd FROM both_ GROUP BY run")
+@query(_PAIRS + ", both_ AS (SELECT run, a, fwd FROM pairs UNION ALL SELECT 'total', a, fwd FROM pairs) SELECT run, count(*) AS n, " + ", ".join(f"quantile_cont(a, {p / 100})::DOUBLE AS p{p}" for p in (10, 25, 50, 75, 90, 95)) + ", round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS sd, round(avg(fwd::INT), 9) AS forward_share FROM both_ GROUP BY run")
 def h03_percentiles_and_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _pairs(spark, sf_dir).withColumn("run", F.explode(F.array("run", F.lit("total"))))
-    out = both.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 9).alias("mean"), F.round(F.stddev_samp("a"), 9).alias("sd"))
+    out = both.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 9).alias("mean"), F.round(F.stddev_samp("a"), 9).alias("sd"), F.round(F.avg(F.col("fwd").cast("double")), 9).alias("forward_share"))
     return with_quantiles(out, both, ["run"], {f"p{p}": ("a", p / 100) for p in (10, 25, 50, 75, 90, 95)})
 
 
@@ -80,7 +80,11 @@ def h06_fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("p_partkey", F.round(hypothesis.fisher_exact("a", "b", "c", "d"), 9).alias("p"), F.round(F.col("a") * F.col("d") / (F.col("b") * F.col("c")), 9).alias("odds"))
 
 
-@query(None)
+_HITS = "WITH c AS (SELECT count_if(doc_id % 2 = 0) AS n1, count_if(doc_id % 2 <> 0) AS n0, count_if(doc_id % 2 = 0 AND quality = 1) AS k1, count_if(quality = 1) AS hits FROM labels), e AS (SELECT *, unnest(range(greatest(0, hits - n0)::BIGINT, (least(n1, hits) + 1)::BIGINT)) AS x FROM c)"
+
+
+@query(_HITS + f" SELECT round(any_value(k1 / n1 - (hits - k1) / n0), 9) AS diff, round(least(1.0, sum(exp({_choose('n1', 'x')} + {_choose('n0', '(hits - x)')} - {_choose('(n1 + n0)', 'hits')})) FILTER (abs(x / n1 - (hits - x) / n0) >= abs(k1 / n1 - (hits - k1) / n0) - 1e-12)), 9) AS p FROM e")
 def h07_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select((F.col("doc_id") % 2 == 0).alias("even"), (F.col("quality") == 1).alias("good"))
-    return hypothesis.permutation_test(labels, "even", "good")
+    out = hypothesis.permutation_test(labels, "even", "good")
+    return out.select(F.round("diff", 9).alias("diff"), F.round("p", 9).alias("p"))

@@ -204,7 +204,7 @@ def test_permutations_follow_the_exact_tail(spark, n1, n0, k1, k0):
     far = [x for x in range(max(0, hits - n0), min(n1, hits) + 1) if gap(x) >= gap(k1) - 1e-12]
     p = sum(math.comb(n1, x) * math.comb(n0, hits - x) for x in far) / math.comb(n1 + n0, hits)
     assert row.diff == pytest.approx(k1 / n1 - k0 / n0)
-    assert abs(row.p - p) < 4 * math.sqrt(p * (1 - p) / 10_000) + 2e-4
+    assert row.p == pytest.approx(p, rel=1e-9)
 
 
 def test_identity_matrix_has_every_partner(spark):
