@@ -34,9 +34,10 @@ def _key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
 
 
-def _order(id_col: str, seed: int) -> Column:
-    """Hexadecimal digest that orders a source's documents."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+def _order(id_col: str, text_col: str, seed: int) -> Column:
+    """Hexadecimal digest that orders a source's documents. The text is in it, so rows of one id, or of none, are spread like others."""
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text).cast("binary"))
 
 
 def mean_factor(shape: tuple[float, float, float]) -> float:
@@ -88,8 +89,8 @@ def mix(
 
     The mix takes a source's tape up to its target and cuts the last document there, so a source supplies its target
     to the word (rounded down). Null texts have no words and a null source is a source of its own, the last. A
-    document without words is in the mix with nothing. Repeated rows count as documents of their own; rows that share
-    an id, or have none, stand in the order of their texts' hashes.
+    document without words is in the mix with nothing. Repeated rows count as documents of their own, whatever ids
+    they share or lack.
 
     A source's tape is cut into slices of its documents' hash. Slice totals, at most SLICES for each source, give
     where each slice begins; within a slice a window adds up the documents. A source that holds a third of all rows is
@@ -97,8 +98,10 @@ def mix(
     """
     shapes = SHAPES if shapes is None else shapes
     whole = [F.struct("*").alias("whole")] if keep else []
-    sized = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("source_key"), word_count(text_col).alias("size"), _order(id_col, seed).alias("turn"), F.xxhash64(text_col).alias("tie"), *whole)
-    sized = sized.withColumn("slice", F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") % SLICES)
+    sized = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("source_key"), word_count(text_col).alias("size"), _order(id_col, text_col, seed).alias("turn"), F.xxhash64(text_col).alias("tie"), *whole)
+    # Documents without words take no room, so any slice will do for them; they may be very many of one kind.
+    spread = F.when(F.col("size") > 0, F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")).otherwise(F.monotonically_increasing_id())
+    sized = sized.withColumn("slice", spread % SLICES)
     per_slice = sized.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
     along = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per_slice = per_slice.withColumn("slice_begin", F.coalesce(F.sum("slice_size").over(along), F.lit(0)))

@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 MIXING_SQL = """
 WITH sized AS (
   SELECT doc_id, coalesce('0' || source, '1') AS k, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS turn FROM documents),
+         md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), '')) AS turn FROM documents),
 sliced AS (SELECT *, ('0x' || substr(turn, 1, 8))::BIGINT % 1024 AS slice FROM sized),
 placed AS (SELECT *, (sum(size) OVER (PARTITION BY k ORDER BY slice, turn, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begun FROM sliced),
 sizes AS (SELECT k, sum(size)::BIGINT AS s FROM sized GROUP BY k),

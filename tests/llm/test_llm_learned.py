@@ -253,6 +253,20 @@ def test_slots_are_minimal_and_verified():
     assert (conversation_trie.SlotTable(keys[:0]).slots(others) == -1).all()
 
 
+# 1, where ids are missing or shared
+
+
+def test_rows_without_ids_are_spread_over_slices(spark, monkeypatch):
+    from basewell.llm import mixing
+
+    docs = [(None, f"word{i} " * (i % 5 + 1), "a") for i in range(600)] + [(7, f"other{i}", "a") for i in range(300)] + [(None, "", "a")] * 500
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    turns = df.where("text <> ''").select((F.conv(F.substring(mixing._order("doc_id", "text", 0), 1, 8), 16, 10).cast("long") % 1024).alias("slice"))
+    assert turns.groupBy("slice").count().agg(F.max("count")).first()[0] < 12
+    rows = [sorted(map(str, mixing.mix(df.repartition(n)).select("doc_id", "size", "taken").collect())) for n in (2, 9)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(docs)
+
+
 # 9, at its default tolerance
 
 
