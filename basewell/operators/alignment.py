@@ -266,6 +266,28 @@ def base_quality_table(df: DataFrame) -> DataFrame:
     return counts.agg(*[F.count_if(F.col("op") == o).alias(n) for n, o in (("eq", "="), ("diff", "X"), ("ins", "I"))], F.count_if(F.col("behind") & (F.col("k") == 0)).alias("del"), F.count(F.lit(1)).alias("depth"))
 
 
+def run_pairs(df: DataFrame, least: int = 2) -> DataFrame:
+    """(qname, base, n_ref, n_query): each reference run whose first base matches, with the length of the query run that this base lies in.
+
+    Both runs are measured in the read's own row.
+    """
+    placed = df.select("qname", "seq", placed_ops(cigar_ops("cigar"), "rstart").alias("ops"), run_array("rseq", least).alias("runs"))
+    placed = once(placed.withColumn("same", F.filter("ops", lambda o: o["op"] == "=")).drop("ops"), "seq", "same", "runs")
+
+    def pair(r: Column) -> Column:
+        op = F.get(F.filter("same", lambda o: (o["r"] <= r["start"]) & (r["start"] < o["r"] + o["n"])), F.lit(0))
+        return F.struct(r["base"].alias("base"), (r["end"] - r["start"]).alias("n_ref"), (op["q"] + r["start"] - op["r"]).alias("q"))
+
+    found = once(placed.select("qname", "seq", F.filter(F.transform("runs", pair), lambda p: p["q"].isNotNull()).alias("found")), "seq", "found")
+
+    def measured(p: Column) -> Column:
+        before, rest = cut("seq", F.lit(0), p["q"]), cut("seq", p["q"], F.length("seq"))
+        n = F.length(before) - F.length(F.rtrim(before, p["base"])) + F.length(rest) - F.length(F.ltrim(rest, p["base"]))
+        return F.struct(p["base"].alias("base"), p["n_ref"].alias("n_ref"), n.alias("n_query"))
+
+    return found.select("qname", F.inline(F.transform("found", measured)))
+
+
 def poly_table(df: DataFrame, least: int = 2) -> DataFrame:
     """What each read has over each reference run of equal bases that it spans whole, insertions at its edges included.
 

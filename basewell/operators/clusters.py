@@ -8,10 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import rate
+from basewell.functions.seq import let, rate
 from basewell.operators.graph import connected_components
 from basewell.sources.scratch import materialize
 
@@ -156,6 +156,34 @@ def pairwise(df: DataFrame, by: list[str], name: str, seq: str) -> DataFrame:
     return joined.select(*by, "a", "b", identity(F.col("s_a"), F.col("s_b")).alias("identity"), cover.alias("coverage"))
 
 
+def minimizers(seq: Column | str, k: int = 7, w: int = 5) -> Column:
+    """The different smallest k-mers of each w consecutive ones; of a sequence with fewer, the smallest of all; none where it is shorter than k."""
+    seq = F.col(seq) if isinstance(seq, str) else seq
+    grams = F.when(F.length(seq) >= k, F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    def least(g: Column) -> Column:
+        return F.when(F.size(g) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, F.lit(w)))))).otherwise(g)
+
+    return let(grams, least)
+
+
+def best_hits(df: DataFrame, by: list[str], name: str, seq: str, *, k: int = 7, w: int = 5, best: int = 10) -> DataFrame:
+    """(by, a, b, shared, identity, coverage): for each sequence the ``best`` others of its group that share most minimizers with it.
+
+    An index of minimizers proposes the pairs, so sequences without one in common are never compared, and the edit
+    distance is counted for the best only. Of equal counts the smaller name comes first. Groups are natural and small, such as
+    the reads of one channel: a minimizer of seven bases tells nothing in a large one, which needs a larger k.
+    """
+    texts = df.select(*by, F.col(name).alias("a"), F.col(seq).alias("s"))
+    index = texts.select(*by, "a", F.explode(minimizers("s", k, w)).alias("gram"))
+    shared = index.join(index.withColumnRenamed("a", "b"), [*by, "gram"]).where("a <> b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    order = Window.partitionBy(*by, "a").orderBy(F.desc("shared"), "b")
+    top = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best).drop("place")
+    both = top.join(texts, [*by, "a"]).join(texts.withColumnsRenamed({"a": "b", "s": "t"}), [*by, "b"])
+    cover = rate(F.least(F.length("s"), F.length("t")), F.greatest(F.length("s"), F.length("t")))
+    return both.select(*by, "a", "b", "shared", identity(F.col("s"), F.col("t")).alias("identity"), cover.alias("coverage"))
+
+
 def identity_matrix(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, a, b, identity): of the pairs of ``pairwise`` a row for each a, with all its partners b in order and as many identities."""
     cells = pairs.groupBy(*by, "a", "b").agg(F.max("identity").alias("identity"))

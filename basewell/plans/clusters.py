@@ -31,6 +31,18 @@ def j20_a33_pairwise_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("identity", "coverage")})
 
 
+@query(SUBREADS_SQL + """, g AS (SELECT ch, turn, seq, CASE WHEN length(seq) < 7 THEN [] ELSE list_transform(range(1, length(seq) - 5), lambda i: substr(seq, i, 7)) END AS grams FROM subreads),
+  m AS (SELECT ch, turn, unnest(list_distinct(list_transform(range(1, greatest(len(grams) - 4, 1) + 1), lambda i: list_min(grams[i:i + 4])))) AS gram FROM g WHERE len(grams) > 0),
+  s AS (SELECT x.ch, x.turn AS a, y.turn AS b, count(*) AS shared FROM m x JOIN m y ON x.ch = y.ch AND x.gram = y.gram AND x.turn <> y.turn GROUP BY ALL),
+  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ch, a ORDER BY shared DESC, b) <= 3)
+  SELECT t.ch, t.a, t.b, shared, round(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq)), 9) AS identity, round(least(length(x.seq), length(y.seq)) / greatest(length(x.seq), length(y.seq)), 9) AS coverage
+  FROM t JOIN subreads x ON x.ch = t.ch AND x.turn = t.a JOIN subreads y ON y.ch = t.ch AND y.turn = t.b""")
+def a33_best_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best partners of each subread in its channel, by shared minimizers of seven bases among five."""
+    found = clusters.best_hits(views.subreads(spark, sf_dir), ["ch"], "turn", "seq", best=3)
+    return found.withColumns({c: F.round(c, 9) for c in ("identity", "coverage")})
+
+
 @query(_PAIRS + " SELECT ch, a, round(max(identity) FILTER (b = 1), 9) AS t1, round(max(identity) FILTER (b = 2), 9) AS t2, round(max(identity) FILTER (b = 3), 9) AS t3 FROM p GROUP BY ch, a")
 def a33_identity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = clusters.pairwise(views.subreads(spark, sf_dir), ["ch"], "turn", "seq")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
-from basewell.operators import alignment, kinetics, runs, summary
+from basewell.operators import alignment, kinetics, summary
 from basewell.operators.ordered import with_quantiles
 from basewell.plans import views
 from basewell.plans.catalog import query
@@ -66,12 +66,8 @@ def b15_channel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
   j AS (SELECT r.base || r.n AS key, q.n AS query_run FROM rp r JOIN aln x ON x.qname = r.qname AND x.rpos = r.a AND x.op = '=' JOIN qp q ON q.qname = r.qname AND x.qpos >= q.a AND x.qpos < q.a + q.n WHERE r.n > 1 AND abs(q.n - r.n) <= 1)
   SELECT key, query_run, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY key), 9) AS ratio FROM j GROUP BY key, query_run""")
 def b16_run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alns = views.alignments(spark, sf_dir).drop("qual")
-    ref_runs = runs.base_runs(alns, "rseq", ["qname"], 2)
-    query_runs = runs.base_runs(alns, "seq", ["qname"], 1).select("qname", F.col("start").alias("q0"), F.col("end").alias("q1"))
-    equal = alignment.aln_columns(alns, ("qname",)).where("op = '='").select("qname", F.col("rpos").alias("start"), "qpos")
-    joined = ref_runs.join(equal, ["qname", "start"]).join(query_runs, "qname").where("qpos >= q0 and qpos < q1")
-    pairs = joined.select(F.concat("base", F.col("end") - F.col("start")).alias("key"), (F.col("q1") - F.col("q0")).cast("long").alias("query_run"), (F.col("end") - F.col("start")).alias("n_ref")).where("abs(query_run - n_ref) <= 1")
+    found = alignment.run_pairs(views.alignments(spark, sf_dir).drop("qual")).where("abs(n_query - n_ref) <= 1")
+    pairs = found.select(F.concat("base", "n_ref").alias("key"), F.col("n_query").cast("long").alias("query_run"))
     return summary.share_of(pairs, ["key", "query_run"], within=["key"]).withColumn("ratio", F.round("ratio", 9))
 
 
