@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewell.functions import seq as S
 from basewell.operators import clusters, runs
 from basewell.plans import views
 from basewell.plans.catalog import query
+from basewell.plans.runs import _HALVES, REPEATS_SQL
 from basewell.plans.views import ERRORS_SQL, READS_SQL, SUBREADS_SQL
 
 
@@ -65,12 +66,20 @@ def s25_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("ch", "turn", (F.length("f") + F.length("r") - F.length(merged)).alias("overlap"), F.md5(merged.cast("binary")).alias("merged"))
 
 
-@query(None)
+@query(_HALVES.replace("WITH", "WITH RECURSIVE", 1) + ", " + READS_SQL.removeprefix("WITH ") + ", src AS MATERIALIZED (SELECT ch || '/' || turn AS id, seq FROM subreads WHERE seq <> ''), " + REPEATS_SQL + """,
+  shares AS (SELECT avg((coalesce(len(list_intersect(x, z)) / nullif(len(x), 0), NULL) >= 0.8)::INT) AS fold_back, avg((coalesce(len(list_intersect(x, y)) / nullif(len(x), 0), NULL) >= 0.85)::INT) AS self_joined FROM mers JOIN subreads USING (ch, turn) WHERE seq <> ''),
+  bins AS (SELECT floor(rq * 100)::BIGINT AS bin, count(*) AS n FROM reads GROUP BY 1), top AS (SELECT row_number() OVER (ORDER BY n DESC, bin) AS rank, bin, n / (SELECT sum(n) FROM bins) AS share FROM bins)
+  SELECT name, round(value, 9) AS value FROM (SELECT 'fold_back' AS name, fold_back AS value FROM shares UNION ALL SELECT 'self_joined', self_joined FROM shares
+  UNION ALL SELECT 'repeats', (SELECT sum(repeat_bases) FROM repeats) / (SELECT sum(length(seq)) FROM src) UNION ALL SELECT 'low_accuracy', avg((rq < 0.99)::INT) FROM reads
+  UNION ALL SELECT 'accuracy rank ' || rank || ' value ' || bin, share FROM top WHERE rank <= 5)""")
 def a60_low_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-complementary and self-joined shares, repeat share and low-accuracy share as (name, value)."""
+    """Self-complementary and self-joined shares, repeat share, low-accuracy share and the five most common accuracies in percent, as (name, value)."""
     subs = views.subreads(spark, sf_dir).where("seq <> ''")
     shares = subs.agg(F.avg((runs.folds_back("seq") >= 0.8).cast("double")).alias("fold_back"), F.avg((runs.joined_to_itself("seq") >= 0.85).cast("double")).alias("self_joined"))
     repeats = runs.repeat_share(subs, "seq", {1: 4, 2: 3, 3: 3}).agg(S.rate(F.sum("repeat_bases"), F.sum(F.length("seq"))).alias("repeats"))
     low = views.reads(spark, sf_dir).agg(F.avg((F.col("rq") < 0.99).cast("double")).alias("low_accuracy"))
     tables = [t.unpivot([], t.columns, "name", "value") for t in (shares, repeats, low)]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    bins = views.reads(spark, sf_dir).groupBy(F.floor(F.col("rq") * 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # 101 rows at most
+    ranked = bins.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("n"), "bin")), "share": S.rate("n", F.sum("n").over(Window.partitionBy()))}).where("rank <= 5")
+    common = ranked.select(F.concat_ws(" ", F.lit("accuracy rank"), "rank", F.lit("value"), "bin").alias("name"), F.col("share").alias("value"))
+    return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(common).withColumn("value", F.round("value", 9))
