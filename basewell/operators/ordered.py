@@ -8,6 +8,7 @@ has the rows of a piece, or one row for each piece of a group.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,30 +61,52 @@ def running(
     return joined.select(*df.columns, *totals, *[c.alias(n) for n, c in made.items()])
 
 
-def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Exact quantiles, interpolated linearly: one row for each group, with a column for each (column, share) wanted.
+class Distribution(NamedTuple):
+    """How often each value of some columns occurs in each group, as a written table in the order of the values: (by, m, v, n, part), m being the column's number."""
 
-    Different values are counted, range-sorted and numbered; only the rows of the wanted ranks go on. No buffer or task
-    holds all values of a group. Nulls don't count; a group without any value has nulls, or no row if no column has one.
-    """
-    columns = sorted({c for c, _ in wanted.values()})
+    table: DataFrame
+    by: list[str]
+    columns: list[str]
+
+    def of(self, column: str, value: Column) -> Column:
+        """value in the rows of one column, null in the others."""
+        return F.when(F.col("m") == self.columns.index(column), value)
+
+
+def distribution(df: DataFrame, by: list[str], columns: list[str]) -> Distribution:
+    """Counts the different values of columns in one pass; nulls don't count."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")
     counted = df.select(*by, each).select(*by, "x.m", "x.v").where("v is not null").groupBy(*by, "m", "v").agg(F.count(F.lit(1)).alias("n"))
+    return Distribution(in_parts(counted, [*by, "m"], ["v"]), by, columns)
+
+
+def quantiles_of(found: Distribution, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of a distribution, interpolated linearly: one row for each group, with a column for each (column, share) wanted."""
+    by, columns = found.by, found.columns
     group = [*by, "m"]
-    ranked = running(in_parts(counted, group, ["v"]), group, ["v"], "part", sums={"upto": F.col("n")}, totals={"whole": F.col("n")})
+    ranked = running(found.table, group, ["v"], "part", sums={"upto": F.col("n")}, totals={"whole": F.col("n")})
     points = F.array(*[F.struct(F.lit(columns.index(c)).alias("m"), F.lit(float(p)).alias("p")) for c, p in sorted(set(wanted.values()), key=lambda w: (columns.index(w[0]), w[1]))])
     at = lambda p: p * (F.col("whole") - 1)
     holds = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
     mine = F.filter(points, lambda x: (x["m"] == F.col("m")) & (holds(F.floor(at(x["p"]))) | holds(F.ceil(at(x["p"])))))
-    found = ranked.select(*group, "v", "n", "upto", "whole", F.explode(mine).alias("x")).withColumns({"p": F.col("x.p"), "pos": at(F.col("x.p"))})
+    chosen = ranked.select(*group, "v", "n", "upto", "whole", F.explode(mine).alias("x")).withColumns({"p": F.col("x.p"), "pos": at(F.col("x.p"))})
     low, high = F.floor("pos"), F.ceil("pos")
-    ends = found.groupBy(*group, "p", "pos").agg(F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
+    ends = chosen.groupBy(*group, "p", "pos").agg(F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
     value = F.when(low == high, F.col("low")).otherwise((high - F.col("pos")) * F.col("low") + (F.col("pos") - low) * F.col("high"))
     values = ends.select(*group, "p", value.alias("value"))
     pick = [F.max(F.when((F.col("m") == columns.index(c)) & (F.col("p") == float(p)), F.col("value"))).alias(n) for n, (c, p) in wanted.items()]
     return values.groupBy(*by).agg(*pick)
 
 
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles, interpolated linearly: one row for each group, with a column for each (column, share) wanted.
+
+    Different values are counted, range-sorted and numbered; only the rows of the wanted ranks go on. No buffer or task
+    holds all values of a group. Nulls don't count; a group without any value has nulls, or no row if no column has one.
+    """
+    return quantiles_of(distribution(df, by, sorted({c for c, _ in wanted.values()})), wanted)
+
+
 def with_quantiles(out: DataFrame, df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """out, which has one row for each group of df, with the quantiles as further columns."""
     return same_group(out, quantiles(df, by, wanted), by)

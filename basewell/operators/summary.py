@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, qualities, rate
-from basewell.operators.ordered import in_parts, running, same_group, with_quantiles
+from basewell.operators.ordered import distribution, in_parts, quantiles_of, running, same_group, with_quantiles
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -28,21 +28,28 @@ def n50(df: DataFrame, length: str, share: float = 0.5) -> DataFrame:
 
     Lengths are counted first, so the one task that adds up sees a row for each different length only.
     """
-    lengths = df.groupBy(F.col(length).alias("length")).agg((F.count(F.lit(1)) * F.first(length)).alias("bases"))
+    return _n50_of(df.groupBy(F.col(length).alias("length")).agg((F.count(F.lit(1)) * F.first(length)).alias("bases")), share)
+
+
+def _n50_of(lengths: DataFrame, share: float = 0.5) -> DataFrame:
+    """The same from a row (length, bases) for each different length."""
     order = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = lengths.withColumns({"reached": F.sum("bases").over(order), "total": F.sum("bases").over(Window.partitionBy())})
     return summed.where(F.col("reached") >= share * F.col("total")).agg(F.max("length").alias("n50"))
 
 
 def read_summary(df: DataFrame, *, length: str = "n", quality: str = "q", thresholds: tuple[int, ...] = (8, 10, 15, 20, 30)) -> DataFrame:
-    """(name, value): reads, bases, lengths, reads at or above each quality, N50."""
-    q = F.col(quality)
-    wide = df.agg(
-        F.count(F.lit(1)).alias("reads"), F.sum(length).alias("bases"), F.avg(length).alias("mean_length"), F.min(length).alias("min_length"),
-        F.max(length).alias("max_length"), *[F.count_if(q >= t).alias(f"reads_q{t}") for t in thresholds],
+    """(name, value): reads, bases, lengths, reads at or above each quality, N50. The reads are passed over once; all comes from how often each value occurs."""
+    found = distribution(df.withColumn("__one", F.lit(1)), [], ["__one", length, quality])
+    n, v = F.col("n"), F.col("v")
+    size, q = lambda x: found.of(length, x), lambda x: F.coalesce(found.of(quality, x), F.lit(0))
+    wide = found.table.agg(
+        F.coalesce(F.sum(found.of("__one", n)), F.lit(0)).alias("reads"), F.sum(size(v * n)).alias("bases"), rate(F.sum(size(v * n)), F.sum(size(n))).alias("mean_length"), F.min(size(v)).alias("min_length"),
+        F.max(size(v)).alias("max_length"), *[F.coalesce(F.sum(q(F.when(v >= t, n).otherwise(0))), F.lit(0)).alias(f"reads_q{t}") for t in thresholds],
     )
-    wide = with_quantiles(wide, df, [], {f"p{int(100 * p)}_length": (length, p) for p in (0.25, 0.5, 0.75)})
-    return metric_table(wide).unionByName(metric_table(n50(df, length)))
+    wide = same_group(wide, quantiles_of(found, {f"p{int(100 * p)}_length": (length, p) for p in (0.25, 0.5, 0.75)}), [])
+    lengths = found.table.where(F.col("m") == found.columns.index(length)).select(v.alias("length"), (v * n).alias("bases"))
+    return metric_table(wide).unionByName(metric_table(_n50_of(lengths)))
 
 
 def with_percentile_text(out: DataFrame, df: DataFrame, by: list[str], value: str, name: str, points: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -60,13 +67,15 @@ def share_of(df: DataFrame, by: list[str], count: str = "n", within: list[str] |
 
 def by_passes(df: DataFrame, *, passes: str = "np", quality: str = "q", length: str = "n", thresholds: tuple[int, ...] = (20, 30)) -> DataFrame:
     """One row for each number of passes: count and its share, quality and length quantiles, shares at or above each quality."""
-    q = F.col(quality)
-    out = df.groupBy(passes).agg(
-        F.count(F.lit(1)).alias("reads"), *[F.round(F.avg((q >= t).cast("double")), 9).alias(f"share_q{t}") for t in thresholds],
-        F.round(F.avg(length), 6).alias("mean_length"), F.max(length).cast("long").alias("max_length"),
+    found = distribution(df.withColumn("__one", F.lit(1)), [passes], ["__one", quality, length])
+    n, v = F.col("n"), F.col("v")
+    q, size = lambda x: found.of(quality, x), lambda x: found.of(length, x)
+    out = found.table.groupBy(passes).agg(
+        F.sum(found.of("__one", n)).alias("reads"), *[F.round(rate(F.sum(q(F.when(v >= t, n).otherwise(0))), F.sum(q(n))), 9).alias(f"share_q{t}") for t in thresholds],
+        F.round(rate(F.sum(size(v * n)), F.sum(size(n))), 6).alias("mean_length"), F.max(size(v)).cast("long").alias("max_length"),
     )
     points = {f"q_p{int(100 * p)}": (quality, p) for p in (0.0, 0.05, 0.25, 0.5, 1.0)}
-    out = with_quantiles(out, df, [passes], points | {"median_length": (length, 0.5)}).withColumns({n: F.round(n, 6) for n in points})
+    out = same_group(out, quantiles_of(found, points | {"median_length": (length, 0.5)}), [passes]).withColumns({n: F.round(n, 6) for n in points})
     return out.withColumn("ratio", F.round(F.col("reads") / F.sum("reads").over(Window.partitionBy()), 9))
 
 
