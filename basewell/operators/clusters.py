@@ -29,6 +29,8 @@ def identity(a: Column, b: Column) -> Column:
     return 1 - rate(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
 
 
+#: Stands for the length of any sequence where lengths aren't told apart.
+ANYWHERE = 1 << 40
 #: Windows of anchors have so many letters at most, as a power of two.
 TOP_LEVEL = 6
 
@@ -60,7 +62,7 @@ def anchors(text: str, least_identity: float, least_coverage: float) -> tuple[np
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n, found = len(letters), []
     for level in _levels(n, least_identity, least_coverage):
-        salt = np.uint64(level + 2) * np.uint64(0xD6E8FEB86659FD93)
+        salt = np.uint64((level + 2) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
         if level < 0:
             found.append((_mix(np.array([salt])), np.zeros(1, np.int64)))
             continue
@@ -81,8 +83,11 @@ def anchors(text: str, least_identity: float, least_coverage: float) -> tuple[np
 
 
 def _posts(least_identity: float, least_coverage: float):
-    """(key, node, n, place) of each anchor, for both length bands that a partner can share."""
-    names = ["key", "node", "n", "place"]
+    """(key, node, n, place, width) of each anchor, for both length bands that a partner can share.
+
+    width: places of linked reads lie closer together than that; it is the same for all posts of a key.
+    """
+    names = ["key", "node", "n", "place", "width"]
     wide = -math.log(least_coverage) * 1.0001 if 0 < least_coverage < 1 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +100,14 @@ def _posts(least_identity: float, least_coverage: float):
                 band = int(math.log(max(1, len(text))) / wide) if wide else 0
                 for b in (band, band + 1) if wide else (band,):
                     nodes += [node] * len(key)
-                    columns.append((_mix(key + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15)), np.full(len(key), len(text)), place))
+                    most = math.exp((b + 1) * wide) + 1 if wide else ANYWHERE
+                    width = int((1 - least_identity) * most) + 2
+                    with np.errstate(over="ignore"):
+                        keys = _mix(key + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15))
+                    columns.append((keys, np.full(len(key), len(text)), place, np.full(len(key), width)))
             if columns:
-                key, n, place = (np.concatenate(c) for c in zip(*columns, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes), pa.array(n), pa.array(place)], names)
+                key, n, place, width = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes), pa.array(n), pa.array(place), pa.array(width)], names)
 
     return run
 
@@ -109,12 +118,13 @@ def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", lea
     Reads within the bounds share a piece, and so an anchor of it, at places that edits move by less than their
     number: no link is missed. First each read is paired with the first read of each anchor; the edit distance, which
     stops counting at the bound, decides, and links give components. Then reads of an anchor that still lie in
-    different components are paired. Equal sequences are one node, so a group of copies costs one row a copy.
+    different components are paired, where their places lie near each other: posts meet by anchor and stretch of places,
+    so an anchor that recurs all along many reads isn't one group. Equal sequences are one node, so a group of copies costs one row a copy.
     """
     named = df.select(F.col(name).alias("name"), F.col(seq).alias("s")).withColumn("node", F.sha2(F.col("s").cast("binary"), 256))
     nodes = materialize(named.groupBy("node").agg(F.first("s").alias("s"), F.min("name").alias("first_name")))
     texts = nodes.select("node", "s")
-    posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node string, n long, place long"))
+    posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node string, n long, place long, width long"))
     bound = f"cast(floor((1 - {least_identity!r}D) * greatest({{0}}, {{1}}) + 1e-9D) as int)"
     covers = F.least("n", "other_n") >= least_coverage * F.greatest("n", "other_n")
 
@@ -130,9 +140,11 @@ def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", lea
     placed = posts.withColumn("label", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_ = materialize(placed.join(mixed, "key", "left_semi"))
-    others = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "label")], F.col("node").alias("other"))
+    stretch = F.floor(F.col("place") / F.col("width"))
+    others = open_.select("key", stretch.alias("stretch"), *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "label")], F.col("node").alias("other"))
     near = F.expr(f"abs(place - other_place) <= {bound.format('n', 'other_n')}")
-    across = open_.join(others, "key").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & covers & near)
+    beside = open_.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    across = beside.join(others, ["key", "stretch"]).where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & covers & near)
     more = linked(across.select(*ordered).distinct().join(star, ["a", "b"], "left_anti"))
     labels = connected_components(links.unionByName(more)).withColumnRenamed("label", "root")
     rooted = nodes.select("node", "first_name").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
