@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, rate
 from basewell.operators.graph import connected_components
-from basewell.sources.scratch import materialize
+from basewell.sources.scratch import discard, materialize
 
 
 def dereplicate(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -146,7 +146,8 @@ def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", lea
     beside = open_.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
     across = beside.join(others, ["key", "stretch"]).where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & covers & near)
     more = linked(across.select(*ordered).distinct().join(star, ["a", "b"], "left_anti"))
-    labels = connected_components(links.unionByName(more)).withColumnRenamed("label", "root")
+    first_labels, labels = labels, connected_components(links.unionByName(more)).withColumnRenamed("label", "root")
+    discard(posts, star, open_, first_labels)  # the components still look for loops among the links
     rooted = nodes.select("node", "first_name").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first_name").alias("cluster"))
     return named.select("name", "node").join(rooted.select("node", "root"), "node").join(smallest, "root").select(F.col("name").alias(name), "cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewell.sources.scratch import materialize
+from basewell.sources.scratch import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialize(large)
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(nearest, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        stars = materialize(moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+        before, stars = stars, materialize(moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, large)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -168,13 +168,17 @@ def read_tables_under(spark: SparkSession, folder: str, schema: str, *, pattern:
 
 
 def merged_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of many SAM texts as one: the header of the first, then the records of all."""
-    lines = [spark.read.text(p) for p in paths]
+    """Lines of many SAM texts as one: the header of the first, and the records of all. Sorted by ``place``, the header stands first and lines keep their order in a file.
+
+    The records of all files are one scan, however many there are.
+    """
     header = F.startswith("value", F.lit("@"))
-    out = lines[0].where(header)
-    for each in lines:
-        out = out.unionByName(each.where(~header))
-    return out
+
+    def lines(of: str | list[str], kind: int) -> DataFrame:
+        at = F.struct(F.lit(kind).alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        return spark.read.text(of).withColumn("place", at)
+
+    return lines(paths[0], 0).where(header).unionByName(lines(paths, 1).where(~header))
 
 
 def without_tags(tags: Column, names: tuple[str, ...]) -> Column:

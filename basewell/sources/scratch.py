@@ -29,8 +29,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
     A lost executor then costs a re-read, not a recomputation. The table stays for as long as its readers may need
-    it; whoever owns the folder clears it.
+    it: discard() deletes it after the last; what a result still reads stays, until whoever owns the folder clears it.
     """
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that materialize wrote, once nothing reads them any more."""
+    for df in tables:
+        if df is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
