@@ -18,7 +18,18 @@ def a31_dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.dereplicate(views.reads(spark, sf_dir)).withColumn("mean_error", F.round("mean_error", 9)).orderBy(F.desc("n"), "digest")
 
 
-@query(None)
+#: All pairs of like length whose counts of 4-mers are near enough: an edit changes at most four of them on each side, so no link is lost. Then edit distances, and what is connected.
+_CLUSTERS = READS_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(qname)) AS id, seq, min(qname) AS first_name, length(seq) AS n FROM reads GROUP BY seq),
+  g AS MATERIALIZED (SELECT id, g, count(*) AS c FROM (SELECT id, substr(seq, unnest(range(1, greatest(n - 2, 1))), 4) AS g FROM u) GROUP BY ALL),
+  near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, floor((1 - 0.99) * greatest(a.n, b.n) + 1e-9)::BIGINT AS most FROM u a JOIN u b ON a.id < b.id AND least(a.n, b.n) >= 0.99 * greatest(a.n, b.n)),
+  both_ AS (SELECT p.a, p.b, sum(least(x.c, y.c)) AS shared FROM near p JOIN g x ON x.id = p.a JOIN g y ON y.id = p.b AND y.g = x.g GROUP BY ALL),
+  likely AS MATERIALIZED (SELECT p.* FROM near p LEFT JOIN both_ s USING (a, b) WHERE greatest(na - 3, 0) + greatest(nb - 3, 0) - 2 * coalesce(shared, 0) <= 8 * most),
+  links AS MATERIALIZED (SELECT p.a, p.b FROM likely p JOIN u x ON x.id = p.a JOIN u y ON y.id = p.b WHERE levenshtein(x.seq, y.seq) <= most),
+  steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT id, id AS root FROM u UNION SELECT s.b, r.root FROM reach r JOIN steps s ON s.a = r.id),
+  roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+
+@query(_CLUSTERS + " SELECT r.qname, w.first_name AS cluster FROM reads r JOIN u ON u.seq = r.seq JOIN roots USING (id) JOIN u w ON w.id = roots.root")
 def a32_near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.near_duplicates(views.reads(spark, sf_dir), least_identity=0.99, least_coverage=0.99)
 

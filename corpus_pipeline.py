@@ -65,7 +65,7 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: The trained classifier and the pieces' Viterbi paths have no SQL; tests hold each stage against a brute-force version.
+#: The trained classifier and the pieces' Viterbi paths have no SQL; tests/llm/test_pipeline_stages.py and test_llm_queries.py hold each stage against a plain version.
 ORACLE_SQL = None
 
 
