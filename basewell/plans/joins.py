@@ -47,7 +47,7 @@ def j03_compare_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANNED = "SELECT ch, avg(np) AS np, sum(eq) / nullif(sum(eq + diff + ins + del), 0) AS c, sum(eq + diff + del) // 2000 AS span FROM facts WHERE status = '{}' GROUP BY ch"
 
 
-@query(FACTS_SQL + f", a AS ({_SPANNED.format('F')}), b AS ({_SPANNED.format('O')}), m AS (SELECT a.ch, a.c, b.c AS d FROM a JOIN b USING (ch) WHERE a.np > 5 AND a.span = b.span) SELECT count(*) AS channels, count_if(c > d) AS better, count_if(c < d) AS worse, count(*) - count_if(c > d) - count_if(c < d) AS equal, round(count_if(c > d) / count(*), 9) AS better_share, round(count_if(c < d) / count(*), 9) AS worse_share FROM m")
+@query(FACTS_SQL + f", a AS ({_SPANNED.format('F')}), b AS ({_SPANNED.format('O')}), m AS (SELECT a.ch, a.c, b.c AS d FROM a JOIN b USING (ch) WHERE a.np > 5 AND a.span = b.span) SELECT count(*) AS channels, count(*) FILTER (c > d) AS better, count(*) FILTER (c < d) AS worse, count(*) - count(*) FILTER (c > d) - count(*) FILTER (c < d) AS equal, round(count(*) FILTER (c > d) / nullif(count(*), 0), 9) AS better_share, round(count(*) FILTER (c < d) / nullif(count(*), 0), 9) AS worse_share FROM m")
 def j03_compare_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels of more than five passes that span as much of the reference, here in steps of 2000 bases, in both runs."""
     facts = views.facts(spark, sf_dir)
