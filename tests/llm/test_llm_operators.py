@@ -298,6 +298,34 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df, k=5).count() == 0
 
 
+def test_top_k_over_rounds_of_blocks(spark, monkeypatch):
+    """Many small blocks, so that scores are carried over several rounds, copies of a vector, and vectors too short to be looked at."""
+    for name, value in (("BLOCK_ROWS", 20), ("QUERY_ROWS", 7), ("GROWTH", 2), ("OUTLINES", 5), ("SERVED", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = np.random.default_rng(8)
+    vectors = [(i, [int(x) / 256 for x in rnd.integers(-90, 90, 6) // (1 + i % 9)]) for i in range(400)]
+    vectors += [(i, vectors[3][1]) for i in range(400, 520)] + [(520, [0.25]), (521, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors]
+    got = defaultdict(list)
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 27
+    for q, own in ((i, v) for i, v in fine if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in fine if i != q)[:4]
+        assert got[q] == [(i, -s) for s, i in scored]
+
+
+def test_blocks_that_cannot_reach_a_score_are_left_out():
+    queries, low, high = np.array([[3.0, -4.0]]), np.array([[0.0, 0.0], [-1.0, 2.0]]), np.array([[2.0, 1.0], [1.0, 2.0]])
+    ends = [6.0, -5.0]
+    for place, score in enumerate(ends):
+        for floor, open_ in ((score, True), (score + 1, False), (-np.inf, True)):
+            assert topk.may_reach(queries, np.array([floor]), low, high, np.array([9.0, 9.0]))[0, place] == open_
+    assert not topk.may_reach(queries, np.array([6.0]), low, high, np.array([1.0, 1.0])).any()
+    assert topk.search_block(np.arange(3), np.array([[1.0], [2.0], [3.0]]), np.array([9]), np.array([[2.0]]), 3, np.array([4.0])) == [(9, 2, 6), (9, 1, 4)]
+
+
 def test_top_k_beyond_a_long(spark):
     rows = [(1, [2.0**40, 1.0]), (2, [2.0**40, -1.0]), (3, [-(2.0**40), 0.0])]
     found = topk.top_k(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2, k=2).collect()
