@@ -67,9 +67,10 @@ def write_runs(df: DataFrame, path: str, run: Column) -> None:
     df.withColumn("run", run).repartition("run").write.mode("append").partitionBy("run").parquet(path)
 
 
-def run_source(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The folders of runs as a stream, one file a batch; folders that come later are found by the next trigger."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/run=*")
+def run_source(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = 1) -> DataFrame:
+    """The folders of runs as a stream, files_per_batch files a batch (None: all there are); folders that come later are found by the next trigger."""
+    reader = spark.readStream.schema(like.schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(f"{path}/run=*")
 
 
 def fold_available(stream: DataFrame, mode: str, fold: Callable[[DataFrame, int], None], state: str) -> int:
@@ -84,6 +85,14 @@ def fold_available(stream: DataFrame, mode: str, fold: Callable[[DataFrame, int]
     return len(ran)
 
 
+def append_available(stream: DataFrame, path: str, state: str) -> None:
+    """Appends what has become final to a table, each row once also after a failure; with the same state a later call goes on where this one ended.
+
+    For aggregates with a watermark: a group comes out when the watermark has passed its end, and its state goes.
+    """
+    stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
+
+
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
     """The table as a stream of its files."""
     schema: StructType = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema

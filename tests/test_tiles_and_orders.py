@@ -345,3 +345,20 @@ def test_runs_that_come_later_are_found(spark):
     assert incremental.fold_available(means(), "update", fold, state) == 1
     assert {r.k: (r.n, r.v_sum) for r in incremental.newest(spark, out).collect()} == {k: (30, sum(range(k, 90, 3))) for k in range(3)}
     assert incremental.fold_available(means(), "update", fold, state) == 0
+
+
+def test_closed_windows_come_once_and_late_rows_go(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    like = spark.createDataFrame([], "ts timestamp, v double")
+
+    def add(run: int, *minutes: int) -> list[tuple]:
+        spark.createDataFrame([(float(m),) for m in minutes], "v double").select(F.timestamp_seconds(F.col("v") * 60).alias("ts"), "v").write.parquet(f"{src}/run={run}")
+        windows = incremental.by_event_window(incremental.run_source(spark, src, like, None), "ts", "1 hour", "30 minutes", [], [F.count(F.lit(1)).alias("n")])
+        closed = windows.select((F.unix_seconds("window.start") / 60).cast("int").alias("begin"), "n")
+        incremental.append_available(closed, out, state)
+        return sorted(map(tuple, spark.read.schema(closed.schema).parquet(out).collect()))
+
+    assert add(0, 5, 10, 65) == []  # the watermark is at 35
+    assert add(1, 20, 95) == [(0, 3)]  # 20 is late, but its window is open; then the watermark is at 65
+    assert add(2, 30, 70, 200) == [(0, 3), (60, 3)]  # 30 is too late
+    assert add(3, 400) == [(0, 3), (60, 3), (180, 1)]
