@@ -20,6 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents that the classifier, fitted on the labelled ones among them, scores below GOOD_FROM.
 
     Nulls and empty texts are scored as empty ones; repeated rows are judged alike. Without labels nothing goes.
+    Of the labels, those without an id or a value don't count, and several of one id count by their majority, a tie as 1.
+    As in every stage, columns that documents don't have are dropped, whatever their names.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model, out_col="quality_score").where(F.col("quality_score") >= GOOD_FROM).select(*COLUMNS)
