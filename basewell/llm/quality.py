@@ -182,7 +182,7 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **options) -> Model:
-    """Learns from at most max_rows labelled rows that aren't held out; several labels of an id count by their majority.
+    """Learns from at most max_rows labelled rows that aren't held out; several labels of an id count by their majority, a tie as 1.
 
     Null ids and labels are left out. Of rows that share an id the one of least text hash is the sample, so max_rows
     bounds what is gathered whatever ids repeat. Without any labelled row the model scores 0.5, with labels of one kind only

@@ -207,3 +207,25 @@ def test_plain_margins_agree_with_plain_boosting():
     rnd = np.random.default_rng(1)
     x, y = rnd.normal(size=(40, 3)), (rnd.random(40) < 0.5).astype(float)
     assert plain_margins(x, y, x) == pytest.approx(plain_boost(x, y, 4, 2, 6, 0.5), abs=1e-9)
+
+
+def test_a_tie_of_labels_counts_as_one(spark):
+    docs = spark.createDataFrame([(i, "words, in order. " * i if i % 2 else "## " * i) for i in range(1, 40)], "doc_id long, text string")
+    label = lambda rows: quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int"), trees=3)
+    scores = lambda model: [r.score for r in quality.score(docs, model).orderBy("doc_id").collect()]
+    plain = [(i, i % 2) for i in range(1, 30)]
+    tied = [r for r in plain for r in (r, (r[0], 1 - r[1]) if r[0] > 20 else r)]
+    assert scores(label(tied)) == scores(label([(i, 1 if i > 20 else y) for i, y in plain])) != scores(label(plain))
+
+
+def test_stages_drop_other_columns_whatever_their_names(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(documents(25), DOCUMENTS)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = "row_id id size target taken whole copy slice turn label group node score quality_score position cut_text places spans piece_ids n_pieces component_id".split()
+    more = docs.select(*[F.lit(i).alias(n) for i, n in enumerate(names)], "*")
+    for name, stage in corpus_pipeline.STAGES:
+        plain, found = (stage(spark, d, str(tmp_path)) for d in (docs, more))
+        assert found.columns == plain.columns and (name == "pieces" or found.columns == list(corpus_pipeline.COLUMNS))
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
