@@ -132,6 +132,16 @@ def arrival_groups(df: DataFrame, order: str, channel: str, *, least: int = 3, l
     return with_quantiles(out, marked, ["stretch"], {f"median_{length}": (length, 0.5)}).drop("stretch")
 
 
+def adjacent_groups(df: DataFrame, channel: str, order: list[str]) -> DataFrame:
+    """(channel, adjacent): whether a channel's rows stand next to each other where the rows are numbered by channel and order.
+
+    Rows are counted on from partition to partition of the sort, since a channel may begin in one and end in another.
+    """
+    key = [channel, *order]
+    placed = running(in_parts(df.select(*key), [], key), [], key, "part", sums={"place": F.lit(1)})
+    return placed.groupBy(channel).agg((F.max("place") - F.min("place") + 1 == F.count(F.lit(1))).alias("adjacent"))
+
+
 def first_channels(df: DataFrame, order: str, channel: str, n: int) -> DataFrame:
     """All rows of the n channels that arrive first, whenever the rows come. Rows without a channel are left out."""
     firsts = df.where(F.col(channel).isNotNull()).groupBy(channel).agg(F.min(order).alias("__first")).orderBy("__first", channel).limit(n)

@@ -118,10 +118,7 @@ def a38_passes_and_q30_of_good_reads(spark: SparkSession, sf_dir: str) -> DataFr
 @query(SUBREADS_SQL + ", placed AS (SELECT ch, row_number() OVER (ORDER BY ch, turn) AS idx FROM subreads) SELECT ch, max(idx) - min(idx) + 1 = count(*) AS adjacent FROM placed GROUP BY ch")
 def a43_adjacent_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The place in the file is the id and turn here; a file source has its own line number.
-    rows = views.subreads(spark, sf_dir).repartitionByRange("ch", "turn").sortWithinPartitions("ch", "turn").withColumn("part", F.spark_partition_id())
-    rows = rows.withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    ends = rows.groupBy("ch", "part").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count(F.lit(1)).alias("n"))
-    return ends.groupBy("ch").agg(((F.count(F.lit(1)) == 1) & (F.max(F.col("b") - F.col("a") + 1 - F.col("n")) == 0)).alias("adjacent"))
+    return summary.adjacent_groups(views.subreads(spark, sf_dir), "ch", ["turn"])
 
 
 @query(SUBREADS_SQL + " SELECT ch, count(*) AS n, median(length(seq))::DOUBLE AS median_length FROM subreads WHERE cx = 3 GROUP BY ch HAVING count(*) >= 3")

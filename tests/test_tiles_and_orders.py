@@ -362,3 +362,9 @@ def test_closed_windows_come_once_and_late_rows_go(spark, tmp_path):
     assert add(1, 20, 95) == [(0, 3)]  # 20 is late, but its window is open; then the watermark is at 65
     assert add(2, 30, 70, 200) == [(0, 3), (60, 3)]  # 30 is too late
     assert add(3, 400) == [(0, 3), (60, 3), (180, 1)]
+
+
+def test_adjacent_groups_across_partitions(spark):
+    rows = [(ch, turn) for ch in (None, 1, 2) for turn in range(400)]
+    found = summary.adjacent_groups(spark.createDataFrame(rows, "ch int, turn int").repartition(7), "ch", ["turn"])
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, True), (2, True), (None, True)]
