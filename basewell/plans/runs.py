@@ -38,7 +38,7 @@ def a47_motif_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Tandem repeats of the table src (id, seq): stretches in which a base equals the one a unit further on, walked from the
 #: left as whole units, for units of 1 to 3 bases; then the union of a sequence's repeats.
-REPEATS_SQL = """units(k, t) AS (VALUES (1, 4), (2, 3), (3, 3)),
+_WALK_SQL = """units(k, t) AS (VALUES (1, 4), (2, 3), (3, 3)),
   letters_r AS (SELECT id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS i FROM src),
   near_r AS (SELECT id, i, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3 FROM letters_r WINDOW w AS (PARTITION BY id ORDER BY i)),
   same AS (SELECT id, k, t, i FROM near_r, units WHERE c = CASE k WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END),
@@ -48,13 +48,17 @@ REPEATS_SQL = """units(k, t) AS (VALUES (1, 4), (2, 3), (3, 3)),
     SELECT DISTINCT id, k, t, 0::BIGINT AS p, NULL::BIGINT AS a, NULL::BIGINT AS b FROM islands_r
     UNION ALL
     SELECT id, k, t, i + k * (1 + (e - i) // k), i, i + k * (1 + (e - i) // k) FROM (
-      SELECT w.id, w.k, w.t, min(greatest(l.a, w.p)) AS i, arg_min(l.e, greatest(l.a, w.p)) AS e FROM walk w JOIN islands_r l ON l.id = w.id AND l.k = w.k AND l.e - greatest(l.a, w.p) >= w.k * (w.t - 1) GROUP BY w.id, w.k, w.t, w.p)),
+      SELECT w.id, w.k, w.t, min(greatest(l.a, w.p)) AS i, arg_min(l.e, greatest(l.a, w.p)) AS e FROM walk w JOIN islands_r l ON l.id = w.id AND l.k = w.k AND l.e - greatest(l.a, w.p) >= w.k * (w.t - 1) GROUP BY w.id, w.k, w.t, w.p)),"""
+_UNION_R = """
   found_r AS (SELECT id, a, b, coalesce(a > max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM walk WHERE a IS NOT NULL),
   numbered_r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM found_r),
   repeats AS (SELECT id, sum(n)::BIGINT AS repeat_bases FROM (SELECT id, max(b) - min(a) AS n FROM numbered_r GROUP BY id, island) GROUP BY id)"""
+REPEATS_SQL = _WALK_SQL + _UNION_R
+#: Repeats of different units may have the same ends. Each is taken once, since two windows may order equal rows differently.
+_DISTINCT_R = _UNION_R.replace("FROM walk WHERE a IS NOT NULL", "FROM (SELECT DISTINCT id, a, b FROM walk WHERE a IS NOT NULL)")
 
 
-@query(READS_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", src AS MATERIALIZED (SELECT qname AS id, run, seq FROM reads WHERE rq >= 0.95), " + REPEATS_SQL + " SELECT run, coalesce(sum(repeat_bases), 0)::BIGINT AS repeat_bases, sum(length(seq))::BIGINT AS bases, round(coalesce(sum(repeat_bases), 0) / nullif(sum(length(seq)), 0), 9) AS share FROM src LEFT JOIN repeats USING (id) GROUP BY run")
+@query(READS_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", src AS MATERIALIZED (SELECT qname AS id, run, seq FROM reads WHERE rq >= 0.95), " + _WALK_SQL + _DISTINCT_R + " SELECT run, coalesce(sum(repeat_bases), 0)::BIGINT AS repeat_bases, sum(length(seq))::BIGINT AS bases, round(coalesce(sum(repeat_bases), 0) / nullif(sum(length(seq)), 0), 9) AS share FROM src LEFT JOIN repeats USING (id) GROUP BY run")
 def a48_repeat_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = runs.repeat_share(views.reads(spark, sf_dir).where("rq >= 0.95"), "seq", {1: 4, 2: 3, 3: 3})
     return marked.groupBy("run").agg(F.sum("repeat_bases").alias("repeat_bases"), F.sum(F.length("seq")).alias("bases"), F.round(S.rate(F.sum("repeat_bases"), F.sum(F.length("seq"))), 9).alias("share"))
