@@ -23,6 +23,14 @@ def both(spark, name, folder):
 
 def test_sql_of_intervals_with_equal_ends():
     con = duckdb.connect()
+    con.execute(f"CREATE TABLE lineitem AS SELECT (i % 7)::BIGINT AS l_suppkey, (hash(i // 50) % 1000000)::BIGINT AS l_partkey, 3 AS l_quantity {TIES}")
+    longest = con.execute(runs._JOINED + " SELECT max(b - a) FROM joined").fetchone()[0]
+    by_hand, reach = 0, {}
+    for name, a, b in con.execute(runs._SPANS + " SELECT name, a, b FROM spans ORDER BY name, a, b").fetchall():
+        start, end = reach.get(name, (a, a))
+        reach[name] = (a, b) if a > end else (start, max(end, b))
+        by_hand = max(by_hand, reach[name][1] - reach[name][0])
+    assert longest == by_hand
     con.execute(f"CREATE TABLE walk AS SELECT i % 7 AS id, hash(i // 50) % 100000 AS a, hash(i // 50) % 100000 + 3 AS b {TIES}")
     places = {(i, p) for i, a in con.execute("SELECT DISTINCT id, a FROM walk").fetchall() for p in range(a, a + 3)}
     assert con.execute("WITH " + runs._DISTINCT_R.strip() + " SELECT sum(repeat_bases) FROM repeats").fetchone()[0] == len(places)
