@@ -80,7 +80,7 @@ def b06_error_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUALITY = "CASE qbase WHEN 'A' THEN 10 WHEN 'C' THEN 20 WHEN 'G' THEN 30 ELSE 40 END"
 
 
-@query(ALN_SQL + f", b AS (SELECT *, lag(op) OVER (PARTITION BY qname ORDER BY col_idx) = 'D' AS behind FROM aln) SELECT refname, {_QUALITY} AS baseq, count_if(op = '=') AS eq, count_if(op = 'X') AS diff, count_if(op = 'I') AS ins, count_if(behind) AS del, count(*) AS depth FROM b WHERE qpos IS NOT NULL GROUP BY 1, 2")
+@query(ALN_SQL + f", b AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY qname ORDER BY col_idx) = 'D', false) AS behind FROM aln) SELECT refname, {_QUALITY} AS baseq, count_if(op = '=') AS eq, count_if(op = 'X') AS diff, count_if(op = 'I') AS ins, count_if(behind) AS del, count(*) AS depth FROM b WHERE qpos IS NOT NULL GROUP BY 1, 2")
 def b07_base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.base_quality_table(views.alignments(spark, sf_dir))
 

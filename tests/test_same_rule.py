@@ -34,3 +34,9 @@ def test_sql_of_intervals_with_equal_ends():
     con.execute(f"CREATE TABLE walk AS SELECT i % 7 AS id, hash(i // 50) % 100000 AS a, hash(i // 50) % 100000 + 3 AS b {TIES}")
     places = {(i, p) for i, a in con.execute("SELECT DISTINCT id, a FROM walk").fetchall() for p in range(a, a + 3)}
     assert con.execute("WITH " + runs._DISTINCT_R.strip() + " SELECT sum(repeat_bases) FROM repeats").fetchone()[0] == len(places)
+
+
+def test_base_quality_of_single_bases(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "acgacgtac"), (2, 0, "user", "")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    ours, sql = both(spark, "b07_base_quality", tmp_path)
+    assert ours == sql and all(None not in row for row in ours)
