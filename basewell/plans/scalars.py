@@ -66,7 +66,8 @@ def s08_trim_end_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: floor(x * 100)::BIGINT + 3) AS boosted FROM embeddings")
 def s09_add_to_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100) + 3).alias("boosted"))
+    # A product in the entries' own type, as in the SQL: a float times a whole number would become a double.
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")) + 3).alias("boosted"))
 
 
 @query(READS_SQL + " SELECT 'cs/' || qname AS qname, 'consensus' AS kind, length(seq)::BIGINT AS n FROM reads UNION ALL SELECT qname, 'subread', length(seq) FROM reads")

@@ -40,3 +40,10 @@ def test_base_quality_of_single_bases(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "acgacgtac"), (2, 0, "user", "")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     ours, sql = both(spark, "b07_base_quality", tmp_path)
     assert ours == sql and all(None not in row for row in ours)
+
+
+def test_products_near_a_whole_number(spark, tmp_path):
+    rows = [(0, [0.29, 0.57, 0.58, 1.13, 1.15, -0.29]), (1, [None, 0.5]), (2, []), (3, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ours, sql = both(spark, "s09_add_to_elements", tmp_path)
+    assert ours == sql
