@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basewell.sources.scratch import spread
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 QUALITIES = "+5?I.8BK&3>H*6AJ(4=G,7@L)9"
@@ -93,7 +95,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return turns.select(F.col("conv_id").alias("ch"), F.col("turn").cast("int").alias("turn"), "role", F.when(F.col("turn") % 3 == 1, 1).otherwise(3).alias("cx"), F.translate(_letters("text"), ALPHABET, BASES).alias("seq"))
 
 

@@ -38,6 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out over all cores: a small file is read by one task, however much work each of its rows is."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that materialize wrote, once nothing reads them any more."""
     for df in tables:
