@@ -10,6 +10,7 @@ from basewell.operators.ordered import with_quantiles
 from basewell.plans.catalog import query
 from basewell.plans.views import READS_SQL, table
 from basewell.plans import views
+from basewell.sources.scratch import spread
 
 
 def _choose(n: str, k: str) -> str:
@@ -49,7 +50,7 @@ _KN = "WITH kn AS (SELECT p_partkey, p_size::BIGINT AS n, (p_partkey % (p_size +
 
 def _kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", size.cast("long").alias("n"), (F.col("p_partkey") % (size + 1)).cast("long").alias("k"), ((1 + F.col("p_partkey") % 9) / 10.0).alias("p0"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", size.cast("long").alias("n"), (F.col("p_partkey") % (size + 1)).cast("long").alias("k"), ((1 + F.col("p_partkey") % 9) / 10.0).alias("p0")))
 
 
 _BETA = f"exp({_choose('n', 'i')} + lgamma(i + 2.0) - lgamma(2.0) + lgamma(n - i + 5.0) - lgamma(5.0) - lgamma(n + 7.0) + lgamma(7.0))"
@@ -76,7 +77,7 @@ _FISHER = "WITH t AS (SELECT p_partkey, p_partkey % 11 + 1 AS a, p_partkey % 7 +
 @query(_FISHER + " SELECT p_partkey, round(least(1.0, sum(exp(lp)) FILTER (lp <= seen)), 9) AS p, round(any_value(a * d / (b * c)), 9) AS odds FROM l GROUP BY p_partkey")
 def h06_fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    t = table(spark, sf_dir, "part").select("p_partkey", (k % 11 + 1).alias("a"), (k % 7 + 2).alias("b"), (s % 13 + 1).alias("c"), (s % 5 + 3).alias("d"))
+    t = spread(table(spark, sf_dir, "part").select("p_partkey", (k % 11 + 1).alias("a"), (k % 7 + 2).alias("b"), (s % 13 + 1).alias("c"), (s % 5 + 3).alias("d")))
     return t.select("p_partkey", F.round(hypothesis.fisher_exact("a", "b", "c", "d"), 9).alias("p"), F.round(F.col("a") * F.col("d") / (F.col("b") * F.col("c")), 9).alias("odds"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
-from basewell.plans import catalog, runs
+from basewell.operators import hypothesis
+from basewell.plans import catalog, runs, tests, views
 
 #: A hundred thousand rows, each interval fifty times, in no order.
 TIES = "FROM range(200000) t(i) ORDER BY hash(i)"
@@ -47,3 +49,17 @@ def test_products_near_a_whole_number(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     ours, sql = both(spark, "s09_add_to_elements", tmp_path)
     assert ours == sql
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    spark.createDataFrame([(i, 0, "user", "ac") for i in range(64)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, i % 50) for i in range(64)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for df in (views.subreads(spark, str(tmp_path)), tests._kn(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_many_outcomes_of_a_test(spark):
+    """A row takes time by its outcomes, not by their square."""
+    df = spark.createDataFrame([(20_000, 10_050)], "n long, k long")
+    got = df.select(hypothesis.binomial_test("k", "n", 0.5), hypothesis.binomial_test("k", "n", 0.5, "less"), hypothesis.beta_binomial_tail("k", "n", 1.0, 1.0)).first()
+    assert got[0] == pytest.approx(0.4839, abs=2e-3) and got[1] == pytest.approx(0.7624, abs=2e-3) and got[2] == pytest.approx(9951 / 20001, rel=1e-6)
