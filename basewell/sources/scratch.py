@@ -38,10 +38,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows dealt out over all cores: a small file is read by one task, however much work each of its rows is."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt out over all cores, by keys if given: a small table is one task's, however much work each of its rows is."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def discard(*tables: DataFrame | None) -> None:

@@ -7,6 +7,7 @@ import pytest
 
 from basewell.operators import hypothesis
 from basewell.plans import catalog, runs, tests, views
+from basewell.sources.scratch import spread
 
 #: A hundred thousand rows, each interval fifty times, in no order.
 TIES = "FROM range(200000) t(i) ORDER BY hash(i)"
@@ -63,3 +64,9 @@ def test_many_outcomes_of_a_test(spark):
     df = spark.createDataFrame([(20_000, 10_050)], "n long, k long")
     got = df.select(hypothesis.binomial_test("k", "n", 0.5), hypothesis.binomial_test("k", "n", 0.5, "less"), hypothesis.beta_binomial_tail("k", "n", 1.0, 1.0)).first()
     assert got[0] == pytest.approx(0.4839, abs=2e-3) and got[1] == pytest.approx(0.7624, abs=2e-3) and got[2] == pytest.approx(9951 / 20001, rel=1e-6)
+
+
+def test_dealt_by_key(spark):
+    df = spread(spark.createDataFrame([(i % 100,) for i in range(400)], "name int").coalesce(1), "name")
+    parts = df.rdd.mapPartitionsWithIndex(lambda i, rows: [(i, r[0]) for r in rows]).collect()
+    assert len({i for i, _ in parts}) > 4 and len(set(parts)) == 100
