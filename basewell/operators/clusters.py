@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basewell.functions.seq import let, rate
 from basewell.operators.graph import connected_components
-from basewell.sources.scratch import discard, materialize
+from basewell.sources.scratch import discard, materialize, setting
 
 
 def dereplicate(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -33,6 +33,12 @@ def identity(a: Column, b: Column) -> Column:
 ANYWHERE = 1 << 40
 #: Windows of anchors have so many letters at most, as a power of two.
 TOP_LEVEL = 6
+#: Columns of a sequence's profile: counts of its pairs of letters, four to each.
+PROFILE = [f"pairs{i}" for i in range(4)]
+#: Letters of the grams that are counted in the texts of a pair before its edits are.
+GRAM = 6
+#: Rows with two texts each in a batch of a Python worker, and the setting for it.
+PAIR_ROWS, ARROW_ROWS = 200, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @lru_cache(maxsize=100_000)
@@ -82,32 +88,74 @@ def anchors(text: str, least_identity: float, least_coverage: float) -> tuple[np
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each sequence's length and how often each pair of letters occurs, letters told apart by two bits of their code, as 16 counts of 16 bits in four longs."""
+    for batch in batches:
+        size, counts = [], []
+        for text in batch.column("s").to_pylist():
+            letters = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32) >> 1 & 3
+            pairs = np.bincount(letters[:-1] * 4 + letters[1:], minlength=16)
+            size.append(None if text is None else len(letters))
+            counts.append(np.minimum(pairs, 0xFFFF).astype("<u2").view("<i8"))
+        packed = np.array(counts).reshape(-1, len(PROFILE))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), *(pa.array(packed[:, i]) for i in range(len(PROFILE)))], [*batch.schema.names, "n", *PROFILE])
+
+
+def _profile_distance(name: str, other: str) -> Column:
+    """Sum of the differences of two profiles' counts. An edit takes away two pairs of letters at most and adds two."""
+    count = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    each = [F.abs(count(F.col(name.format(c)), i) - count(F.col(other.format(c)), i)) for c in PROFILE for i in range(4)]
+    return sum(each[1:], each[0])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, s, t, most) the pairs whose counts of GRAM letters don't differ by more than ``most`` edits can make: each takes away GRAM of them at most and adds as many."""
+    values = 1 << 2 * GRAM
+
+    def grams(text: str) -> np.ndarray:
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) >> 1 & 3
+        n = max(0, len(letters) - GRAM + 1)
+        code = np.zeros(n, np.int64)
+        for i in range(GRAM):
+            code = code * 4 + letters[i : i + n]
+        return np.bincount(code, minlength=values)
+
+    for batch in batches:
+        found = {}
+        keep = []
+        for s, t, most in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for text in (s, t):
+                if text not in found:
+                    found[text] = grams(text)
+            keep.append(bool(np.abs(found[s] - found[t]).sum() <= 2 * GRAM * most))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _posts(least_identity: float, least_coverage: float):
-    """(key, node, n, place, width) of each anchor, for both length bands that a partner can share.
+    """(key, node, place, width) of each anchor, for both length bands that a partner can share.
 
     width: places of linked reads lie closer together than that; it is the same for all posts of a key.
     """
-    names = ["key", "node", "n", "place", "width"]
+    names = ["key", "node", "place", "width"]
     wide = -math.log(least_coverage) * 1.0001 if 0 < least_coverage < 1 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (batch.slice(i, 200) for batch in batches for i in range(0, batch.num_rows, 200)):
-            nodes, columns = [], []
+            columns = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 key, place = anchors(text, least_identity, least_coverage)
                 band = int(math.log(max(1, len(text))) / wide) if wide else 0
                 for b in (band, band + 1) if wide else (band,):
-                    nodes += [node] * len(key)
                     most = math.exp((b + 1) * wide) + 1 if wide else ANYWHERE
                     width = int((1 - least_identity) * most) + 2
                     with np.errstate(over="ignore"):
                         keys = _mix(key + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15))
-                    columns.append((keys, np.full(len(key), len(text)), place, np.full(len(key), width)))
+                    columns.append((keys, np.full(len(key), node), place, np.full(len(key), width)))
             if columns:
-                key, n, place, width = (np.concatenate(c) for c in zip(*columns, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes), pa.array(n), pa.array(place), pa.array(width)], names)
+                key, node, place, width = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(place), pa.array(width)], names)
 
     return run
 
@@ -116,41 +164,54 @@ def near_duplicates(df: DataFrame, *, name: str = "qname", seq: str = "seq", lea
     """(name, cluster): the smallest name of a read's cluster; reads link where both bounds hold.
 
     Reads within the bounds share a piece, and so an anchor of it, at places that edits move by less than their
-    number: no link is missed. First each read is paired with the first read of each anchor; the edit distance, which
+    number: no link is missed. Anchors of one read alone are dropped first. Then each read is paired with the first read of each anchor; the edit distance, which
     stops counting at the bound, decides, and links give components. Then reads of an anchor that still lie in
     different components are paired, where their places lie near each other: posts meet by anchor and stretch of places,
-    so an anchor that recurs all along many reads isn't one group. Equal sequences are one node, so a group of copies costs one row a copy.
+    so an anchor that recurs all along many reads isn't one group. Pairs whose counts of letter pairs differ by more than the edits
+    allowed can make are left out before their texts are looked up. Equal sequences are one node, so a group of copies costs one row a copy.
     """
-    named = df.select(F.col(name).alias("name"), F.col(seq).alias("s")).withColumn("node", F.sha2(F.col("s").cast("binary"), 256))
-    nodes = materialize(named.groupBy("node").agg(F.first("s").alias("s"), F.min("name").alias("first_name")))
+    named = df.select(F.col(name).alias("name"), F.col(seq).alias("s")).withColumn("digest", F.sha2(F.col("s").cast("binary"), 256))
+    kinds = named.groupBy("digest").agg(F.first("s").alias("s"), F.min("name").alias("first_name")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(kinds.mapInArrow(_profiles, ", ".join([*(f"{c} {kind}" for c, kind in kinds.dtypes), "n long", *(f"{c} long" for c in PROFILE)])))
     texts = nodes.select("node", "s")
-    posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node string, n long, place long, width long"))
+    shapes = nodes.select("node", "n", *PROFILE)
+    others = shapes.withColumnsRenamed({c: f"other_{c}" for c in shapes.columns})
+    posts = materialize(texts.mapInArrow(_posts(least_identity, least_coverage), "key long, node long, place long, width long"))
     bound = f"cast(floor((1 - {least_identity!r}D) * greatest({{0}}, {{1}}) + 1e-9D) as int)"
     covers = F.least("n", "other_n") >= least_coverage * F.greatest("n", "other_n")
+    alike = covers & (_profile_distance("{}", "other_{}") <= 4 * F.expr(bound.format("n", "other_n")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         wide = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.withColumnsRenamed({"node": "b", "s": "t"}), "b")
-        return materialize(wide.where(F.expr(f"levenshtein(s, t, {bound.format('length(s)', 'length(t)')}) >= 0")).select("a", "b"))
-
-    ordered = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-    leader = posts.groupBy("key").agg(F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("other_n"))).alias("lead")).select("key", "lead.*")
-    star = materialize(posts.select("key", "node", "n").distinct().join(leader, "key").where((F.col("node") != F.col("other")) & covers).select(*ordered).distinct())
+        wide = wide.select("a", "b", "s", "t", F.expr(bound.format("length(s)", "length(t)")).alias("most"))
+        with setting(df.sparkSession, ARROW_ROWS, PAIR_ROWS):
+            likely = wide.mapInArrow(_likely, wide.schema)
+            return materialize(likely.where("levenshtein(s, t, most) >= 0").select("a", "b"))
+
+    ordered = F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")
+    ends = posts.groupBy("key").agg(F.min("node").alias("other_node"), F.max("node").alias("last")).where("other_node <> last").drop("last")
+    shared = materialize(posts.join(ends, "key"))
+    discard(posts)
+    star = shared.where("node <> other_node").select("node", "other_node").distinct().join(shapes, "node").join(others, "other_node")
+    star = materialize(star.where(alike).select(*ordered).distinct())
     links = linked(star)
     labels = materialize(connected_components(links)) if not links.isEmpty() else None
-    placed = posts.withColumn("label", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.drop("other_node")
+    placed = placed.withColumn("label", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"))
+    open_ = materialize(placed.join(mixed, "key", "left_semi").join(shapes, "node"))
+    discard(shared)
     stretch = F.floor(F.col("place") / F.col("width"))
-    others = open_.select("key", stretch.alias("stretch"), *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "label")], F.col("node").alias("other"))
+    partners = open_.select("key", stretch.alias("stretch"), *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "label", *PROFILE)])
     near = F.expr(f"abs(place - other_place) <= {bound.format('n', 'other_n')}")
     beside = open_.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
-    across = beside.join(others, ["key", "stretch"]).where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & covers & near)
+    across = beside.join(partners, ["key", "stretch"]).where((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & near & alike)
     more = linked(across.select(*ordered).distinct().join(star, ["a", "b"], "left_anti"))
     first_labels, labels = labels, connected_components(links.unionByName(more)).withColumnRenamed("label", "root")
-    discard(posts, star, open_, first_labels)  # the components still look for loops among the links
-    rooted = nodes.select("node", "first_name").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    discard(star, open_, first_labels)  # the components still look for loops among the links
+    rooted = nodes.select("node", "digest", "first_name").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first_name").alias("cluster"))
-    return named.select("name", "node").join(rooted.select("node", "root"), "node").join(smallest, "root").select(F.col("name").alias(name), "cluster")
+    return named.select("name", "digest").join(rooted.select("digest", "root"), "digest").join(smallest, "root").select(F.col("name").alias(name), "cluster")
 
 
 def merge_pair(forward: Column, backward: Column, least: int = 10, most: int = 60) -> Column:

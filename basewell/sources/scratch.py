@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting by which a query's shuffle files are deleted when it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a local folder where one machine runs everything."""
@@ -25,14 +30,26 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/basewell-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
+    """A session setting for the jobs run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
-    A lost executor then costs a re-read, not a recomputation. The table stays for as long as its readers may need
+    A lost executor then costs a re-read, not a recomputation, and the shuffle files of the write go at once. The table stays for as long as its readers may need
     it: discard() deletes it after the last; what a result still reads stays, until whoever owns the folder clears it.
     """
     path = new_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table

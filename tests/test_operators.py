@@ -196,6 +196,25 @@ def test_near_duplicates_are_all_found(spark, identity, coverage):
     assert got == brute_clusters(rows, identity, coverage)
 
 
+def test_near_duplicates_write_no_texts_with_anchors_and_drop_anchors_of_one_read(spark, monkeypatch):
+    rnd = random.Random(5)
+    reads = ["".join(rnd.choice("ACGT") for _ in range(500)) for _ in range(40)]
+    rows = [(f"r{i:02}", s) for i, s in enumerate([*reads, reads[0][:250] + "A" + reads[0][250:]])]
+    written, write = [], clusters.materialize
+
+    def noted(df):
+        table = write(df)
+        written.append((table.dtypes, table.count()))
+        return table
+
+    monkeypatch.setattr(clusters, "materialize", noted)
+    got = clusters.near_duplicates(spark.createDataFrame(rows, "qname string, seq string"), least_identity=0.99).collect()
+    assert {r.qname for r in got if r.cluster != r.qname} == {"r40"}
+    posts = [(dict(types), n) for types, n in written if "key" in dict(types)]
+    assert all(set(types.values()) == {"bigint"} for types, _ in posts)
+    assert len(posts) > 1 and posts[1][1] * 10 < posts[0][1]
+
+
 @pytest.mark.parametrize(("n1", "n0", "k1", "k0"), [(5, 200, 1, 1), (3, 9, 2, 0), (40, 60, 20, 22)])
 def test_permutations_follow_the_exact_tail(spark, n1, n0, k1, k0):
     rows = [(True, i < k1) for i in range(n1)] + [(False, i < k0) for i in range(n0)]
