@@ -14,7 +14,8 @@ What passes is verified once for each pair, on the texts, with hashes that are i
 must not cost the square of its size, so candidates come in two steps. First every node is paired with the leader of
 each shingle's group: the node whose shingles are most common, since the original of many edited copies shares all its
 shingles with most of them and an edited copy doesn't. (Groups of frequent shingles are dealt into parts, and their
-nodes are paired with the leader of all parts, too.) Pairs that hold give components. Then, for shingles whose nodes still lie in different components, the nodes outside the
+nodes are paired with the leader of all parts, too.) Pairs that hold give components. Then, for shingles whose nodes still lie in different components, nodes that pass the
+filters with none of another component are left out (in groups of up to PAIRED), and those outside the
 commonest component are paired with all nodes of other components. A link between different components is found in
 the second step; one within a component changes nothing.
 """
@@ -154,8 +155,31 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
 _LED = "token long, parts long, node long, n long, spot long, lead long, lead_n long, lead_spot long, lead_common long"
 
 
-def _hopeful(begin: np.ndarray, size: np.ndarray, n: np.ndarray, spot: np.ndarray, percent: int) -> np.ndarray:
-    """Rows that pass the length and positional filter with another row of their group. Groups of more than PAIRED rows are taken to."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted rows as tables of at least 100,000 rows, where there are so many, none of which cuts a group of equal values in the first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 100_000:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.flatnonzero(_starts(*(table.column(i).to_numpy() for i in range(keys))))[-1])
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Rows at which a group of equal keys begins."""
+    return np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+
+
+def _hopeful(begin: np.ndarray, size: np.ndarray, n: np.ndarray, spot: np.ndarray, percent: int, label: np.ndarray | None = None, maps: np.ndarray | None = None) -> np.ndarray:
+    """Rows that pass the length and positional filter with another row of their group, with labels and bitmaps also the suffix filter with one of another label. Groups of more than PAIRED rows are taken to."""
     hopeful = size > PAIRED
     place = np.arange(len(n)) - np.repeat(begin, np.diff(np.r_[begin, len(n)]))
     left = np.flatnonzero((size > 1) & ~hopeful)
@@ -165,8 +189,14 @@ def _hopeful(begin: np.ndarray, size: np.ndarray, n: np.ndarray, spot: np.ndarra
             break
         right = left + step
         n1, n2 = n[left], n[right]
+        overlap = -(-percent * (n1 + n2) // (100 + percent))
         good = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-        good &= np.minimum(n1 - spot[left], n2 - spot[right]) >= -(-percent * (n1 + n2) // (100 + percent))
+        good &= np.minimum(n1 - spot[left], n2 - spot[right]) >= overlap
+        if label is not None:
+            good &= label[left] != label[right]
+            good = np.flatnonzero(good)
+            differ = np.bitwise_count(maps[left[good]] ^ maps[right[good]]).sum(axis=1, dtype=np.int64)
+            good = good[differ <= (n1 + n2 - 2 * overlap)[good]]
         hopeful[left[good]] = True
         hopeful[right[good]] = True
     return hopeful
@@ -176,11 +206,9 @@ def _led(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From rows sorted by token, part, commonness (falling) and node: each node once for its token, with the part's first as leader. A node that passes the filters with no other of its group is left out."""
         names = [x.split()[0] for x in _LED.split(", ")]
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table) -> pa.RecordBatch:
+        for table in _whole_groups(batches, 2):
             token, part, parts, node, sized, common = (table.column(i).to_numpy() for i in range(6))
-            new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
+            new = _starts(token, part)
             keep = new | np.r_[True, node[1:] != node[:-1]]
             token, parts, node, sized, common, new = (x[keep] for x in (token, parts, node, sized, common, new))
             n, spot = sized >> 32, sized & 0xFFFFFFFF
@@ -189,22 +217,23 @@ def _led(percent: int):
             lead = np.repeat(begin, size)
             use = _hopeful(begin, np.repeat(size, size), n, spot, percent) | (parts > 1)
             lead = lead[use]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token[use], parts[use], node[use], n[use], spot[use], node[lead], n[lead], spot[lead], common[lead])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[use], parts[use], node[use], n[use], spot[use], node[lead], n[lead], spot[lead], common[lead])], names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 100_000:
-                continue
-            table = pa.Table.from_batches(held)
-            token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])[-1])
-            if cut:
-                yield groups(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield groups(pa.Table.from_batches(held))
+    return run
+
+
+_PLACE = ["token", "node", "n", "spot", *MAPS]
+
+
+def _with_partners(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows (_PLACE, label, members) sorted by token: those that pass all filters with a node of another component, and all of groups of more than PAIRED members."""
+        for table in _whole_groups(batches, 1):
+            token, n, spot, label, members = (table.column(c).to_numpy() for c in ("token", "n", "spot", "label", "members"))
+            begin = np.flatnonzero(_starts(token))
+            maps = np.column_stack([table.column(m).to_numpy() for m in MAPS]).view(U64)
+            use = _hopeful(begin, np.repeat(np.diff(np.r_[begin, len(token)]), np.diff(np.r_[begin, len(token)])), n, spot, percent, label, maps) | (members > PAIRED)
+            yield from table.select(_PLACE).filter(pa.array(use)).to_batches()
 
     return run
 
@@ -348,7 +377,9 @@ def _in_groups(keyed: DataFrame, text_col: str, words: int, percent: int) -> Dat
 
     links = verified(star)
     labels = materialize(connected_components(links))
-    places = materialize(_open_places(posts.select("token", "node", "n", "spot"), labels).join(sizes.drop("n"), "node"))
+    opened = _open_places(posts.select("token", "node", "n", "spot"), labels).join(sizes.drop("n"), "node")
+    dealt = opened.repartition("token", F.when(F.col("members") > PAIRED, F.col("node"))).sortWithinPartitions("token")
+    places = materialize(dealt.select(*_PLACE, "label", "members").mapInArrow(_with_partners(percent), ", ".join(f"{c} long" for c in _PLACE)))
     discard(posts)
 
     def across(some: str, known: DataFrame) -> DataFrame:
@@ -375,10 +406,10 @@ def _in_groups(keyed: DataFrame, text_col: str, words: int, percent: int) -> Dat
 
 
 def _open_places(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of shingles whose nodes lie in different components."""
+    """The rows of shingles whose nodes lie in different components, with their component's label and how many members their group has."""
     placed = places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return placed.select(*places.columns).join(mixed.select("token"), "token", "left_semi")
+    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    return placed.select(*places.columns, "label").join(mixed.select("token", "members"), "token")
 
 
 def _main(placed: DataFrame) -> DataFrame:

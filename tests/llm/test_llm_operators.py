@@ -9,6 +9,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -770,3 +771,21 @@ def test_judge_of_repeated_rows_null_html_and_a_tie(spark, monkeypatch):
     assert sorted((r.page_id, r.verdict) for r in rows) == [(1, "allow"), (1, "allow"), (2, "block"), (3, "allow"), (4, "allow"), (5, "allow")]
     at = {r.page_id: r for r in rows}
     assert at[3].trust == at[3].distrust > 0 and at[5].trust == at[5].distrust == 0
+
+
+def test_places_without_a_partner_in_another_component_are_left_out():
+    n, far = 20, (1 << 40) - 1  # 20 and 20 shingles of which 75 % are shared differ in 4 at most
+
+    def place(token, node, label, bits, members=3, spot=0):
+        return [token, node, n, spot, *([bits] + [0] * (len(ngram_join.MAPS) - 1)), label, members]
+
+    rows = [
+        place(1, 1, 1, 0), place(1, 2, 1, 0), place(1, 3, 3, far),  # near, but of one component; the third is far
+        place(2, 4, 4, 0), place(2, 5, 5, 0b111), place(2, 6, 6, far),  # the first two may link
+        place(3, 7, 7, 0, spot=9), place(3, 8, 8, 0, spot=9),  # too little follows the shared shingle
+        place(4, 9, 9, 0, ngram_join.PAIRED + 1), place(4, 10, 10, far, ngram_join.PAIRED + 1),  # large groups stay whole
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [*ngram_join._PLACE, "label", "members"])
+    kept = pa.Table.from_batches(ngram_join._with_partners(75)(iter([batch.slice(0, 4), batch.slice(4)])))
+    assert kept.column_names == ngram_join._PLACE
+    assert kept.column("node").to_pylist() == [4, 5, 9, 10]
