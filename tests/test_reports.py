@@ -182,3 +182,10 @@ def test_merged_sam_keeps_the_first_header(spark, tmp_path):
     assert lines[:2] == ["@HD\tVN:0", "@SQ\t0"] and lines[2:] == [f"read{i}.{k}\t0" for i in range(5) for k in range(3)]
     plan = fastx.merged_sam(spark, paths)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2
+
+
+def test_samples_of_each_category_are_cut_before_they_are_dealt(spark):
+    from basewell.plans import catalog
+
+    plan = catalog.queries()["a59_samples_of_each_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan  # neither the join nor the window has a task with all rows of a barcode
