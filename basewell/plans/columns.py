@@ -59,7 +59,7 @@ _ISLANDS = COLUMNS_SQL + """, f AS (SELECT *, coalesce(lag(ref) OVER w <> ref, t
 
 @query(_ISLANDS + " SELECT CASE WHEN distance <= 5 THEN 'near_gap' WHEN run >= 5 THEN 'homopolymer' ELSE 'true_error' END AS origin, count(*) AS n FROM r WHERE smc <> ref AND smc <> '-' AND ref <> '-' GROUP BY 1")
 def m05_error_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voting.provenance(_cols(spark, sf_dir)).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    return voting.provenance(views.columns(spark, sf_dir)).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_WRONG + " SELECT rec, count_if(verdict = 'smc_support') AS n, round(avg(smc_pct), 6) AS confidence FROM wrong GROUP BY rec ORDER BY n DESC, rec LIMIT 20")

@@ -189,3 +189,22 @@ def test_samples_of_each_category_are_cut_before_they_are_dealt(spark):
 
     plan = catalog.queries()["a59_samples_of_each_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan  # neither the join nor the window has a task with all rows of a barcode
+
+
+def test_provenance_of_mismatches(spark):
+    rows = [
+        (1, "AAAAATCCCCCCAC", "AAAAAACCCCCCGC", ["A"]), (2, "ACGT-ACGTCA", "TCGTAACGTTA", ["A"]), (3, "GGTGG", "GGGGG", ["A"]), (4, "GGTG", "GGGG", ["A"]), (5, "", "", ["A"]), (6, None, "A", ["A"]), (7, "AC" * 40, "AC" * 39 + "GT", ["A"]),
+        (8, "T" + "A" * 4 + "-", "A" * 6, ["A"]), (9, "T" + "A" * 5 + "-", "A" * 7, ["A"]), (10, "T-", "A-", ["A"]),
+    ]
+    found = voting.provenance(spark.createDataFrame(rows, "rec long, smc string, ref string, subs array<string>"))
+    got = {(r.rec, r.pos): r.origin for r in found.collect()}
+    assert got == {
+        (1, 5): "homopolymer", (1, 12): "true_error", (2, 0): "near_gap", (2, 9): "near_gap", (3, 2): "homopolymer", (4, 2): "true_error", (7, 78): "true_error", (7, 79): "true_error", (8, 0): "near_gap", (9, 0): "homopolymer", (10, 0): "near_gap",
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan  # a record's columns aren't dealt or sorted
+
+
+def test_distance_to_a_gap_has_no_frame_to_the_end(spark):
+    plan = voting.gap_classes(spark.createDataFrame([(1, 0, "-", "A", ["A"])], "rec long, pos long, smc string, ref string, subs array<string>"))._jdf.queryExecution().analyzed().toString()
+    assert "unboundedfollowing" not in plan.lower()  # such a frame is walked anew for each row
