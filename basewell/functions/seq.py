@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Operations of an alignment string that consume the query, the reference, or either.
 QUERY_OPS, REF_OPS = "=XIS", "=XDN"
 CIGAR = r"(\d+)([MIDNSHP=X])"
-BLOCK = 64
+BLOCK = 32
 
 
 def col(x: Column | str) -> Column:
@@ -128,9 +128,10 @@ def placed_ops(ops: Column | str, rstart: Column | str) -> Column:
     )
 
     def place(block: Column, begin: Column) -> Column:
-        one = lambda s, o: F.struct(o["op"].alias("op"), o["n"].alias("n"), *[s["at"][k].alias(k) for k in "qrc"])
-        start = F.struct(begin.alias("at"), empty("op:string,n:int,q:int,r:int,c:int").alias("out"))
-        return F.aggregate(block, start, lambda s, o: F.struct(moved(s["at"], o).alias("at"), F.array_append(s["out"], one(s, o)).alias("out")), lambda s: s["out"])
+        # What an aggregate carries is copied for each element, so only the places are.
+        start = F.struct(begin.alias("at"), empty("q:int,r:int,c:int").alias("out"))
+        places = F.aggregate(block, start, lambda s, o: F.struct(moved(s["at"], o).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+        return F.zip_with(block, places, lambda o, p: F.struct(o["op"].alias("op"), o["n"].alias("n"), *[p[k].alias(k) for k in "qrc"]))
 
     return let(in_blocks(ops), lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), place)))
 

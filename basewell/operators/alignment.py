@@ -162,8 +162,8 @@ def query_to_ref(df: DataFrame) -> DataFrame:
     return placed.withColumn("ref_of", F.flatten(F.transform(F.filter("ops", lambda o: _in(QUERY_OPS, o["op"])), places))).drop("ops")
 
 
-def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
-    """One row for each reference position, without depth too: counts, detail maps as text, and the bases around.
+def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024, details: bool = True) -> DataFrame:
+    """One row for each reference position, without depth too: counts, detail maps as text unless told not to, and the bases around.
 
     refs: refname, rseq; the alignments need no reference sequence. Stretches of an operation become steps up and down,
     cut at the tiles of the reference, so an aligned base isn't a row: steps are added up by position where they are
@@ -181,18 +181,24 @@ def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     up = F.when(F.floor(r / size) == F.floor((end - 1) / size), F.array(mark(r, none, 1))).otherwise(F.transform(F.sequence(F.floor(r / size), F.floor((end - 1) / size)), lambda t: mark(F.greatest(t * size, r), none, 1)))
     changed = F.when(n == 1, F.array(mark(r, F.col("qs"), 1))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: mark(r + k, F.substring(F.col("qs"), k + 1, F.lit(1)), 1)))
     marks = F.when(F.col("op") == "I", F.array(mark(r, F.col("qs"), 1))).when(F.col("op") == "X", changed).otherwise(F.concat(up, down))
-    marked = rows.select("refname", "op", F.inline(marks)).groupBy("refname", "pos", "op", "what").agg(F.sum("k").alias("n"))
+    place = {"tile": F.floor(F.col("pos") / size).cast("int"), "off": (F.col("pos") % size).cast("int")}
+    marked = rows.select("refname", "op", F.inline(marks))
+    marked = marked.select("refname", "op", F.col("k").alias("n"), *[v.alias(c) for c, v in place.items()], *(["what"] if details else []))
+    if details:
+        # Texts are collected from different marks only, and where their tile is.
+        marked = marked.groupBy("refname", "tile", "off", "op", "what").agg(F.sum("n").alias("n")).repartition("refname", "tile")
     op = F.col("op")
     total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    text = lambda op: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
-    at_pos = marked.groupBy("refname", F.floor(F.col("pos") / size).cast("int").alias("tile"), (F.col("pos") % size).cast("int").alias("off")).agg(
-        total(op == "=").alias("eq"), total(op == "D").alias("del"), total(op == "N").alias("skip"), total(op == "X").alias("diff"), total(op == "I").alias("ins"), text("X").alias("diff_detail"), text("I").alias("ins_detail")
+    text = lambda op: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("op") == op, F.struct("what", "n")))), lambda x: F.concat_ws(":", x["what"], x["n"])), ",")
+    texts = {"diff_detail": text("X"), "ins_detail": text("I")} if details else {}
+    at_pos = marked.groupBy("refname", "tile", "off").agg(
+        total(op == "=").alias("eq"), total(op == "D").alias("del"), total(op == "N").alias("skip"), total(op == "X").alias("diff"), total(op == "I").alias("ins"), *[v.alias(c) for c, v in texts.items()]
     )
     order = Window.partitionBy("refname", "tile").orderBy("off")
     level = ("eq", "del", "skip")
     swept = at_pos.withColumns({c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in level} | {"next": F.lead("off", 1, size).over(order)})
-    here = ("diff", "ins", "diff_detail", "ins_detail")
-    found = swept.groupBy("refname", "tile").agg(F.array_sort(F.collect_list(F.struct("off", "next", *level, *here))).alias("found"))
+    here = ("diff", "ins", *texts)
+    found = swept.groupBy("refname", "tile").agg(F.sort_array(F.collect_list(F.struct("off", "next", *level, *here))).alias("found"))
 
     known = lambda e, own: F.struct(*[e[c].alias(c) for c in level], *[(e[c] if own else F.lit(0).cast("long") if c in ("diff", "ins") else F.lit("")).alias(c) for c in here])
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in level], *[(F.lit(0).cast("long") if c in ("diff", "ins") else F.lit("")).alias(c) for c in here])
@@ -203,12 +209,12 @@ def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     joined = tiles.join(found, ["refname", "tile"], "left").select("refname", "begin", "b", "first", "n", dense.alias("dense"))
     joined = once(joined, "b", "first", "n", "dense")
 
-    def place(k: Column) -> Column:
+    def with_bases(k: Column) -> Column:
         """The place with its bases from ten before to ten behind it; ``l`` of them come before."""
         l = F.least(F.col("first") + k, F.lit(10))  # noqa: E741
         return F.struct((F.col("begin") + k).alias("pos"), l.alias("l"), F.substring("b", F.col("first") + k - l + 1, l + 11).cast("string").alias("near"), F.coalesce(F.get("dense", k), zero).alias("x"))
 
-    each = joined.select("refname", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)))
+    each = joined.select("refname", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), with_bases)))
     letter = lambda i: F.nullif(F.substring(F.col("near"), F.col("l") + i, F.lit(1)), F.lit(""))
     each = each.withColumns({"before": F.when(F.col("l") > 0, letter(0)), "cur_base": letter(1), "next_base": letter(2), "second": letter(3)})
     same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
@@ -216,7 +222,7 @@ def locus_table(df: DataFrame, refs: DataFrame, size: int = 1024) -> DataFrame:
     depth = F.col("x.eq") + F.col("x.diff") + F.col("x.del") + F.col("x.skip")
     return each.select(
         "refname", "pos", "cur_base", "next_base", (same("cur_base", "before") | same("cur_base", "next_base")).alias("cur_is_homo"), (same("next_base", "cur_base") | same("next_base", "second")).alias("next_is_homo"),
-        around.alias("around"), "x.eq", "x.diff", "x.ins", "x.del", depth.alias("depth"), "x.diff_detail", "x.ins_detail",
+        around.alias("around"), "x.eq", "x.diff", "x.ins", "x.del", depth.alias("depth"), *[f"x.{c}" for c in texts],
     )
 
 

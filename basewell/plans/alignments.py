@@ -50,14 +50,14 @@ _LOCUS = ALN_SQL + """, marked AS (SELECT *, first_value(rpos IGNORE NULLS) OVER
     FROM r LEFT JOIN counts USING (refname, pos) LEFT JOIN ins USING (refname, pos) LEFT JOIN dif USING (refname, pos))"""
 
 
-def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loci(spark: SparkSession, sf_dir: str, details: bool = False) -> DataFrame:
     alns = views.alignments(spark, sf_dir)
-    return alignment.locus_table(alns.drop("qual"), alns.select("refname", "rseq").distinct())
+    return alignment.locus_table(alns.drop("qual"), alns.select("refname", "rseq").distinct(), details=details)
 
 
 @query(_LOCUS + " SELECT * FROM loci")
 def b04_locus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loci(spark, sf_dir)
+    return _loci(spark, sf_dir, details=True)
 
 
 _SPANS = ALN_SQL + """, flagged AS (SELECT *, sum((op = '=')::INT) OVER (PARTITION BY qname ORDER BY col_idx) AS grp FROM aln),

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from basewell.functions import seq as S
 from basewell.operators import alignment, clusters, joins, kinetics, metrics, summary, voting
 from basewell.sources import fastx
 
@@ -216,3 +217,22 @@ def test_consensus_counts_in_the_column(spark):
     got = sorted(map(tuple, found.collect()))
     assert got == [(1, 0, 0, 0, 0, 3, 0, "T", False), (1, 0, 2, 1, 0, 0, 1, "A", True), (2, 5, 0, 0, 0, 0, 0, "-", False), (3, 1, 0, 0, 2, 0, 2, "-", True)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_locus_table_without_texts(spark):
+    alns = spark.createDataFrame([("a", "r", 0, "3=1X2=1I2D70=", "ACGTACG" + "T" * 70), ("b", "r", 2, "2=1X1D4=", "GAATTTT")], "qname string, refname string, rstart int, cigar string, seq string")
+    refs = spark.createDataFrame([("r", "ACGAACGG" + "T" * 72), ("none", "ACGT")], "refname string, rseq string")
+    whole, slim = (alignment.locus_table(alns, refs, 16, details=d) for d in (True, False))
+    assert slim.columns == [c for c in whole.columns if not c.endswith("_detail")] and sorted(map(tuple, slim.collect())) == sorted(map(tuple, whole.select(slim.columns).collect()))
+    texts = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("collect_list(")
+    assert texts(slim) < texts(whole)
+
+
+def test_operations_are_placed_across_blocks(spark):
+    ops = [(random.Random(i).choice("=XID"), i % 7 + 1) for i in range(201)]
+    row = spark.createDataFrame([("".join(f"{n}{op}" for op, n in ops), 5)], "cigar string, rstart int").select(S.placed_ops(S.cigar_ops("cigar"), "rstart").alias("ops")).first()
+    q, r, c, want = 0, 5, 0, []
+    for op, n in ops:
+        want.append((op, n, q, r, c))
+        q, r, c = q + n * (op in "=XI"), r + n * (op in "=XD"), c + n
+    assert [tuple(o) for o in row.ops] == want
