@@ -32,7 +32,7 @@ def column_tiles(df: DataFrame, size: int = SIZE) -> DataFrame:
     ends = df.select("refname", F.col("rstart").cast("long").alias("rstart"), (F.col("rstart") + cigar_total(cigar_ops("cigar"), REF_OPS)).alias("rend")).where("rend > rstart")
     bounds = ends.groupBy("refname").agg(F.min("rstart").alias("start"), F.max("rend").cast("long").alias("end"))
     tiles = bounds.select("*", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("tile"))
-    found = insertion_widths(df).groupBy("refname", F.floor(F.col("pos") / size).alias("tile")).agg(F.sum("width").alias("total"), F.array_sort(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("off"), "width"))).alias("some"))
+    found = insertion_widths(df).groupBy("refname", F.floor(F.col("pos") / size).alias("tile")).agg(F.sum("width").alias("total"), F.sort_array(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("off"), "width"))).alias("some"))
     gap = lambda x, i: x["off"] - F.coalesce(F.get("some", i - 1)["off"], F.lit(-1)) - 1
     zero = F.lit(0).cast("long")
     dense = F.flatten(F.transform("some", lambda x, i: F.concat(F.array_repeat(zero, gap(x, i)), F.array(x["width"]))))
@@ -77,10 +77,12 @@ def padded_reads(df: DataFrame, size: int = SIZE) -> DataFrame:
 def padded_reference(df: DataFrame, refs: DataFrame, size: int = SIZE) -> DataFrame:
     """(refname, tile, col_start, text): the covered part of each reference in the same columns, a row for each tile."""
     tiles = reference_tiles(refs, size=size, halo=0).select("refname", F.col("tile").cast("long").alias("tile"), "begin", "text")
-    met = once(tiles.join(column_tiles(df, size), ["refname", "tile"]), "text", "widths", "begin", "start", "end")
-    letters = F.sequence(F.lit(0), F.length("text") - 1)
-    covered = F.filter(letters, lambda k: (F.col("begin") + k >= F.col("start")) & (F.col("begin") + k < F.col("end")))
-    text = F.array_join(F.transform(covered, lambda k: F.concat(cut("text", k, F.lit(1)), F.repeat(F.lit("."), F.get("widths", k).cast("int")))), "")
+    met = tiles.join(column_tiles(df, size), ["refname", "tile"])
+    # Of a tile's letters those from the first covered place to the last; they go from column to column, most of which have nothing behind them.
+    first, last = (F.greatest(F.least(F.col(c) - F.col("begin"), F.length("text").cast("long")), F.lit(0)).cast("int") for c in ("start", "end"))
+    letters = F.filter(F.split(F.substring(F.col("text"), first + 1, last - first), ""), lambda c: c != "")
+    met = once(met.withColumns({"letters": letters, "some": F.slice("widths", first + 1, F.size("widths"))}), "letters", "some")
+    text = F.array_join(F.transform("letters", lambda c, k: F.when(F.get("some", k) == 0, c).otherwise(F.concat(c, F.repeat(F.lit("."), F.get("some", k).cast("int"))))), "")
     return met.select("refname", "tile", (F.greatest("begin", "start") - F.col("start") + F.col("before")).alias("col_start"), text.alias("text"))
 
 

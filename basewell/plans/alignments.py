@@ -253,8 +253,9 @@ def b24_padded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CUT + " SELECT p.refname, p.pos // 256 AS tile, min(p.col)::BIGINT AS col_start, string_agg(substr(r.rseq, p.pos + 1, 1) || repeat('.', p.width::BIGINT), '' ORDER BY p.pos) AS text FROM placed2 p JOIN (SELECT DISTINCT refname, rseq FROM alignments) r USING (refname) GROUP BY ALL")
 def b24_padded_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alns = _cut_alignments(spark, sf_dir)
-    return msa.padded_reference(alns, alns.select("refname", "rseq").distinct())
+    # Bounds and widths are both told by the alignment strings, which are cut once. A reference without reads meets no tile.
+    alns = materialize(_cut_alignments(spark, sf_dir).select("refname", "rstart", "cigar"))
+    return msa.padded_reference(alns, views.alignments(spark, sf_dir).select("refname", "rseq").distinct())
 
 
 _TRUSTED = _NEXT.rsplit(", c AS", 1)[0].replace("kinds AS (SELECT qname, op,", "kinds AS (SELECT qname, refname, op, qpos, CASE WHEN op = 'I' THEN coalesce(last_r, -1) + 1 ELSE rpos END AS p,").replace("near AS (SELECT *,", "near AS (SELECT *, last_value(rpos IGNORE NULLS) OVER (PARTITION BY qname ORDER BY col_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_r,") + """,

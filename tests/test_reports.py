@@ -236,3 +236,10 @@ def test_operations_are_placed_across_blocks(spark):
         want.append((op, n, q, r, c))
         q, r, c = q + n * (op in "=XI"), r + n * (op in "=XD"), c + n
     assert [tuple(o) for o in row.ops] == want
+
+
+def test_padded_reference_cuts_alignments_once(spark):
+    from basewell.plans import catalog
+
+    plan = catalog.queries()["b24_padded_reference"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "=+|X+|I+|D+" not in plan  # alignment strings are made once, when they are written
