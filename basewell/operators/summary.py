@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basewell.functions.seq import let, qualities, rate
+from basewell.functions.seq import rate
 from basewell.operators.ordered import distribution, in_parts, quantiles_of, running, same_group, with_quantiles
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -179,19 +185,66 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.withColumn("turn", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))).orderBy("turn").limit(n).drop("turn")
 
 
-def quality_heat_map(df: DataFrame, qual: str, bins: int) -> DataFrame:
-    """(bin, q, n): bases by their place in the read, scaled to bins, and quality.
+#: Letters that are counted at a time, and places of a read that are counted together.
+LETTERS, PLACES = 1 << 23, 1 << 12
+
+
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts in a row, and how many each text has."""
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pc.sum(pc.binary_length(texts)).as_py() != sizes.sum():
+        return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32), sizes
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], sizes
+
+
+def _counts(letters: np.ndarray, sizes: np.ndarray, bins: int | None) -> Iterator[pa.RecordBatch]:
+    """Letters by place and quality. All reads are walked side by side, PLACES places at a time, so a long read widens no table of counts."""
+    starts, width = np.cumsum(sizes) - sizes, int(letters.max(initial=0)) + 1
+    found = [np.empty((3, 0), np.int64)]
+    for first in range(0, int(sizes.max(initial=0)), PLACES):
+        here = np.flatnonzero(sizes > first)
+        n = np.minimum(sizes[here] - first, PLACES)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first
+        letter = letters[np.repeat(starts[here], n) + place]
+        if bins is not None:
+            place = place * bins // np.repeat(sizes[here], n)
+        low = place.min()
+        code = (place - low) * width + letter
+        if code.max() < code.size:
+            counted = np.bincount(code)
+            code = np.flatnonzero(counted)
+            n = counted[code]
+        else:
+            code, n = np.unique(code, return_counts=True)
+        found.append(np.stack([code // width + low, code % width - 33, n]))
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["pos", "q", "n"])
+
+
+def _letter_counts(bins: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).drop_null().cast(pa.large_string())
+            # A piece ends with the text that fills it.
+            filled = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // LETTERS
+            cuts = [0, *np.flatnonzero(np.diff(filled)) + 1, len(texts)]
+            for a, b in pairwise(cuts):
+                yield from _counts(*_letters(texts.slice(a, b - a)), bins)
+
+    return run
+
+
+def _quality_counts(df: DataFrame, qual: str, bins: int | None) -> DataFrame:
+    """(pos, q, n): letters are counted in each task, piece by piece, and only counts are rows."""
+    counted = df.select(F.col(qual).alias("qual")).mapInArrow(_letter_counts(bins), "pos long, q long, n long")
+    return counted.groupBy("pos", "q").agg(F.sum("n").alias("n"))
 
-    The bin is put to each quality inside the array, so what is exploded is one number for each base.
-    """
-    codes = let(qualities(qual), lambda values: let(F.size(values), lambda n: F.transform(values, lambda q, i: F.floor(i * bins / n) * 256 + q)))
-    each = df.select(F.explode(codes).alias("code"))
-    counted = each.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.floor(F.col("code") / 256).alias("bin"), (F.col("code") % 256).alias("q"), "n")
+
+def quality_heat_map(df: DataFrame, qual: str, bins: int) -> DataFrame:
+    """(bin, q, n): bases by their place in the read, scaled to bins, and quality."""
+    return _quality_counts(df, qual, bins).withColumnRenamed("pos", "bin")
 
 
 def quality_by_position(df: DataFrame, qual: str) -> DataFrame:
     """(pos, q, n): bases by their 0-based place in the read and quality."""
-    codes = F.transform(qualities(qual), lambda q, i: i.cast("long") * 256 + q)
-    counted = df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.floor(F.col("code") / 256).alias("pos"), (F.col("code") % 256).alias("q"), "n")
+    return _quality_counts(df, qual, None)

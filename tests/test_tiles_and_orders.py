@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from statistics import median
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,3 +369,26 @@ def test_adjacent_groups_across_partitions(spark):
     rows = [(ch, turn) for ch in (None, 1, 2) for turn in range(400)]
     found = summary.adjacent_groups(spark.createDataFrame(rows, "ch int, turn int").repartition(7), "ch", ["turn"])
     assert sorted(map(tuple, found.collect()), key=str) == [(1, True), (2, True), (None, True)]
+
+
+def test_quality_letters_are_counted_not_exploded(spark):
+    """Counts by place and by bin: long reads beside short ones, letters below the offset and beyond a byte, nothing at all."""
+    rnd = random.Random(8)
+    reads = ["".join(rnd.choice("+5?I") for _ in range(n)) for n in (1, 3, 7, 250, 4096, 4097, 9001)] * 3 + ["\x1f I", "\u00e9\u20acI", "", None]
+    df = spark.createDataFrame([(r,) for r in reads], "qual string").repartition(3)
+    places, bins = summary.quality_by_position(df, "qual"), summary.quality_heat_map(df, "qual", 200)
+    assert {(r.pos, r.q): r.n for r in places.collect()} == Counter((i, ord(c) - 33) for r in reads for i, c in enumerate(r or ""))
+    assert {(r.bin, r.q): r.n for r in bins.collect()} == Counter((i * 200 // len(r), ord(c) - 33) for r in reads for i, c in enumerate(r or ""))
+    assert not any("Generate" in x._jdf.queryExecution().executedPlan().toString() for x in (places, bins))
+    assert summary.quality_by_position(df.limit(0), "qual").count() == 0
+
+
+def test_quality_letters_of_more_than_one_piece(monkeypatch):
+    reads = ["I" * n for n in (5, 0, 9, 1, 40, 2)]
+    monkeypatch.setattr(summary, "LETTERS", 8)
+    monkeypatch.setattr(summary, "PLACES", 4)
+    got = Counter()
+    for out in summary._letter_counts(None)(iter([pa.RecordBatch.from_pydict({"qual": pa.array(reads)}), pa.RecordBatch.from_pydict({"qual": pa.array([], "string")})])):
+        for pos, q, n in zip(*(out.column(c).to_pylist() for c in ("pos", "q", "n")), strict=True):
+            got[pos, q] += n
+    assert got == Counter((i, 40) for r in reads for i in range(len(r)))
