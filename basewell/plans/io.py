@@ -14,7 +14,7 @@ from basewell.sources.scratch import new_path, spread
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.reads(spark, sf_dir).where("seq <> ''")
+    return views.reads(spark, sf_dir, empty=False)
 
 
 @query(READS_SQL + " SELECT qname, md5(seq) AS seq, md5(qual) AS qual FROM reads WHERE seq <> ''")

@@ -85,8 +85,10 @@ def _letters(text: str) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", ""))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("s", _letters("text"))
+def reads(spark: SparkSession, sf_dir: str, empty: bool = True) -> DataFrame:
+    """All reads, or those with a base: texts are asked for a letter, since a filter on seq would make the sequence a second time."""
+    docs = table(spark, sf_dir, "documents")
+    docs = (docs if empty else docs.where(F.col("text").rlike("[A-Za-z]"))).withColumn("s", _letters("text"))
     i = F.col("doc_id")
     return docs.select(
         F.concat(F.lit("run/"), i, F.lit("/ccs")).alias("qname"), i.alias("ch"), F.col("source").alias("run"), F.col("lang").alias("barcode"), F.translate("s", ALPHABET, BASES).alias("seq"),

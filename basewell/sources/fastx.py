@@ -17,13 +17,14 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line) with lines numbered from 0 in each file, however the files are split.
 
     A split knows its first byte. Lines are counted by split, the counts before a split are added up, and a line's
-    place in its split is the rest; only the counts, one for each split, meet in a window.
+    place in its split is the rest; only the counts, one for each split, meet in a window. They go to all tasks, so lines
+    aren't dealt out by split; the driver has planned a task for each of them before.
     """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("id", F.monotonically_increasing_id())
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return lines.join(splits, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("offset")).alias("line_no"), F.col("value").alias("line"))
+    return lines.join(F.broadcast(splits), ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("offset")).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:

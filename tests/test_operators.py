@@ -247,6 +247,48 @@ def test_fastq_round_trip_with_at_signs(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_fastq_lines_are_not_dealt_out_by_split(spark, tmp_path):
+    """Only records are shuffled: the counts of lines before a split go to the lines, however small a table Spark would broadcast by itself."""
+    df = spark.createDataFrame([(f"r{i}", "ACGT", "@+I5") for i in range(50)], "qname string, seq string, qual string")
+    fastx.write_fastq(df.repartition(3), f"{tmp_path}/out")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = fastx.read_fastq(spark, f"{tmp_path}/out")
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert back.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mean_accuracy_walks_a_text_once(spark):
+    """The sum over the qualities in their order; letters that stand for none count as bases without error."""
+    texts = ["I", "!", "~", "5?I5?I++", "!~" * 300, " I\x7f", "I\u00e9", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, q string").repartition(3)
+    out = df.select("i", S.mean_accuracy("q").alias("a"))
+    got = {r.i: r.a for r in out.collect()}
+    for i, t in enumerate(texts):
+        errors = 0.0
+        for q in range(94):
+            errors += (t or "").count(chr(q + 33)) * 10 ** (-q / 10)
+        assert got[i] == (pytest.approx(1 - errors / len(t.encode()), rel=1e-15, abs=1e-15) if t else None)
+    assert "replace(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("a > 0.99").count() == sum(a is not None and a > 0.99 for a in got.values())
+
+
+def test_reads_with_a_base(spark, tmp_path):
+    """Those with a letter, told by the text."""
+    from basewell.plans import views
+
+    texts = ["a", "", None, "12 ,;", "\u00e9\u0130", "..z", "Q", "\n\nB\n"]
+    docs = spark.createDataFrame([(i, t, "s", "en", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    full = views.reads(spark, str(tmp_path), empty=False)
+    assert sorted(full.collect()) == sorted(views.reads(spark, str(tmp_path)).where("seq <> ''").collect())
+    assert sorted(r.ch for r in full.collect()) == [0, 5, 6, 7]
+
+
 def test_fasta_wrapped(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x some words\nACGT\nAC\n>y\nGG\n")
     assert sorted(map(tuple, fastx.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("x", "ACGTAC"), ("y", "GG")]
