@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import col, in_blocks, let, rate, reverse_complement
@@ -111,11 +111,22 @@ def gaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
 
 
 def depth_profile(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Stretches of equal depth > 0 by a sweep over starts and ends, tile by tile; depths are carried from tile to tile."""
+    """Stretches of equal depth > 0 by a sweep over starts and ends, tile by tile.
+
+    What a tile takes over, the depth before it and the first place behind it, is a row of its own that opens the tile, so
+    places are dealt out by tile once and joined with nothing.
+    """
     events = df.select(*by, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))))
     summed = events.groupBy(*by, "at").agg(F.sum("step").alias("step")).withColumn("tile", _tile("at"))
-    swept = running(summed, by, ["at"], "tile", sums={"depth": F.col("step")}, after={"b": F.col("at")})
-    return swept.where("depth > 0").select(*by, F.col("at").alias("a"), "b", "depth")
+    across = Window.partitionBy(*by).orderBy("tile")
+    before = F.sum("step").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    tiles = summed.groupBy(*by, "tile").agg(F.sum("step").alias("step"), F.min("at").alias("at"))
+    opened = tiles.select(*by, "tile", F.lit(None).cast(summed.schema["at"].dataType).alias("at"), F.coalesce(before, F.lit(0)).alias("step"), F.lead("at").over(across).alias("behind"), F.lit(0).alias("kind"))
+    both = summed.select(*by, "tile", "at", "step", F.lit(None).cast(summed.schema["at"].dataType).alias("behind"), F.lit(1).alias("kind")).unionByName(opened)
+    along = Window.partitionBy(*by, "tile").orderBy("kind", "at")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.select(*by, "at", "kind", F.sum("step").over(upto).alias("depth"), F.coalesce(F.lead("at").over(along), F.first("behind").over(upto)).alias("b"))
+    return swept.where("kind = 1 and depth > 0").select(*by, F.col("at").alias("a"), "b", "depth")
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -392,3 +392,30 @@ def test_quality_letters_of_more_than_one_piece(monkeypatch):
         for pos, q, n in zip(*(out.column(c).to_pylist() for c in ("pos", "q", "n")), strict=True):
             got[pos, q] += n
     assert got == Counter((i, 40) for r in reads for i in range(len(r)))
+
+
+@pytest.mark.parametrize("size", [1, 16, 1 << 16])
+def test_depths_are_carried_without_a_join(spark, monkeypatch, size):
+    """Stretches over tile borders and empty tiles stay whole; a group may be null, an interval empty or below 0."""
+    monkeypatch.setattr(runs, "TILE", size)
+    rnd = random.Random(5)
+    spans = [(rnd.choice(["a", "a", "b", None]), a, a + rnd.choice((0, 1, 3, 40, 300))) for a in (rnd.randrange(-200, 900) for _ in range(150))] + [("c", -70, 5000)]
+    out = runs.depth_profile(spark.createDataFrame(spans, "name string, a long, b long").repartition(4), ["name"], "a", "b")
+    expected = []
+    for name in ("a", "b", "c", None):
+        steps = Counter()
+        for n, a, b in spans:
+            if n == name:
+                steps[a] += 1
+                steps[b] -= 1
+        places, depth = sorted(steps), 0
+        for at, following in zip(places, places[1:], strict=False):
+            depth += steps[at]
+            if depth > 0:
+                expected.append((name, at, following, depth))
+    assert Counter(map(tuple, out.collect())) == Counter(expected)
+    assert out.columns == ["name", "a", "b", "depth"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_depths_of_nothing(spark):
+    assert runs.depth_profile(spark.createDataFrame([], "name string, a long, b long"), ["name"], "a", "b").count() == 0
