@@ -228,5 +228,6 @@ def _h(c: str) -> str:
 
 @query(_VOTES + f" SELECT rec, pos + 1 AS pos, round(-({' + '.join(map(_h, ('a', 'c', 'g', 't', 'gap')))}), 9) AS entropy FROM v WHERE -({' + '.join(map(_h, ('a', 'c', 'g', 't', 'gap')))}) > 0.9")
 def a57_high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = voting.consensus(_cols(spark, sf_dir)).withColumn("entropy", voting.entropy(["a", "c", "g", "t", "gap"]))
+    # Where all subreads agree the entropy is 0. A filter on it would also be moved below counts made by expressions, and count anew for each use.
+    counted = voting.varied_counts(views.columns(spark, sf_dir)).withColumn("entropy", voting.entropy(list(voting.COUNTS.values())))
     return counted.where("entropy > 0.9").select("rec", (F.col("pos") + 1).alias("pos"), F.round("entropy", 9).alias("entropy"))

@@ -219,6 +219,26 @@ def test_consensus_counts_in_the_column(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_varied_columns_are_counted_in_the_record(spark):
+    """The same columns and counts as consensus has where more than one letter occurs; with nulls, short and long subreads, and other letters."""
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("AACGT-Nn\u00e9\U0001f600") for _ in range(n))
+    rows = [(None if r % 7 == 3 else (1 << 60) + r, letters(r), letters(r), [letters(max(r + rnd.randrange(-3, 4), 0)) if rnd.random() < 0.9 else None for _ in range(rnd.randrange(5))]) for r in range(60)]
+    rows += [(1, "AC", None, ["AC", "GT"]), (2, None, "AC", ["AC", "GT"]), (3, "AC", "AC", None), (4, "A" * 70000, "A" * 70000, ["A" * 70000, "C" * 70000]), (5, "AC", "AC", ["AG", "AG"])]
+    msa = spark.createDataFrame(rows, "rec long, smc string, ref string, subs array<string>").repartition(2)
+    found = voting.varied_counts(msa)
+    wanted = voting.consensus(voting.columns(msa)).where("int(a > 0) + int(c > 0) + int(g > 0) + int(t > 0) + int(gap > 0) > 1").select(found.columns)
+    assert found.dtypes == wanted.dtypes and found.count() > 70000
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, wanted.collect()))
+
+
+def test_high_entropy_doesnt_count_in_its_filter(spark):
+    from basewell.plans import catalog
+
+    plan = catalog.queries()["a57_high_entropy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "octet_length" not in plan  # the filter had each of 65 counts made anew for each column
+
+
 def test_locus_table_without_texts(spark):
     alns = spark.createDataFrame([("a", "r", 0, "3=1X2=1I2D70=", "ACGTACG" + "T" * 70), ("b", "r", 2, "2=1X1D4=", "GAATTTT")], "qname string, refname string, rstart int, cigar string, seq string")
     refs = spark.createDataFrame([("r", "ACGAACGG" + "T" * 72), ("none", "ACGT")], "refname string, rseq string")
