@@ -10,7 +10,7 @@ from basewell.plans import views
 from basewell.plans.catalog import query
 from basewell.plans.views import COLUMNS_SQL, ERRORS_SQL, FACTS_SQL, READS_SQL
 from basewell.sources import fastx
-from basewell.sources.scratch import new_path, spread
+from basewell.sources.scratch import new_path
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +160,8 @@ def o11_points_of_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o16_a_file_for_each_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     seqs = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("qname"), F.translate(F.md5(F.col("s_name").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
-    fastx.write_fasta_each(spread(seqs, "qname"), path)
-    back = fastx.read_fasta(spark, f"{path}/*")
-    lines = spark.read.text(f"{path}/*").where("startswith(value, '>')").select(F.substring("value", 2, 1 << 30).alias("name"), F.col("_metadata.file_path").alias("file"))
-    files = lines.groupBy("name").agg(F.count_distinct("file").alias("files"))
+    back = fastx.read_fasta_each(spark, path, fastx.write_fasta_each(seqs, path))
+    files = back.groupBy(F.col("qname").alias("name")).agg(F.count_distinct("file").alias("files"))
     return back.join(files, back["qname"] == files["name"]).select("qname", "seq", "files")
 
 

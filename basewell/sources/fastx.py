@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewell.functions.seq import mean_accuracy, phred
+from basewell.sources.scratch import discard, materialize, new_path, setting, spread
 
 BED = "refname string, start long, end long"
 VCF = "refname string, pos long, id string, ref string, alt string"
 GFF = "seqid string, source string, kind string, start long, end long, score string, strand string, phase string, attributes string"
 SAM = "qname string, flag int, refname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
 
+#: Files of sequences that are written and listed at a time: each takes 5 to 6 KB of the driver's memory meanwhile.
+FILES = 1 << 14
+
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line) with lines numbered from 0 in each file, however the files are split.
@@ -38,11 +44,15 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(qname, seq) with wrapped lines joined; records are told apart by the line separator, so a file may be split."""
-    records = spark.read.option("lineSep", "\n>").text(paths).where("value <> ''")
-    plain = records.select(F.regexp_replace("value", "^>", "").alias("value"))
+    return _fasta(spark.read.option("lineSep", "\n>").text(paths)).drop("file")
+
+
+def _fasta(texts: DataFrame) -> DataFrame:
+    records = texts.where("value <> ''").withColumn("file", F.col("_metadata.file_path"))
+    plain = records.select("file", F.regexp_replace("value", "^>", "").alias("value"))
     head = F.split("value", r"\n")[0]
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
-    return plain.select(F.split(head, r"\s")[0].alias("qname"), body.alias("seq"))
+    return plain.select(F.split(head, r"\s")[0].alias("qname"), body.alias("seq"), "file")
 
 
 def read_table(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True, **options) -> DataFrame:
@@ -106,9 +116,32 @@ def write_fastq(df: DataFrame, path: str, thresholds: tuple[float, ...] = (), ac
     each.select("thr", F.concat_ws("\n", F.concat(F.lit("@"), "qname"), "seq", F.lit("+"), "qual").alias("value")).write.partitionBy("thr").text(path)
 
 
-def write_fasta_each(df: DataFrame, path: str) -> None:
-    """A folder for each sequence, named by it."""
-    df.select("qname", F.concat(F.lit(">"), "qname", F.lit("\n"), "seq").alias("value")).write.partitionBy("qname").text(path)
+def write_fasta_each(df: DataFrame, path: str, files: int = FILES) -> int:
+    """A file for each sequence, in a folder named by it. Returns the number of parts: ``part=0`` and so on have about ``files`` folders each.
+
+    A part is a job of its own, since the driver keeps the names of what a job writes. Sequences are dealt out to the parts once, so
+    a part's job reads no other's.
+    """
+    parts = max(math.ceil(df.select("qname").distinct().count() / files), 1)
+    text = F.concat(F.lit(">"), "qname", F.lit("\n"), "seq").alias("value")
+    h = F.xxhash64("qname")
+    dealt = df.select("qname", text, F.pmod(h, F.lit(parts)).alias("part"), F.pmod(F.shiftright(h, 32), F.lit(16)).alias("piece"))
+    staged = materialize(spread(dealt, "part", "piece").drop("piece"), "part")
+    for part in range(parts):
+        rows = staged.where(F.col("part") == part).select("qname", "value")
+        spread(rows, "qname").write.partitionBy("qname").text(f"{path}/part={part}")
+    discard(staged)
+    return parts
+
+
+def read_fasta_each(spark: SparkSession, path: str, parts: int) -> DataFrame:
+    """(qname, seq, file) of the files that write_fasta_each wrote, as a table. The driver lists a part at a time, and keeps no list of its files."""
+    found, n = new_path(spark), 4 * spark.sparkContext.defaultParallelism
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", n), setting(spark, "spark.sql.hive.manageFilesourcePartitions", "false"):
+        for part in range(parts):
+            rows = _fasta(spark.read.options(lineSep="\n>", recursiveFileLookup=True).text(f"{path}/part={part}"))
+            rows.coalesce(n).write.mode("append").parquet(found)
+    return spark.read.schema(rows.schema).parquet(found)
 
 
 def write_metrics(df: DataFrame, path: str, force: bool = False) -> None:

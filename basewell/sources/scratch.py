@@ -41,15 +41,15 @@ def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again.
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder, with a folder for each value of ``by`` if given, and reads it again.
 
     A lost executor then costs a re-read, not a recomputation, and the shuffle files of the write go at once. The table stays for as long as its readers may need
     it: discard() deletes it after the last; what a result still reads stays, until whoever owns the folder clears it.
     """
     path = new_path(df.sparkSession)
     with setting(df.sparkSession, CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table

@@ -294,6 +294,24 @@ def test_fasta_wrapped(spark, tmp_path):
     assert sorted(map(tuple, fastx.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("x", "ACGTAC"), ("y", "GG")]
 
 
+def test_a_file_for_each_sequence_part_by_part(spark, tmp_path):
+    """Each part is written and listed by itself, so the driver has one part's files at a time; a name's sequences lie in one file."""
+    rows = [(f"S#{i:04d}", "ACGT" * i) for i in range(1, 60)] + [("twice", "AC"), ("twice", "GT"), ("001", "A"), ("1", "C"), ("2020-01-01", "G"), ("a/b=c", "T"), ("\u00e9", "AA")]
+    parts = fastx.write_fasta_each(spark.createDataFrame(rows, "qname string, seq string").repartition(3), f"{tmp_path}/out", files=10)
+    folders = [sorted(p.name for p in (tmp_path / "out" / f"part={i}").iterdir() if p.is_dir()) for i in range(parts)]
+    assert parts == 7 and sum(map(len, folders)) == 65 and max(map(len, folders)) < 20
+    back = fastx.read_fasta_each(spark, f"{tmp_path}/out", parts)
+    assert sorted((r.qname, r.seq) for r in back.collect()) == sorted(rows)
+    assert all(r.n == 1 for r in back.groupBy("qname").agg(F.count_distinct("file").alias("n")).collect())
+    assert not any("/out/part=" in f for f in back.inputFiles())  # what is read later doesn't list each sequence's file again
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_a_file_for_each_of_no_sequences(spark, tmp_path):
+    parts = fastx.write_fasta_each(spark.createDataFrame([], "qname string, seq string"), f"{tmp_path}/out")
+    assert parts == 1 and fastx.read_fasta_each(spark, f"{tmp_path}/out", parts).collect() == []
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     from basewell.streaming import incremental
 
