@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -141,6 +142,7 @@ def read_fasta_each(spark: SparkSession, path: str, parts: int) -> DataFrame:
         for part in range(parts):
             rows = _fasta(spark.read.options(lineSep="\n>", recursiveFileLookup=True).text(f"{path}/part={part}"))
             rows.coalesce(n).write.mode("append").parquet(found)
+            gc.collect()  # Python's handles lie in cycles, and hold the lists of earlier parts in the driver
     return spark.read.schema(rows.schema).parquet(found)
 
 
